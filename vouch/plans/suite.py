@@ -394,3 +394,9 @@ def union_suites(suites: Iterable[Suite]) -> DataFrame:
     if out is None:
         raise ValueError("no suites")
     return out
+
+
+def duplicate_ids(checks: DataFrame, id_col: str = "test_id") -> DataFrame:
+    """Check ids declared more than once: (test_id, n).  A partial aggregate,
+    so an id repeated a billion times is combined map-side."""
+    return checks.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
