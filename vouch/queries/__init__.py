@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_AREAS = ["contracts"]
+_AREAS = ["contracts", "datasets"]
 
 
 def all_queries() -> dict:
