@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_AREAS = ["contracts", "datasets", "namespaces"]
+_AREAS = ["contracts", "datasets", "namespaces", "fanout", "streams"]
 
 
 def all_queries() -> dict:
