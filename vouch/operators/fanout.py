@@ -17,9 +17,12 @@ from __future__ import annotations
 
 from typing import Callable
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vouch.session import ensure_checkpoint_dir, path_exists
 
@@ -48,8 +51,32 @@ class UserTable:
     def exists(self) -> bool:
         return path_exists(self.spark, self.path)
 
+    def _schema_file(self):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/_schema.json")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _save_schema(self, rows: DataFrame) -> None:
+        """Keep the schema next to the data (``_`` files are ignored by
+        readers) so a table whose users were all dropped still reads."""
+        p, fs = self._schema_file()
+        if fs.exists(p):
+            return
+        out = fs.create(p, True)
+        out.write(bytearray(self._tag(rows).schema.json().encode("utf-8")))
+        out.close()
+
+    def schema(self) -> T.StructType:
+        p, fs = self._schema_file()
+        stream = fs.open(p)
+        reader = self.spark.sparkContext._jvm.java.io.BufferedReader(
+            self.spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        text = reader.readLine()
+        reader.close()
+        return T.StructType.fromJson(json.loads(text))
+
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema()).parquet(self.path)
 
     def users(self) -> DataFrame:
         """Existing users (reads only the user column)."""
@@ -64,6 +91,7 @@ class UserTable:
         return rows.withColumn(BUCKET, user_bucket(F.col(self.user), self.buckets))
 
     def _append(self, rows: DataFrame) -> None:
+        self._save_schema(rows)
         self._tag(rows).write.mode("append").partitionBy(BUCKET).parquet(self.path)
 
     def _rewrite_buckets(self, content: DataFrame, touched: DataFrame) -> None:

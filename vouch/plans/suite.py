@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from typing import Any, Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +55,10 @@ class Suite:
             escape_html: bool) -> "Suite":
         if not isinstance(check.description, str):
             raise TypeError(f"description must be str, found {type(check.description).__name__}")
-        if test_id is None:
+        if test_id is None:  # running number per suite, skipping ids already taken
             self._next_number += 1
+            while f"{self.name}-{self._next_number}" in self._ids:
+                self._next_number += 1
             test_id = str(self._next_number)
         full = f"{self.name}-{test_id}"
         if full in self._ids:
@@ -336,10 +338,11 @@ class Suite:
         if self._results is not None:
             return self._results
         raw = self.raw_results()
-        failed = raw.groupBy("suite").agg(
-            F.collect_set(F.when(~F.col("raw_passed"), F.col("test_id"))).alias("_failed")
-        )
-        j = raw.join(failed, "suite", "left")
+        # One row per DECLARED check, so the window holds a bounded number of
+        # rows; it keeps the plan a single branch (no self-join re-reading
+        # the tables).
+        failed = F.collect_set(F.when(~F.col("raw_passed"), F.col("test_id"))).over(Window.partitionBy("suite"))
+        j = raw.withColumn("_failed", failed)
         skipped = F.coalesce(F.arrays_overlap(F.col("ancestors"), F.col("_failed")), F.lit(False))
         j = j.withColumn("_skipped", skipped)
         st = status_columns(F.col("raw_passed"), F.col("_skipped"), F.col("check_points"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vouch.functions.text import line_count, path_kind
 from vouch.operators.compare import bag_difference
 from vouch.session import path_exists, work_path
-from vouch.sources.files import list_files, qualify
+from vouch.sources.files import norm_root, norm_uri
 
 EXTRA, MISSING, CHANGED = "extra", "missing", "changed"
 
@@ -91,17 +91,18 @@ def repair_table(source: DataFrame, target: DataFrame, key: list[str], out_path:
     return source.sparkSession.read.parquet(out_path)
 
 
-def has_data(spark: SparkSession, path: str) -> bool:
-    """True when the folder exists and holds at least one data file."""
+def has_data(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+    """True when the folder exists and holds at least one row (a read that
+    stops at the first row; an empty frame's schema-only file does not count)."""
     try:
-        return path_exists(spark, path) and not list_files(spark, path, include_dirs=False).isEmpty()
+        return path_exists(spark, path) and not spark.read.format(fmt).load(path).isEmpty()
     except Exception:  # noqa: BLE001 - any error means "not usable"
         return False
 
 
-def choose_source(spark: SparkSession, staged: str, remote: str) -> str:
+def choose_source(spark: SparkSession, staged: str, remote: str, fmt: str = "parquet") -> str:
     """The staged copy when it exists and is not empty, else the remote one."""
-    return staged if has_data(spark, staged) else remote
+    return staged if has_data(spark, staged, fmt) else remote
 
 
 def prefer_staged(staged: DataFrame, remote: DataFrame) -> DataFrame:
@@ -136,9 +137,9 @@ def readme_line_counts(spark: SparkSession, datasets: DataFrame, root: str, defa
         .text(root, wholetext=True)
         .select(F.col("value").alias("text"), F.input_file_name().alias("uri"))
     )
-    qualified = qualify(spark, root).rstrip("/") + "/"
+    qualified = norm_root(spark, root)
     texts = texts.select(
-        F.concat(F.lit(base), F.substring(F.col("uri"), len(qualified) + 1, 1 << 30)).alias("file"), "text")
+        F.concat(F.lit(base), F.substring(norm_uri(F.col("uri")), len(qualified) + 1, 1 << 30)).alias("file"), "text")
     return text_line_counts(wanted, texts, "file")
 
 

@@ -25,6 +25,17 @@ def qualify(spark: SparkSession, path: str) -> str:
     return str(fs.makeQualified(jpath).toString())
 
 
+def norm_uri(c):
+    """``file:/x``, ``file:///x`` and ``/x`` all become ``/x``; other schemes stay."""
+    return F.regexp_replace(c, "^file:/+", "/")
+
+
+def norm_root(spark: SparkSession, root: str) -> str:
+    import re
+
+    return re.sub("^file:/+", "/", qualify(spark, root)).rstrip("/") + "/"
+
+
 def list_files(spark: SparkSession, root: str, include_dirs: bool = True) -> DataFrame:
     """Recursive listing of ``root``: (path relative to root, is_dir, length).
 
@@ -37,14 +48,14 @@ def list_files(spark: SparkSession, root: str, include_dirs: bool = True) -> Dat
     """
     if not path_exists(spark, root):
         return spark.createDataFrame([], MANIFEST_SCHEMA)
-    base = qualify(spark, root).rstrip("/") + "/"
+    base = norm_root(spark, root)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
         .select("path", "length")
     )
-    rel = F.substring(F.col("path"), len(base) + 1, 1 << 30)
+    rel = F.substring(norm_uri(F.col("path")), len(base) + 1, 1 << 30)
     files = files.select(rel.alias("path"), F.lit(False).alias("is_dir"), F.col("length").cast("long").alias("length"))
     if not include_dirs:
         return files
