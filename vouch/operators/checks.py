@@ -65,8 +65,26 @@ def _col(c: Column | str | Any) -> Column:
     return F.lit(c)
 
 
-def column_type(df: DataFrame, c: Column, aggregate: bool = False) -> T.DataType:
-    """Resolve a column against a table (analysis only, no job)."""
+def table_schema(df: DataFrame) -> T.StructType:
+    """The table's schema, fetched once per DataFrame object."""
+    cached = getattr(df, "_vouch_schema", None)
+    if cached is None:
+        cached = df.schema
+        try:
+            df._vouch_schema = cached
+        except AttributeError:  # pragma: no cover - frames that refuse attributes
+            pass
+    return cached
+
+
+def column_type(df: DataFrame, c: Column | str, aggregate: bool = False) -> T.DataType:
+    """Resolve a column against a table: a plain column name from the cached
+    schema, an expression by analysis (no job)."""
+    if isinstance(c, str) and not aggregate:
+        sch = table_schema(df)
+        if c in sch.fieldNames():
+            return sch[c].dataType
+        c = F.col(c)
     probe = df.agg(c.alias("_v")) if aggregate else df.select(c.alias("_v"))
     return probe.schema["_v"].dataType
 
@@ -87,13 +105,23 @@ def predicate(p: Column | str) -> Callable[[DataFrame], Column]:
     return build
 
 
+def column_types(df: DataFrame, cols: list[Column], aggregate: bool) -> list[T.DataType]:
+    """Types of several expressions in ONE analysis."""
+    aliased = [c.alias(f"_v{i}") for i, c in enumerate(cols)]
+    probe = df.agg(*aliased) if aggregate else df.select(*aliased)
+    return [f.dataType for f in probe.schema.fields]
+
+
 def equals(actual: Any, expected: Any, aggregate: bool) -> Callable[[DataFrame], Column]:
     def build(df: DataFrame) -> Column:
-        a, at = (_col(actual), column_type(df, _col(actual), aggregate)) if isinstance(actual, (Column, str)) else (F.lit(actual), V.lit_type(actual))
-        if isinstance(expected, Column):
-            b, bt = expected, column_type(df, expected, aggregate)
-        else:
-            b, bt = F.lit(expected), V.lit_type(expected)
+        a_is_col = isinstance(actual, (Column, str))
+        b_is_col = isinstance(expected, Column)
+        a = _col(actual) if a_is_col else F.lit(actual)
+        b = expected if b_is_col else F.lit(expected)
+        probe = [x for x, is_col in ((a, a_is_col), (b, b_is_col)) if is_col]
+        types = iter(column_types(df, probe, aggregate)) if probe else iter(())
+        at = next(types) if a_is_col else V.lit_type(actual)
+        bt = next(types) if b_is_col else V.lit_type(expected)
         return V.py_equal(a, at, b, bt)
 
     return build
@@ -104,7 +132,7 @@ def identity(value: Any, want: bool, aggregate: bool) -> Callable[[DataFrame], C
 
     def build(df: DataFrame) -> Column:
         c = _col(value)
-        dt = column_type(df, c, aggregate)
+        dt = column_type(df, value if isinstance(value, str) else c, aggregate)
         if not isinstance(dt, T.BooleanType):
             return F.lit(False)
         return F.coalesce(c if want else ~c, F.lit(False))
@@ -115,7 +143,7 @@ def identity(value: Any, want: bool, aggregate: bool) -> Callable[[DataFrame], C
 def nullness(value: Any, want_null: bool, aggregate: bool) -> Callable[[DataFrame], Column]:
     def build(df: DataFrame) -> Column:
         c = _col(value)
-        column_type(df, c, aggregate)
+        column_type(df, value if isinstance(value, str) else c, aggregate)
         return c.isNull() if want_null else c.isNotNull()
 
     return build
@@ -124,7 +152,7 @@ def nullness(value: Any, want_null: bool, aggregate: bool) -> Callable[[DataFram
 def length_is(value: Any, expected_length: int, aggregate: bool) -> Callable[[DataFrame], Column]:
     def build(df: DataFrame) -> Column:
         c = _col(value)
-        n = V.sized_length(c, column_type(df, c, aggregate))
+        n = V.sized_length(c, column_type(df, value if isinstance(value, str) else c, aggregate))
         if n is None:
             return F.lit(False)
         return F.coalesce(n == F.lit(expected_length), F.lit(False))
@@ -135,7 +163,7 @@ def length_is(value: Any, expected_length: int, aggregate: bool) -> Callable[[Da
 def close_to(actual: Any, expected: Any, tolerance: float, aggregate: bool) -> Callable[[DataFrame], Column]:
     def build(df: DataFrame) -> Column:
         a, b = _col(actual), (expected if isinstance(expected, Column) else F.lit(expected))
-        column_type(df, a, aggregate)
+        column_type(df, actual if isinstance(actual, str) else a, aggregate)
         return V.floats_close(a, b, tolerance)
 
     return build
@@ -144,7 +172,7 @@ def close_to(actual: Any, expected: Any, tolerance: float, aggregate: bool) -> C
 def member_of(value: Any, values: list[Any], aggregate: bool) -> Callable[[DataFrame], Column]:
     def build(df: DataFrame) -> Column:
         c = _col(value)
-        return V.in_values(c, column_type(df, c, aggregate), list(values))
+        return V.in_values(c, column_type(df, value if isinstance(value, str) else c, aggregate), list(values))
 
     return build
 
@@ -153,7 +181,7 @@ def sequence_matches(actual: Any, expected: Any, ordered: bool, aggregate: bool)
     def build(df: DataFrame) -> Column:
         a = _col(actual)
         b = expected if isinstance(expected, Column) else (F.col(expected) if isinstance(expected, str) else F.array(*[F.lit(x) for x in expected]) if expected is not None else F.lit(None))
-        at = column_type(df, a, aggregate)
+        at = column_type(df, actual if isinstance(actual, str) else a, aggregate)
         if not isinstance(at, T.ArrayType):
             return a.isNull() & b.isNull()
         return V.sequences_equal(a, b, ordered)

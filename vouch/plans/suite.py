@@ -254,16 +254,32 @@ class Suite:
             by_id[c.full_id].ancestors = out[c.full_id]
         return out
 
-    def _meta(self, c: C.Check) -> list[Column]:
-        return [
-            F.lit(c.suite).alias("suite"),
-            F.lit(c.full_id).alias("test_id"),
-            F.lit(c.seq).cast("int").alias("seq"),
-            F.lit(c.description).alias("description"),
-            F.lit(c.points).cast("int").alias("check_points"),
-            F.lit(c.hint).cast("string").alias("hint_template"),
-            F.array(*[F.lit(a) for a in c.ancestors]).cast("array<string>").alias("ancestors"),
+    def _meta_frame(self) -> DataFrame:
+        """Check metadata as ONE local relation (one row per declared check)."""
+        rows = [
+            (c.seq, c.suite, c.full_id, c.seq, c.description, c.points, c.hint, list(c.ancestors))
+            for c in self.checks
         ]
+        return self._spark_of().createDataFrame(rows, META_SCHEMA)
+
+    @staticmethod
+    def _outcome(idx: Column, passed: Column, violations: Column, actual: Column, message: Column) -> Column:
+        return F.struct(idx.cast("int").alias("idx"), passed.alias("raw_passed"), violations.cast("long").alias("violations"),
+                        actual.cast("string").alias("actual"), message.alias("message"))
+
+    def _compile_group(self, df: DataFrame, items: list[tuple[C.Check, Column, Column]]) -> DataFrame:
+        aggs = []
+        for i, (_c, viol, act) in enumerate(items):
+            aggs += [viol.cast("long").alias(f"_v{i}"), act.alias(f"_a{i}")]
+        one = df.agg(*aggs)
+        # one generator expression turns the single aggregate row into a row
+        # per check (one call, however many checks)
+        args = ", ".join(f"{c.seq}, _v{i}, _a{i}" for i, (c, _v, _a) in enumerate(items))
+        stacked = one.selectExpr(f"stack({len(items)}, {args}) AS (idx, violations, actual)")
+        return stacked.select(
+            F.col("idx").cast("int").alias("idx"), (F.col("violations") == 0).alias("raw_passed"),
+            F.col("violations").cast("long").alias("violations"), F.col("actual").cast("string").alias("actual"),
+            F.lit("").alias("message"))
 
     def _raw_parts(self) -> list[DataFrame]:
         spark = self._spark_of()
@@ -272,19 +288,13 @@ class Suite:
         plans: list[DataFrame] = []
         for c in self.checks:
             if c.kind == C.FIXED:
-                fixed.append((c, c.fixed_passed, c.fixed_actual, c.message))
+                fixed.append((c.seq, bool(c.fixed_passed), 0 if c.fixed_passed else 1, c.fixed_actual, c.message))
                 continue
             try:
                 if c.kind == C.PLAN:
                     one = c.build(c.target)
-                    one.schema  # analyse now
-                    plans.append(one.select(
-                        *self._meta(c),
-                        (F.col("violations") == 0).alias("raw_passed"),
-                        F.col("violations").cast("long").alias("violations"),
-                        F.col("actual").cast("string").alias("actual"),
-                        F.lit("").alias("message"),
-                    ))
+                    plans.append(one.select(F.inline(F.array(self._outcome(
+                        F.lit(c.seq), F.col("violations") == 0, F.col("violations"), F.col("actual"), F.lit(""))))))
                     continue
                 pred = c.build(c.target)
                 if c.kind == C.ROWS:
@@ -293,45 +303,41 @@ class Suite:
                 else:
                     viol = F.when(F.coalesce(pred, F.lit(False)), F.lit(0)).otherwise(F.lit(1))
                     act = c.actual(c.target).cast("string") if c.actual else F.lit(None).cast("string")
-                c.target.agg(viol.alias("_v"), act.alias("_a")).schema  # analyse now
                 groups.setdefault(id(c.target), (c.target, []))[1].append((c, viol, act))
             except Exception as e:  # noqa: BLE001 - an error fails its own check only
-                fixed.append((c, False, None, _first_line(e)))
+                fixed.append((c.seq, False, 1, None, _first_line(e)))
         parts: list[DataFrame] = []
         for df, items in groups.values():
-            aggs = []
-            for i, (c, viol, act) in enumerate(items):
-                aggs += [viol.cast("long").alias(f"_v{i}"), act.alias(f"_a{i}")]
-            one = df.agg(*aggs)
-            rows = [
-                F.struct(*self._meta(c), (F.col(f"_v{i}") == 0).alias("raw_passed"), F.col(f"_v{i}").alias("violations"),
-                         F.col(f"_a{i}").alias("actual"), F.lit("").alias("message"))
-                for i, (c, _v, _a) in enumerate(items)
-            ]
-            parts.append(one.select(F.inline(F.array(*rows))))
+            try:
+                part = self._compile_group(df, items)  # analysed once for the whole table
+            except Exception:  # noqa: BLE001 - find the checks that do not analyse
+                good = []
+                for c, viol, act in items:
+                    try:
+                        df.agg(viol.alias("_v"), act.alias("_a")).schema
+                        good.append((c, viol, act))
+                    except Exception as e:  # noqa: BLE001
+                        fixed.append((c.seq, False, 1, None, _first_line(e)))
+                part = self._compile_group(df, good) if good else None
+            if part is not None:
+                parts.append(part)
         parts.extend(plans)
         if fixed:
-            base = spark.range(1)
-            rows = [
-                F.struct(*self._meta(c), F.lit(bool(ok)).alias("raw_passed"),
-                         F.lit(0 if ok else 1).cast("long").alias("violations"),
-                         F.lit(actual).cast("string").alias("actual"), F.lit(msg).alias("message"))
-                for c, ok, actual, msg in fixed
-            ]
-            parts.append(base.select(F.inline(F.array(*rows))))
+            parts.append(spark.createDataFrame(fixed, OUTCOME_SCHEMA))
         return parts
 
     def raw_results(self) -> DataFrame:
         """One row per check before dependencies: (meta..., raw_passed, violations, actual, message)."""
         self._ancestors()
         parts = self._raw_parts()
+        meta = self._meta_frame()
         if not parts:
-            spark = self._spark_of()
-            return spark.createDataFrame([], RAW_SCHEMA)
+            return meta.join(self._spark_of().createDataFrame([], OUTCOME_SCHEMA), "idx").drop("idx")
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out
+        # the metadata relation is bounded by the number of declared checks
+        return out.join(F.broadcast(meta), "idx").drop("idx")
 
     def results(self) -> DataFrame:
         """The results table (lazy; computed once per Suite object)."""
@@ -363,6 +369,29 @@ class Suite:
         return self._results
 
 
+META_SCHEMA = T.StructType(
+    [
+        T.StructField("idx", T.IntegerType()),
+        T.StructField("suite", T.StringType()),
+        T.StructField("test_id", T.StringType()),
+        T.StructField("seq", T.IntegerType()),
+        T.StructField("description", T.StringType()),
+        T.StructField("check_points", T.IntegerType()),
+        T.StructField("hint_template", T.StringType()),
+        T.StructField("ancestors", T.ArrayType(T.StringType())),
+    ]
+)
+
+OUTCOME_SCHEMA = T.StructType(
+    [
+        T.StructField("idx", T.IntegerType()),
+        T.StructField("raw_passed", T.BooleanType()),
+        T.StructField("violations", T.LongType()),
+        T.StructField("actual", T.StringType()),
+        T.StructField("message", T.StringType()),
+    ]
+)
+
 RAW_SCHEMA = T.StructType(
     [
         T.StructField("suite", T.StringType()),
