@@ -37,6 +37,8 @@ def test_graph_matches_brute_force(spark):
         df = spark.createDataFrame(rows, "suite string, test_id string, seq long, raw_passed boolean, depends_on array<string>")
         got = {r.test_id: r.skipped for r in skip_by_graph(df.drop("depends_on"), explode_dependencies(df)).collect()}
         assert got == brute(rows), trial
+        got2 = {r.test_id: r.skipped for r in skip_by_graph(df, depends_on="depends_on").collect()}
+        assert got2 == brute(rows), trial
 
 
 def test_chain_matches_brute_force(spark):

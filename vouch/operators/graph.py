@@ -21,7 +21,9 @@ Two operators:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vouch.session import ensure_checkpoint_dir
@@ -49,52 +51,78 @@ def skip_by_chain(raw: DataFrame, suite: str = "suite", seq: str = "seq", passed
     return joined.withColumn("skipped", F.coalesce(F.col(seq) > F.col("_first_fail"), F.lit(False))).drop("_first_fail")
 
 
-def backward_edges(raw: DataFrame, edges: DataFrame, test_id: str = "test_id", seq: str = "seq") -> DataFrame:
-    """Keep edges (test_id -> dep_id) whose dependency comes earlier in the
-    same suite; unknown dependencies are dropped by the inner joins."""
-    nodes = raw.select(F.col(test_id).alias("_id"), F.col(seq).alias("_seq"), F.col("suite").alias("_suite"))
-    e = edges.select(F.col("test_id").alias("t"), F.col("dep_id").alias("d"))
-    with_t = e.join(nodes.withColumnRenamed("_id", "t").withColumnRenamed("_seq", "t_seq").withColumnRenamed("_suite", "t_suite"), "t")
-    with_d = with_t.join(nodes.withColumnRenamed("_id", "d").withColumnRenamed("_seq", "d_seq").withColumnRenamed("_suite", "d_suite"), "d")
-    return with_d.where((F.col("d_seq") < F.col("t_seq")) & (F.col("d_suite") == F.col("t_suite"))).select("t", "d").distinct()
+def backward_edges(raw: DataFrame, edges: DataFrame | None = None, test_id: str = "test_id", seq: str = "seq",
+                   depends_on: str = "depends_on") -> DataFrame:
+    """Edges (t -> d) whose dependency d comes earlier in the same suite.
+
+    With ``depends_on`` (an array column of ``raw``) the dependent side's seq
+    and suite travel with the exploded edge, so only the dependency side
+    needs a join; an explicit ``edges`` table (test_id, dep_id) needs both.
+    Unknown dependencies drop out of the inner join.
+    """
+    nodes = raw.select(F.col(test_id).alias("d"), F.col(seq).alias("d_seq"), F.col("suite").alias("d_suite"))
+    if edges is None:
+        e = raw.select(F.col(test_id).alias("t"), F.col(seq).alias("t_seq"), F.col("suite").alias("t_suite"),
+                       F.explode(F.col(depends_on)).alias("d"))
+    else:
+        tn = raw.select(F.col(test_id).alias("t"), F.col(seq).alias("t_seq"), F.col("suite").alias("t_suite"))
+        e = edges.select(F.col("test_id").alias("t"), F.col("dep_id").alias("d")).join(tn, "t")
+    j = e.join(nodes, "d")
+    return j.where((F.col("d_seq") < F.col("t_seq")) & (F.col("d_suite") == F.col("t_suite"))).select("t", "d")
 
 
 def skip_by_graph(
     raw: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | None = None,
     test_id: str = "test_id",
     seq: str = "seq",
     passed: str = "raw_passed",
+    depends_on: str = "depends_on",
     max_rounds: int = 10_000,
 ) -> DataFrame:
-    """Adds boolean ``skipped`` for explicit dependency edges (test_id, dep_id).
-
-    Runs one Spark job per round; the result is checkpointed so the caller
-    gets a short lineage.  ``max_rounds`` only guards against a malformed
-    graph: backward edges strictly decrease ``seq``, so the loop always ends.
+    """Adds boolean ``skipped`` for explicit dependencies, given either as an
+    array column ``depends_on`` of ``raw`` or as an edges table (test_id, dep_id).
+
+    Semi-naive frontier expansion, one Spark job per round: the edges are
+    hash-partitioned on the dependency once and checkpointed, so each round
+    only shuffles the (small) frontier; every round's new nodes are
+    checkpointed into the shared checkpoint folder, which bounds the lineage.
+    A node already skipped is never expanded again, nor is a raw failure
+    (it was expanded in the first round).  Backward edges strictly decrease
+    ``seq``, so the loop ends; ``max_rounds`` only guards a malformed input.
     """
     spark = raw.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    back = backward_edges(raw, edges, test_id, seq).repartition(n, "d").checkpoint()
+    back = backward_edges(raw, edges, test_id, seq, depends_on).repartition(n, "d").checkpoint()
     failed = raw.where(~F.coalesce(F.col(passed), F.lit(False))).select(F.col(test_id).alias("node")).checkpoint()
     frontier = failed
-    skipped = None
+    rounds: list[DataFrame] = []
     for _ in range(max_rounds):
         reached = back.join(frontier, back["d"] == frontier["node"], "left_semi").select(F.col("t").alias("node")).distinct()
-        if skipped is not None:
-            reached = reached.join(skipped, "node", "left_anti")
-        reached = reached.checkpoint()
-        if reached.isEmpty():
+        if rounds:
+            seen = rounds[0]
+            for r in rounds[1:]:
+                seen = seen.unionByName(r)
+            reached = reached.join(seen, "node", "left_anti")
+        # the row count rides on the job that materialises the round
+        seen_rows = Observation(f"skip_round_{uuid.uuid4().hex}")
+        reached = reached.observe(seen_rows, F.count(F.lit(1)).alias("n")).checkpoint()
+        if seen_rows.get.get("n", 0) == 0:
             break
-        skipped = reached if skipped is None else skipped.unionByName(reached).checkpoint()
-        frontier = reached
+        rounds.append(reached)
+        frontier = reached.join(failed, "node", "left_anti")
     else:
         raise RuntimeError("dependency propagation did not converge")
-    if skipped is None:
-        return raw.withColumn("skipped", F.lit(False))
-    marks = skipped.select(F.col("node").alias(test_id), F.lit(True).alias("skipped"))
-    return raw.join(marks, test_id, "left").withColumn("skipped", F.coalesce(F.col("skipped"), F.lit(False)))
+    keep = [c for c in raw.columns if c != depends_on] if edges is None else raw.columns
+    base = raw.select(*keep)
+    if not rounds:
+        return base.withColumn("skipped", F.lit(False))
+    marks = rounds[0]
+    for r in rounds[1:]:
+        marks = marks.unionByName(r)
+    marks = marks.select(F.col("node").alias(test_id), F.lit(True).alias("skipped"))
+    return base.join(marks, test_id, "left").withColumn("skipped", F.coalesce(F.col("skipped"), F.lit(False)))
 
 
 def explode_dependencies(checks: DataFrame, test_id: str = "test_id", depends_on: str = "depends_on") -> DataFrame:

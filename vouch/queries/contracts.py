@@ -671,10 +671,7 @@ def suite_skip_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).cast("int").alias("check_points"),
         F.array(oid(F.floor(F.col("o_orderkey") / 2)), oid(F.floor(F.col("o_orderkey") / 3))).alias("depends_on"),
     )
-    from vouch.operators.graph import explode_dependencies
-
-    edges = explode_dependencies(raw)
-    j = skip_by_graph(raw.drop("depends_on"), edges)
+    j = skip_by_graph(raw, depends_on="depends_on")
     return j.select("suite", "test_id", "seq", *status_columns(F.col("raw_passed"), F.col("skipped"), F.col("check_points"))).select(*SUITE_COLUMNS)
 
 
