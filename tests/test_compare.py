@@ -68,3 +68,15 @@ def test_schema_difference_nested_nullability(spark):
     fb = CMP.field_table(spark, {"b": s2})
     assert sides(CMP.schema_difference(fa, fb, ordered=True))["changed"] == 1
     assert sides(CMP.schema_difference(fa, fa, ordered=False)) == {"actual_only": 0, "expected_only": 0}
+
+
+def test_ordered_with_many_copies_is_spread(spark):
+    """A third of the rows are copies of one row: positions stay exact and the
+    copies land in more than one range partition."""
+    base = spark.range(0, 3000).select((F.col("id") % 1000).alias("k"), F.lit("x").alias("s"))
+    hot = spark.range(0, 1500).select(F.lit(7).cast("long").alias("k"), F.lit("hot").alias("s"))
+    df = base.unionByName(hot).repartition(5)
+    pos = CMP.with_positions(df, ["k"], partitions=6)
+    assert sorted(r._pos for r in pos.select("_pos").collect()) == list(range(4500))
+    assert pos.where(F.col("s") == "hot").count() == 1500
+    assert sides(CMP.ordered_difference(df, df.repartition(3), ["k"])) == {"actual_only": 0, "expected_only": 0, "changed": 0}

@@ -89,11 +89,18 @@ def with_positions(df: DataFrame, order_by: list[str], partitions: int | None =
     low 33 bits are the index inside the partition), count rows per
     partition and add the running offset.  The offsets table has one row per
     partition, so broadcasting it is bounded by the partition count.
+    Rows repeated many times are spread by a salt, so no task holds a hot
+    group of copies.
     """
     names = order_by + [n for n in sorted(df.columns) if n not in order_by]
     keys = [F.col(f"`{n}`") for n in names if not isinstance(df.schema[n].dataType, T.MapType)]
+    # Identical rows cannot be split by range bounds; a per-occurrence salt as
+    # the last key spreads many copies of one row over several partitions
+    # (their relative order is irrelevant: the copies are identical).
+    salted = df.withColumn("_salt", F.monotonically_increasing_id())
+    keys = keys + [F.col("_salt")]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = salted.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).select(
         "*",
         F.shiftright(F.col("_mid"), _POS_BITS).alias("_pid"),

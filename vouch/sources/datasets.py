@@ -144,12 +144,15 @@ def readme_line_counts(spark: SparkSession, datasets: DataFrame, root: str, defa
 
 
 def text_line_counts(wanted: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """Left join of wanted keys with texts: (key, n_lines, found)."""
-    t = texts.select(F.col(key), "text", F.lit(True).alias("_hit"))
+    """Left join of wanted keys with texts: (key, n_lines, found).
+
+    Lines are counted where the texts are read, so the join moves
+    (key, count) pairs, never whole texts."""
+    t = texts.select(F.col(key), line_count(F.col("text")).alias("_lines"), F.lit(True).alias("_hit"))
     j = wanted.join(t, key, "left")
     return j.select(
         *wanted.columns,
-        F.when(F.col("_hit"), line_count(F.col("text"))).alias("n_lines"),
+        F.when(F.col("_hit"), F.col("_lines")).alias("n_lines"),
         F.coalesce(F.col("_hit"), F.lit(False)).alias("found"),
     )
 
