@@ -57,7 +57,7 @@ def per_user_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = ev.where(F.col("value") > 300)
     out = None
     for mode, drop in (("skip", False), ("replace", True)):
-        table = FO.UserTable(spark, work_path(spark, "users", mode), "user_id", buckets=16)
+        table = FO.UserTable(spark, work_path(spark, "users", mode), "user_id", buckets=64)
         table.create(first, drop_existing=False)
         report = table.create(ev, drop_existing=drop)
         counts = table.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -79,7 +79,7 @@ def per_user_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per user, then a drop request for the users of one market
     segment's customers: (user_id, action, rows left)."""
     t = Tables(spark, sf_dir)
-    table = FO.UserTable(spark, work_path(spark, "users", "drop"), "user_id", buckets=16)
+    table = FO.UserTable(spark, work_path(spark, "users", "drop"), "user_id", buckets=64)
     table.create(t.events, drop_existing=False)
     requested = t.customer.where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("user_id"))
     report = table.drop(requested)

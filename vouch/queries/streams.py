@@ -12,6 +12,17 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 STREAM_TIMEOUT = 900.0
+BATCHES = 4  # micro-batches per stream run
+
+
+def landing_files(spark: SparkSession) -> int:
+    """Files in the landing folder: the cluster's shuffle parallelism, so the
+    staging write is spread like any other job (never a few huge tasks)."""
+    return max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def per_trigger(files: int, batches: int) -> int:
+    return max(1, -(-files // max(1, batches)))
 
 
 def query(name: str, sql: str | None = None):
@@ -26,14 +37,17 @@ def query(name: str, sql: str | None = None):
 
 @query("stream_progress", "SELECT count(*) AS total_rows, count(DISTINCT event_id) AS distinct_keys FROM events")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events landed as 4 files, streamed one file per trigger; wait (by
-    query name) until 2 batches are recorded, then until the end."""
+    """Events landed as files in time order, streamed in about four
+    micro-batches; wait (by query name) until 2 batches are recorded, then
+    until the end."""
     base = work_path(spark, "stream_progress")
     events = Tables(spark, sf_dir).events
-    src = P.stage_files(events, f"{base}/landing", 4, "ts")
+    files = landing_files(spark)
+    src = P.stage_files(events, f"{base}/landing", files, "ts")
     schema = spark.read.parquet(src).schema
     name = "events_progress_" + base.rsplit("/", 1)[-1][:8]
-    q = P.start_file_stream(spark, src, schema, f"{base}/sink", f"{base}/progress", f"{base}/checkpoint", name=name)
+    q = P.start_file_stream(spark, src, schema, f"{base}/sink", f"{base}/progress", f"{base}/checkpoint", name=name,
+                            max_files_per_trigger=per_trigger(files, BATCHES))
     try:
         P.wait_until_ready(spark, name, f"{base}/progress", min_batches=2, timeout=STREAM_TIMEOUT)
         q.awaitTermination(STREAM_TIMEOUT)
@@ -52,15 +66,17 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = Tables(spark, sf_dir).events
     cut = events.agg(F.percentile_approx("ts", 0.5)).scalar()
     landing = f"{base}/landing"
-    P.stage_files(events.where(F.col("ts") <= cut), f"{landing}/part=1", 2, "ts")
+    files = landing_files(spark)
+    P.stage_files(events.where(F.col("ts") <= cut), f"{landing}/part=1", files, "ts")
     schema = spark.read.parquet(f"{landing}/part=1").schema
     args = (f"{base}/sink", f"{base}/progress", f"{base}/checkpoint")
     source = f"{landing}/*"
-    q = P.start_file_stream(spark, source, schema, *args)
+    per = per_trigger(files, BATCHES // 2)
+    q = P.start_file_stream(spark, source, schema, *args, max_files_per_trigger=per)
     q.awaitTermination(STREAM_TIMEOUT)
     P.stop_queries([q])
-    P.stage_files(events.where(~(F.col("ts") <= cut)), f"{landing}/part=2", 2, "ts")
-    q = P.start_file_stream(spark, source, schema, *args)
+    P.stage_files(events.where(~(F.col("ts") <= cut)), f"{landing}/part=2", files, "ts")
+    q = P.start_file_stream(spark, source, schema, *args, max_files_per_trigger=per)
     q.awaitTermination(STREAM_TIMEOUT)
     P.stop_queries([q])
     return P.sink_totals(spark, f"{base}/sink", "event_id")
