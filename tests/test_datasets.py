@@ -72,3 +72,16 @@ def test_readme_line_counts(spark):
     names = spark.createDataFrame([("ds1",), ("ds2",), ("ds3",)], "name string")
     got = {r.name: (r.n_lines, r.found) for r in D.readme_line_counts(spark, names, root, mapping={"ds2": "NOTES.txt"}).collect()}
     assert got == {"ds1": (len("line1\nline2\n".split("\n")) + 1, True), "ds2": (2, True), "ds3": (None, False)}
+
+
+def test_tree_listing_includes_hidden(spark):
+    from vouch.sources.files import list_tree
+
+    root = tempfile.mkdtemp(prefix="vouch-tree-")
+    os.makedirs(f"{root}/ds/_delta_log")
+    for rel in ["ds/a.parquet", "ds/_delta_log/0.json", "ds/.crc"]:
+        with open(f"{root}/{rel}", "w") as f:
+            f.write("xy")
+    roots = spark.createDataFrame([(f"{root}/ds",), (f"{root}/missing",)], "root string")
+    got = {(r.path, r.is_dir, r.length) for r in list_tree(roots).collect()}
+    assert got == {("a.parquet", False, 2), ("_delta_log/", True, None), ("_delta_log/0.json", False, 2), (".crc", False, 2)}

@@ -124,3 +124,23 @@ def test_one_scan_per_table(spark):
     plan = _final_plan(s.results())
     assert plan.count("FileScan parquet") == 1, plan
     assert s.results().count() == 21
+
+
+def test_materialised_results_do_not_rerun(spark):
+    df = spark.range(100)
+    s = Suite("m", spark)
+    s.expect(df, F.col("id") < 50, "half", test_id="half")
+    s.expect(df, F.col("id") >= 0, "all", test_id="all", depends_on="-n/a-")
+    kept = s.materialise()
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    assert "Range" not in plan  # read back from the checkpoint, not recomputed
+    assert {r.test_id: r.status for r in kept.collect()} == {"m-half": "failed", "m-all": "passed"}
+    assert scoring.suite_score(kept).first().score == 1
+
+
+def test_settings_readable_from_sql(spark):
+    from vouch.operators.namespaces import publish_settings, with_params
+
+    params = publish_settings(spark, "vouch", {"schema_name": "ws_x", "catalog_name": None})
+    assert spark.sql("SELECT '${vouch.schema_name}' AS s, '${vouch.catalog_name}' AS c").first() == ("ws_x", "")
+    assert with_params(spark, "SELECT :v AS v", {"v": params["schema_name"]}).first().v == "ws_x"

@@ -74,3 +74,41 @@ def write_manifest(listing: DataFrame, target: str) -> DataFrame:
     """Persist a listing as a parquet table (sorted by path) and read it back."""
     listing.orderBy("path").write.mode("overwrite").parquet(target)
     return listing.sparkSession.read.parquet(target)
+
+
+TREE_SCHEMA = "root string, path string, is_dir boolean, length long"
+
+
+def _walk_roots(batches):
+    """mapInPandas body: list every root folder of the batch recursively,
+    hidden entries included (``_x`` and ``.x``), with ``pyarrow.fs`` (local
+    disks, object stores and HDFS alike)."""
+    import pandas as pd
+    from pyarrow import fs as pafs
+
+    for pdf in batches:
+        out = []
+        for root in pdf["root"]:
+            try:
+                filesystem, base = pafs.FileSystem.from_uri(root)
+            except Exception:  # noqa: BLE001 - plain local paths
+                filesystem, base = pafs.LocalFileSystem(), root
+            base = base.rstrip("/")
+            try:
+                infos = filesystem.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
+            except Exception:  # noqa: BLE001 - a missing or unreadable root lists as empty
+                infos = []
+            for info in infos:
+                rel = info.path[len(base) + 1:]
+                is_dir = info.type == pafs.FileType.Directory
+                out.append((root, rel + "/" if is_dir else rel, is_dir, None if is_dir else int(info.size)))
+        yield pd.DataFrame(out, columns=["root", "path", "is_dir", "length"])
+
+
+def list_tree(roots: DataFrame, column: str = "root") -> DataFrame:
+    """Recursive listing of many root folders in parallel, hidden entries
+    included: (root, relative path, is_dir, length).  Each task walks the
+    roots of its partition; give one root per dataset so the walk spreads."""
+    r = roots.select(F.col(column).alias("root")).distinct()
+    n = max(1, int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return r.repartition(n, "root").mapInPandas(_walk_roots, TREE_SCHEMA)
