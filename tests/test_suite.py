@@ -144,3 +144,13 @@ def test_settings_readable_from_sql(spark):
     params = publish_settings(spark, "vouch", {"schema_name": "ws_x", "catalog_name": None})
     assert spark.sql("SELECT '${vouch.schema_name}' AS s, '${vouch.catalog_name}' AS c").first() == ("ws_x", "")
     assert with_params(spark, "SELECT :v AS v", {"v": params["schema_name"]}).first().v == "ws_x"
+
+
+def test_non_boolean_predicate_fails_its_check(spark):
+    df = spark.range(5)
+    s = Suite("nb", spark)
+    s.expect(df, F.col("id") + 1, "not boolean", test_id="bad", depends_on="-n/a-")
+    s.expect(df, F.col("id") >= 0, "fine", test_id="ok", depends_on="-n/a-")
+    rows = {r.test_id: (r.status, r.message) for r in s.results().collect()}
+    assert rows["nb-bad"][0] == "failed" and rows["nb-bad"][1]
+    assert rows["nb-ok"] == ("passed", "")
