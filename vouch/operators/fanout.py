@@ -90,9 +90,19 @@ class UserTable:
     def _tag(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn(BUCKET, user_bucket(F.col(self.user), self.buckets))
 
+    def _spread(self, tagged: DataFrame) -> DataFrame:
+        """Shuffle rows so each bucket is written by a few tasks (about
+        ``shuffle.partitions`` files in all, not tasks x buckets); a row hash
+        salt splits every bucket - and so any hot user - over
+        ``partitions / buckets`` tasks."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(1, n // self.buckets)
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in tagged.columns]), F.lit(salts))
+        return tagged.repartition(n, F.col(BUCKET), salt)
+
     def _append(self, rows: DataFrame) -> None:
         self._save_schema(rows)
-        self._tag(rows).write.mode("append").partitionBy(BUCKET).parquet(self.path)
+        self._spread(self._tag(rows)).write.mode("append").partitionBy(BUCKET).parquet(self.path)
 
     def _rewrite_buckets(self, content: DataFrame, touched: DataFrame) -> None:
         """Replace the touched buckets with ``content`` (already tagged).
@@ -106,7 +116,8 @@ class UserTable:
         # bucket ids only: at most `buckets` values each
         written = {r[0] for r in content.select(BUCKET).distinct().collect()}
         emptied = {r[0] for r in touched.collect()} - written
-        content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        self._spread(content).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy(BUCKET).parquet(self.path)
         if emptied:
             jvm = self.spark.sparkContext._jvm
             conf = self.spark.sparkContext._jsc.hadoopConfiguration()
