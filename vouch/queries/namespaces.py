@@ -124,7 +124,9 @@ def users_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     (the schemas of users that have line items)."""
     t = Tables(spark, sf_dir)
     users = order_users(t.orders, "o_orderkey")
-    existing = order_users(t.lineitem, "l_orderkey").select(N.schema_name(F.col("username"), CFG).alias("schema_name"))
+    # de-duplicate the keys before deriving names (md5 and regex once per user, not per line item)
+    existing = order_users(t.lineitem.select("l_orderkey").distinct(), "l_orderkey").select(
+        N.schema_name(F.col("username"), CFG).alias("schema_name"))
     return NS.select_users(users, existing, CFG, NS.MISSING_USERS)
 
 

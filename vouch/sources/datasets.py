@@ -1,8 +1,8 @@
 """Dataset readiness: manifest diff, verdict, install, repair, staged source.
 
-All set logic is joins: the manifest diff is two hash anti joins (AQE
-broadcasts a side only once its measured size is small), a verdict is an
-aggregate of the diff, a repair copies only the rows the diff calls missing.
+The manifest diff is one grouped union (both directions in one shuffle), a
+verdict is an aggregate of the diff, a repair copies only the rows the
+source has and the copy lacks.
 Writes go to fresh folders through Spark's commit protocol, so a lost
 executor only re-runs its tasks.
 """
@@ -23,12 +23,18 @@ EXTRA, MISSING, CHANGED = "extra", "missing", "changed"
 def manifest_diff(local: DataFrame, remote: DataFrame, path: str = "path") -> DataFrame:
     """(diff, kind, path): every local path not in the remote manifest is
     ``extra``, every remote path not present locally is ``missing``.
-    ``kind`` is ``path`` for directories (trailing ``/``), else ``file``."""
-    lp = local.select(F.col(path).alias("path")).distinct()
-    rp = remote.select(F.col(path).alias("path")).distinct()
-    extra = lp.join(rp, "path", "left_anti").select(F.lit(EXTRA).alias("diff"), path_kind("path").alias("kind"), "path")
-    missing = rp.join(lp, "path", "left_anti").select(F.lit(MISSING).alias("diff"), path_kind("path").alias("kind"), "path")
-    return extra.unionByName(missing)
+    ``kind`` is ``path`` for directories (trailing ``/``), else ``file``.
+
+    Both manifests are tagged, unioned and grouped by path: ONE shuffle,
+    with repeated paths collapsed map-side, instead of two distincts and two
+    anti joins."""
+    tagged = local.select(F.col(path).alias("path"), F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        remote.select(F.col(path).alias("path"), F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    sides = tagged.groupBy("path").agg(F.max("_l").alias("_in_l"), F.max("_r").alias("_in_r"))
+    one_sided = sides.where(F.col("_in_l") != F.col("_in_r"))
+    return one_sided.select(
+        F.when(F.col("_in_l") == 1, F.lit(EXTRA)).otherwise(F.lit(MISSING)).alias("diff"),
+        path_kind("path").alias("kind"), "path")
 
 
 def length_changes(local: DataFrame, remote: DataFrame) -> DataFrame:
