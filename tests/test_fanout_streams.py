@@ -58,7 +58,16 @@ def test_stream_wait_by_name(spark):
     base = work_path(spark, "t-stream2")
     events = spark.read.parquet(f"{SMALL_SF}/events.parquet")
     src = P.stage_files(events, f"{base}/landing", 3, "ts")
-    q = P.start_file_stream(spark, src, events.schema, f"{base}/sink", f"{base}/progress", f"{base}/ckpt", name="t_stream_wait")
+    from vouch import Suite
+
+    def per_batch(batch):
+        s = Suite("batch", spark)
+        s.expect(batch, F.col("value") >= 0, "non-negative values", test_id="value")
+        s.expect_not_null(batch, "event_id", "ids present", test_id="ids")
+        return s
+
+    q = P.start_file_stream(spark, src, events.schema, f"{base}/sink", f"{base}/progress", f"{base}/ckpt",
+                            name="t_stream_wait", checks=per_batch)
     try:
         seen = P.wait_until_ready(spark, "t_stream_wait", f"{base}/progress", min_batches=2, timeout=300)
         q.awaitTermination(300)
@@ -66,3 +75,6 @@ def test_stream_wait_by_name(spark):
         P.stop_queries([q])
     assert seen >= 2
     assert P.sink_totals(spark, f"{base}/sink", "event_id").first().total_rows == events.count()
+    checks = spark.read.parquet(f"{base}/progress_checks")
+    assert checks.select("batch_id").distinct().count() == 3
+    assert {r.status for r in checks.collect()} == {"passed"}

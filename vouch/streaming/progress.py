@@ -14,13 +14,16 @@ rows, or the query has ended.  Waiting is bounded by a timeout.
 from __future__ import annotations
 
 import time
-from typing import Callable
+from typing import TYPE_CHECKING, Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+if TYPE_CHECKING:
+    from vouch.plans.suite import Suite
+
 from vouch.session import path_exists
 
 PROGRESS_SCHEMA = "batch_id bigint, rows bigint"
@@ -33,11 +36,19 @@ def stage_files(df: DataFrame, path: str, files: int, order_by: str) -> str:
     return path
 
 
-def batch_writer(sink: str, progress: str, transform: Callable[[DataFrame], DataFrame] | None = None):
-    """``foreachBatch`` function: idempotent per ``batch_id``."""
+def batch_writer(sink: str, progress: str, transform: Callable[[DataFrame], DataFrame] | None = None,
+                 checks: Callable[[DataFrame], "Suite"] | None = None, checks_path: str | None = None):
+    """``foreachBatch`` function: idempotent per ``batch_id``.
+
+    With ``checks`` (a function building a Suite over the batch), the suite's
+    results are written for every batch too, under ``checks_path`` keyed by
+    ``batch_id`` - checks per micro-batch, replay-safe like the data.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = transform(batch) if transform else batch
+        if checks is not None:
+            out = out.persist()  # read once for the sink and the checks
         obs = Observation(f"batch_{batch_id}")
         observed = out.observe(obs, F.count(F.lit(1)).alias("rows"))
         observed.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
@@ -45,6 +56,10 @@ def batch_writer(sink: str, progress: str, transform: Callable[[DataFrame], Data
         spark = batch.sparkSession
         spark.createDataFrame([(int(batch_id), rows)], PROGRESS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
             f"{progress.rstrip('/')}/batch={batch_id}")
+        if checks is not None:
+            target = checks_path or f"{progress.rstrip('/')}_checks"
+            checks(out).results().write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id={batch_id}")
+            out.unpersist()
 
     return write
 
@@ -61,11 +76,12 @@ def start_file_stream(
     max_files_per_trigger: int = 1,
     available_now: bool = True,
     transform: Callable[[DataFrame], DataFrame] | None = None,
+    checks: Callable[[DataFrame], "Suite"] | None = None,
 ) -> StreamingQuery:
-    """Parquet folder -> foreachBatch sink with a progress table.  One
-    checkpoint folder per query."""
+    """Parquet folder -> foreachBatch sink with a progress table (and, with
+    ``checks``, per-batch suite results).  One checkpoint folder per query."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    writer = reader.parquet(source).writeStream.foreachBatch(batch_writer(sink, progress, transform))
+    writer = reader.parquet(source).writeStream.foreachBatch(batch_writer(sink, progress, transform, checks))
     writer = writer.option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
