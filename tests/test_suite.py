@@ -154,3 +154,20 @@ def test_non_boolean_predicate_fails_its_check(spark):
     rows = {r.test_id: (r.status, r.message) for r in s.results().collect()}
     assert rows["nb-bad"][0] == "failed" and rows["nb-bad"][1]
     assert rows["nb-ok"] == ("passed", "")
+
+
+def test_adding_a_passing_check_never_lowers_the_score(spark):
+    import random
+
+    rng = random.Random(3)
+    df = spark.range(20)
+    for trial in range(3):
+        s = Suite(f"p{trial}", spark)
+        for i in range(6):
+            bound = rng.choice([-1, 5, 30])  # id > -1 passes, id > 5 fails, id > 30 fails
+            deps = rng.choice([None, "-n/a-"])
+            s.expect(df, F.col("id") > bound, f"c{i}", test_id=f"c{i}", points=rng.randint(0, 3), depends_on=deps)
+        before = scoring.suite_score(s.results()).first().score
+        s.expect(df, F.col("id") >= 0, "always", test_id="extra", points=2, depends_on=rng.choice([None, "-n/a-"]))
+        after = scoring.suite_score(s.results()).first().score
+        assert after >= before
