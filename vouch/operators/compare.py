@@ -99,8 +99,10 @@ def with_positions(df: DataFrame, order_by: list[str], partitions: int | None =
     # (their relative order is irrelevant: the copies are identical).
     salted = df.withColumn("_salt", F.monotonically_increasing_id())
     keys = keys + [F.col("_salt")]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = salted.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count, AQE may coalesce small range partitions; it
+    # merges only contiguous reducer ranges, so the global order is kept.
+    ranged = (salted.repartitionByRange(partitions, *keys) if partitions else salted.repartitionByRange(*keys))
+    ranged = ranged.sortWithinPartitions(*keys)
     tagged = ranged.withColumn("_mid", F.monotonically_increasing_id()).select(
         "*",
         F.shiftright(F.col("_mid"), _POS_BITS).alias("_pid"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vouch.session import work_path
-from vouch.sources.tables import Tables
+from vouch.sources.tables import Tables, path_bytes, table_path
 from vouch.streaming import progress as P
 
 QUERIES: dict = {}
@@ -15,10 +15,14 @@ STREAM_TIMEOUT = 900.0
 BATCHES = 4  # micro-batches per stream run
 
 
-def landing_files(spark: SparkSession) -> int:
-    """Files in the landing folder: the cluster's shuffle parallelism, so the
-    staging write is spread like any other job (never a few huge tasks)."""
-    return max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+FILE_BYTES = 128 << 20  # target size of one landing file
+
+
+def landing_files(spark: SparkSession, source_bytes: int) -> int:
+    """Files in the landing folder: about 128 MB each (at least one per
+    micro-batch), so staging is spread over many tasks on big inputs and
+    does not produce hundreds of tiny files on small ones."""
+    return max(BATCHES, -(-source_bytes // FILE_BYTES))
 
 
 def per_trigger(files: int, batches: int) -> int:
@@ -42,7 +46,7 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     until the end."""
     base = work_path(spark, "stream_progress")
     events = Tables(spark, sf_dir).events
-    files = landing_files(spark)
+    files = landing_files(spark, path_bytes(spark, table_path(sf_dir, "events")))
     src = P.stage_files(events, f"{base}/landing", files, "ts")
     schema = spark.read.parquet(src).schema
     name = "events_progress_" + base.rsplit("/", 1)[-1][:8]
@@ -66,7 +70,7 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = Tables(spark, sf_dir).events
     cut = events.agg(F.percentile_approx("ts", 0.5)).scalar()
     landing = f"{base}/landing"
-    files = landing_files(spark)
+    files = landing_files(spark, path_bytes(spark, table_path(sf_dir, "events")) // 2)
     P.stage_files(events.where(F.col("ts") <= cut), f"{landing}/part=1", files, "ts")
     schema = spark.read.parquet(f"{landing}/part=1").schema
     args = (f"{base}/sink", f"{base}/progress", f"{base}/checkpoint")

@@ -30,3 +30,11 @@ class Tables:
         if name in TABLES:
             return load(self.spark, self.sf_dir, name)
         raise AttributeError(name)
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under a path (one metadata call)."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(jpath).getLength())
