@@ -171,3 +171,17 @@ def test_adding_a_passing_check_never_lowers_the_score(spark):
         s.expect(df, F.col("id") >= 0, "always", test_id="extra", points=2, depends_on=rng.choice([None, "-n/a-"]))
         after = scoring.suite_score(s.results()).first().score
         assert after >= before
+
+
+def test_membership_small_large_and_table_agree(spark):
+    df = spark.createDataFrame([(i if i % 7 else None,) for i in range(3000)], "v long")
+    values = list(range(0, 2000)) + [None, "2500", 2999.0]
+    allowed = spark.createDataFrame([(v,) for v in range(0, 2000)] + [(None,), (2999,)], "a long")
+    s = Suite("mem", spark)
+    s.expect_in(df, "v", values, "large list", test_id="large", depends_on="-n/a-")
+    s.expect_in(df, "v", values[:5] + [None], "small list", test_id="small", depends_on="-n/a-")
+    s.expect_in(df, "v", allowed, "table", allowed_column="a", test_id="table", depends_on="-n/a-")
+    got = {r.test_id: r.violations for r in s.raw_results().collect()}
+    in_large = sum(1 for i in range(3000) if not (i % 7 == 0 or i < 2000 or i == 2999))
+    in_small = sum(1 for i in range(3000) if not (i % 7 == 0 or i < 5))
+    assert got == {"mem-large": in_large, "mem-small": in_small, "mem-table": in_large}

@@ -113,25 +113,36 @@ def parse_count(raw: Column, floor: Column | int = 0) -> Column:
     return F.greatest(parsed, fl.cast("long"))
 
 
-def in_values(c: Column, dt: T.DataType, values: list[Any]) -> Column:
-    """Python ``x in values``: membership with Python equality, NULL allowed
-    when the list holds None.  Values of another kind never match."""
+def comparable_values(c: Column, dt: T.DataType, values: list[Any]) -> tuple[Column, T.DataType, list[Any], bool]:
+    """Python ``x in values`` rules for a column of type ``dt``: the column
+    as compared, the key type, the values that can equal it (other kinds
+    never match: ``'1' != 1``), and whether None is in the list."""
     has_none = any(v is None for v in values)
+    key_type: T.DataType = dt
     if is_string(dt):
         keep = [v for v in values if isinstance(v, str)]
+        key_type = T.StringType()
     elif is_numeric(dt):
         keep = [v for v in values if isinstance(v, (int, float)) and v == v]
-        if not isinstance(dt, _INTEGRAL):
-            keep = [float(v) for v in keep]
-        elif any(isinstance(v, float) for v in keep):
-            c = c.cast("double")
-            keep = [float(v) for v in keep]
         if isinstance(dt, T.BooleanType):
-            c = c.cast("long")
+            c, key_type = c.cast("long"), T.LongType()
+            keep = [int(v) for v in keep if float(v).is_integer()]
+        elif not isinstance(dt, _INTEGRAL) or any(isinstance(v, float) and not isinstance(v, bool) for v in keep):
+            c, key_type = c.cast("double"), T.DoubleType()
+            keep = [float(v) for v in keep]
+        else:
+            c, key_type = c.cast("long"), T.LongType()
             keep = [int(v) for v in keep]
     else:
         keep = [v for v in values if v is not None]
-    member = c.isin(keep) if keep else F.lit(False)
+    return c, key_type, keep, has_none
+
+
+def in_values(c: Column, dt: T.DataType, values: list[Any]) -> Column:
+    """Python ``x in values``: membership with Python equality, NULL allowed
+    when the list holds None.  Values of another kind never match."""
+    cc, _key_type, keep, has_none = comparable_values(c, dt, values)
+    member = cc.isin(keep) if keep else F.lit(False)
     out = F.coalesce(member, F.lit(False))
     if has_none:
         out = out | c.isNull()

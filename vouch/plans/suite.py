@@ -144,14 +144,18 @@ class Suite:
     # E9 -------------------------------------------------------------
     def expect_in(self, df: DataFrame, value: Column | str, allowed: list | DataFrame, description: str, *,
                   allowed_column: str | None = None, **kw) -> "Suite":
-        """Membership.  A Python list becomes ``isin``; a table of allowed
-        values becomes an anti join (no size limit on the set)."""
+        """Membership.  A short Python list becomes ``isin``; a long one a
+        broadcast anti join; a table of allowed values an anti join (no size
+        limit on the set)."""
         if isinstance(allowed, DataFrame):
             if not isinstance(value, str):
                 raise TypeError("membership in a table needs a column name")
             col = allowed_column or allowed.columns[0]
             return self._reg(C.Check(description, C.PLAN, df, C.anti_join_count(df, value, allowed, col)), kw)
-        return self._reg(C.Check(description, C.ROWS, df, C.member_of(value, list(allowed), False)), kw)
+        values = list(allowed)
+        if len(values) > C.LARGE_LIST and isinstance(value, str):
+            return self._reg(C.Check(description, C.PLAN, df, C.member_of_large(df, value, values)), kw)
+        return self._reg(C.Check(description, C.ROWS, df, C.member_of(value, values, False)), kw)
 
     # E10 ------------------------------------------------------------
     def expect_rows_equal(self, actual: DataFrame, expected: DataFrame, key: list[str], description: str, **kw) -> "Suite":
