@@ -78,3 +78,20 @@ def test_stream_wait_by_name(spark):
     checks = spark.read.parquet(f"{base}/progress_checks")
     assert checks.select("batch_id").distinct().count() == 3
     assert {r.status for r in checks.collect()} == {"passed"}
+
+
+def test_combine_per_user_matches_single_pass(spark):
+    rows = [(1, float(i)) for i in range(3000)] + [(2, 5.0), (2, 7.0), (3, -1.0)]
+    df = spark.createDataFrame(rows, "u long, v double").repartition(4)
+
+    def partial(pdf):
+        g = pdf.groupby("u", as_index=False).agg(n=("v", "size"), s=("v", "sum"), hi=("v", "max"))
+        return g
+
+    def merge(pdf):
+        return pdf.groupby("u", as_index=False).agg(n=("n", "sum"), s=("s", "sum"), hi=("hi", "max"))
+
+    got = {r.u: (r.n, r.s, r.hi) for r in FO.combine_per_user(
+        df, "u", partial, "u long, n long, s double, hi double", merge, "u long, n long, s double, hi double",
+        salts=8).collect()}
+    assert got == {1: (3000, float(sum(range(3000))), 2999.0), 2: (2, 12.0, 7.0), 3: (1, -1.0, -1.0)}

@@ -36,10 +36,38 @@ def for_each_user(df: DataFrame, user: str, aggs: list[Column]) -> DataFrame:
 
 
 def apply_per_user(df: DataFrame, user: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Arbitrary pandas logic per user (Arrow batches, one group per call)."""
+    """Arbitrary pandas logic per user (Arrow batches, one group per call).
+    Each user's rows go to one call: only for groups of bounded size."""
     return df.groupBy(user).applyInPandas(fn, schema=schema)
 
 
+def combine_per_user(
+    df: DataFrame,
+    user: str,
+    partial: Callable[[pd.DataFrame], pd.DataFrame],
+    partial_schema: str,
+    merge: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    salts: int = 64,
+) -> DataFrame:
+    """Pandas logic per user that never holds a whole user in one task.
+
+    Rows are split by a row-hash salt into ``salts`` slices per user;
+    ``partial`` reduces each (user, slice) group to a few rows, and
+    ``merge`` combines the at most ``salts`` partial rows of a user.  A
+    user with a third of all rows is spread over ``salts`` tasks.
+    ``partial`` and ``merge`` must keep the user column.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).alias("_slice")
+    sliced = df.select("*", salt)
+
+    def run_partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        return partial(pdf.drop(columns=["_slice"]))
+
+    parts = sliced.groupBy(user, "_slice").applyInPandas(run_partial, schema=partial_schema)
+    return parts.groupBy(user).applyInPandas(merge, schema=schema)
+
+
 def user_bucket(user: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
 
