@@ -132,7 +132,10 @@ def ordered_difference(actual: DataFrame, expected: DataFrame, order_by: list[st
 def keyed_difference(actual: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:
     """Row-by-row comparison by a unique key (the cheap path: no numbering).
 
-    A full outer sort-merge join on the key; AQE splits a skewed key range.
+    A full outer sort-merge join on the key.  The key must be unique on each
+    side: AQE's skew split does not apply to full outer joins, and with
+    unique keys no key can be hot.  For data with repeated keys use the
+    ordered or bag comparison.
     """
     a_names = _check_names(actual, "actual")
     b_names = _check_names(expected, "expected")
