@@ -51,6 +51,9 @@ class Check:
     seq: int = 0
     suite: str = ""
     ancestors: list[str] = field(default_factory=list)
+    # Column operands whose types the builder needs, resolved in one batch per table
+    operands: list[Column] = field(default_factory=list)
+    aggregate_operands: bool = False
 
     @property
     def full_id(self) -> str:
@@ -77,9 +80,35 @@ def table_schema(df: DataFrame) -> T.StructType:
     return cached
 
 
+# Types of operand Columns resolved in a batch (id -> (column, type)); the
+# column is kept so an id is never matched against a different object.
+_TYPE_CACHE: dict[int, tuple[Column, T.DataType]] = {}
+
+
+def seed_types(df: DataFrame, cols: list[Column], aggregate: bool) -> None:
+    """Resolve many operands in ONE analysis; on any error leave them to the
+    per-check path (which then isolates the bad one)."""
+    if not cols:
+        return
+    try:
+        types = column_types(df, cols, aggregate)
+    except Exception:  # noqa: BLE001
+        return
+    for c, t in zip(cols, types):
+        _TYPE_CACHE[id(c)] = (c, t)
+
+
+def clear_types() -> None:
+    _TYPE_CACHE.clear()
+
+
 def column_type(df: DataFrame, c: Column | str, aggregate: bool = False) -> T.DataType:
-    """Resolve a column against a table: a plain column name from the cached
-    schema, an expression by analysis (no job)."""
+    """Resolve a column against a table: a batch-resolved operand or a plain
+    column name without analysis, any other expression by analysis (no job)."""
+    if isinstance(c, Column):
+        hit = _TYPE_CACHE.get(id(c))
+        if hit is not None and hit[0] is c:
+            return hit[1]
     if isinstance(c, str) and not aggregate:
         sch = table_schema(df)
         if c in sch.fieldNames():

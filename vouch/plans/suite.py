@@ -88,6 +88,13 @@ class Suite:
             raise RuntimeError("no Spark session for this suite")
         return active
 
+    @staticmethod
+    def _with_operands(check: C.Check, *values: Any) -> C.Check:
+        """Record Column operands so their types are resolved in one batch."""
+        check.operands = [v for v in values if isinstance(v, Column)]
+        check.aggregate_operands = check.kind == C.VALUE
+        return check
+
     # Common keyword arguments of every check.
     def _reg(self, check: C.Check, kw: dict) -> "Suite":
         return self.add(check, kw.get("test_id"), kw.get("points", 1), kw.get("depends_on"), kw.get("hint"),
@@ -108,38 +115,38 @@ class Suite:
                       per_row: bool = False, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
         act = None if per_row or not isinstance(actual, Column) else (lambda _d: actual)
-        return self._reg(C.Check(description, kind, df, C.equals(actual, expected, not per_row), actual=act), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.equals(actual, expected, not per_row), actual=act), actual, expected), kw)
 
     # E3 / E4 --------------------------------------------------------
     def expect_true(self, df: DataFrame, value: Column | str, description: str, *, per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(C.Check(description, kind, df, C.identity(value, True, not per_row)), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.identity(value, True, not per_row)), value), kw)
 
     def expect_false(self, df: DataFrame, value: Column | str, description: str, *, per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(C.Check(description, kind, df, C.identity(value, False, not per_row)), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.identity(value, False, not per_row)), value), kw)
 
     # E5 / E6 --------------------------------------------------------
     def expect_null(self, df: DataFrame, value: Column | str, description: str, *, per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(C.Check(description, kind, df, C.nullness(value, True, not per_row)), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.nullness(value, True, not per_row)), value), kw)
 
     def expect_not_null(self, df: DataFrame, value: Column | str, description: str, *, per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(C.Check(description, kind, df, C.nullness(value, False, not per_row)), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.nullness(value, False, not per_row)), value), kw)
 
     # E7 -------------------------------------------------------------
     def expect_length(self, df: DataFrame, value: Column | str, expected_length: int, description: str, *,
                       per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(C.Check(description, kind, df, C.length_is(value, expected_length, not per_row)), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.length_is(value, expected_length, not per_row)), value), kw)
 
     # E8 -------------------------------------------------------------
     def expect_close(self, df: DataFrame, actual: Column | str, expected: Column | Any, description: str, *,
                      tolerance: float = 0.01, per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
         act = None if per_row else (lambda _d: C._col(actual))
-        return self._reg(C.Check(description, kind, df, C.close_to(actual, expected, tolerance, not per_row), actual=act), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.close_to(actual, expected, tolerance, not per_row), actual=act), actual), kw)
 
     # E9 -------------------------------------------------------------
     def expect_in(self, df: DataFrame, value: Column | str, allowed: list | DataFrame, description: str, *,
@@ -285,7 +292,24 @@ class Suite:
             F.col("violations").cast("long").alias("violations"), F.col("actual").cast("string").alias("actual"),
             F.lit("").alias("message"))
 
+    def _seed_operand_types(self) -> None:
+        """One analysis per (table, row/aggregate) for all checks' operands."""
+        batches: dict[tuple[int, bool], tuple[DataFrame, list[Column]]] = {}
+        for c in self.checks:
+            if c.operands and c.target is not None:
+                key = (id(c.target), c.aggregate_operands)
+                batches.setdefault(key, (c.target, []))[1].extend(c.operands)
+        for (_tid, aggregate), (df, cols) in batches.items():
+            C.seed_types(df, cols, aggregate)
+
     def _raw_parts(self) -> list[DataFrame]:
+        self._seed_operand_types()
+        try:
+            return self._raw_parts_seeded()
+        finally:
+            C.clear_types()
+
+    def _raw_parts_seeded(self) -> list[DataFrame]:
         spark = self._spark_of()
         fixed: list[tuple] = []
         groups: dict[int, tuple[DataFrame, list[tuple[C.Check, Column, Column]]]] = {}
