@@ -185,3 +185,25 @@ def test_membership_small_large_and_table_agree(spark):
     in_large = sum(1 for i in range(3000) if not (i % 7 == 0 or i < 2000 or i == 2999))
     in_small = sum(1 for i in range(3000) if not (i % 7 == 0 or i < 5))
     assert got == {"mem-large": in_large, "mem-small": in_small, "mem-table": in_large}
+
+
+def test_missing_table_precondition_and_history(spark):
+    from vouch.session import work_path
+
+    df = spark.range(10)
+    history = work_path(spark, "t-history")
+    s1 = Suite("h", spark)
+    s1.expect_path(history + "-missing", "input")
+    s1.expect(df, F.col("id") < 5, "small ids", test_id="small")
+    first = {r.test_id: (r.status, r.message) for r in s1.results().collect()}
+    assert first["h-input"][0] == "failed" and "missing table" in first["h-input"][1]
+    assert first["h-small"][0] == "skipped"
+    s1.record(history)
+    s2 = Suite("h", spark)
+    s2.expect_path(history, "input")
+    s2.expect(df, F.col("id") < 50, "small ids", test_id="small")
+    hist = s2.record(history)
+    assert hist.count() == 4
+    latest = {r.test_id: r.status for r in scoring.latest_results(hist, ["run_ts"]).collect()}
+    assert latest == {"h-input": "passed", "h-small": "passed"}
+    assert scoring.rollup(scoring.latest_results(hist, ["run_ts"])).first().passed

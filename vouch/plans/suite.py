@@ -226,6 +226,16 @@ class Suite:
             return self.fail_pre_req(test_id, f"missing columns: {', '.join(missing)}", kw.get("depends_on"))
         return self._reg(C.Check(f"Table has columns {', '.join(columns)}", C.FIXED, fixed_passed=True), {**kw, "test_id": test_id})
 
+    def expect_path(self, path: str, test_id: str, **kw) -> "Suite":
+        """Precondition: a table or folder exists (checked through the
+        session's file system); later checks depend on it."""
+        from vouch.session import path_exists
+
+        spark = self._spark_of()
+        if not path_exists(spark, path):
+            return self.fail_pre_req(test_id, f"missing table: {path}", kw.get("depends_on"))
+        return self._reg(C.Check(f"Table {path} exists", C.FIXED, fixed_passed=True), {**kw, "test_id": test_id})
+
     # E17 ------------------------------------------------------------
     def expect_registered(self, name: str, df: DataFrame, *args: Any, description: str | None = None, **kw) -> "Suite":
         fn = C.registered(name)
@@ -387,6 +397,14 @@ class Suite:
         )
         return self._results
 
+    def record(self, path: str) -> DataFrame:
+        """Append this run's results, stamped with ``run_ts``, to a results
+        history table (the cross-suite record: latest result per check wins
+        in ``scoring.latest_results``)."""
+        out = self.results().withColumn("run_ts", F.current_timestamp())
+        out.write.mode("append").parquet(path)
+        return self._spark_of().read.parquet(path)
+
     def materialise(self) -> DataFrame:
         """Compute the results once and keep them (reliable checkpoint), so
         score, percentage and report never re-run the checks."""
