@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from vouch.session import ensure_checkpoint_dir
 
+# The three result statuses.
 PASSED, FAILED, SKIPPED = "passed", "failed", "skipped"
 
 

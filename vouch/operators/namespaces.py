@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vouch.functions import naming as N
 
 ALL_USERS, MISSING_USERS, CURRENT_USER = "all", "missing", "current"
+# Fixed value: the table name listed for a schema without permanent tables.
 NO_TABLES = "-none-"
 
 

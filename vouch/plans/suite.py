@@ -28,8 +28,12 @@ from vouch.operators import checks as C
 from vouch.operators import compare as CMP
 from vouch.operators.graph import status_columns
 
+# The dependency of the first check, the text of a failed
+# precondition, the default hint and the default description of a field check.
 NO_PREVIOUS = "-n/a-"
 PREREQ_TEXT = "Execute prerequisites."
+FIELD_HINT = "Found [[ACTUAL_VALUE]]"
+FIELD_DESCRIPTION = 'Schema contains "{name}" of type {type_class} (nullable={nullable})'
 
 RESULT_COLUMNS = [
     "suite", "test_id", "seq", "description", "status", "points", "max_points",
@@ -196,8 +200,8 @@ class Suite:
         f = found[0] if found else None
         actual = None if f is None else f"{f.name}, {type(f.dataType).__name__}, {f.nullable}"
         ok = f is not None and type(f.dataType).__name__ == type_class and (nullable is None or f.nullable == nullable)
-        desc = description or f'Schema contains "{name}" of type {type_class} (nullable={nullable})'
-        kw.setdefault("hint", "Found [[ACTUAL_VALUE]]")
+        desc = description or FIELD_DESCRIPTION.format(name=name, type_class=type_class, nullable=nullable)
+        kw.setdefault("hint", FIELD_HINT)
         return self._reg(C.Check(desc, C.FIXED, fixed_passed=ok, fixed_actual=actual), kw)
 
     # E14 ------------------------------------------------------------
