@@ -67,3 +67,12 @@ def test_bucket_matches_md5_rule(spark):
     df = spark.createDataFrame([(v,) for v in vals], "p string")
     got = [r.b for r in df.select(N.lesson_bucket("p").alias("b")).collect()]
     assert got == [int(hashlib.md5(v.encode()).hexdigest()[:8], 16) % 10000 for v in vals]
+
+
+def test_catalog_inventory_marks_temporary_views(spark):
+    spark.range(3).createOrReplaceTempView("vouch_tmp_view")
+    inv = NS.catalog_inventory(spark)
+    rows = {(r.table_name, r.is_temporary) for r in inv.collect()}
+    assert ("vouch_tmp_view", True) in rows
+    perm = NS.table_inventory(inv.select("schema_name").distinct(), inv)
+    assert "vouch_tmp_view" not in {r.table_name for r in perm.collect()}
