@@ -207,3 +207,13 @@ def test_missing_table_precondition_and_history(spark):
     latest = {r.test_id: r.status for r in scoring.latest_results(hist, ["run_ts"]).collect()}
     assert latest == {"h-input": "passed", "h-small": "passed"}
     assert scoring.rollup(scoring.latest_results(hist, ["run_ts"])).first().passed
+
+
+def test_union_of_suites(spark):
+    from vouch.plans.suite import union_suites
+
+    df = spark.range(4)
+    a = Suite("a", spark).expect(df, F.col("id") >= 0, "x")
+    b = Suite("b", spark).expect(df, F.col("id") > 2, "y")
+    got = {(r.suite, r.status) for r in union_suites([a, b]).collect()}
+    assert got == {("a", "passed"), ("b", "failed")}

@@ -119,3 +119,16 @@ def test_line_count(spark):
     df = spark.createDataFrame([(v,) for v in vals], "t string")
     got = [r.n for r in df.select(TX.line_count("t").alias("n")).collect()]
     assert got[:4] == [len(v.split("\n")) + 1 for v in vals[:4]]
+
+
+def test_path_parts(spark):
+    vals = ["dbfs:/mnt/data/a/b.csv", "dbfs:/mnt/data/dir/", "plain/x", "/abs//"]
+    df = spark.createDataFrame([(v,) for v in vals], "p string")
+    r = df.select(
+        TX.strip_prefix("p", "dbfs:/mnt/data/").alias("rel"), TX.path_kind("p").alias("kind"),
+        TX.base_name("p").alias("base"), TX.rewrite_scheme("p", "dbfs", "/dbfs").alias("local"),
+    ).collect()
+    assert [x.rel for x in r] == ["a/b.csv", "dir/", "plain/x", "/abs//"]
+    assert [x.kind for x in r] == ["file", "path", "file", "path"]
+    assert [x.base for x in r] == ["b.csv", "dir", "x", "abs"]
+    assert [x.local for x in r] == ["/dbfs/mnt/data/a/b.csv", "/dbfs/mnt/data/dir/", "plain/x", "/abs//"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vouch.operators.graph import FAILED, PASSED
+from vouch.operators.graph import FAILED
 
 
 def _pct(score: Column, max_score: Column) -> Column:
@@ -65,7 +65,3 @@ def report(results: DataFrame) -> DataFrame:
         F.when(F.col("status") == FAILED, F.col("hint")).alias("hint"),
         F.when(F.length(F.coalesce(F.col("message"), F.lit(""))) > 0, F.col("message")).alias("message"),
     )
-
-
-def passed_flag(status: Column) -> Column:
-    return status == F.lit(PASSED)

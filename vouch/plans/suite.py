@@ -17,7 +17,7 @@ Everything stays lazy until the caller acts on the returned DataFrame.
 
 from __future__ import annotations
 
-from typing import Any, Callable, Iterable
+from typing import Any, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,12 +35,6 @@ PREREQ_TEXT = "Execute prerequisites."
 FIELD_HINT = "Found [[ACTUAL_VALUE]]"
 FIELD_DESCRIPTION = 'Schema contains "{name}" of type {type_class} (nullable={nullable})'
 
-RESULT_COLUMNS = [
-    "suite", "test_id", "seq", "description", "status", "points", "max_points",
-    "violations", "actual", "hint", "message",
-]
-
-
 class Suite:
     """An ordered list of checks with ids, points and dependencies."""
 
@@ -442,32 +436,11 @@ OUTCOME_SCHEMA = T.StructType(
     ]
 )
 
-RAW_SCHEMA = T.StructType(
-    [
-        T.StructField("suite", T.StringType()),
-        T.StructField("test_id", T.StringType()),
-        T.StructField("seq", T.IntegerType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("check_points", T.IntegerType()),
-        T.StructField("hint_template", T.StringType()),
-        T.StructField("ancestors", T.ArrayType(T.StringType())),
-        T.StructField("raw_passed", T.BooleanType()),
-        T.StructField("violations", T.LongType()),
-        T.StructField("actual", T.StringType()),
-        T.StructField("message", T.StringType()),
-    ]
-)
-
-
 def _first_line(e: Exception) -> str:
     text = str(e).strip()
     return text.splitlines()[0] if text else type(e).__name__
 
 
-def test_id_for(suite: str, test_id: Any) -> str:
-    return f"{suite}-{test_id}"
-
-
 def union_suites(suites: Iterable[Suite]) -> DataFrame:
     out = None
     for s in suites:

@@ -15,7 +15,6 @@ from vouch.sources.tables import Tables
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-CHECK_COLUMNS = ["test_id", "violations", "passed"]
 SUITE_COLUMNS = ["suite", "test_id", "seq", "status", "points"]
 
 

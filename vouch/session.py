@@ -9,7 +9,6 @@ ever used for a local master where the setting is missing.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -73,24 +72,9 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "vouch", *parts, uuid.uuid4().hex])
 
 
-def local_path(path: str) -> str | None:
-    """Filesystem path for ``file:`` URIs (None for remote stores)."""
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    if path.startswith("/"):
-        return path
-    return None
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop filesystem of the session."""
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
-
-
-def ensure_dir(path: str) -> None:
-    lp = local_path(path)
-    if lp is not None:
-        os.makedirs(lp, exist_ok=True)
