@@ -322,9 +322,17 @@ class Suite:
         fixed: list[tuple] = []
         groups: dict[int, tuple[DataFrame, list[tuple[C.Check, Column, Column]]]] = {}
         plans: list[DataFrame] = []
+        known_failed: set[str] = set()  # failures known before any data is read
         for c in self.checks:
             if c.kind == C.FIXED:
                 fixed.append((c.seq, bool(c.fixed_passed), 0 if c.fixed_passed else 1, c.fixed_actual, c.message))
+                if not c.fixed_passed:
+                    known_failed.add(c.full_id)
+                continue
+            if known_failed.intersection(c.ancestors):
+                # certain to be skipped, so never executed (nor analysed),
+                # as a skipped check is never run
+                fixed.append((c.seq, False, None, None, ""))
                 continue
             try:
                 if c.kind == C.PLAN:
@@ -342,6 +350,7 @@ class Suite:
                 groups.setdefault(id(c.target), (c.target, []))[1].append((c, viol, act))
             except Exception as e:  # noqa: BLE001 - an error fails its own check only
                 fixed.append((c.seq, False, 1, None, _first_line(e)))
+                known_failed.add(c.full_id)
         parts: list[DataFrame] = []
         for df, items in groups.values():
             try:
