@@ -217,3 +217,19 @@ def test_union_of_suites(spark):
     b = Suite("b", spark).expect(df, F.col("id") > 2, "y")
     got = {(r.suite, r.status) for r in union_suites([a, b]).collect()}
     assert got == {("a", "passed"), ("b", "failed")}
+
+
+def test_checks_behind_a_failed_precondition_are_not_run(spark):
+    from conftest import SMALL_SF
+
+    orders = spark.read.parquet(f"{SMALL_SF}/orders.parquet")
+    lineitem = spark.read.parquet(f"{SMALL_SF}/lineitem.parquet")
+    s = Suite("pre", spark)
+    s.expect_columns(lineitem, ["l_comment"], "has_comment")
+    s.expect(lineitem, "length(l_comment) < 50", "short comments", test_id="short")   # depends on has_comment
+    s.expect(orders, F.col("o_totalprice") > 0, "positive", test_id="pos", depends_on="-n/a-")
+    res = s.results()
+    statuses = {r.test_id: r.status for r in res.collect()}
+    assert statuses == {"pre-has_comment": "failed", "pre-short": "skipped", "pre-pos": "passed"}
+    plan = _final_plan(res)
+    assert "orders.parquet" in plan and "lineitem.parquet" not in plan
