@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -95,7 +96,10 @@ def skip_by_graph(
     spark = raw.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # checkpointed (lineage cut; a lost block is re-read from the checkpoint
+    # files) and kept in memory, since every round scans the edges again
     back = backward_edges(raw, edges, test_id, seq, depends_on).repartition(n, "d").checkpoint()
+    back.persist(StorageLevel.MEMORY_AND_DISK)
     failed = raw.where(~F.coalesce(F.col(passed), F.lit(False))).select(F.col(test_id).alias("node")).checkpoint()
     frontier = failed
     rounds: list[DataFrame] = []
@@ -115,6 +119,7 @@ def skip_by_graph(
         frontier = reached.join(failed, "node", "left_anti")
     else:
         raise RuntimeError("dependency propagation did not converge")
+    back.unpersist()
     keep = [c for c in raw.columns if c != depends_on] if edges is None else raw.columns
     base = raw.select(*keep)
     if not rounds:
