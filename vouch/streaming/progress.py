@@ -128,12 +128,20 @@ def wait_until_ready(
     if isinstance(query, str):
         query = find_query(spark, query, timeout, delay)
     deadline = time.monotonic() + timeout
+    polls = 0
     while True:
-        done = batches_done(spark, progress)
-        if done >= min_batches or not query.isActive:
-            return batches_done(spark, progress)
+        active = query.isActive
+        # cheap driver-side hint first (no Spark job); the progress table is
+        # read when the hint says ready, the query ended, or every 10th poll
+        # (the in-memory progress list is capped, the table is not)
+        hinted = sum(1 for p in (query.recentProgress or []) if p.get("numInputRows", 0) > 0)
+        if hinted >= min_batches or not active or polls % 10 == 9:
+            done = batches_done(spark, progress)
+            if done >= min_batches or not active:
+                return done if active else batches_done(spark, progress)
         if time.monotonic() > deadline:
-            raise TimeoutError(f"stream made {done} of {min_batches} batches in {timeout}s")
+            raise TimeoutError(f"stream made {batches_done(spark, progress)} of {min_batches} batches in {timeout}s")
+        polls += 1
         time.sleep(delay)
 
 
