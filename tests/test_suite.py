@@ -233,3 +233,21 @@ def test_checks_behind_a_failed_precondition_are_not_run(spark):
     assert statuses == {"pre-has_comment": "failed", "pre-short": "skipped", "pre-pos": "passed"}
     plan = _final_plan(res)
     assert "orders.parquet" in plan and "lineitem.parquet" not in plan
+
+
+def test_suites_compiled_together_scan_each_table_once(spark):
+    from conftest import SMALL_SF
+    from vouch.plans.suite import union_suites
+
+    li = spark.read.parquet(f"{SMALL_SF}/lineitem.parquet")
+    a = Suite("a", spark)
+    a.expect(li, F.col("l_quantity") > 0, "qty", test_id="1")
+    a.expect(li, F.col("l_quantity") > 1e9, "huge", test_id="2")
+    a.expect(li, F.col("l_tax") >= 0, "tax", test_id="3")            # after a failure: skipped in suite a
+    b = Suite("b", spark)
+    b.expect(li, F.col("l_tax") >= 0, "tax", test_id="1")            # same ids in another suite are fine
+    b.expect_not_null(li, "l_orderkey", "keys", test_id="2")
+    res = union_suites([a, b])
+    got = {r.test_id: r.status for r in res.collect()}
+    assert got == {"a-1": "passed", "a-2": "failed", "a-3": "skipped", "b-1": "passed", "b-2": "passed"}
+    assert _final_plan(res).count("FileScan parquet") == 1

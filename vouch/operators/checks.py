@@ -49,6 +49,7 @@ class Check:
     hint: str | None = None
     escape_html: bool = False
     seq: int = 0
+    idx: int = 0  # position in the compiled batch (unique across suites compiled together)
     suite: str = ""
     ancestors: list[str] = field(default_factory=list)
     # Column operands whose types the builder needs, resolved in one batch per table

@@ -276,7 +276,7 @@ class Suite:
     def _meta_frame(self) -> DataFrame:
         """Check metadata as ONE local relation (one row per declared check)."""
         rows = [
-            (c.seq, c.suite, c.full_id, c.seq, c.description, c.points, c.hint, list(c.ancestors))
+            (c.idx, c.suite, c.full_id, c.seq, c.description, c.points, c.hint, list(c.ancestors))
             for c in self.checks
         ]
         return self._spark_of().createDataFrame(rows, META_SCHEMA)
@@ -293,7 +293,7 @@ class Suite:
         one = df.agg(*aggs)
         # one generator expression turns the single aggregate row into a row
         # per check (one call, however many checks)
-        args = ", ".join(f"{c.seq}, _v{i}, _a{i}" for i, (c, _v, _a) in enumerate(items))
+        args = ", ".join(f"{c.idx}, _v{i}, _a{i}" for i, (c, _v, _a) in enumerate(items))
         stacked = one.selectExpr(f"stack({len(items)}, {args}) AS (idx, violations, actual)")
         return stacked.select(
             F.col("idx").cast("int").alias("idx"), (F.col("violations") == 0).alias("raw_passed"),
@@ -325,20 +325,20 @@ class Suite:
         known_failed: set[str] = set()  # failures known before any data is read
         for c in self.checks:
             if c.kind == C.FIXED:
-                fixed.append((c.seq, bool(c.fixed_passed), 0 if c.fixed_passed else 1, c.fixed_actual, c.message))
+                fixed.append((c.idx, bool(c.fixed_passed), 0 if c.fixed_passed else 1, c.fixed_actual, c.message))
                 if not c.fixed_passed:
                     known_failed.add(c.full_id)
                 continue
             if known_failed.intersection(c.ancestors):
                 # certain to be skipped, so never executed (nor analysed),
                 # as a skipped check is never run
-                fixed.append((c.seq, False, None, None, ""))
+                fixed.append((c.idx, False, None, None, ""))
                 continue
             try:
                 if c.kind == C.PLAN:
                     one = c.build(c.target)
                     plans.append(one.select(F.inline(F.array(self._outcome(
-                        F.lit(c.seq), F.col("violations") == 0, F.col("violations"), F.col("actual"), F.lit(""))))))
+                        F.lit(c.idx), F.col("violations") == 0, F.col("violations"), F.col("actual"), F.lit(""))))))
                     continue
                 pred = c.build(c.target)
                 if c.kind == C.ROWS:
@@ -349,7 +349,7 @@ class Suite:
                     act = c.actual(c.target).cast("string") if c.actual else F.lit(None).cast("string")
                 groups.setdefault(id(c.target), (c.target, []))[1].append((c, viol, act))
             except Exception as e:  # noqa: BLE001 - an error fails its own check only
-                fixed.append((c.seq, False, 1, None, _first_line(e)))
+                fixed.append((c.idx, False, 1, None, _first_line(e)))
                 known_failed.add(c.full_id)
         parts: list[DataFrame] = []
         for df, items in groups.values():
@@ -362,7 +362,7 @@ class Suite:
                         df.agg(viol.alias("_v"), act.alias("_a")).schema
                         good.append((c, viol, act))
                     except Exception as e:  # noqa: BLE001
-                        fixed.append((c.seq, False, 1, None, _first_line(e)))
+                        fixed.append((c.idx, False, 1, None, _first_line(e)))
                 part = self._compile_group(df, good) if good else None
             if part is not None:
                 parts.append(part)
@@ -374,6 +374,11 @@ class Suite:
     def raw_results(self) -> DataFrame:
         """One row per check before dependencies: (meta..., raw_passed, violations, actual, message)."""
         self._ancestors()
+        return self._compile_raw()
+
+    def _compile_raw(self) -> DataFrame:
+        for i, c in enumerate(self.checks):
+            c.idx = i
         parts = self._raw_parts()
         meta = self._meta_frame()
         if not parts:
@@ -386,22 +391,8 @@ class Suite:
 
     def results(self) -> DataFrame:
         """The results table (lazy; computed once per Suite object)."""
-        if self._results is not None:
-            return self._results
-        raw = self.raw_results()
-        # One row per DECLARED check, so the window holds a bounded number of
-        # rows; it keeps the plan a single branch (no self-join re-reading
-        # the tables).
-        failed = F.collect_set(F.when(~F.col("raw_passed"), F.col("test_id"))).over(Window.partitionBy("suite"))
-        j = raw.withColumn("_failed", failed)
-        skipped = F.coalesce(F.arrays_overlap(F.col("ancestors"), F.col("_failed")), F.lit(False))
-        j = j.withColumn("_skipped", skipped)
-        st = status_columns(F.col("raw_passed"), F.col("_skipped"), F.col("check_points"))
-        self._results = j.select(
-            "suite", "test_id", "seq", "description", *st, "violations", "actual",
-            render_hint(F.col("hint_template"), F.col("actual")).alias("hint"),
-            F.when(F.col("_skipped"), F.lit("")).otherwise(F.col("message")).alias("message"),
-        )
+        if self._results is None:
+            self._results = with_skips(self.raw_results())
         return self._results
 
     def record(self, path: str) -> DataFrame:
@@ -445,19 +436,41 @@ OUTCOME_SCHEMA = T.StructType(
     ]
 )
 
+def with_skips(raw: DataFrame) -> DataFrame:
+    """Statuses, points, hints and messages from raw results whose
+    ``ancestors`` column lists each check's earlier dependencies."""
+    # One row per DECLARED check, so the window holds a bounded number of
+    # rows; it keeps the plan a single branch (no self-join re-reading
+    # the tables).
+    failed = F.collect_set(F.when(~F.col("raw_passed"), F.col("test_id"))).over(Window.partitionBy("suite"))
+    j = raw.withColumn("_failed", failed)
+    skipped = F.coalesce(F.arrays_overlap(F.col("ancestors"), F.col("_failed")), F.lit(False))
+    j = j.withColumn("_skipped", skipped)
+    st = status_columns(F.col("raw_passed"), F.col("_skipped"), F.col("check_points"))
+    return j.select(
+        "suite", "test_id", "seq", "description", *st, "violations", "actual",
+        render_hint(F.col("hint_template"), F.col("actual")).alias("hint"),
+        F.when(F.col("_skipped"), F.lit("")).otherwise(F.col("message")).alias("message"),
+    )
+
+
 def _first_line(e: Exception) -> str:
     text = str(e).strip()
     return text.splitlines()[0] if text else type(e).__name__
 
 
 def union_suites(suites: Iterable[Suite]) -> DataFrame:
-    out = None
-    for s in suites:
-        r = s.results()
-        out = r if out is None else out.unionByName(r)
-    if out is None:
+    """Results of several suites compiled TOGETHER: checks of all suites on
+    the same table share one aggregate (one scan per table in total), and
+    dependencies stay within each suite."""
+    suites = list(suites)
+    if not suites:
         raise ValueError("no suites")
-    return out
+    combined = Suite("", suites[0]._spark_of())
+    for s in suites:
+        s._ancestors()
+        combined.checks.extend(s.checks)
+    return with_skips(combined._compile_raw())
 
 
 def duplicate_ids(checks: DataFrame, id_col: str = "test_id") -> DataFrame:
