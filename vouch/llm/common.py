@@ -129,3 +129,23 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
 def _edge_stats(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     return (r["n"], r["h"])
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of at most ``rows`` documents."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def sampled(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
+    """About ``per_group`` rows (all, where fewer) of each value of ``group``.
+
+    A row is taken when the hash of its key falls below per_group / rows of
+    the group; counts are the only thing gathered, so no group is sorted, and
+    the sample of a table is always the same.
+    """
+    counts = rows.groupBy(group).agg((F.lit(float(per_group)) / F.count(F.lit(1))).alias("_share"))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(counts, group).filter(draw < F.col("_share")).drop("_share")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm import adapt_join, line_runs, mixing, rendezvous, simhash
+from vouch.llm import adapt_join, line_runs, mixing, ppm_language, pseudonyms, rendezvous, simhash, toxicity
 from vouch.sources.tables import Tables, table_path
 
 QUERIES: dict = {}
@@ -22,6 +22,20 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+#: Grades of severity above 0 that the two-valued toxic labels are spread over.
+SEVERITIES = 3
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.OrdinalModel | None:
+    t = Tables(spark, sf_dir)
+    return toxicity.learn(t.documents, t.labels, "toxic", spread=SEVERITIES)
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade_documents(Tables(spark, sf_dir).documents, toxicity_model(spark, sf_dir))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -46,6 +60,15 @@ def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: The key of the pseudonyms; a deployment passes its own secret.
+PSEUDONYM_KEY = b"pseudonyms of the test tables"
+
+
+@query("op3_pseudonyms")
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise_documents(Tables(spark, sf_dir).documents, PSEUDONYM_KEY)
+
+
 OP5_SQL = f"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}') AS w FROM documents),
@@ -136,6 +159,19 @@ def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op10_ppm_language")
+def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = Tables(spark, sf_dir).documents.withColumn("held_out", ppm_language.held_out())
+    trees = ppm_language.learn(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    return ppm_language.identify(docs, trees, ["doc_id", "held_out"])
+
+
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others keep all their columns."""
+    graded = toxicity.grade_documents(docs, toxicity_model(spark, sf_dir), docs.columns)
+    return graded.filter(~F.col("toxic")).select(*docs.columns)
+
+
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (0, 1 or 2 times)."""
     return mixing.mixed_documents(docs)
