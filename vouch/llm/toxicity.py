@@ -136,13 +136,14 @@ def _sample_features(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "grade", "text").mapInArrow(run, "doc bigint, grade int, feature bigint, n int")
 
 
-def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 1500, n_features: int = 1 << 14, min_docs: int = 4,
+def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 3000, n_features: int = 1 << 14, min_docs: int = 4,
           spread: int = 1) -> OrdinalModel | None:
     """Fit on labels (doc_id, ``grade`` = 0, 1, ...) of ``docs``.
 
-    With ``spread`` > 1 and two-valued labels, the labelled toxic documents of
-    the sample are graded 1..spread by equal shares of the evidence that a
-    first fit finds in them, and the model is fitted again on these grades.
+    With ``spread`` > 1 and two-valued labels the sample knows one threshold
+    only.  The scores that cut its toxic documents in ``spread`` equal parts
+    are then added as the further thresholds, over the same weights, so the
+    grades above 0 tell how much evidence a text holds.
     """
     small_batches(docs.sparkSession)
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(grade).isNotNull())
@@ -178,11 +179,8 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 1500,
     w, t = fit_ordinal(rows, cols, vals, y, len(names))
     if spread > 1 and len(grades) == 2:
         s = np.bincount(rows, weights=vals * w[cols], minlength=len(y))
-        toxic = y == 1
-        cuts = np.quantile(s[toxic], np.arange(1, spread) / spread)
-        y = np.where(toxic, 1 + np.searchsorted(cuts, s, side="right"), 0)
-        y = np.unique(y, return_inverse=True)[1]
-        w, t = fit_ordinal(rows, cols, vals, y, len(names))
+        cuts = np.quantile(s[y == 1], np.arange(1, spread) / spread)
+        t = np.maximum.accumulate(np.concatenate([t, cuts]) + 1e-6 * np.arange(spread))
     return OrdinalModel({int(f): float(x) for f, x in zip(names, w, strict=True) if x}, t)
 
 
