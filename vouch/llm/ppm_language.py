@@ -97,22 +97,34 @@ class ContextTrees:
 
 
 def _count_grams(order: int):
-    """(lang, gram, n): counts of packed (context, byte) strings in a task."""
+    """(lang, gram, n): counts of packed (context, byte) strings, summed over
+    pieces of about a megabyte of one language."""
+
+    def count(lang: str, grams: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(grams), return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
     def run(batches):
+        held: dict[str, list[np.ndarray]] = {}
+        size: dict[str, int] = {}
         for b in batches:
-            parts: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                raw = np.frombuffer(_PAD * order + text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
-                n = len(raw) - order
-                gram = np.zeros(n, np.int64)
-                for j in range(order + 1):
-                    gram = (gram << 8) | raw[j:j + n]
-                parts.setdefault(lang, []).append(gram)
-            for lang, grams in parts.items():
-                found, counts = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+            for lang, text in zip(b.column("lang"), b.column("text"), strict=True):
+                lang = lang.as_py()
+                whole = _PAD * order + text.as_py().encode("utf-8", "surrogatepass")
+                for start in range(0, len(whole) - order, _CHUNK):
+                    raw = np.frombuffer(whole[start:start + _CHUNK + order], np.uint8).astype(np.int64)
+                    n = len(raw) - order
+                    gram = np.zeros(n, np.int64)
+                    for j in range(order + 1):
+                        gram = (gram << 8) | raw[j:j + n]
+                    held.setdefault(lang, []).append(gram)
+                    size[lang] = size.get(lang, 0) + n
+                    if size[lang] >= _CHUNK:
+                        yield count(lang, held.pop(lang))
+                        size[lang] = 0
+        for lang, grams in held.items():
+            yield count(lang, grams)
 
     return run
 
@@ -190,8 +202,9 @@ def _table(lang, symbol, n, a, li, row, rows) -> np.ndarray:
     return flat.reshape(rows, a)
 
 
-def learn(labelled: DataFrame, per_language: int = 1000, order: int = 3, max_cells: int = 1 << 24) -> ContextTrees | None:
+def learn(labelled: DataFrame, per_language: int = 1000, order: int = 3, max_cells: int = 1 << 23) -> ContextTrees | None:
     """Fit on a sample of (doc_id, text, lang) rows; None without any."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("text IS NOT NULL AND text <> '' AND lang IS NOT NULL")
     sample = sampled(rows, "lang", "doc_id", per_language).select("lang", "text")

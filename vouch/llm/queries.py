@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm import adapt_join, line_runs, mixing, ppm_language, pseudonyms, rendezvous, simhash, toxicity
+from vouch.llm import adapt_join, latent_decontam, line_runs, mixing, ppm_language, pseudonyms, rendezvous, simhash, toxicity
 from vouch.sources.tables import Tables, table_path
 
 QUERIES: dict = {}
@@ -69,6 +69,12 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise_documents(Tables(spark, sf_dir).documents, PSEUDONYM_KEY)
 
 
+@query("op4_latent_decontam")
+def op4_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return latent_decontam.find_contamination(t.documents, t.benchmark)
+
+
 OP5_SQL = f"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}') AS w FROM documents),
@@ -172,6 +178,16 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return graded.filter(~F.col("toxic")).select(*docs.columns)
 
 
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one that names it (five-word shingles, 0.8)."""
+    return adapt_join.one_per_component(docs)
+
+
+def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; the others keep all their columns."""
+    return latent_decontam.clean_documents(docs, Tables(spark, sf_dir).benchmark)
+
+
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (0, 1 or 2 times)."""
     return mixing.mixed_documents(docs)
