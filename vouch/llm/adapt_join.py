@@ -10,13 +10,21 @@ that can share l).  A pair is a candidate when it shares at least
 min(l of both) prefix shingles, which loses no link.
 
 Documents with the same set are one class, so copies never meet each other.
-Linking needs components only, in two rounds:
-
-1. every class is verified against the best of its shingles' hubs (the hub of
-   a shingle is one class that has it), which joins a group of n near copies
-   by about n pairs;
-2. classes that share a prefix shingle and are still in different components
-   are paired, counted and verified, so no link between components is lost.
+Linking needs components only, and a group of near copies must not be paired
+within itself.  So every class is first compared with one hub: of the most
+central classes of its prefix shingles (those whose shingles are met most
+often), the one that shares most.  The comparison gives the link to the hub
+and the difference d from it (shingles that only one of the two has).
+
+* Two classes of one hub: the size of their difference is
+  |d1| + |d2| - 2 |d1 & d2|.  Where one of them does not link to the hub, a
+  link needs so many common shingles in d1 and d2 that they also meet in
+  prefixes of the differences, which hold few shingles that others have.
+  Where both link to the hub, they are in one component already.
+* Two classes of different hubs meet in their prefixes as above.
+
+All pairs met with enough matches are verified on the whole sets, so no link
+between components is lost.
 
 Results: a text without words has an empty set and links with nothing; fewer
 words than a shingle make one shingle of all of them; a null text is empty;
@@ -27,17 +35,21 @@ row of it has none; no documents give no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
-from vouch.llm.common import connected_components, written
+from vouch.llm.common import connected_components, join_on, written
 from vouch.llm.shingles import shingle_set
 
 #: The sketch is summed in pieces of this many counters.
 _PIECE = 1 << 14
 _MAX_MATCHES = 8
+#: Slices that the classes of a hot shingle are dealt over.
+_SLICES = 64
 
 
 def _signed(x: int) -> int:
@@ -120,14 +132,15 @@ def _add_pieces(batches):
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names)
 
 
-def _prefixes(width: int, percent: int, bits: int, sketch, noise: float):
-    """Pass 2: the ordered prefix of each class, once in a task."""
+def _prefixes(width: int, percent: int, bits: int, sketch, noise: float, hot: float):
+    """Pass 2: the ordered prefix of each class, once in a task.  Its last
+    ``n_hot`` shingles have sketch counts above ``hot``."""
 
     def run(batches):
         counts = sketch.value
         done: set[int] = set()
         for b in batches:
-            sigs, ns, ls, flat, ends = [], [], [], [], [0]
+            sigs, ns, ls, hots, flat, ends = [], [], [], [], [], [0]
             for text in b.column("text"):
                 t = shingle_set(text.as_py(), width)
                 n = len(t)
@@ -137,16 +150,19 @@ def _prefixes(width: int, percent: int, bits: int, sketch, noise: float):
                 c = counts[(t.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)]
                 order = np.lexsort((t, c))
                 l = choose_matches(c[order], n, percent, noise)
-                p = t[order[:n - need(n, percent) + l]]
+                c = c[order[:n - need(n, percent) + l]]
+                p = t[order[:len(c)]]
                 sigs.append(sig)
                 ns.append(n)
                 ls.append(l)
+                hots.append(int((c > hot).sum()))
                 flat.append(p)
                 ends.append(ends[-1] + len(p))
             if sigs:
                 tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sigs, pa.int64()), pa.array(ns, pa.int32()), pa.array(ls, pa.int32()), tokens], ["sig", "n", "l", "tokens"])
+                    [pa.array(sigs, pa.int64()), pa.array(ns, pa.int32()), pa.array(ls, pa.int32()), pa.array(hots, pa.int32()), tokens],
+                    ["sig", "n", "l", "n_hot", "tokens"])
 
     return run
 
@@ -163,27 +179,143 @@ def _sets(width: int):
     return run
 
 
+def _bit_pieces(batches):
+    """One bitmap of 2^17 bits per piece; the input is sorted by piece."""
+    at, bits = None, None
+    for b in batches:
+        for piece, bit in zip(b.column("piece").to_pylist(), b.column("bit").to_pylist(), strict=True):
+            if piece != at:
+                if at is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["piece", "bits"])
+                at, bits = piece, np.zeros(1 << 17, bool)
+            bits[bit] = True
+    if at is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["piece", "bits"])
+
+
+def _maybe_in(ids: DataFrame, name: str, bits: int):
+    """A filter on a bigint column that passes every value of ``ids`` and few
+    others: a bitmap of 2^bits hash values (so many bits to the driver and to
+    each executor, whatever the data).  An exact join has to follow.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64(name), 64 - bits)
+    found = ids.select(F.shiftrightunsigned(slot, 17).cast("int").alias("piece"), slot.bitwiseAND(F.lit((1 << 17) - 1)).cast("int").alias("bit")).distinct()
+    found = found.repartition("piece").sortWithinPartitions("piece").mapInArrow(_bit_pieces, "piece int, bits binary")
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for row in found.collect():
+        bitmap[row["piece"] << 14:(row["piece"] + 1) << 14] = np.frombuffer(row["bits"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def known(slots: pd.Series) -> pd.Series:
+        s = slots.to_numpy()
+        return pd.Series((shared.value[s >> 3] >> (7 - (s & 7)) & 1).astype(bool))
+
+    return known(slot)
+
+
 def _fits(n1: str, n2: str, percent: int):
     """Sizes alone allow a link."""
     return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the sets ta and tb of two of its columns.
+
+    A set may be stored for several rows of one class; the light (sig, row)
+    columns choose one, and the arrays are joined by row.
+    """
+    rows = sets.groupBy("sig").agg(F.min("row").alias("_r"))
+    for c, r in ((a, "_ra"), (b, "_rb")):
+        pairs = pairs.join(rows.select(F.col("sig").alias(c), F.col("_r").alias(r)), c)
+    left = sets.select(F.col("row").alias("_ra"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("row").alias("_rb"), F.col("tokens").alias("tb"))
+    return pairs.join(left, "_ra").join(right, "_rb").drop("_ra", "_rb")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose sets link, by exact intersection."""
-    left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.withColumn("i", F.size(F.array_intersect("ta", "tb")))
+    both = _with_sets(pairs, sets, "a", "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
     return both.filter(100 * F.col("i") >= percent * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20) -> DataFrame:
+def _hubs(met: DataFrame, percent: int) -> DataFrame:
+    """(sig, hub) of the classes that share at least a quarter of their prefix
+    with a hub: the hub that shares most; a token's hub is the class whose
+    tokens are met most often."""
+    central = met.join(met.groupBy("token").agg(F.count(F.lit(1)).alias("_m")), "token").groupBy("sig").agg(F.sum("_m").alias("_central"))
+    rows = written(met.join(central, "sig"), "join-central")
+    top = rows.groupBy("token").agg(F.max("_central").alias("_central"))
+    hubs = rows.join(top, ["token", "_central"]).groupBy("token").agg(F.min("sig").alias("hub"))
+    tries = rows.select("token", "sig", "n", "l").join(hubs, "token").groupBy("sig", "n", "l", "hub").agg(F.count(F.lit(1)).alias("c"))
+    prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + F.col("l")
+    tries = tries.filter((F.col("sig") == F.col("hub")) | (4 * F.col("c") >= prefix))
+    # A class that is a hub keeps itself, so its members meet it here only.
+    best = F.max(F.struct((F.col("sig") == F.col("hub")).alias("own"), F.col("c"), F.col("hub")))
+    chosen = tries.groupBy("sig").agg(best.alias("_b")).select("sig", F.col("_b.hub").alias("hub"))
+    used = chosen.filter("sig <> hub").select("hub").distinct()
+    return chosen.join(used, "hub", "left_semi").select("sig", "hub")
+
+
+def _compared(hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, hub, n, linked, half, long): the comparison of each class with its hub.
+
+    With r = (100 - percent) / (100 + percent), x and y link when their
+    difference is at most r (nx + ny).  If y does not link to the hub, a link
+    of x and y needs more than |dx| (1 - r) / 2 common shingles of dx and dy,
+    which bounds the prefix ``half`` of dx; and at least
+    |dy| - r ny (1 + 100 / percent), which bounds the prefix ``long`` of dy.
+    Shingles that the hub lacks come first.
+    """
+    both = _with_sets(hubs, sets, "sig", "hub").withColumnsRenamed({"ta": "tx", "tb": "th"})
+    both = both.select("sig", "hub", F.size("tx").alias("n"), F.size("th").alias("nh"),
+                       F.concat(F.array_sort(F.array_except("tx", "th")), F.array_sort(F.array_except("th", "tx"))).alias("d"))
+    size = F.size("d")
+    linked = size * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("nh"))
+    # floor(|d| (1 - r) / 2) + 1 with (1 - r) / 2 = percent / (100 + percent), in whole numbers.
+    half = size - F.expr(f"cast((size(d) * {percent}) div {100 + percent} as int)")
+    rest = F.expr(f"cast(ceil(size(d) - n * {100 - percent} / {percent}) as int)")
+    long = F.when(linked, 0).otherwise(F.greatest(half, size - F.greatest(rest, F.lit(1)) + 1))
+    both = both.withColumn("_h", F.least(half, size)).withColumn("_l", F.least(long, size))
+    return both.select("sig", "hub", "n", linked.alias("linked"), F.slice("d", F.lit(1), F.col("_h")).alias("half"),
+                       F.slice("d", F.lit(1), F.col("_l")).alias("long"))
+
+
+def _same_hub_pairs(compared: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one hub, a not linked to it, that share a token of long(a) and half(b)."""
+    a = compared.filter("not linked").select(F.col("hub").alias("h"), F.col("sig").alias("a"), F.col("n").alias("an"), F.explode("long").alias("t"))
+    b = compared.select(F.col("hub").alias("h"), F.col("sig").alias("b"), F.col("n").alias("bn"), F.explode("half").alias("t"))
+    return a.join(b, ["h", "t"]).filter((F.col("a") != F.col("b")) & _fits("an", "bn", percent)).select("a", "b").distinct()
+
+
+def _prefix_pairs(met: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different hubs that share enough prefix tokens.
+
+    Sets of nx and ny link with at least o = t (nx + ny) / (1 + t) common
+    shingles; outside the prefix that ends first they have at most
+    need(n) - l, so the prefixes share at least o minus the larger of these.
+    """
+    rows = met.join(hubs, "sig", "left").withColumn("hub", F.coalesce("hub", "sig"))
+    split = rows.groupBy("token").agg(F.min("hub").alias("_lo"), F.max("hub").alias("_hi")).filter("_lo <> _hi")
+    rows = written(rows.join(split.select("token"), "token", "left_semi"), "join-open")
+    x = rows.select("token", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), F.col("hub").alias("ah"))
+    y = rows.select("token", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("l").alias("bl"), F.col("hub").alias("bh"))
+    pairs = x.join(y, "token").filter((F.col("ah") != F.col("bh")) & (F.col("a") < F.col("b")) & _fits("an", "bn", percent))
+    pairs = pairs.groupBy("a", "b", "an", "bn", "al", "bl").agg(F.count(F.lit(1)).alias("c"))
+    overlap = F.expr(f"({percent} * (an + bn) + {99 + percent}) div {100 + percent}")
+    outside = F.greatest(F.expr(f"(an * {percent} + 99) div 100 - al"), F.expr(f"(bn * {percent} + 99) div 100 - bl"))
+    return pairs.filter(F.col("c") >= F.greatest(F.least("al", "bl"), overlap - outside)).select("a", "b")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20,
+                       filter_bits: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
     Two documents link when 100 * intersection >= percent * union of their
     ``width``-word shingle sets.  ``sketch_bits`` sizes the count sketch
     (8 bytes << bits, broadcast); it orders shingles and estimates costs and
-    never decides a link.
+    never decides a link.  ``filter_bits`` sizes the bitmap that keeps texts
+    of no candidate out of the shuffle before verification.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
@@ -200,43 +332,49 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     mean = float(sketch.sum()) / len(sketch)
     shared_sketch = spark.sparkContext.broadcast(sketch)
     prefixes = texts.select("text").mapInArrow(
-        _prefixes(width, percent, sketch_bits, shared_sketch, mean + 3 * mean ** 0.5 + 1), "sig bigint, n int, l int, tokens array<bigint>")
-    prefixes = written(prefixes, "join-prefixes")
-    rows = prefixes.select("sig", "n", "l", F.explode("tokens").alias("token"))
-    hubs = rows.groupBy("token").agg(F.min("sig").alias("hub"), F.max("sig").alias("_last"))
-    hubs = hubs.filter("hub <> _last").select("token", "hub")
-    met = written(rows.join(hubs, "token"), "join-met")
-    classes = written(met.groupBy("sig").agg(F.first("n").alias("n"), F.first("l").alias("l")), "join-classes")
-
-    hub_info = classes.select(F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("l").alias("hub_l"))
-    tries = met.filter("sig <> hub").groupBy("sig", "token", "hub", "n", "l").agg(F.lit(1).alias("_one"))
-    tries = tries.groupBy("sig", "hub", "n", "l").agg(F.count(F.lit(1)).alias("c"))
-    tries = tries.join(hub_info, "hub").filter(_fits("n", "hub_n", percent) & (F.col("c") >= F.least("l", "hub_l")))
-    tries = tries.groupBy("sig").agg(F.max(F.struct("c", "hub")).alias("_b")).select(F.col("sig").alias("a"), F.col("_b.hub").alias("b"))
+        _prefixes(width, percent, sketch_bits, shared_sketch, mean + 3 * mean ** 0.5 + 1, max(1024.0, 8 * mean)),
+        "sig bigint, n int, l int, n_hot int, tokens array<bigint>")
+    # A token's classes meet in one window.  The sketch never counts too low, so the window of a token that
+    # is not hot is bounded; a hot token's classes are dealt over slices and all stay.
+    rows = prefixes.select("sig", "n", "l", F.expr("size(tokens) - n_hot").alias("_cold"), F.posexplode("tokens").alias("_pos", "token"))
+    rows = rows.select("token", F.when(F.col("_pos") < F.col("_cold"), -1).otherwise(F.pmod("sig", F.lit(_SLICES)).cast("int")).alias("slice"), "sig", "n", "l")
+    w = Window.partitionBy("token", "slice")
+    met = rows.withColumn("_first", F.min("sig").over(w)).withColumn("_last", F.max("sig").over(w))
+    met = met.filter("slice >= 0 OR _first <> _last").select("token", "sig", "n", "l").distinct()
+    met = written(met, "join-met")
+    hubs = written(_hubs(met, percent), "join-hubs")
+    apart = written(_prefix_pairs(met, hubs, percent), "join-pairs")
+    classes = hubs.select("sig").union(apart.select("a")).union(apart.select("b")).distinct()
 
     owner = members.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    wanted = owner.join(classes.select("sig"), "sig", "left_semi").select("doc_id").distinct()
-    chosen = texts.join(wanted, "doc_id", "left_semi").union(texts.filter("doc_id IS NULL")).select("text")
-    sets = chosen.mapInArrow(_sets(width), "sig bigint, tokens array<bigint>")
-    sets = sets.join(classes.select("sig"), "sig", "left_semi")
-    sets = written(sets.dropDuplicates(["sig"]), "join-candidates")
-
-    links = written(verified(tries, sets, percent), "join-links")
-    part = connected_components(links, "join-parts")
-    comp = classes.join(part.select(F.col("node").alias("sig"), "component"), "sig", "left")
-    comp = comp.select("sig", F.coalesce("component", "sig").alias("component"))
-    open_rows = met.select("token", "sig", "n", "l").distinct().join(comp, "sig")
-    mixed = open_rows.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
-    open_rows = written(open_rows.join(mixed.select("token"), "token", "left_semi"), "join-open")
-    x = open_rows.select("token", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), F.col("component").alias("ac"))
-    y = open_rows.select("token", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("l").alias("bl"), F.col("component").alias("bc"))
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("ac") < F.col("bc")) & _fits("an", "bn", percent))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("al", "bl")).alias("l")).filter("c >= l").select("a", "b")
-    more = written(verified(pairs, sets, percent), "join-links")
-
-    final = connected_components(links.union(more), "join-parts").select(F.col("node").alias("sig"), "component")
-    named = members.join(final, "sig", "left").select("doc_id", "sig", "n", F.coalesce("component", "sig").alias("component"))
+    wanted = written(owner.join(classes, "sig", "left_semi").select("sig", "doc_id"), "join-wanted")
+    ids = wanted.select("doc_id").distinct()
+    likely = texts.filter(_maybe_in(ids, "doc_id", filter_bits))
+    chosen = likely.join(ids, "doc_id", "left_semi").union(texts.filter("doc_id IS NULL")).select("text")
+    sets = chosen.mapInArrow(_sets(width), "sig bigint, tokens array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    sets = written(sets, "join-candidates")
+
+    compared = written(_compared(hubs, sets, percent), "join-compared")
+    pairs = _same_hub_pairs(compared, percent).union(apart)
+    links = verified(pairs, sets, percent).union(compared.filter("linked AND sig <> hub").select("sig", "hub"))
+    comp = connected_components(links, "join-parts").select(F.col("node").alias("sig"), "component")
+
+    named = members.join(comp, "sig", "left").select("doc_id", "sig", "n", F.coalesce("component", "sig").alias("component"))
     named = written(named, "join-named")
     names = named.filter("sig IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = named.filter("sig IS NOT NULL").join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(named.filter("sig IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_per_component(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, one for each component.
+
+    The document whose id names the component stays.  Of several rows with
+    this id one stays: of equal ids the row of least text hash, and of wholly
+    equal rows any.  Rows without an id stay one for each component that has
+    no other document.
+    """
+    groups = jaccard_components(docs, width, percent)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id"))
+    return join_on(rows, kept, ["doc_id"], "left_semi").select("_row.*")
