@@ -136,7 +136,7 @@ def _sample_features(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "grade", "text").mapInArrow(run, "doc bigint, grade int, feature bigint, n int")
 
 
-def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 3000, n_features: int = 1 << 14, min_docs: int = 4,
+def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 2000, n_features: int = 1 << 11, min_docs: int = 4,
           spread: int = 1) -> OrdinalModel | None:
     """Fit on labels (doc_id, ``grade`` = 0, 1, ...) of ``docs``.
 
@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 3000,
         both = (F.col("a") + F.col("b") + 1.0) / (n0 + n1 + 2.0)
         z = F.abs(F.col("a") / n0 - F.col("b") / n1) / F.sqrt(both * (1 - both) + 1e-9)
         best = rates.filter(F.col("a") + F.col("b") >= min_docs).orderBy(z.desc(), "feature").limit(n_features).select("feature")
-        found = feats.join(F.broadcast(best), "feature").toPandas()
+        found = feats.join(F.broadcast(best), "feature").select("doc", "feature", "n").toPandas()
         everyone = feats.select("doc", "grade").distinct().toPandas()
     finally:
         feats.unpersist()
