@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm import adapt_join, latent_decontam, line_runs, mixing, ppm_language, pseudonyms, rendezvous, simhash, toxicity
+from vouch.llm import adapt_join, chat_parts, latent_decontam, line_runs, mixing, ppm_language, pseudonyms, rendezvous, simhash, toxicity
 from vouch.sources.tables import Tables, table_path
 
 QUERIES: dict = {}
@@ -100,6 +100,27 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(Tables(spark, sf_dir).documents)
 
 
+#: A conversation whose texts hold the control strings of the template.
+PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
+
+OP7_SQL = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {PROBE_ID}, 0, 'user', '{PROBE_TEXT}' UNION ALL SELECT {PROBE_ID}, 1, 'assistant', '{PROBE_TEXT}'),
+said AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+  length('### ') + length(role) + length(': ') + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + length('</turn>') + 1 AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id"""
+
+
+@query("op7_chat_parts", OP7_SQL)
+def op7_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(PROBE_ID, i, role, PROBE_TEXT) for i, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
+    rows = Tables(spark, sf_dir).conversations.select("conv_id", "turn", "role", "text").union(probe)
+    return chat_parts.read_back(chat_parts.format_turns(rows)).drop("attachment_tokens")
+
+
 OP8_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,

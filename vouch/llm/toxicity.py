@@ -136,7 +136,7 @@ def _sample_features(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "grade", "text").mapInArrow(run, "doc bigint, grade int, feature bigint, n int")
 
 
-def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 2000, n_features: int = 1 << 11, min_docs: int = 4,
+def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 2000, n_features: int = 1 << 13, min_docs: int = 4,
           spread: int = 1) -> OrdinalModel | None:
     """Fit on labels (doc_id, ``grade`` = 0, 1, ...) of ``docs``.
 
@@ -163,17 +163,18 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 2000,
         both = (F.col("a") + F.col("b") + 1.0) / (n0 + n1 + 2.0)
         z = F.abs(F.col("a") / n0 - F.col("b") / n1) / F.sqrt(both * (1 - both) + 1e-9)
         best = rates.filter(F.col("a") + F.col("b") >= min_docs).orderBy(z.desc(), "feature").limit(n_features).select("feature")
-        found = feats.join(F.broadcast(best), "feature").select("doc", "feature", "n").toPandas()
-        everyone = feats.select("doc", "grade").distinct().toPandas()
+        found = feats.join(F.broadcast(best), "feature").select("doc", "feature", "n").toArrow()
+        everyone = feats.select("doc", "grade").distinct().toArrow()
     finally:
         feats.unpersist()
-    found = found.sort_values(["doc", "feature"])
-    everyone = everyone.sort_values("doc")
-    place = {d: i for i, d in enumerate(everyone["doc"])}
-    names, cols = np.unique(found["feature"].to_numpy(), return_inverse=True)
-    rows = found["doc"].map(place).to_numpy()
-    vals = found["n"].to_numpy().astype(float)
-    y = everyone["grade"].map({g: i for i, g in enumerate(grades)}).to_numpy()
+    ids, order = everyone["doc"].to_numpy(), everyone["grade"].to_numpy()
+    y = np.searchsorted(np.array(grades), order[np.argsort(ids)])
+    doc, feature = found["doc"].to_numpy(), found["feature"].to_numpy()
+    line = np.lexsort((feature, doc))
+    rows = np.searchsorted(np.sort(ids), doc[line]).astype(np.int32)
+    names, cols = np.unique(feature[line], return_inverse=True)
+    cols, vals = cols.astype(np.int32), found["n"].to_numpy()[line].astype(float)
+    del found, doc, feature, line
     if not len(names):
         return None
     w, t = fit_ordinal(rows, cols, vals, y, len(names))
