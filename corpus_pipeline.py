@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again.
+
+Documents graded toxic go; one document of each group of near copies stays;
+documents that hold a benchmark item go; the rest are mixed to the target
+weights of their sources (a document stays 0, 1 or 2 times) and dealt over
+shards.  Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +14,16 @@ from vouch.llm import queries as Q
 from vouch.llm.common import written
 from vouch.sources.tables import Tables
 
-STAGES: list = [
+STAGES = [
+    ("toxicity", Q.stage_toxicity),
+    ("near_duplicates", Q.stage_near_duplicates),
+    ("decontamination", Q.stage_decontamination),
     ("mixing", Q.stage_mixing),
     ("sharding", Q.stage_sharding),
 ]
 
+#: SQL expresses neither the learned severity nor the latent retrieval; the
+#: tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -240,25 +240,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _hubs(met: DataFrame, percent: int) -> DataFrame:
-    """(sig, hub) of the classes that share at least a quarter of their prefix
-    with a hub: the hub that shares most; a token's hub is the class whose
-    tokens are met most often."""
+    """(sig, hub): the hub that shares most of the class's prefix; a token's hub
+    is the class whose tokens are met most often.  Only classes that share a
+    quarter of their prefix with it, or whose tokens are met more often than
+    the class has shingles (so that comparing it is cheaper), have a hub."""
     central = met.join(met.groupBy("token").agg(F.count(F.lit(1)).alias("_m")), "token").groupBy("sig").agg(F.sum("_m").alias("_central"))
     rows = written(met.join(central, "sig"), "join-central")
     top = rows.groupBy("token").agg(F.max("_central").alias("_central"))
     hubs = rows.join(top, ["token", "_central"]).groupBy("token").agg(F.min("sig").alias("hub"))
-    tries = rows.select("token", "sig", "n", "l").join(hubs, "token").groupBy("sig", "n", "l", "hub").agg(F.count(F.lit(1)).alias("c"))
+    tries = rows.join(hubs, "token").groupBy("sig", "n", "l", rows["_central"], "hub").agg(F.count(F.lit(1)).alias("c"))
     prefix = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + F.col("l")
-    tries = tries.filter((F.col("sig") == F.col("hub")) | (4 * F.col("c") >= prefix))
-    # A class that is a hub keeps itself, so its members meet it here only.
-    best = F.max(F.struct((F.col("sig") == F.col("hub")).alias("own"), F.col("c"), F.col("hub")))
+    tries = tries.filter((F.col("sig") == F.col("hub")) | (4 * F.col("c") >= prefix) | (F.col("_central") >= F.col("n")))
+    best = F.max(F.struct(F.col("c"), (F.col("sig") == F.col("hub")).alias("own"), F.col("hub")))
     chosen = tries.groupBy("sig").agg(best.alias("_b")).select("sig", F.col("_b.hub").alias("hub"))
     used = chosen.filter("sig <> hub").select("hub").distinct()
     return chosen.join(used, "hub", "left_semi").select("sig", "hub")
 
 
 def _compared(hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, hub, n, linked, half, long): the comparison of each class with its hub.
+    """(sig, hub, n, size, linked, half, long): the comparison of each class with its hub.
 
     With r = (100 - percent) / (100 + percent), x and y link when their
     difference is at most r (nx + ny).  If y does not link to the hub, a link
@@ -277,15 +277,17 @@ def _compared(hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rest = F.expr(f"cast(ceil(size(d) - n * {100 - percent} / {percent}) as int)")
     long = F.when(linked, 0).otherwise(F.greatest(half, size - F.greatest(rest, F.lit(1)) + 1))
     both = both.withColumn("_h", F.least(half, size)).withColumn("_l", F.least(long, size))
-    return both.select("sig", "hub", "n", linked.alias("linked"), F.slice("d", F.lit(1), F.col("_h")).alias("half"),
+    return both.select("sig", "hub", "n", size.alias("size"), linked.alias("linked"), F.slice("d", F.lit(1), F.col("_h")).alias("half"),
                        F.slice("d", F.lit(1), F.col("_l")).alias("long"))
 
 
 def _same_hub_pairs(compared: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one hub, a not linked to it, that share a token of long(a) and half(b)."""
-    a = compared.filter("not linked").select(F.col("hub").alias("h"), F.col("sig").alias("a"), F.col("n").alias("an"), F.explode("long").alias("t"))
-    b = compared.select(F.col("hub").alias("h"), F.col("sig").alias("b"), F.col("n").alias("bn"), F.explode("half").alias("t"))
-    return a.join(b, ["h", "t"]).filter((F.col("a") != F.col("b")) & _fits("an", "bn", percent)).select("a", "b").distinct()
+    """(a, b) of one hub, a not linked to it, that share a token of long(a) and
+    half(b) and whose differences from the hub are near enough in size."""
+    a = compared.filter("not linked").select(F.col("hub").alias("h"), F.col("sig").alias("a"), F.col("n").alias("an"), F.col("size").alias("ad"), F.explode("long").alias("t"))
+    b = compared.select(F.col("hub").alias("h"), F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("size").alias("bd"), F.explode("half").alias("t"))
+    near = F.abs(F.col("ad") - F.col("bd")) * (100 + percent) <= (100 - percent) * (F.col("an") + F.col("bn"))
+    return a.join(b, ["h", "t"]).filter((F.col("a") != F.col("b")) & near & _fits("an", "bn", percent)).select("a", "b").distinct()
 
 
 def _prefix_pairs(met: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
