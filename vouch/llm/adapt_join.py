@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
-from vouch.llm.common import connected_components, join_on, written
+from vouch.llm.common import connected_components, join_on, small_batches, written
 from vouch.llm.shingles import shingle_set
 
 #: The sketch is summed in pieces of this many counters.
@@ -86,12 +86,13 @@ def choose_matches(counts: np.ndarray, n: int, percent: int, noise: float) -> in
 
 
 def _describe(width: int, bits: int):
-    """Pass 1: (doc_id, sig, n) per document and the task's counters per piece."""
+    """Pass 1: (doc_id, text_hash, sig, n) per document and the task's counters per piece."""
+    names = ["doc_id", "text_hash", "sig", "n", "piece", "counts"]
 
     def run(batches):
         counts = np.zeros(1 << bits, np.int64)
         for b in batches:
-            ids, sigs, ns, seen = b.column("doc_id"), [], [], []
+            ids, keys, sigs, ns, seen = b.column("doc_id"), b.column("text_hash"), [], [], []
             for text in b.column("text"):
                 t = shingle_set(text.as_py(), width)
                 sigs.append(signature(t) if len(t) else None)
@@ -102,15 +103,13 @@ def _describe(width: int, bits: int):
                 counts += np.bincount(every.astype(np.int64), minlength=1 << bits)
             k = len(ns)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sigs, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                ["doc_id", "sig", "n", "piece", "counts"])
+                [ids, keys, pa.array(sigs, pa.int64()), pa.array(ns, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         step = min(_PIECE, 1 << bits)
         for i in range(0, 1 << bits, step):
             part = counts[i:i + step]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i // step], pa.int32()),
-                     pa.array([part.astype("<i8").tobytes()], pa.binary())], ["doc_id", "sig", "n", "piece", "counts"])
+                    [*[pa.nulls(1, pa.int64())] * 4, pa.array([i // step], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names)
 
     return run
 
@@ -309,9 +308,10 @@ def _prefix_pairs(met: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.col("c") >= F.greatest(F.least("al", "bl"), overlap - outside)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20,
-                       filter_bits: int = 24) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+def classes_of(docs: DataFrame, width: int, percent: int, sketch_bits: int = 20, filter_bits: int = 24) -> DataFrame:
+    """(doc_id, text_hash, sig, n, component) of every row of ``docs``: the class
+    of its shingle set and one class that names the component (null when the
+    set is empty).
 
     Two documents link when 100 * intersection >= percent * union of their
     ``width``-word shingle sets.  ``sketch_bits`` sizes the count sketch
@@ -322,9 +322,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    first = written(texts.mapInArrow(_describe(width, sketch_bits), "doc_id bigint, sig bigint, n bigint, piece int, counts binary"), "join-sets")
-    members = first.filter("piece IS NULL").select("doc_id", "sig", "n")
+    small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    first = hashed.mapInArrow(_describe(width, sketch_bits), "doc_id bigint, text_hash bigint, sig bigint, n bigint, piece int, counts binary")
+    first = written(first, "join-sets")
+    members = first.filter("piece IS NULL").select("doc_id", "text_hash", "sig", "n")
     pieces = first.filter("piece IS NOT NULL").select("piece", "counts")
     pieces = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(_add_pieces, "piece int, counts binary")
     sketch = np.zeros(1 << sketch_bits, np.int64)
@@ -361,8 +364,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     links = verified(pairs, sets, percent).union(compared.filter("linked AND sig <> hub").select("sig", "hub"))
     comp = connected_components(links, "join-parts").select(F.col("node").alias("sig"), "component")
 
-    named = members.join(comp, "sig", "left").select("doc_id", "sig", "n", F.coalesce("component", "sig").alias("component"))
-    named = written(named, "join-named")
+    named = members.join(comp, "sig", "left").select("doc_id", "text_hash", "sig", "n", F.coalesce("component", "sig").alias("component"))
+    return written(named, "join-named")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = 20, filter_bits: int = 24) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the component) for
+    every row of ``docs`` (doc_id, text)."""
+    named = classes_of(docs, width, percent, sketch_bits, filter_bits)
     names = named.filter("sig IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = named.filter("sig IS NOT NULL").join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(named.filter("sig IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
@@ -371,12 +380,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
 def one_per_component(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, one for each component.
 
-    The document whose id names the component stays.  Of several rows with
-    this id one stays: of equal ids the row of least text hash, and of wholly
-    equal rows any.  Rows without an id stay one for each component that has
-    no other document.
+    The row of the smallest doc_id stays (rows without an id come last), of
+    several rows of this id the one of least text hash, and of rows equal in
+    both the one of least row hash.  A text without words links with nothing,
+    so all its rows stay.
     """
-    groups = jaccard_components(docs, width, percent)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id"))
-    return join_on(rows, kept, ["doc_id"], "left_semi").select("_row.*")
+    named = classes_of(docs, width, percent).filter("sig IS NOT NULL")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_b")
+    kept = named.groupBy("component").agg(best).select("_b.doc_id", "_b.text_hash")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wordless = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    rows = rows.select("_row", "doc_id", F.xxhash64("text").alias("text_hash"), wordless.alias("_wordless"))
+    chosen = join_on(rows.filter("NOT _wordless"), kept, ["doc_id", "text_hash"], "left_semi")
+    chosen = chosen.groupBy("doc_id", "text_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return chosen.select("_row.*").union(rows.filter("_wordless").select("_row.*"))
