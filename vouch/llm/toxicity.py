@@ -31,6 +31,8 @@ from vouch.llm.common import sampled, small_batches
 
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&/\\-_=+~`|…„“”«»¿¡"
 _CACHE = 1 << 18
+#: Least distance of two thresholds.
+_GAP = 1e-3
 
 
 def word_features(token: str) -> list[str]:
@@ -85,32 +87,27 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndar
     grade_weight = n / (k * np.bincount(y, minlength=k).astype(float))
     g = grade_weight[y] / n
     share = np.cumsum(np.bincount(y, weights=grade_weight[y], minlength=k))[:-1] / n
-    first = np.log(share[0] / (1 - share[0]))
-    # Thresholds are t_0 and the logarithms of the gaps to the next ones.
-    gaps = np.log(np.maximum(np.diff(np.log(share / (1 - share))), 1e-3))
-    theta = np.concatenate([[first], gaps])
+    theta = np.log(share / (1 - share))
     w = np.zeros(n_features)
     scale = np.bincount(cols, weights=vals ** 2 * g[rows], minlength=n_features) + 1e-6
     rate = 1.0 / np.maximum(np.bincount(rows, weights=vals, minlength=n).max() ** 0.5, 1.0)
-    vw, vt, w_old, t_old, momentum = w.copy(), theta.copy(), w, theta, 1.0
+    vw, vt, w_old, momentum = w.copy(), theta, w, 1.0
     for _ in range(steps):
         s = np.bincount(rows, weights=vals * vw[cols], minlength=n)
-        t = np.concatenate([[-np.inf], vt[0] + np.concatenate([[0.0], np.cumsum(np.exp(vt[1:]))]), [np.inf]])
+        t = np.concatenate([[-np.inf], vt, [np.inf]])
         hi, lo = _sigmoid(t[y + 1] - s), _sigmoid(t[y] - s)
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)
         ds = g * (dhi - dlo) / p
         dt = np.bincount(y, weights=-g * dhi / p, minlength=k)[:-1] + np.bincount(y, weights=g * dlo / p, minlength=k)[1:]
-        tail = np.cumsum(dt[::-1])[::-1]
-        grad_t = np.concatenate([[tail[0]], tail[1:] * np.exp(vt[1:])])
         step = rate / np.sqrt(scale)
         new = vw - step * np.bincount(cols, weights=vals * ds[rows], minlength=n_features)
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0.0)
-        theta_new = vt - np.clip(grad_t, -1.0, 1.0)
+        # Thresholds take a plain step and stay in order.
+        vt = np.maximum.accumulate(vt - np.clip(dt, -1.0, 1.0) - _GAP * np.arange(k - 1)) + _GAP * np.arange(k - 1)
         m = (1 + (1 + 4 * momentum ** 2) ** 0.5) / 2
-        vw, vt = new + (momentum - 1) / m * (new - w_old), theta_new + (momentum - 1) / m * (theta_new - t_old)
-        w_old, t_old, momentum = new, theta_new, m
-    return w_old, t_old[0] + np.concatenate([[0.0], np.cumsum(np.exp(t_old[1:]))])
+        vw, w_old, momentum = new + (momentum - 1) / m * (new - w_old), new, m
+    return w_old, vt
 
 
 def _sample_features(rows: DataFrame) -> DataFrame:
