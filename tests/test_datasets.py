@@ -39,15 +39,40 @@ def test_length_option(spark):
     assert not v.valid and v.changed == 1
 
 
-def test_repair_restores_source(spark):
+def test_repair_restores_source_with_repeated_keys_and_rows(spark):
     from vouch.operators.compare import bag_difference
     from vouch.session import work_path
 
-    src = spark.range(0, 200).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.lit(None).cast("string").alias("s"))
-    damaged = D.damaged_copy(src, F.col("k") > 150, F.col("k") == 3, "v", -1)
-    damaged = damaged.unionByName(spark.createDataFrame([(999, 0, "x")], "k long, v long, s string"))
+    src = spark.range(0, 200).select((F.col("id") % 50).alias("k"), (F.col("id") % 100).alias("v"), F.lit(None).cast("string").alias("s"))
+    changed = src.withColumn("v", F.when(F.col("k") == 3, F.lit(-1).cast("long")).otherwise(F.col("v")))
+    damaged = changed.where(F.col("k") < 40).unionByName(src.where(F.col("k") == 7)).unionByName(
+        spark.createDataFrame([(999, 0, "x")], "k long, v long, s string"))
     fixed = D.repair_table(src, damaged, ["k"], work_path(spark, "t-repair"))
     assert {r.side: r.rows_differing for r in bag_difference(src, fixed).collect()} == {"actual_only": 0, "expected_only": 0}
+    assert fixed.count() == 200
+
+
+def test_install_makes_any_copy_right(spark):
+    from vouch.session import path_exists, work_path
+
+    source, target = work_path(spark, "t-src"), work_path(spark, "t-dst")
+    spark.range(100).write.parquet(source)
+    for damaged in (spark.range(90), spark.range(120), spark.range(100).union(spark.range(5)), spark.range(3).selectExpr("cast(id as string) x")):
+        damaged.write.mode("overwrite").parquet(target)
+        assert sorted(r.id for r in D.install_table(spark, source, target).collect()) == list(range(100))
+    half = work_path(spark, "t-half")
+    spark.range(100).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(half)
+    assert not path_exists(spark, half + "/_SUCCESS") and not D.is_complete(spark, half)
+    assert D.install_table(spark, source, half).count() == 100 and D.is_complete(spark, half)
+
+
+def test_listing_errors_are_raised(spark):
+    import pytest
+
+    from vouch.sources.files import list_tree
+
+    with pytest.raises(Exception):
+        list_tree(spark.createDataFrame([("nosuchscheme://bucket/x",)], "root string")).collect()
 
 
 def test_staged_choice(spark):

@@ -69,7 +69,7 @@ def test_stream_wait_by_name(spark):
     q = P.start_file_stream(spark, src, events.schema, f"{base}/sink", f"{base}/progress", f"{base}/ckpt",
                             name="t_stream_wait", checks=per_batch)
     try:
-        seen = P.wait_until_ready(spark, "t_stream_wait", f"{base}/progress", min_batches=2, timeout=300)
+        seen = P.wait_until_ready(spark, "t_stream_wait", f"{base}/progress", min_batches=2, stall=300)
         q.awaitTermination(300)
     finally:
         P.stop_queries([q])

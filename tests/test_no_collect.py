@@ -8,7 +8,7 @@ no-op sink.  The per-user table reads its touched bucket ids (at most
 import pytest
 from pyspark.sql import DataFrame
 
-import __spark_entry__ as entry
+from vouch.queries import all_queries
 from conftest import SMALL_SF
 
 ROW_ACTIONS = ["collect", "toPandas", "take", "head", "first", "tail", "toLocalIterator"]
@@ -16,14 +16,14 @@ ROW_ACTIONS = ["collect", "toPandas", "take", "head", "first", "tail", "toLocalI
 ALLOWED = {"per_user_materialise", "per_user_drop"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - ALLOWED))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - ALLOWED))
 def test_query_collects_nothing(spark, name, monkeypatch):
     def forbid(action):
         def raiser(self, *a, **k):
             raise AssertionError(f"{name} called DataFrame.{action}")
         return raiser
 
-    fn = entry.queries()[name]
+    fn = all_queries()[name]
     for action in ROW_ACTIONS:
         monkeypatch.setattr(DataFrame, action, forbid(action))
     df = fn(spark, SMALL_SF)

@@ -38,10 +38,19 @@ def test_manifest_diff_is_one_path_shuffle(spark):
     assert "Join" not in plan
 
 
-def test_ordered_difference_broadcasts_only_offsets(spark):
-    orders = spark.read.parquet(f"{SMALL_SF}/orders.parquet")
-    plan = final_plan(CMP.ordered_difference(orders, orders, ["o_orderkey"]))
-    assert "rangepartitioning" in plan                             # numbering by ranges, no single-task sort
+def test_ordered_difference_numbers_a_stored_frame(spark):
+    """Positions come from a checkpointed, ranged frame, so they stay right when
+    no exchange is reused; only the per-partition offsets are broadcast."""
+    lineitem = spark.read.parquet(f"{SMALL_SF}/lineitem.parquet")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        numbered = CMP.with_positions(lineitem, ["l_orderkey", "l_linenumber"], 40)
+        r = numbered.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_pos").alias("d"), F.max("_pos").alias("m")).first()
+        assert (r["n"], r["m"]) == (r["d"], r["d"] - 1) and r["n"] == lineitem.count()
+        plan = final_plan(CMP.ordered_difference(lineitem, lineitem, ["l_orderkey"]))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert "rangepartitioning" not in plan and "ExistingRDD" in plan
     assert "Window" in plan and "SinglePartition" in plan          # only the per-partition counts are windowed
     for block in plan.split("BroadcastExchange")[1:]:
         assert "_off" in block.split("\n")[0] or "_pid" in block.split("\n")[0] or "_pid" in block[:400]

@@ -104,16 +104,24 @@ def namespace_columns(user: Column | str, cfg: NamingConfig) -> list[Column]:
     ]
 
 
-def schema_prefix_of(schema: Column | str, cfg: NamingConfig) -> Column:
-    """Recover the user prefix from a per-user schema name ('' when it is not one).
-
-    The prefix ends with the hash and the course code, so an anchored regex
-    extracts it and the stale-namespace test becomes an equi-join.
+def schema_prefixes_of(schema: Column | str, cfg: NamingConfig) -> Column:
+    """All user prefixes that a per-user schema name may start with (empty
+    array when it is none).
+
+    A prefix ends with the hash and the course code, followed by ``_`` or the
+    end.  A lesson name may hold the same form again, so every such end counts
+    (at most one for each character of the name); the stale-namespace test is
+    an equi-join on them.
     """
     tag = clean_text(cfg.schema_tag).lower()
     course = clean_text(cfg.course_code).lower()
-    pattern = f"^({tag}_.+_[0-9a-f]{{{cfg.hash_length}}}_{course})(_.*)?$"
-    return F.regexp_extract(_c(schema), pattern, 1)
+    name = _c(schema)
+    end = f"_[0-9a-f]{{{cfg.hash_length}}}_{course}$"
+    cuts = F.sequence(F.lit(1), F.greatest(F.char_length(name), F.lit(1)))
+    heads = F.transform(cuts, lambda n: F.when((n == F.char_length(name)) | (F.substring(name, n + 1, F.lit(1)) == "_"), F.substring(name, F.lit(1), n)))
+    starts = name.startswith(f"{tag}_")
+    found = F.filter(heads, lambda h: h.isNotNull() & h.rlike(f"^{tag}_.+{end}"))
+    return F.when(starts, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def lesson_bucket(path: Column | str, buckets: int = 10000) -> Column:

@@ -8,6 +8,9 @@ non-NULL boolean so a check can never be "unknown".
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
+import math
 from typing import Any
 
 from pyspark.sql import Column
@@ -41,6 +44,15 @@ def lit_type(value: Any) -> T.DataType:
         return T.StringType()
     if isinstance(value, (bytes, bytearray)):
         return T.BinaryType()
+    if isinstance(value, decimal.Decimal):
+        return T.DecimalType(38, 18)
+    if isinstance(value, dt.datetime):
+        return T.TimestampType()
+    if isinstance(value, dt.date):
+        return T.DateType()
+    if isinstance(value, (list, tuple)):
+        kinds = [lit_type(v) for v in value if v is not None]
+        return T.ArrayType(kinds[0] if kinds else T.NullType())
     raise TypeError(f"unsupported literal type {type(value).__name__}")
 
 
@@ -56,19 +68,59 @@ def py_equal(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> Co
     if isinstance(a_type, T.NullType) or isinstance(b_type, T.NullType):
         return F.coalesce(both_null, F.lit(False))
     if is_numeric(a_type) and is_numeric(b_type):
-        if isinstance(a_type, _INTEGRAL) and isinstance(b_type, _INTEGRAL):
-            eq = a.cast("long") == b.cast("long")
-        else:
-            da, db = a.cast("double"), b.cast("double")
-            eq = (da == db) & ~F.isnan(da) & ~F.isnan(db)
-        return both_null | F.coalesce(eq, F.lit(False))
+        return both_null | F.coalesce(_same_number(a, a_type, b, b_type), F.lit(False))
     if is_string(a_type) and is_string(b_type):
         return a.eqNullSafe(b)
-    if type(a_type) is type(b_type):
+    if isinstance(a_type, T.ArrayType) and isinstance(b_type, T.ArrayType):
+        x, y = a_type.elementType, b_type.elementType
+        if isinstance(x, T.NullType) or isinstance(y, T.NullType) or kind_of(x) == kind_of(y):
+            return a.eqNullSafe(b)
+        # Elements of different kinds: equal only where every pair is.
+        pairs = F.forall(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: py_equal(p["x"], x, p["y"], y))
+        return both_null | F.coalesce((F.size(a) == F.size(b)) & pairs, F.lit(False))
+    if kind_of(a_type) == kind_of(b_type):
         return a.eqNullSafe(b)
     return both_null
 
 
+def kind_of(dt: T.DataType) -> str:
+    """Values of different kinds are never equal."""
+    if isinstance(dt, T.BooleanType):
+        return "boolean"
+    if isinstance(dt, _INTEGRAL):
+        return "integral"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "floating"
+    if is_string(dt):
+        return "string"
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return "timestamp"
+    return type(dt).__name__
+
+
+def _same_number(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> Column:
+    """Equality by exact value, never through a rounding cast."""
+    ka, kb = kind_of(a_type), kind_of(b_type)
+    whole = ("integral", "boolean")
+    if ka in whole and kb in whole:
+        return a.cast("long") == b.cast("long")
+    if kb in whole:  # the whole number comes first
+        a, ka, b, kb = b, kb, a, ka
+    if kb == "floating":
+        d = b.cast("double")
+        if ka in whole:
+            # beyond 2^53 a double is compared as the whole number that it is
+            return (d == F.floor(d)) & (d >= F.lit(-(2.0 ** 63))) & (d < F.lit(2.0 ** 63)) & (b.try_cast("long") == a.cast("long"))
+        if ka == "floating":
+            return (a.cast("double") == d) & ~F.isnan(d)
+        return (a.cast("double") == d) & ~F.isnan(d)
+    if ka == "floating":
+        return (a.cast("double") == b.cast("double")) & ~F.isnan(a.cast("double"))
+    if ka in whole:
+        return (b == F.floor(b)) & (b.cast("decimal(38,0)") == a.cast("long").cast("decimal(38,0)"))
+    return a == b
+
+
 def floats_close(a: Column, b: Column, tolerance: float = 0.01) -> Column:
     """Both NULL pass; one NULL, unparsable text, NaN or inf-inf fail."""
     da, db = a.try_cast("double"), b.try_cast("double")
@@ -123,21 +175,27 @@ def comparable_values(c: Column, dt: T.DataType, values: list[Any]) -> tuple[Col
         keep = [v for v in values if isinstance(v, str)]
         key_type = T.StringType()
     elif is_numeric(dt):
-        keep = [v for v in values if isinstance(v, (int, float)) and v == v]
-        if isinstance(dt, T.BooleanType):
+        numbers = [v for v in values if isinstance(v, (int, float, decimal.Decimal)) and v == v]
+        kind = kind_of(dt)
+        if kind in ("integral", "boolean"):
             c, key_type = c.cast("long"), T.LongType()
-            keep = [int(v) for v in keep if float(v).is_integer()]
-        elif not isinstance(dt, _INTEGRAL) or any(isinstance(v, float) and not isinstance(v, bool) for v in keep):
+            keep = [int(v) for v in numbers if not _endless(v) and v == int(v) and -(1 << 63) <= v < 1 << 63]
+        elif kind == "floating":
             c, key_type = c.cast("double"), T.DoubleType()
-            keep = [float(v) for v in keep]
+            keep = [float(v) for v in numbers if isinstance(v, decimal.Decimal) or float(v) == v]
         else:
-            c, key_type = c.cast("long"), T.LongType()
-            keep = [int(v) for v in keep]
+            keep = [decimal.Decimal(repr(v)) if isinstance(v, float) else decimal.Decimal(v) for v in numbers if not _endless(v)]
+            keep = [d for d in keep if -d.as_tuple().exponent <= dt.scale and d.adjusted() < dt.precision - dt.scale]
+            keep = [d.quantize(decimal.Decimal(1).scaleb(-dt.scale), context=decimal.Context(prec=38)) for d in keep]
     else:
-        keep = [v for v in values if v is not None]
+        keep = [v for v in values if v is not None and kind_of(lit_type(v)) == kind_of(dt)]
     return c, key_type, keep, has_none
 
 
+def _endless(v: Any) -> bool:
+    return math.isinf(v)
+
+
 def in_values(c: Column, dt: T.DataType, values: list[Any]) -> Column:
     """Python ``x in values``: membership with Python equality, NULL allowed
     when the list holds None.  Values of another kind never match."""

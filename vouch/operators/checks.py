@@ -219,40 +219,22 @@ def sequence_matches(actual: Any, expected: Any, ordered: bool, aggregate: bool)
     return build
 
 
-def _misses(target: DataFrame, probe: Column, keys: DataFrame) -> DataFrame:
-    """Rows of ``target`` whose probe value is not among ``keys._k``
-    (null-safe: a NULL key admits NULL values, like ``None in [...]``)."""
-    misses = target.select(probe.alias("_p")).join(keys, F.col("_p").eqNullSafe(keys["_k"]), "left_anti")
-    return misses.agg(F.count(F.lit(1)).alias("violations")).select(
-        "violations", F.col("violations").cast("string").alias("actual"))
-
-
 def anti_join_count(target: DataFrame, column: str, allowed: DataFrame, allowed_column: str) -> Callable[[DataFrame], DataFrame]:
     """Membership in a set given as a table: rows of ``target`` whose value is
-    not in ``allowed``.  A hash anti join on the de-duplicated set; AQE
-    broadcasts the set only once its measured size is under the threshold,
-    otherwise both sides shuffle."""
+    not in ``allowed`` (null-safe: a NULL key admits NULL values).
+
+    The target is first counted by value, combined map-side, so a hot value is
+    one row per task; only distinct values meet the set.  Values of another
+    kind than the set's never match."""
 
     def build(_: DataFrame) -> DataFrame:
         keys = allowed.select(F.col(allowed_column).alias("_k")).distinct()
-        return _misses(target, F.col(column), keys)
-
-    return build
-
-
-LARGE_LIST = 1000  # beyond this many literals, membership becomes a join
-
-
-def member_of_large(target: DataFrame, column: str, values: list[Any]) -> Callable[[DataFrame], DataFrame]:
-    """Membership in a long Python list: the list becomes a small relation
-    (its size is the list's, already held by the driver, so broadcasting it
-    is bounded) and the check an anti join instead of a huge IN literal."""
-
-    def build(df: DataFrame) -> DataFrame:
-        probe, key_type, keep, has_none = V.comparable_values(F.col(column), column_type(df, column), values)
-        rows = [(v,) for v in dict.fromkeys(keep)] + ([(None,)] if has_none else [])
-        keys = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_k", key_type, True)]))
-        return _misses(target, probe, F.broadcast(keys))
+        if V.kind_of(target.schema[column].dataType) != V.kind_of(keys.schema["_k"].dataType):
+            keys = keys.where(F.col("_k").isNull()).select(F.lit(None).cast(target.schema[column].dataType).alias("_k"))
+        counted = target.groupBy(F.col(column).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        misses = counted.join(keys, F.col("_p").eqNullSafe(F.col("_k")), "left_anti")
+        return misses.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("violations")).select(
+            "violations", F.col("violations").cast("string").alias("actual"))
 
     return build
 

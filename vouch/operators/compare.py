@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vouch.functions.values import kind_of
+from vouch.session import ensure_checkpoint_dir
+
 ACTUAL_ONLY, EXPECTED_ONLY, CHANGED = "actual_only", "expected_only", "changed"
 _POS_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 33
 
@@ -37,6 +40,12 @@ def _check_names(df: DataFrame, label: str) -> list[str]:
     return sorted(names)
 
 
+def _same_kinds(a: DataFrame, b: DataFrame, names: list[str]) -> bool:
+    """Types come first: columns of one name whose kinds differ never compare
+    equal (1 is not '1', and a whole number is not a floating one)."""
+    return all(kind_of(a.schema[n].dataType) == kind_of(b.schema[n].dataType) for n in names)
+
+
 def _sides(spark_df: DataFrame, pairs: list[tuple[str, Column]]) -> DataFrame:
     """One aggregate row turned into (side, rows_differing) rows."""
     structs = [F.struct(F.lit(s).alias("side"), c.cast("long").alias("rows_differing")) for s, c in pairs]
@@ -53,7 +62,7 @@ def bag_difference(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """
     a_names = _check_names(actual, "actual")
     b_names = _check_names(expected, "expected")
-    if a_names != b_names:
+    if a_names != b_names or not _same_kinds(actual, expected, a_names):
         counts = actual.agg(F.count(F.lit(1)).alias("n")).select(F.col("n"), F.lit(0).alias("m"))
         totals = counts.unionByName(expected.agg(F.count(F.lit(1)).alias("m")).select(F.lit(0).alias("n"), "m"))
         agg = totals.agg(F.sum("n").alias("a"), F.sum("m").alias("b"))
@@ -91,7 +100,12 @@ def with_positions(df: DataFrame, order_by: list[str], partitions: int | None =
     partition, so broadcasting it is bounded by the partition count.
     Rows repeated many times are spread by a salt, so no task holds a hot
     group of copies.
+
+    The ranged, sorted frame is written to the checkpoint folder once; counts
+    and numbers are both read from it, so positions never depend on an
+    exchange being run only once.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     names = order_by + [n for n in sorted(df.columns) if n not in order_by]
     keys = [F.col(f"`{n}`") for n in names if not isinstance(df.schema[n].dataType, T.MapType)]
     # Identical rows cannot be split by range bounds; a per-occurrence salt as
@@ -107,7 +121,7 @@ def with_positions(df: DataFrame, order_by: list[str], partitions: int | None =
         "*",
         F.shiftright(F.col("_mid"), _POS_BITS).alias("_pid"),
         F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("_local"),
-    )
+    ).checkpoint()
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -121,25 +135,49 @@ def with_positions(df: DataFrame, order_by: list[str], partitions: int | None =
 
 
 def ordered_difference(actual: DataFrame, expected: DataFrame, order_by: list[str]) -> DataFrame:
-    """Position-by-position comparison in an explicit total order."""
+    """Position-by-position comparison in an explicit total order.  An order
+    column that one side lacks is an error."""
     a_names = _check_names(actual, "actual")
     b_names = _check_names(expected, "expected")
-    a = with_positions(actual, [c for c in order_by if c in a_names])
-    b = with_positions(expected, [c for c in order_by if c in b_names])
+    for c in order_by:
+        if c not in a_names or c not in b_names:
+            raise ValueError(f"unknown order column: {c}")
+    if a_names != b_names or not _same_kinds(actual, expected, a_names):
+        return bag_difference(actual, expected)
+    a = with_positions(_groupable(actual), order_by)
+    b = with_positions(_groupable(expected), order_by)
     return _joined_difference(a.alias("l"), b.alias("r"), ["_pos"], a_names, b_names)
 
 
 def keyed_difference(actual: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:
-    """Row-by-row comparison by a unique key (the cheap path: no numbering).
+    """Row-by-row comparison by key, also with NULL and repeated keys.
 
-    A full outer sort-merge join on the key.  The key must be unique on each
-    side: AQE's skew split does not apply to full outer joins, and with
-    unique keys no key can be hot.  For data with repeated keys use the
-    ordered or bag comparison.
+    Both sides are tagged and unioned, counted by whole row (map-side first)
+    and then by key.  A key's surplus rows of one side pair off with the
+    other side's as changed; the rest is there on one side only.  A key that
+    occurs n and m times costs n + m rows, never n x m.
     """
     a_names = _check_names(actual, "actual")
     b_names = _check_names(expected, "expected")
-    return _joined_difference(actual.alias("l"), expected.alias("r"), key, a_names, b_names)
+    for k in key:
+        if k not in a_names or k not in b_names:
+            raise ValueError(f"unknown key column: {k}")
+    whole = a_names == b_names and _same_kinds(actual, expected, a_names)
+    if not _same_kinds(actual, expected, key):
+        return bag_difference(actual, expected)
+    names = a_names if whole else key
+    cols = [F.col(f"`{n}`") for n in names]
+    a, b = _groupable(actual.select(*cols)), _groupable(expected.select(*cols))
+    tagged = a.withColumn("_na", F.lit(1)).withColumn("_nb", F.lit(0)).unionByName(b.withColumn("_na", F.lit(0)).withColumn("_nb", F.lit(1)))
+    rows = tagged.groupBy(*cols).agg(F.sum("_na").alias("_na"), F.sum("_nb").alias("_nb"))
+    if whole:  # equal rows cancel out; where columns differ, no two rows are equal
+        both = F.least("_na", "_nb")
+        rows = rows.select(*cols, (F.col("_na") - both).alias("_na"), (F.col("_nb") - both).alias("_nb"))
+    per_key = rows.groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.sum("_na").alias("_na"), F.sum("_nb").alias("_nb"))
+    changed = F.least("_na", "_nb")
+    agg = per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in
+                        (("a", F.col("_na") - changed), ("b", F.col("_nb") - changed), ("c", changed))])
+    return _sides(agg, [(ACTUAL_ONLY, F.col("a")), (EXPECTED_ONLY, F.col("b")), (CHANGED, F.col("c"))])
 
 
 def _joined_difference(l: DataFrame, r: DataFrame, key: list[str], a_names: list[str], b_names: list[str]) -> DataFrame:

@@ -12,22 +12,25 @@ Two operators:
   i.e. ``seq > first failing seq``.  One partial aggregate per suite plus a
   join - no window, so a suite holding a third of all checks is never sorted
   in one task (the aggregate combines map-side; AQE splits the skewed join).
-- ``skip_by_graph``: explicit edges.  Semi-naive frontier expansion: each
-  round joins the edges (hash-partitioned on the dependency once and
-  checkpointed) with the newly skipped frontier.  Rounds = longest chain of
-  the propagation; lineage is cut every round with ``checkpoint()`` into
-  the shared checkpoint folder.
+- ``skip_by_graph``: explicit edges.  Semi-naive frontier expansion: a job
+  takes several hops at once, joining the edges (written once, dealt by
+  dependency and a slice of the dependent, so that a dependency which a third
+  of the checks share is spread) with the newly skipped frontier, which is
+  repeated for the slices.  What was reached is one table in the shared
+  checkpoint folder, appended to by every job.  Backward edges strictly
+  decrease ``seq``, so the expansion ends by itself.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vouch.session import work_path
 
-from vouch.session import ensure_checkpoint_dir
+#: Slices over which the dependents of one check are dealt, and hops in one job.
+SLICES, HOPS = 16, 8
 
 # The three result statuses.
 PASSED, FAILED, SKIPPED = "passed", "failed", "skipped"
@@ -60,7 +63,8 @@ def backward_edges(raw: DataFrame, edges: DataFrame | None = None, test_id: str
     With ``depends_on`` (an array column of ``raw``) the dependent side's seq
     and suite travel with the exploded edge, so only the dependency side
     needs a join; an explicit ``edges`` table (test_id, dep_id) needs both.
-    Unknown dependencies drop out of the inner join.
+    Unknown dependencies drop out of the inner join.  Ids count within their
+    suite: the result is (suite, t, d).
     """
     nodes = raw.select(F.col(test_id).alias("d"), F.col(seq).alias("d_seq"), F.col("suite").alias("d_suite"))
     if edges is None:
@@ -69,8 +73,8 @@ def backward_edges(raw: DataFrame, edges: DataFrame | None = None, test_id: str
     else:
         tn = raw.select(F.col(test_id).alias("t"), F.col(seq).alias("t_seq"), F.col("suite").alias("t_suite"))
         e = edges.select(F.col("test_id").alias("t"), F.col("dep_id").alias("d")).join(tn, "t")
-    j = e.join(nodes, "d")
-    return j.where((F.col("d_seq") < F.col("t_seq")) & (F.col("d_suite") == F.col("t_suite"))).select("t", "d")
+    j = e.join(nodes, (e["d"] == nodes["d"]) & F.col("d_suite").eqNullSafe(F.col("t_suite"))).drop(nodes["d"])
+    return j.where(F.col("d_seq") < F.col("t_seq")).select(F.col("t_suite").alias("suite"), "t", "d")
 
 
 def skip_by_graph(
@@ -80,55 +84,57 @@ def skip_by_graph(
     seq: str = "seq",
     passed: str = "raw_passed",
     depends_on: str = "depends_on",
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Adds boolean ``skipped`` for explicit dependencies, given either as an
     array column ``depends_on`` of ``raw`` or as an edges table (test_id, dep_id).
 
-    Semi-naive frontier expansion, one Spark job per round: the edges are
-    hash-partitioned on the dependency once and checkpointed, so each round
-    only shuffles the (small) frontier; every round's new nodes are
-    checkpointed into the shared checkpoint folder, which bounds the lineage.
-    A node already skipped is never expanded again, nor is a raw failure
-    (it was expanded in the first round).  Backward edges strictly decrease
-    ``seq``, so the loop ends; ``max_rounds`` only guards a malformed input.
+    A check is identified by its suite and id.  One already skipped is never
+    expanded again.  The only value the driver sees is whether a job reached
+    anything.
     """
     spark = raw.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # checkpointed (lineage cut; a lost block is re-read from the checkpoint
-    # files) and kept in memory, since every round scans the edges again
-    back = backward_edges(raw, edges, test_id, seq, depends_on).repartition(n, "d").checkpoint()
-    back.persist(StorageLevel.MEMORY_AND_DISK)
-    failed = raw.where(~F.coalesce(F.col(passed), F.lit(False))).select(F.col(test_id).alias("node")).checkpoint()
-    frontier = failed
-    rounds: list[DataFrame] = []
-    for _ in range(max_rounds):
-        reached = back.join(frontier, back["d"] == frontier["node"], "left_semi").select(F.col("t").alias("node")).distinct()
-        if rounds:
-            seen = rounds[0]
-            for r in rounds[1:]:
-                seen = seen.unionByName(r)
-            reached = reached.join(seen, "node", "left_anti")
-        # the row count rides on the job that materialises the round
-        seen_rows = Observation(f"skip_round_{uuid.uuid4().hex}")
-        reached = reached.observe(seen_rows, F.count(F.lit(1)).alias("n")).checkpoint()
-        if seen_rows.get.get("n", 0) == 0:
+    base_path = work_path(spark, "skips")
+    slice_of = F.pmod(F.xxhash64("t"), F.lit(SLICES)).cast("int")
+    back = backward_edges(raw, edges, test_id, seq, depends_on).withColumn("_slice", slice_of)
+    back = _stored(back.repartition("suite", "d", "_slice"), f"{base_path}/edges")
+    nodes = raw.select("suite", F.col(test_id).alias("node"), F.coalesce(F.col(passed), F.lit(False)).alias("_ok"))
+    frontier = _stored(nodes.where(~F.col("_ok")).select("suite", "node").distinct(), f"{base_path}/failed")
+    seen_path, schema = f"{base_path}/reached", T.StructType([*frontier.schema.fields, T.StructField("_round", T.IntegerType())])
+    step = 0
+    while True:
+        seen = spark.read.schema(schema).parquet(seen_path) if step else None
+        found = None
+        for _ in range(HOPS):
+            frontier = _expand(back, frontier)
+            found = frontier if found is None else found.unionByName(frontier)
+        last = frontier.select("suite", "node", F.lit(True).alias("_last"))
+        found = found.select("suite", "node", F.lit(False).alias("_last")).unionByName(last)
+        found = found.groupBy("suite", "node").agg(F.max("_last").alias("_last"))
+        if seen is not None:
+            found = found.join(seen.select("suite", "node"), ["suite", "node"], "left_anti")
+        found = _stored(found, f"{base_path}/round-{step}")
+        if found.isEmpty():
             break
-        rounds.append(reached)
-        frontier = reached.join(failed, "node", "left_anti")
-    else:
-        raise RuntimeError("dependency propagation did not converge")
-    back.unpersist()
+        found.select("suite", "node", F.lit(step).alias("_round")).write.mode("append").parquet(seen_path)
+        frontier = found.where("_last").select("suite", "node")
+        step += 1
     keep = [c for c in raw.columns if c != depends_on] if edges is None else raw.columns
-    base = raw.select(*keep)
-    if not rounds:
-        return base.withColumn("skipped", F.lit(False))
-    marks = rounds[0]
-    for r in rounds[1:]:
-        marks = marks.unionByName(r)
-    marks = marks.select(F.col("node").alias(test_id), F.lit(True).alias("skipped"))
-    return base.join(marks, test_id, "left").withColumn("skipped", F.coalesce(F.col("skipped"), F.lit(False)))
+    rows = raw.select(*keep)
+    if not step:
+        return rows.withColumn("skipped", F.lit(False))
+    marks = spark.read.schema(schema).parquet(seen_path).select("suite", F.col("node").alias(test_id), F.lit(True).alias("skipped")).distinct()
+    return rows.join(marks, ["suite", test_id], "left").withColumn("skipped", F.coalesce(F.col("skipped"), F.lit(False))).select(*keep, "skipped")
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _expand(back: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The checks that depend on a check of the frontier, each once."""
+    spread = frontier.select("suite", F.col("node").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("_slice"))
+    return back.join(spread, ["suite", "d", "_slice"], "left_semi").select("suite", F.col("t").alias("node")).distinct()
 
 
 def explode_dependencies(checks: DataFrame, test_id: str = "test_id", depends_on: str = "depends_on") -> DataFrame:

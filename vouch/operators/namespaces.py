@@ -63,15 +63,14 @@ def table_inventory(schemas: DataFrame, tables: DataFrame) -> DataFrame:
 
 def stale_namespaces(users: DataFrame, inventory: DataFrame, cfg: N.NamingConfig, user: str = "username",
                      catalogs: list[str] | None = None) -> DataFrame:
-    """Schemas left by users: the schema's extracted user prefix equals a
-    user's derived prefix (an equi-join, not a prefix scan), the schema is
-    not ``default``, and it lives in one of the default catalogs."""
+    """Schemas left by users: a prefix of the schema's name equals a user's
+    derived prefix (an equi-join on the possible prefixes, not a prefix scan),
+    the schema is not ``default``, and it lives in one of the default catalogs."""
     catalogs = catalogs or [N.CATALOG_SPARK_DEFAULT, N.CATALOG_SHARED_DEFAULT]
     prefixes = users.select(F.col(user).alias("username"), N.schema_prefix(F.col(user), cfg).alias("_prefix"))
     inv = inventory.where(F.col("catalog").isin(catalogs) & (F.col("schema_name") != N.DEFAULT_SCHEMA)).select(
-        "catalog", "schema_name", N.schema_prefix_of(F.col("schema_name"), cfg).alias("_prefix"))
-    inv = inv.where(F.col("_prefix") != "")
-    return prefixes.join(inv, "_prefix").select("username", "catalog", "schema_name")
+        "catalog", "schema_name", F.explode(N.schema_prefixes_of(F.col("schema_name"), cfg)).alias("_prefix"))
+    return prefixes.join(inv, "_prefix").select("username", "catalog", "schema_name").distinct()
 
 
 def catalog_inventory(spark: SparkSession) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vouch.functions import values as V
 from vouch.functions.text import render_hint
 from vouch.operators import checks as C
 from vouch.operators import compare as CMP
@@ -93,11 +94,20 @@ class Suite:
         check.aggregate_operands = check.kind == C.VALUE
         return check
 
+    @staticmethod
+    def _value_of(value: Any, per_row: bool):
+        """The checked value itself, for the hint of a value-form check."""
+        return None if per_row else (lambda _d: C._col(value))
+
     # Common keyword arguments of every check.
     def _reg(self, check: C.Check, kw: dict) -> "Suite":
         return self.add(check, kw.get("test_id"), kw.get("points", 1), kw.get("depends_on"), kw.get("hint"),
                         kw.get("escape_html", False))
 
+    def _both_none(self, actual: Any, expected: Any, description: str, kw: dict) -> "Suite":
+        same = actual is None and expected is None
+        return self._reg(C.Check(description, C.FIXED, fixed_passed=same, fixed_actual="None" if actual is None else type(actual).__name__), kw)
+
     # E1 -------------------------------------------------------------
     def expect(self, df: DataFrame, pred: Column | str, description: str, **kw) -> "Suite":
         """Custom per-row predicate: passes when no row makes it FALSE or NULL."""
@@ -112,32 +122,32 @@ class Suite:
     def expect_equals(self, df: DataFrame, actual: Column | Any, expected: Column | Any, description: str, *,
                       per_row: bool = False, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        act = None if per_row or not isinstance(actual, Column) else (lambda _d: actual)
+        act = None if per_row else (lambda _d: actual if isinstance(actual, Column) else F.expr(actual) if isinstance(actual, str) else F.lit(actual))
         return self._reg(self._with_operands(C.Check(description, kind, df, C.equals(actual, expected, not per_row), actual=act), actual, expected), kw)
 
     # E3 / E4 --------------------------------------------------------
     def expect_true(self, df: DataFrame, value: Column | str, description: str, *, per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(self._with_operands(C.Check(description, kind, df, C.identity(value, True, not per_row)), value), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.identity(value, True, not per_row), actual=self._value_of(value, per_row)), value), kw)
 
     def expect_false(self, df: DataFrame, value: Column | str, description: str, *, per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(self._with_operands(C.Check(description, kind, df, C.identity(value, False, not per_row)), value), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.identity(value, False, not per_row), actual=self._value_of(value, per_row)), value), kw)
 
     # E5 / E6 --------------------------------------------------------
     def expect_null(self, df: DataFrame, value: Column | str, description: str, *, per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(self._with_operands(C.Check(description, kind, df, C.nullness(value, True, not per_row)), value), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.nullness(value, True, not per_row), actual=self._value_of(value, per_row)), value), kw)
 
     def expect_not_null(self, df: DataFrame, value: Column | str, description: str, *, per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(self._with_operands(C.Check(description, kind, df, C.nullness(value, False, not per_row)), value), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.nullness(value, False, not per_row), actual=self._value_of(value, per_row)), value), kw)
 
     # E7 -------------------------------------------------------------
     def expect_length(self, df: DataFrame, value: Column | str, expected_length: int, description: str, *,
                       per_row: bool = True, **kw) -> "Suite":
         kind = C.ROWS if per_row else C.VALUE
-        return self._reg(self._with_operands(C.Check(description, kind, df, C.length_is(value, expected_length, not per_row)), value), kw)
+        return self._reg(self._with_operands(C.Check(description, kind, df, C.length_is(value, expected_length, not per_row), actual=self._value_of(value, per_row)), value), kw)
 
     # E8 -------------------------------------------------------------
     def expect_close(self, df: DataFrame, actual: Column | str, expected: Column | Any, description: str, *,
@@ -149,29 +159,31 @@ class Suite:
     # E9 -------------------------------------------------------------
     def expect_in(self, df: DataFrame, value: Column | str, allowed: list | DataFrame, description: str, *,
                   allowed_column: str | None = None, **kw) -> "Suite":
-        """Membership.  A short Python list becomes ``isin``; a long one a
-        broadcast anti join; a table of allowed values an anti join (no size
+        """Membership.  A Python list of any length becomes one ``isin`` in the
+        table's aggregate; a table of allowed values an anti join (no size
         limit on the set)."""
         if isinstance(allowed, DataFrame):
             if not isinstance(value, str):
                 raise TypeError("membership in a table needs a column name")
             col = allowed_column or allowed.columns[0]
             return self._reg(C.Check(description, C.PLAN, df, C.anti_join_count(df, value, allowed, col)), kw)
-        values = list(allowed)
-        if len(values) > C.LARGE_LIST and isinstance(value, str):
-            return self._reg(C.Check(description, C.PLAN, df, C.member_of_large(df, value, values)), kw)
-        return self._reg(C.Check(description, C.ROWS, df, C.member_of(value, values, False)), kw)
+        return self._reg(C.Check(description, C.ROWS, df, C.member_of(value, list(allowed), False)), kw)
 
     # E10 ------------------------------------------------------------
     def expect_rows_equal(self, actual: DataFrame, expected: DataFrame, key: list[str], description: str, **kw) -> "Suite":
-        """Rows with the same key must be equal by column name."""
+        """Rows with the same key must be equal by column name; two None are equal."""
+        if actual is None or expected is None:
+            return self._both_none(actual, expected, description, kw)
         build = lambda _d: CMP.total_differing(CMP.keyed_difference(actual, expected, key))
         return self._reg(C.Check(description, C.PLAN, actual, build), kw)
 
     # E11 ------------------------------------------------------------
     def expect_tables_equal(self, actual: DataFrame, expected: DataFrame, description: str, *,
                             order_by: list[str] | None = None, **kw) -> "Suite":
-        """Equal as multisets, or position by position in ``order_by`` order."""
+        """Equal as multisets, or position by position in ``order_by`` order;
+        two None are equal."""
+        if actual is None or expected is None:
+            return self._both_none(actual, expected, description, kw)
         if order_by:
             build = lambda _d: CMP.total_differing(CMP.ordered_difference(actual, expected, order_by))
         else:
@@ -201,6 +213,8 @@ class Suite:
     # E14 ------------------------------------------------------------
     def expect_schemas_equal(self, actual: T.StructType | DataFrame, expected: T.StructType | DataFrame,
                              description: str, *, ordered: bool = True, **kw) -> "Suite":
+        if actual is None or expected is None:
+            return self._both_none(actual, expected, description, kw)
         spark = self._spark_of()
         sa = actual.schema if isinstance(actual, DataFrame) else actual
         sb = expected.schema if isinstance(expected, DataFrame) else expected
@@ -284,21 +298,33 @@ class Suite:
     @staticmethod
     def _outcome(idx: Column, passed: Column, violations: Column, actual: Column, message: Column) -> Column:
         return F.struct(idx.cast("int").alias("idx"), passed.alias("raw_passed"), violations.cast("long").alias("violations"),
-                        actual.cast("string").alias("actual"), message.alias("message"))
+                        actual.cast("string").alias("actual"), message.alias("message"), F.lit(None).cast("int").alias("actual_length"))
 
     def _compile_group(self, df: DataFrame, items: list[tuple[C.Check, Column, Column]]) -> DataFrame:
         aggs = []
-        for i, (_c, viol, act) in enumerate(items):
-            aggs += [viol.cast("long").alias(f"_v{i}"), act.alias(f"_a{i}")]
+        for i, (_c, viol, act, size) in enumerate(items):
+            aggs += [viol.cast("long").alias(f"_v{i}"), act.alias(f"_a{i}"), size.alias(f"_n{i}")]
         one = df.agg(*aggs)
         # one generator expression turns the single aggregate row into a row
         # per check (one call, however many checks)
-        args = ", ".join(f"{c.idx}, _v{i}, _a{i}" for i, (c, _v, _a) in enumerate(items))
-        stacked = one.selectExpr(f"stack({len(items)}, {args}) AS (idx, violations, actual)")
+        args = ", ".join(f"{c.idx}, _v{i}, _a{i}, _n{i}" for i, (c, *_) in enumerate(items))
+        stacked = one.selectExpr(f"stack({len(items)}, {args}) AS (idx, violations, actual, actual_length)")
         return stacked.select(
             F.col("idx").cast("int").alias("idx"), (F.col("violations") == 0).alias("raw_passed"),
             F.col("violations").cast("long").alias("violations"), F.col("actual").cast("string").alias("actual"),
-            F.lit("").alias("message"))
+            F.lit("").alias("message"), F.col("actual_length").cast("int").alias("actual_length"))
+
+    @staticmethod
+    def _actual_of(c: C.Check, viol: Column) -> tuple[Column, Column]:
+        """The value shown in the hint, and its length where it has one."""
+        none = F.lit(None).cast("int")
+        if c.kind == C.ROWS:
+            return viol.cast("string"), none
+        if c.actual is None:
+            return F.lit(None).cast("string"), none
+        value = c.actual(c.target)
+        size = V.sized_length(value, C.column_type(c.target, value, True))
+        return value.cast("string"), none if size is None else size.cast("int")
 
     def _seed_operand_types(self) -> None:
         """One analysis per (table, row/aggregate) for all checks' operands."""
@@ -310,6 +336,15 @@ class Suite:
         for (_tid, aggregate), (df, cols) in batches.items():
             C.seed_types(df, cols, aggregate)
 
+    @staticmethod
+    def _group_of(groups: list, df: DataFrame) -> list:
+        """The checks of one table: the same object, or a plan that is the same."""
+        for known, items in groups:
+            if known is df or (known.semanticHash() == df.semanticHash() and known.sameSemantics(df)):
+                return items
+        groups.append((df, []))
+        return groups[-1][1]
+
     def _raw_parts(self) -> list[DataFrame]:
         self._seed_operand_types()
         try:
@@ -320,19 +355,20 @@ class Suite:
     def _raw_parts_seeded(self) -> list[DataFrame]:
         spark = self._spark_of()
         fixed: list[tuple] = []
-        groups: dict[int, tuple[DataFrame, list[tuple[C.Check, Column, Column]]]] = {}
+        groups: list[tuple[DataFrame, list[tuple[C.Check, Column, Column, Column]]]] = []
         plans: list[DataFrame] = []
         known_failed: set[str] = set()  # failures known before any data is read
         for c in self.checks:
             if c.kind == C.FIXED:
-                fixed.append((c.idx, bool(c.fixed_passed), 0 if c.fixed_passed else 1, c.fixed_actual, c.message))
+                fixed.append((c.idx, bool(c.fixed_passed), 0 if c.fixed_passed else 1, c.fixed_actual, c.message,
+                              None if c.fixed_actual is None else len(c.fixed_actual)))
                 if not c.fixed_passed:
                     known_failed.add(c.full_id)
                 continue
             if known_failed.intersection(c.ancestors):
                 # certain to be skipped, so never executed (nor analysed),
                 # as a skipped check is never run
-                fixed.append((c.idx, False, None, None, ""))
+                fixed.append((c.idx, False, None, None, "", None))
                 continue
             try:
                 if c.kind == C.PLAN:
@@ -343,29 +379,31 @@ class Suite:
                 pred = c.build(c.target)
                 if c.kind == C.ROWS:
                     viol = F.count_if(~F.coalesce(pred, F.lit(False)))
-                    act = viol.cast("string")
                 else:
                     viol = F.when(F.coalesce(pred, F.lit(False)), F.lit(0)).otherwise(F.lit(1))
-                    act = c.actual(c.target).cast("string") if c.actual else F.lit(None).cast("string")
-                groups.setdefault(id(c.target), (c.target, []))[1].append((c, viol, act))
+                act, size = self._actual_of(c, viol)
+                self._group_of(groups, c.target).append((c, viol, act, size))
             except Exception as e:  # noqa: BLE001 - an error fails its own check only
-                fixed.append((c.idx, False, 1, None, _first_line(e)))
+                fixed.append(_failed(c.idx, e))
                 known_failed.add(c.full_id)
         parts: list[DataFrame] = []
-        for df, items in groups.values():
+        for df, items in groups:
             try:
-                part = self._compile_group(df, items)  # analysed once for the whole table
+                parts.append(self._compile_group(df, items))  # analysed once for the whole table
             except Exception:  # noqa: BLE001 - find the checks that do not analyse
                 good = []
-                for c, viol, act in items:
+                for item in items:
+                    c, viol, act, _size = item
                     try:
                         df.agg(viol.alias("_v"), act.alias("_a")).schema
-                        good.append((c, viol, act))
-                    except Exception as e:  # noqa: BLE001
-                        fixed.append((c.idx, False, 1, None, _first_line(e)))
-                part = self._compile_group(df, good) if good else None
-            if part is not None:
-                parts.append(part)
+                        good.append(item)
+                    except Exception:  # noqa: BLE001
+                        try:  # its columns may be bound to its own table object
+                            parts.append(self._compile_group(c.target, [item]))
+                        except Exception as e:  # noqa: BLE001
+                            fixed.append(_failed(c.idx, e))
+                if good:
+                    parts.append(self._compile_group(df, good))
         parts.extend(plans)
         if fixed:
             parts.append(spark.createDataFrame(fixed, OUTCOME_SCHEMA))
@@ -399,19 +437,48 @@ class Suite:
         """Append this run's results, stamped with ``run_ts``, to a results
         history table (the cross-suite record: latest result per check wins
         in ``scoring.latest_results``)."""
-        out = self.results().withColumn("run_ts", F.current_timestamp())
+        out = self.materialise().withColumn("run_ts", F.current_timestamp())
         out.write.mode("append").parquet(path)
         return self._spark_of().read.parquet(path)
 
     def materialise(self) -> DataFrame:
         """Compute the results once and keep them (reliable checkpoint), so
-        score, percentage and report never re-run the checks."""
+        score, percentage and report never re-run the checks.
+
+        An error while the data is read (a cast, a division by zero) fails the
+        one check that raises it: if the fused run fails, every check is run
+        on its own and an error becomes a failed result with its message."""
         from vouch.session import ensure_checkpoint_dir
 
         ensure_checkpoint_dir(self._spark_of())
-        self._results = self.results().checkpoint()
+        try:
+            self._results = self.results().checkpoint()
+        except Exception:  # noqa: BLE001 - find the checks that raise
+            self._results = with_skips(self._isolated()).checkpoint()
         return self._results
 
+    def _isolated(self) -> DataFrame:
+        """Raw results of checks run one by one (as many jobs as checks)."""
+        spark = self._spark_of()
+        self._ancestors()
+        for i, c in enumerate(self.checks):
+            c.idx = i
+        parts, fixed = [], []
+        for c in self.checks:
+            single = Suite(self.name, spark)
+            single.checks = [c]
+            kept, c.ancestors = c.ancestors, []  # alone, it is skipped for nothing
+            try:
+                parts += [p.checkpoint() for p in single._raw_parts()]
+            except Exception as e:  # noqa: BLE001
+                fixed.append(_failed(c.idx, e))
+            finally:
+                c.ancestors = kept
+        out = spark.createDataFrame(fixed, OUTCOME_SCHEMA)
+        for p in parts:
+            out = out.unionByName(p)
+        return out.join(F.broadcast(self._meta_frame()), "idx").drop("idx")
+
 
 META_SCHEMA = T.StructType(
     [
@@ -433,9 +500,16 @@ OUTCOME_SCHEMA = T.StructType(
         T.StructField("violations", T.LongType()),
         T.StructField("actual", T.StringType()),
         T.StructField("message", T.StringType()),
+        T.StructField("actual_length", T.IntegerType()),
     ]
 )
 
+
+def _failed(idx: int, e: Exception) -> tuple:
+    """The outcome of a check whose evaluation raised."""
+    return (idx, False, 1, None, _first_line(e), None)
+
+
 def with_skips(raw: DataFrame) -> DataFrame:
     """Statuses, points, hints and messages from raw results whose
     ``ancestors`` column lists each check's earlier dependencies."""
@@ -449,7 +523,7 @@ def with_skips(raw: DataFrame) -> DataFrame:
     st = status_columns(F.col("raw_passed"), F.col("_skipped"), F.col("check_points"))
     return j.select(
         "suite", "test_id", "seq", "description", *st, "violations", "actual",
-        render_hint(F.col("hint_template"), F.col("actual")).alias("hint"),
+        render_hint(F.col("hint_template"), F.col("actual"), F.col("actual_length")).alias("hint"),
         F.when(F.col("_skipped"), F.lit("")).otherwise(F.col("message")).alias("message"),
     )
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from vouch.session import work_path
 from vouch.sources import datasets as D
-from vouch.sources.files import list_files as _list_files
-from vouch.sources.files import write_manifest as _write_manifest
 from vouch.sources.tables import Tables, table_path
 
 QUERIES: dict = {}
@@ -25,18 +23,6 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@query("list_files")
-def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recursive listing of the input folder (no SQL twin: rows only)."""
-    return _list_files(spark, sf_dir).orderBy("path")
-
-
-@query("write_manifest")
-def write_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing persisted as a manifest table and read back."""
-    return _write_manifest(_list_files(spark, sf_dir), work_path(spark, "manifest"))
-
-
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Remote manifest from orders, local one from lineitem: a file per order
     and a folder per status (remote) / return flag (local)."""
@@ -76,26 +62,33 @@ def validate_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.validate(local, remote)
 
 
-@query("install_dataset", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("install_dataset", "SELECT * FROM lineitem")
 def install_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copy nation into a fresh dataset folder (verified), then a second
-    install of the same folder skips the copy."""
-    target = work_path(spark, "datasets", "nation")
-    D.install_table(spark, table_path(sf_dir, "nation"), target)
-    return D.install_table(spark, table_path(sf_dir, "nation"), target, reinstall=False)
+    """A damaged copy of lineitem (a slice lost, values changed, rows repeated)
+    is there already: installing repairs it; installing again leaves it."""
+    source, target = table_path(sf_dir, "lineitem"), work_path(spark, "datasets", "lineitem")
+    damaged_lineitem(Tables(spark, sf_dir).lineitem).write.parquet(target)
+    D.install_table(spark, source, target)
+    return D.install_table(spark, source, target, reinstall=False)
 
 
-@query("repair_dataset", "SELECT * FROM orders")
+def damaged_lineitem(lineitem: DataFrame) -> DataFrame:
+    """Lineitem without the returned lines, with the first line of each order
+    changed, and with the accepted lines twice."""
+    changed = lineitem.where(F.col("l_returnflag") != "R").withColumn(
+        "l_linestatus", F.when(F.col("l_linenumber") == 1, F.lit("X")).otherwise(F.col("l_linestatus")))
+    return changed.unionByName(lineitem.where(F.col("l_returnflag") == "A"))
+
+
+@query("repair_dataset", "SELECT * FROM lineitem")
 def repair_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders copy with the pending slice removed and the first order's
-    status changed, repaired against the source."""
-    orders = Tables(spark, sf_dir).orders
-    first = orders.agg(F.min("o_orderkey")).scalar()
-    damaged_path = work_path(spark, "damaged", "orders")
-    D.damaged_copy(orders, F.col("o_orderstatus") == "P", F.col("o_orderkey") == first, "o_orderstatus", "X") \
-        .write.mode("overwrite").parquet(damaged_path)
+    """A damaged copy of lineitem, whose key (order, line) repeats, repaired
+    against the source: every row as often as there."""
+    lineitem = Tables(spark, sf_dir).lineitem
+    damaged_path = work_path(spark, "damaged", "lineitem")
+    damaged_lineitem(lineitem).write.parquet(damaged_path)
     damaged = spark.read.parquet(damaged_path)
-    return D.repair_table(orders, damaged, ["o_orderkey"], work_path(spark, "repaired", "orders"))
+    return D.repair_table(lineitem, damaged, ["l_orderkey", "l_linenumber"], work_path(spark, "repaired", "lineitem"))
 
 
 @query("prefer_staged", "SELECT * FROM orders")
@@ -109,10 +102,13 @@ def prefer_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("text_line_counts", """
-SELECT l.doc_id, CASE WHEN d.doc_id IS NOT NULL THEN len(string_split(d.text, chr(10))) + 1 END AS n_lines,
+WITH wanted AS (SELECT doc_id FROM documents UNION ALL SELECT -1 - item_id FROM benchmark)
+SELECT w.doc_id, CASE WHEN d.doc_id IS NOT NULL THEN len(string_split(d.text, chr(10))) + 1 END AS n_lines,
        d.doc_id IS NOT NULL AS found
-FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id
+FROM wanted w LEFT JOIN documents d ON d.doc_id = w.doc_id
 """)
 def text_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and one wanted text that is absent for each benchmark item."""
     t = Tables(spark, sf_dir)
-    return D.text_line_counts(t.labels.select("doc_id"), t.documents.select("doc_id", "text"), "doc_id")
+    wanted = t.documents.select("doc_id").unionByName(t.benchmark.select((-1 - F.col("item_id")).alias("doc_id")))
+    return D.text_line_counts(wanted, t.documents.select("doc_id", "text"), "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vouch.session import work_path
 from vouch.sources.tables import Tables, path_bytes, table_path
@@ -11,22 +12,13 @@ from vouch.streaming import progress as P
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-STREAM_TIMEOUT = 900.0
-BATCHES = 4  # micro-batches per stream run
+FILE_BYTES = 128 << 20  # most input bytes for one landing file
+FILES_PER_TRIGGER = 8   # so a micro-batch has a fixed size, and the number of batches follows the input
+LEAST_FILES = 32
 
 
-FILE_BYTES = 128 << 20  # target size of one landing file
-
-
-def landing_files(spark: SparkSession, source_bytes: int) -> int:
-    """Files in the landing folder: about 128 MB each (at least one per
-    micro-batch), so staging is spread over many tasks on big inputs and
-    does not produce hundreds of tiny files on small ones."""
-    return max(BATCHES, -(-source_bytes // FILE_BYTES))
-
-
-def per_trigger(files: int, batches: int) -> int:
-    return max(1, -(-files // max(1, batches)))
+def landing_files(source_bytes: int) -> int:
+    return max(LEAST_FILES, -(-source_bytes // FILE_BYTES))
 
 
 def query(name: str, sql: str | None = None):
@@ -39,48 +31,63 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@query("stream_progress", "SELECT count(*) AS total_rows, count(DISTINCT event_id) AS distinct_keys FROM events")
+_TOTALS = "SELECT count(*) AS total_rows, count(DISTINCT event_id) AS distinct_keys"
+
+
+def _totals(spark: SparkSession, base: str, ready: int) -> DataFrame:
+    """Totals of the sink; whether the stream was ready (two batches) when the
+    wait ended; whether every recorded row is in the sink."""
+    totals = P.sink_totals(spark, f"{base}/sink", "event_id")
+    recorded = P.read_progress(spark, f"{base}/progress").agg(
+        F.count_distinct(F.when(F.col("rows") > 0, F.col("batch_id"))).alias("_n"), F.sum("rows").alias("_rows"))
+    return totals.withColumn("_k", F.lit(1)).join(recorded.withColumn("_k", F.lit(1)), "_k").select(
+        "total_rows", "distinct_keys", F.lit(ready >= 2).alias("ready"), (F.col("_n") >= 2).alias("several_batches"),
+        (F.col("_rows") == F.col("total_rows")).alias("all_recorded"))
+
+
+@query("stream_progress", f"{_TOTALS}, true AS ready, true AS several_batches, true AS all_recorded FROM events")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events landed as files in time order, streamed in about four
-    micro-batches; wait (by query name) until 2 batches are recorded, then
-    until the end."""
+    """Events landed as files in time order, streamed in batches of a fixed
+    size; wait (by query name) until 2 batches are recorded, then until the
+    stream has ended by itself."""
     base = work_path(spark, "stream_progress")
     events = Tables(spark, sf_dir).events
-    files = landing_files(spark, path_bytes(spark, table_path(sf_dir, "events")))
-    src = P.stage_files(events, f"{base}/landing", files, "ts")
-    schema = spark.read.parquet(src).schema
+    src = P.stage_files(events, f"{base}/landing", landing_files(path_bytes(spark, table_path(sf_dir, "events"))), "ts")
     name = "events_progress_" + base.rsplit("/", 1)[-1][:8]
-    q = P.start_file_stream(spark, src, schema, f"{base}/sink", f"{base}/progress", f"{base}/checkpoint", name=name,
-                            max_files_per_trigger=per_trigger(files, BATCHES))
+    q = P.start_file_stream(spark, src, spark.read.parquet(src).schema, f"{base}/sink", f"{base}/progress", f"{base}/checkpoint", name=name,
+                            max_files_per_trigger=FILES_PER_TRIGGER)
     try:
-        P.wait_until_ready(spark, name, f"{base}/progress", min_batches=2, timeout=STREAM_TIMEOUT)
-        q.awaitTermination(STREAM_TIMEOUT)
+        ready = P.wait_until_ready(spark, name, f"{base}/progress", min_batches=2)
+        P.wait_until_ended(q)
     finally:
         P.stop_queries([q])
-    return P.sink_totals(spark, f"{base}/sink", "event_id")
+    return _totals(spark, base, ready)
 
 
-@query("stream_resume", "SELECT count(*) AS total_rows, count(DISTINCT event_id) AS distinct_keys FROM events")
+@query("stream_resume", f"{_TOTALS}, true AS ready, true AS several_batches, true AS all_recorded FROM events")
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half the files arrive, the stream runs and stops; the rest arrive and
-    the stream restarts from its checkpoint: every event once."""
-    from pyspark.sql import functions as F
-
+    """Half the files arrive, a stream without end runs and is stopped while it
+    is running; the rest arrive and the stream restarts from its checkpoint:
+    every event once, also those without a time."""
     base = work_path(spark, "stream_resume")
     events = Tables(spark, sf_dir).events
     cut = events.agg(F.percentile_approx("ts", 0.5)).scalar()
+    early = F.coalesce(F.col("ts") <= cut, F.lit(True))
     landing = f"{base}/landing"
-    files = landing_files(spark, path_bytes(spark, table_path(sf_dir, "events")) // 2)
-    P.stage_files(events.where(F.col("ts") <= cut), f"{landing}/part=1", files, "ts")
+    files = landing_files(path_bytes(spark, table_path(sf_dir, "events")) // 2)
+    P.stage_files(events.where(early), f"{landing}/part=1", files, "ts")
     schema = spark.read.parquet(f"{landing}/part=1").schema
     args = (f"{base}/sink", f"{base}/progress", f"{base}/checkpoint")
     source = f"{landing}/*"
-    per = per_trigger(files, BATCHES // 2)
-    q = P.start_file_stream(spark, source, schema, *args, max_files_per_trigger=per)
-    q.awaitTermination(STREAM_TIMEOUT)
-    P.stop_queries([q])
-    P.stage_files(events.where(~(F.col("ts") <= cut)), f"{landing}/part=2", files, "ts")
-    q = P.start_file_stream(spark, source, schema, *args, max_files_per_trigger=per)
-    q.awaitTermination(STREAM_TIMEOUT)
-    P.stop_queries([q])
-    return P.sink_totals(spark, f"{base}/sink", "event_id")
+    q = P.start_file_stream(spark, source, schema, *args, max_files_per_trigger=FILES_PER_TRIGGER, available_now=False)
+    try:
+        ready = P.wait_until_ready(spark, q, f"{base}/progress", min_batches=2)
+    finally:
+        P.stop_queries([q])
+    P.stage_files(events.where(~early), f"{landing}/part=2", files, "ts")
+    q = P.start_file_stream(spark, source, schema, *args, max_files_per_trigger=FILES_PER_TRIGGER)
+    try:
+        P.wait_until_ended(q)
+    finally:
+        P.stop_queries([q])
+    return _totals(spark, base, ready)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vouch.functions.text import line_count, path_kind
 from vouch.operators.compare import bag_difference
-from vouch.session import path_exists
+from vouch.session import path_exists, work_path
 from vouch.sources.files import norm_root, norm_uri
 
 EXTRA, MISSING, CHANGED = "extra", "missing", "changed"
@@ -62,39 +62,62 @@ def validate(local: DataFrame, remote: DataFrame, compare_length: bool = False)
     )
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write of this folder was committed (a half-written one was not)."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def install_table(spark: SparkSession, source: str, target: str, reinstall: bool = False) -> DataFrame:
-    """Copy one parquet dataset; skip the copy when it is already there.
+    """Copy one parquet dataset, or make an existing copy right.
 
-    Afterwards the copy is verified against the source by bag equality
-    (one shuffle, nothing collected); a mismatch raises.
+    A copy that is missing or was never committed is written anew.  An
+    existing one is verified against the source by bag equality (one shuffle,
+    nothing collected); a damaged one is repaired aside, written in its place
+    and verified again.  Raises only if it still differs then.
     """
-    if reinstall or not path_exists(spark, target):
-        spark.read.parquet(source).write.mode("overwrite").parquet(target)
-    installed = spark.read.parquet(target)
-    diff = bag_difference(spark.read.parquet(source), installed)
-    bad = diff.where(F.col("rows_differing") > 0).limit(1).count()
-    if bad:
-        raise RuntimeError(f"installed copy of {source} differs from its source")
-    return installed
+    src = spark.read.parquet(source)
+    if reinstall or not is_complete(spark, target):
+        src.write.mode("overwrite").parquet(target)
+    if _differs(src, spark.read.parquet(target)):
+        damaged = spark.read.parquet(target)
+        if damaged.dtypes == src.dtypes:
+            repaired = repair_table(src, damaged, [], work_path(spark, "install"))
+        else:
+            repaired = src
+        repaired.write.mode("overwrite").parquet(target)
+        spark.catalog.refreshByPath(target)
+        if _differs(src, spark.read.parquet(target)):
+            raise RuntimeError(f"installed copy of {source} differs from its source")
+    return spark.read.parquet(target)
+
+
+def _differs(source: DataFrame, copy: DataFrame) -> bool:
+    return not bag_difference(source, copy).where(F.col("rows_differing") > 0).isEmpty()
 
 
 def repair_table(source: DataFrame, target: DataFrame, key: list[str], out_path: str) -> DataFrame:
-    """Repair a damaged copy: keep its rows that exist unchanged in the
-    source, copy in the source rows whose key it lacks, drop the rest.
-
-    Two joins (null-safe semi join on all columns, anti join on the key);
-    the result is written to a new folder (never over the folder being
-    read) and read back.
+    """Repair a damaged copy: keep its rows that the source has, add those it
+    lacks, drop the rest, as multisets, so repeated keys and repeated rows
+    come out as often as the source has them.
+
+    Both sides are counted by whole row (map-side first); a row of the source
+    is written as often as the source has it, so the result does not depend on
+    ``key`` (the columns by which the caller tells rows apart).  It is written
+    to a new folder (never over the folder being read), read back and verified.
     """
-    cols = source.columns
-    cond = None
-    for c in cols:
-        e = target[c].eqNullSafe(source[c])
-        cond = e if cond is None else cond & e
-    kept = target.join(source, cond, "left_semi").dropDuplicates(key)
-    missing = source.join(kept.select(*key), key, "left_anti")
-    kept.select(*cols).unionByName(missing.select(*cols)).write.mode("overwrite").parquet(out_path)
-    return source.sparkSession.read.parquet(out_path)
+    cols = [F.col(f"`{c}`") for c in source.columns]
+    for k in key:
+        if k not in source.columns:
+            raise ValueError(f"unknown key column: {k}")
+    have = target.select(*cols).withColumn("_s", F.lit(0)).withColumn("_t", F.lit(1))
+    want = source.withColumn("_s", F.lit(1)).withColumn("_t", F.lit(0))
+    rows = want.unionByName(have).groupBy(*cols).agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"))
+    kept = rows.where(F.col("_s") > 0).select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_s"))).alias("_copy")).select(*cols)
+    kept.write.mode("overwrite").parquet(out_path)
+    out = source.sparkSession.read.parquet(out_path)
+    if _differs(source, out):
+        raise RuntimeError("the repaired copy differs from its source")
+    return out
 
 
 def has_data(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
@@ -161,9 +184,3 @@ def text_line_counts(wanted: DataFrame, texts: DataFrame, key: str) -> DataFrame
         F.when(F.col("_hit"), F.col("_lines")).alias("n_lines"),
         F.coalesce(F.col("_hit"), F.lit(False)).alias("found"),
     )
-
-
-def damaged_copy(source: DataFrame, drop_where: Column, change_where: Column, column: str, value) -> DataFrame:
-    """A copy with a slice removed and some values changed (for repair tests)."""
-    changed = source.withColumn(column, F.when(change_where, F.lit(value)).otherwise(F.col(column)))
-    return changed.where(~drop_where)

@@ -89,15 +89,15 @@ def _walk_roots(batches):
     for pdf in batches:
         out = []
         for root in pdf["root"]:
-            try:
+            # An unknown scheme or an unreadable root raises: an empty listing
+            # would make a diff call every file missing.  A root that is not
+            # there lists as empty.
+            if "://" in root or root.startswith("file:"):
                 filesystem, base = pafs.FileSystem.from_uri(root)
-            except Exception:  # noqa: BLE001 - plain local paths
+            else:
                 filesystem, base = pafs.LocalFileSystem(), root
             base = base.rstrip("/")
-            try:
-                infos = filesystem.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
-            except Exception:  # noqa: BLE001 - a missing or unreadable root lists as empty
-                infos = []
+            infos = filesystem.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
             for info in infos:
                 rel = info.path[len(base) + 1:]
                 is_dir = info.type == pafs.FileType.Directory

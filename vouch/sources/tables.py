@@ -25,10 +25,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return load(self.spark, self.sf_dir, name)
+            if name not in self._frames:
+                self._frames[name] = load(self.spark, self.sf_dir, name)
+            return self._frames[name]
         raise AttributeError(name)
 
 

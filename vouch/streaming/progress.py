@@ -8,7 +8,7 @@ own output instead of adding to it.  Row counts come from an
 ``Observation`` on the write itself - no second pass over the batch.
 
 "Ready" means the progress table holds at least ``min_batches`` batches with
-rows, or the query has ended.  Waiting is bounded by a timeout.
+rows, or the query has ended.  Waiting goes on while the stream makes progress.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ PROGRESS_SCHEMA = "batch_id bigint, rows bigint"
 
 def stage_files(df: DataFrame, path: str, files: int, order_by: str) -> str:
     """Write a table as ``files`` files in ``order_by`` ranges (a landing
-    folder a file stream can consume a few files per trigger)."""
-    df.repartitionByRange(files, order_by).sortWithinPartitions(order_by).write.mode("overwrite").parquet(path)
+    folder a file stream can consume a few files per trigger).  A hash of the
+    row is the last range key, so one frequent value spreads over files."""
+    df.repartitionByRange(files, F.col(order_by), F.xxhash64(*df.columns)).sortWithinPartitions(order_by).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -121,13 +122,14 @@ def wait_until_ready(
     progress: str,
     min_batches: int = 2,
     delay: float = 0.5,
-    timeout: float = 600.0,
+    stall: float = 900.0,
 ) -> int:
     """Block until ``min_batches`` batches with rows are recorded or the
-    query is no longer active; returns the batches seen.  Raises on timeout."""
+    query is no longer active; returns the batches seen.  Raises only when the
+    query makes no progress for ``stall`` seconds, or has failed."""
     if isinstance(query, str):
-        query = find_query(spark, query, timeout, delay)
-    deadline = time.monotonic() + timeout
+        query = find_query(spark, query, stall, delay)
+    watch = _Progress(query, stall)
     polls = 0
     while True:
         active = query.isActive
@@ -138,22 +140,57 @@ def wait_until_ready(
         if hinted >= min_batches or not active or polls % 10 == 9:
             done = batches_done(spark, progress)
             if done >= min_batches or not active:
+                raise_failure(query)
                 return done if active else batches_done(spark, progress)
-        if time.monotonic() > deadline:
-            raise TimeoutError(f"stream made {batches_done(spark, progress)} of {min_batches} batches in {timeout}s")
+        watch.check()
         polls += 1
         time.sleep(delay)
 
 
+class _Progress:
+    """Raises when a query's last batch has not changed for a while."""
+
+    def __init__(self, query: StreamingQuery, stall: float) -> None:
+        self.query, self.stall = query, stall
+        self.seen, self.since = None, time.monotonic()
+
+    def check(self) -> None:
+        last = self.query.lastProgress
+        now = None if last is None else (last["batchId"], last["timestamp"])
+        if now != self.seen:
+            self.seen, self.since = now, time.monotonic()
+        elif time.monotonic() - self.since > self.stall:
+            raise TimeoutError(f"stream made no progress in {self.stall}s (last batch: {self.seen})")
+
+
+def wait_until_ended(query: StreamingQuery, stall: float = 900.0, step: float = 5.0) -> None:
+    """Wait until a query that ends by itself has ended, however long that
+    takes.  Raises when it failed, or made no progress for ``stall`` seconds;
+    never returns while it is still running."""
+    watch = _Progress(query, stall)
+    while not query.awaitTermination(step):
+        watch.check()
+
+
+def raise_failure(query: StreamingQuery) -> None:
+    error = query.exception()
+    if error is not None:
+        raise error
+
+
 def stop_queries(queries: list[StreamingQuery], timeout: float = 60.0) -> None:
-    """Stop the given queries (only those this engine started); errors while
-    ending are ignored, as the query is going away anyway."""
+    """Stop the given queries (only those this engine started).  Errors of the
+    stopping itself are ignored, as the query is going away anyway; a failure
+    of the stream is raised once all are stopped."""
+    failed = [q for q in queries if q.exception() is not None]
     for q in queries:
         try:
             q.stop()
             q.awaitTermination(timeout)
         except Exception:  # noqa: BLE001
             pass
+    for q in failed:
+        raise_failure(q)
 
 
 def sink_totals(spark: SparkSession, sink: str, key: str) -> DataFrame:
