@@ -27,7 +27,8 @@ def test_is_none_and_not_none(spark, value, expect_null_passes):
     df = spark.createDataFrame([(value,)], "v string")
     for method, passes in (("expect_null", expect_null_passes), ("expect_not_null", not expect_null_passes)):
         s = Suite("Whatever", spark)
-        getattr(s, method)(df, "v", DESCRIPTION, hint="Found, [[ACTUAL_VALUE]]", per_row=False if False else True)
+        getattr(s, method)(df, F.max("v"), DESCRIPTION, hint="Found, [[ACTUAL_VALUE]]", per_row=False)
+        assert s.results().first().hint == f"Found, {value}"
         r = s.results().first()
         assert r.description == DESCRIPTION
         assert (r.status == "passed") == passes
@@ -40,7 +41,53 @@ def test_value_hint(spark):
     s.expect_not_null(df, F.max("v"), DESCRIPTION, per_row=False, hint="Found, [[ACTUAL_VALUE]]")
     s.expect_value(df, F.max("v") == "Bananas", DESCRIPTION, actual=F.max("v"), hint="Found, [[ACTUAL_VALUE]]")
     hints = [r.hint for r in s.results().orderBy("seq").collect()]
-    assert hints[1] == "Found, Bananas"
+    assert hints == ["Found, Bananas", "Found, Bananas"]
+
+
+def test_length_hint_and_escaped_report(spark):
+    df = spark.createDataFrame([("<b>",)], "v string")
+    s = Suite("Whatever", spark)
+    s.expect_length(df, F.max("v"), 5, "<i> & co", per_row=False, hint="[[ACTUAL_VALUE]] has [[LEN_ACTUAL_VALUE]]", escape_html=True)
+    s.expect_length(df, F.max("v"), 5, "<i> & co", per_row=False, hint="[[ACTUAL_VALUE]] has [[LEN_ACTUAL_VALUE]]", depends_on=["-n/a-"])
+    rows = scoring.report(s.results()).orderBy("seq").collect()
+    assert [r.description for r in rows] == ["&lt;i&gt; &amp; co", "<i> & co"]
+    assert [r.hint for r in rows] == ["&amp;lt;b&amp;gt; has 3", "&lt;b&gt; has 3"]
+
+
+def test_runtime_errors_fail_only_their_check(spark):
+    df = spark.createDataFrame([("a", 0), ("1", 2)], "v string, n int")
+    s = Suite("Run", spark)
+    none = ["-n/a-"]
+    s.expect(df, F.col("n") >= 0, "fine", test_id="fine", depends_on=none)
+    s.expect(df, F.col("v").cast("int") > 0, "cast", test_id="cast", depends_on=none)
+    s.expect(df, (F.lit(1) / F.col("n")) > 0, "division", test_id="division", depends_on=none)
+    s.expect(df, F.col("v").cast("int") > 5, "skipped", test_id="skipped", depends_on=["cast"])
+    s.expect_value(df, F.count(F.lit(1)) == 2, "count", test_id="count", depends_on=none)
+    rows = {r.test_id: r for r in s.materialise().collect()}
+    assert {k: r.status for k, r in rows.items()} == {
+        "Run-fine": "passed", "Run-cast": "failed", "Run-division": "failed", "Run-skipped": "skipped", "Run-count": "passed"}
+    assert "CAST_INVALID_INPUT" in rows["Run-cast"].message and "DIVIDE_BY_ZERO" in rows["Run-division"].message
+
+
+def test_two_objects_of_one_table_are_scanned_once(spark):
+    path = "/root/testdata/sf0.001/lineitem.parquet"
+    s = Suite("One", spark)
+    s.expect(spark.read.parquet(path), F.col("l_quantity") > 0, "a", test_id="a")
+    s.expect_in(spark.read.parquet(path), "l_returnflag", ["A", "N", "R"], "b", test_id="b")
+    other = spark.read.parquet(path)
+    s.expect(other, other["l_tax"] >= 0, "c", test_id="c")
+    assert {r.status for r in s.results().collect()} == {"passed"}
+
+
+def test_none_operands(spark):
+    df = spark.range(2)
+    s = Suite("None", spark)
+    none = ["-n/a-"]
+    s.expect_tables_equal(None, None, "both", depends_on=none)
+    s.expect_tables_equal(df, None, "one", depends_on=none)
+    s.expect_rows_equal(None, None, ["id"], "rows", depends_on=none)
+    s.expect_schemas_equal(None, None, "schemas", depends_on=none)
+    assert [r.status for r in s.results().orderBy("seq").collect()] == ["passed", "failed", "passed", "passed"]
 
 
 def test_duplicate_id_raises(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vouch.functions.text import html_escape
+
 from vouch.operators.graph import FAILED
 
 
@@ -59,9 +61,12 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def report(results: DataFrame) -> DataFrame:
-    """Grade table: hint only on failed checks, message only when not empty."""
+    """Grade table: hint only on failed checks, message only when not empty;
+    description and hint are escaped for HTML where the check asks for it."""
+    escape = F.coalesce(F.col("escape_html"), F.lit(False)) if "escape_html" in results.columns else F.lit(False)
+    shown = lambda c: F.when(escape, html_escape(c)).otherwise(F.col(c))
     return results.select(
-        "suite", "test_id", "seq", "points", "description", "status",
-        F.when(F.col("status") == FAILED, F.col("hint")).alias("hint"),
+        "suite", "test_id", "seq", "points", shown("description").alias("description"), "status",
+        F.when(F.col("status") == FAILED, shown("hint")).alias("hint"),
         F.when(F.length(F.coalesce(F.col("message"), F.lit(""))) > 0, F.col("message")).alias("message"),
     )

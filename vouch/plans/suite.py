@@ -290,7 +290,7 @@ class Suite:
     def _meta_frame(self) -> DataFrame:
         """Check metadata as ONE local relation (one row per declared check)."""
         rows = [
-            (c.idx, c.suite, c.full_id, c.seq, c.description, c.points, c.hint, list(c.ancestors))
+            (c.idx, c.suite, c.full_id, c.seq, c.description, c.points, c.hint, list(c.ancestors), c.escape_html)
             for c in self.checks
         ]
         return self._spark_of().createDataFrame(rows, META_SCHEMA)
@@ -490,6 +490,7 @@ META_SCHEMA = T.StructType(
         T.StructField("check_points", T.IntegerType()),
         T.StructField("hint_template", T.StringType()),
         T.StructField("ancestors", T.ArrayType(T.StringType())),
+        T.StructField("escape_html", T.BooleanType()),
     ]
 )
 
@@ -524,7 +525,7 @@ def with_skips(raw: DataFrame) -> DataFrame:
     return j.select(
         "suite", "test_id", "seq", "description", *st, "violations", "actual",
         render_hint(F.col("hint_template"), F.col("actual"), F.col("actual_length")).alias("hint"),
-        F.when(F.col("_skipped"), F.lit("")).otherwise(F.col("message")).alias("message"),
+        F.when(F.col("_skipped"), F.lit("")).otherwise(F.col("message")).alias("message"), "escape_html",
     )
 
 

@@ -639,11 +639,13 @@ def suite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("suite_skip_dag", """
 WITH RECURSIVE nodes AS (
-  SELECT 'orders-' || o_orderkey AS test_id, o_orderkey AS seq, o_totalprice < 490000 AS ok,
+  SELECT 'orders-' || o_orderkey AS test_id, o_orderkey AS seq, o_totalprice < 490000 AND o_orderkey <> 2 AS ok,
          CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS pts FROM orders),
 edges AS (
   SELECT 'orders-' || o_orderkey AS t, 'orders-' || (o_orderkey // 2) AS d FROM orders
-  UNION SELECT 'orders-' || o_orderkey, 'orders-' || (o_orderkey // 3) FROM orders),
+  UNION SELECT 'orders-' || o_orderkey, 'orders-' || (o_orderkey // 3) FROM orders
+  UNION SELECT 'orders-' || o_orderkey, 'orders-' || (o_orderkey - 1) FROM orders WHERE o_orderkey <= 150
+  UNION SELECT 'orders-' || o_orderkey, 'orders-140' FROM orders WHERE o_custkey % 3 = 0),
 back AS (
   SELECT e.t, e.d FROM edges e JOIN nodes nt ON nt.test_id = e.t JOIN nodes nd ON nd.test_id = e.d WHERE nd.seq < nt.seq),
 skipped(id) AS (
@@ -657,7 +659,9 @@ FROM nodes
 """)
 def suite_skip_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One suite over all orders; each order's check depends on the checks of
-    orders key//2 and key//3 (a DAG with many paths)."""
+    orders key//2 and key//3 (a DAG with many paths), the first 150 also on the
+    one before (a long chain, whose second check fails), and a third of all on
+    one shared check."""
     from vouch.operators.graph import skip_by_graph, status_columns
 
     orders = Tables(spark, sf_dir).orders
@@ -666,9 +670,11 @@ def suite_skip_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("orders").alias("suite"),
         oid(F.col("o_orderkey")).alias("test_id"),
         F.col("o_orderkey").alias("seq"),
-        (F.col("o_totalprice") < 490000).alias("raw_passed"),
+        ((F.col("o_totalprice") < 490000) & (F.col("o_orderkey") != 2)).alias("raw_passed"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("check_points"),
-        F.array(oid(F.floor(F.col("o_orderkey") / 2)), oid(F.floor(F.col("o_orderkey") / 3))).alias("depends_on"),
+        F.array(oid(F.floor(F.col("o_orderkey") / 2)), oid(F.floor(F.col("o_orderkey") / 3)),
+                F.when(F.col("o_orderkey") <= 150, oid(F.col("o_orderkey") - 1)),
+                F.when(F.col("o_custkey") % 3 == 0, F.lit("orders-140"))).alias("depends_on"),
     )
     j = skip_by_graph(raw, depends_on="depends_on")
     return j.select("suite", "test_id", "seq", *status_columns(F.col("raw_passed"), F.col("skipped"), F.col("check_points"))).select(*SUITE_COLUMNS)
@@ -766,21 +772,24 @@ _ESCAPE_SQL = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<',
 
 
 @query("render_hints", f"""
-SELECT l.doc_id,
+WITH wanted AS (SELECT doc_id FROM documents UNION ALL SELECT -1 - item_id FROM benchmark)
+SELECT w.doc_id,
        replace(replace(CASE WHEN l.toxic = 1 THEN 'Flagged text: [[ACTUAL_VALUE]]'
                             ELSE 'Text of [[LEN_ACTUAL_VALUE]] characters: [[ACTUAL_VALUE]]' END,
                        '[[ACTUAL_VALUE]]', {_ESCAPE_SQL.format(x="coalesce(d.text, 'None')")}),
                '[[LEN_ACTUAL_VALUE]]',
                coalesce(CAST(length(d.text) AS VARCHAR), {_ESCAPE_SQL.format(x="coalesce(d.text, 'None')")})) AS hint
-FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id
+FROM wanted w LEFT JOIN labels l ON l.doc_id = w.doc_id LEFT JOIN documents d ON d.doc_id = w.doc_id
 """)
 def render_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hints of per-document checks filled with the whole document text."""
+    """Hints of per-document checks filled with the whole document text, for
+    all documents and an absent one for each benchmark item."""
     from vouch.functions.text import render_hint
 
     t = Tables(spark, sf_dir)
     docs = t.documents.select("doc_id", "text")
-    j = t.labels.join(docs, "doc_id", "left")
+    wanted = t.documents.select("doc_id").unionByName(t.benchmark.select((-1 - F.col("item_id")).alias("doc_id")))
+    j = wanted.join(t.labels.select("doc_id", "toxic"), "doc_id", "left").join(docs, "doc_id", "left")
     template = F.when(F.col("toxic") == 1, F.lit("Flagged text: [[ACTUAL_VALUE]]")).otherwise(
         F.lit("Text of [[LEN_ACTUAL_VALUE]] characters: [[ACTUAL_VALUE]]"))
     return j.select("doc_id", render_hint(template, F.col("text"), F.length("text")).alias("hint"))

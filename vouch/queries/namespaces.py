@@ -94,18 +94,20 @@ def assign_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("parse_counts", """
 WITH per_user AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
-raw AS (SELECT event_id, user_id, regexp_extract(props, ':([^}]*)', 1) AS raw FROM events)
+raw AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'about ' ELSE ' ' END || regexp_extract(props, ':([^}]*)', 1) AS raw FROM events)
 SELECT raw.event_id,
        greatest(CASE WHEN regexp_full_match(trim(raw.raw), '[0-9]+') THEN CAST(trim(raw.raw) AS BIGINT) ELSE 0 END,
                 per_user.n) AS student_count
 FROM raw JOIN per_user USING (user_id)
 """)
 def parse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested counts are text (the JSON value after the colon); the
-    count used is at least the number of events of that user."""
+    """Requested counts are text (the JSON value after the colon; with a word
+    before it for clicks, which is no number); the count used is at least the
+    number of events of that user."""
     ev = Tables(spark, sf_dir).events
     per_user = ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    raw = ev.select("event_id", "user_id", F.regexp_extract("props", ":([^}]*)", 1).alias("raw"))
+    lead = F.when(F.col("event_type") == "click", F.lit("about ")).otherwise(F.lit(" "))
+    raw = ev.select("event_id", "user_id", F.concat(lead, F.regexp_extract("props", ":([^}]*)", 1)).alias("raw"))
     j = raw.join(per_user, "user_id")
     return j.select("event_id", parse_count(F.col("raw"), F.col("n")).alias("student_count"))
 
@@ -131,19 +133,23 @@ def users_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("schema_exists", f"""
-WITH inv AS (SELECT DISTINCT 'db_' || lower({_clean('n.n_name')}) AS schema_name
-             FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE c.c_acctbal > 9900),
+WITH inv AS (SELECT 'db_' || lower({_clean('n.n_name')}) AS schema_name FROM nation n JOIN (
+               SELECT DISTINCT c_nationkey FROM customer
+               UNION ALL SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9900) c ON n.n_nationkey = c.c_nationkey),
 probes AS (SELECT n_name, 'db_' || lower({_clean('n_name')}) AS schema_name FROM nation)
 SELECT p.n_name, p.schema_name, (SELECT count(*) FROM inv WHERE inv.schema_name = p.schema_name) = 1 AS exists
 FROM probes p
 """)
 def schema_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inventory: a schema per nation of the customers with the highest
-    balances; probes: every nation."""
+    """Inventory: a schema per nation of all customers, listed twice for the
+    nations of the highest balances (a name found twice does not count as one
+    schema); probes: every nation."""
     t = Tables(spark, sf_dir)
     name = lambda c: F.concat(F.lit("db_"), F.lower(TX.clean_string(c)))
+    nations = t.customer.select(F.col("c_nationkey").alias("n_nationkey"))
     rich = t.customer.where(F.col("c_acctbal") > 9900).select(F.col("c_nationkey").alias("n_nationkey"))
-    inv = rich.join(t.nation, "n_nationkey").select(name(F.col("n_name")).alias("schema_name")).distinct()
+    listed = nations.distinct().unionByName(rich.distinct())
+    inv = listed.join(t.nation, "n_nationkey").select(name(F.col("n_name")).alias("schema_name"))
     probes = t.nation.select("n_name", name(F.col("n_name")).alias("schema_name"))
     return NS.schema_exists(inv, probes)
 
