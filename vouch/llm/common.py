@@ -144,8 +144,10 @@ def sampled(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
 
     A row is taken when the hash of its key falls below per_group / rows of
     the group; counts are the only thing gathered, so no group is sorted, and
-    the sample of a table is always the same.
+    the sample of a table is always the same.  The counts (one row for each
+    class of the model that is fitted, which holds them all) are broadcast, so
+    texts are not shuffled by their class.
     """
     counts = rows.groupBy(group).agg((F.lit(float(per_group)) / F.count(F.lit(1))).alias("_share"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(counts, group).filter(draw < F.col("_share")).drop("_share")
+    return rows.join(F.broadcast(counts), group).filter(draw < F.col("_share")).drop("_share")
