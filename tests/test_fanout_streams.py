@@ -95,3 +95,35 @@ def test_combine_per_user_matches_single_pass(spark):
         df, "u", partial, "u long, n long, s double, hi double", merge, "u long, n long, s double, hi double",
         salts=8).collect()}
     assert got == {1: (3000, float(sum(range(3000))), 2999.0), 2: (2, 12.0, 7.0), 3: (1, -1.0, -1.0)}
+
+
+def test_new_columns_and_other_types_are_refused(spark):
+    import pytest
+
+    from vouch.operators.fanout import UserTable
+    from vouch.session import work_path
+
+    t = UserTable(spark, work_path(spark, "t-users"), "u")
+    assert t.drop(spark.createDataFrame([("x",)], "u string")).first().action == "skipped"
+    t.create(spark.createDataFrame([("a", 1)], "u string, v int"), False)
+    for bad in (spark.createDataFrame([("b", 1, 2)], "u string, v int, w int"), spark.createDataFrame([("b", "1")], "u string, v string"),
+                spark.createDataFrame([(1, 1)], "u bigint, v int")):
+        with pytest.raises(ValueError):
+            t.create(bad, False)
+    t.create(spark.createDataFrame([("b", 2)], "u string, v int"), False)
+    assert sorted((r.u, r.v) for r in t.read().collect()) == [("a", 1), ("b", 2)]
+
+
+def test_a_failed_stream_raises(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from vouch.session import work_path
+    from vouch.streaming import progress as P
+
+    base = work_path(spark, "t-fail")
+    src = P.stage_files(spark.range(20).withColumn("s", F.lit("x")), f"{base}/landing", 2, "id")
+    q = P.start_file_stream(spark, src, spark.read.parquet(src).schema, f"{base}/sink", f"{base}/progress", f"{base}/ckpt",
+                            transform=lambda d: d.select(F.col("s").cast("int").alias("n")))
+    with pytest.raises(Exception):
+        P.wait_until_ended(q)

@@ -48,17 +48,19 @@ def combine_per_user(
     partial_schema: str,
     merge: Callable[[pd.DataFrame], pd.DataFrame],
     schema: str,
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
     """Pandas logic per user that never holds a whole user in one task.
 
-    Rows are split by a row-hash salt into ``salts`` slices per user;
-    ``partial`` reduces each (user, slice) group to a few rows, and
+    Rows are dealt over ``salts`` slices per user, by their position in the
+    input, so also identical rows are spread (by default as many slices as the
+    session has shuffle partitions, 64 at least); ``partial`` reduces each (user, slice) group to a few rows, and
     ``merge`` combines the at most ``salts`` partial rows of a user.  A
     user with a third of all rows is spread over ``salts`` tasks.
     ``partial`` and ``merge`` must keep the user column.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).alias("_slice")
+    salts = salts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("_slice")
     sliced = df.select("*", salt)
 
     def run_partial(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,6 +77,7 @@ def user_bucket(user: Column, buckets: int) -> Column:
 class UserTable:
     def __init__(self, spark: SparkSession, path: str, user: str, buckets: int = 64) -> None:
         self.spark, self.path, self.user, self.buckets = spark, path, user, buckets
+        self._user_type = "bigint"
 
     def exists(self) -> bool:
         return path_exists(self.spark, self.path)
@@ -113,7 +116,18 @@ class UserTable:
         return self.read().select(self.user).distinct()
 
     def _user_schema(self) -> str:
-        return f"{self.user} bigint"
+        return f"{self.user} {self._user_type}"
+
+    def _accept(self, rows: DataFrame, whole: bool) -> None:
+        """Take the user's type from a request; rows to be stored must have
+        the columns and types of the table, so that none is lost on reading."""
+        self._user_type = rows.schema[self.user].dataType.simpleString()
+        if not self.exists():
+            return
+        stored = {f.name: f.dataType for f in self.schema().fields if f.name != BUCKET}
+        given = {f.name: f.dataType for f in rows.schema.fields}
+        if (whole and stored != given) or stored[self.user] != given[self.user]:
+            raise ValueError(f"the table has columns {sorted(stored)}, the request {sorted(given)}, or their types differ")
 
     def _tag(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn(BUCKET, user_bucket(F.col(self.user), self.buckets))
@@ -122,9 +136,9 @@ class UserTable:
         """Shuffle rows so each bucket is written by a few tasks (about
         ``shuffle.partitions`` files in all, not tasks x buckets); a row hash
         salt splits every bucket - and so any hot user - over
-        ``partitions / buckets`` tasks."""
+        ``partitions / buckets`` tasks, 8 at least."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        salts = max(1, n // self.buckets)
+        salts = max(8, n // self.buckets)
         salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in tagged.columns]), F.lit(salts))
         return tagged.repartition(n, F.col(BUCKET), salt)
 
@@ -158,6 +172,7 @@ class UserTable:
         ``drop_existing`` replaced.  Returns (user, action), fixed before any
         write (checkpointed) so it describes the state the request met."""
         ensure_checkpoint_dir(self.spark)
+        self._accept(rows, whole=True)
         requested = rows.select(self.user).distinct()
         if not self.exists():
             report = requested.select(self.user, F.lit(CREATED).alias("action")).checkpoint()
@@ -180,6 +195,7 @@ class UserTable:
 
     def drop(self, users: DataFrame) -> DataFrame:
         """Drop the listed users that exist; the rest are reported skipped."""
+        self._accept(users, whole=False)
         requested = users.select(self.user).distinct()
         existing = self.users()
         hit = requested.join(existing, self.user, "left_semi")
