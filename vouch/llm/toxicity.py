@@ -30,7 +30,7 @@ from xxhash import xxh3_64_intdigest
 from vouch.llm.common import sampled, small_batches
 
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&/\\-_=+~`|…„“”«»¿¡"
-_CACHE = 1 << 18
+_CACHE = 1 << 17
 #: Least distance of two thresholds.
 _GAP = 1e-3
 
