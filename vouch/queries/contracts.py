@@ -6,10 +6,12 @@ is in ``ORACLE`` under the same key with the same column names.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.plans.suite import Suite
+from vouch.plans.suite import NO_PREVIOUS, Suite
 from vouch.sources.tables import Tables
 
 QUERIES: dict = {}
@@ -793,3 +795,75 @@ def render_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = F.when(F.col("toxic") == 1, F.lit("Flagged text: [[ACTUAL_VALUE]]")).otherwise(
         F.lit("Text of [[LEN_ACTUAL_VALUE]] characters: [[ACTUAL_VALUE]]"))
     return j.select("doc_id", render_hint(template, F.col("text"), F.length("text")).alias("hint"))
+
+
+@query("suite_computed_once", f"""
+SELECT status, count(*) AS checks, sum(points)::BIGINT AS points FROM ({ORACLE['suite_results']}) GROUP BY status
+""")
+def suite_computed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11: the suite runs once, is kept, and is then read for what is asked of it."""
+    suite = orders_contract(spark, sf_dir)
+    kept = suite.materialise()
+    assert suite.results() is kept
+    return kept.groupBy("status").agg(F.count(F.lit(1)).alias("checks"), F.sum("points").cast("bigint").alias("points"))
+
+
+@query("expect_custom_errors", """
+SELECT 'errors' AS suite, 'errors-' || id AS test_id, seq, CASE WHEN ok THEN 'passed' WHEN skip THEN 'skipped' ELSE 'failed' END AS status,
+       CASE WHEN ok THEN 1 ELSE 0 END AS points
+FROM (VALUES ('price', 1, (SELECT count(*) FILTER (o_totalprice <= 0) = 0 FROM orders), false), ('cast', 2, false, false),
+             ('division', 3, false, false), ('after_cast', 4, false, true),
+             ('status', 5, (SELECT count(*) FILTER (o_orderstatus NOT IN ('F', 'O', 'P')) = 0 FROM orders), false)) AS v(id, seq, ok, skip)
+""")
+def expect_custom_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks that raise while data is read fail alone, beside checks that pass."""
+    orders = Tables(spark, sf_dir).orders
+    s, none = Suite("errors", spark), [NO_PREVIOUS]
+    s.expect(orders, F.col("o_totalprice") > 0, "price", test_id="price", depends_on=none)
+    s.expect(orders, F.col("o_orderpriority").cast("int") > 0, "text as number", test_id="cast", depends_on=none)
+    s.expect(orders, F.lit(1) / (F.col("o_custkey") - F.col("o_custkey")) > 0, "division", test_id="division", depends_on=none)
+    s.expect(orders, F.col("o_orderstatus").cast("int") > 0, "never run", test_id="after_cast", depends_on=["cast"])
+    s.expect_in(orders, "o_orderstatus", ["F", "O", "P"], "status", test_id="status", depends_on=none)
+    return s.materialise().select(*SUITE_COLUMNS)
+
+
+@query("expect_equals_exact", """
+WITH n AS (SELECT count(*) > 0 AS filled FROM lineitem)
+SELECT 'exact' AS suite, 'exact-' || id AS test_id, seq, CASE WHEN ok AND filled THEN 'passed' ELSE 'failed' END AS status,
+       CASE WHEN ok AND filled THEN 1 ELSE 0 END AS points
+FROM (VALUES ('cent', 1, false), ('same', 2, true), ('long_double', 3, false), ('decimal_long', 4, true), ('text', 5, false)) AS v(id, seq, ok), n
+""")
+def expect_equals_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums that differ by a cent, 2^53 + 1 against 2^53 as a double, a decimal
+    count and a count as text."""
+    li = Tables(spark, sf_dir).lineitem
+    total = F.sum(F.col("l_extendedprice").cast("decimal(20,2)")) + F.lit(Decimal("12345678901234567890.00"))
+    s, none = Suite("exact", spark), [NO_PREVIOUS]
+    s.expect_equals(li, total, total + F.lit(Decimal("0.01")), "a cent more", test_id="cent", depends_on=none)
+    s.expect_equals(li, total, total + F.lit(Decimal("0.00")), "the same", test_id="same", depends_on=none)
+    s.expect_equals(li, F.max(F.lit(2 ** 53 + 1)), F.max(F.lit(float(2 ** 53))), "long and double", test_id="long_double", depends_on=none)
+    s.expect_equals(li, F.count(F.lit(1)), F.sum(F.lit(Decimal("1.00"))), "count as decimal", test_id="decimal_long", depends_on=none)
+    s.expect_equals(li, F.count(F.lit(1)), F.count(F.lit(1)).cast("string"), "count as text", test_id="text", depends_on=none)
+    return s.results().select(*SUITE_COLUMNS)
+
+
+_REPEATED_SQL = """a AS (SELECT NULLIF(l_orderkey, 1) AS k, l_returnflag AS f, l_linestatus AS s FROM lineitem),
+b AS (SELECT k, CASE WHEN f = 'R' THEN 'A' ELSE f END AS f, s FROM a WHERE s <> 'F' OR f <> 'N'),
+r AS (SELECT k, f, s, sum(x) AS x, sum(y) AS y FROM (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY k, f, s),
+g AS (SELECT k, sum(x - least(x, y)) AS x, sum(y - least(x, y)) AS y FROM r GROUP BY k)"""
+
+
+@query("expect_rows_repeated", f"""
+WITH {_REPEATED_SQL}
+SELECT 'actual_only' AS side, coalesce(sum(x - least(x, y)), 0)::BIGINT AS rows_differing FROM g
+UNION ALL SELECT 'expected_only', coalesce(sum(y - least(x, y)), 0)::BIGINT FROM g
+UNION ALL SELECT 'changed', coalesce(sum(least(x, y)), 0)::BIGINT FROM g
+""")
+def expect_rows_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by a key that repeats and may be NULL: changed, lost and equal rows."""
+    from vouch.operators.compare import keyed_difference
+
+    key = F.when(F.col("l_orderkey") != 1, F.col("l_orderkey")).alias("k")
+    a = Tables(spark, sf_dir).lineitem.select(key, F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"))
+    b = a.where((F.col("s") != "F") | (F.col("f") != "N")).withColumn("f", F.when(F.col("f") == "R", F.lit("A")).otherwise(F.col("f")))
+    return keyed_difference(a, b, ["k"])
