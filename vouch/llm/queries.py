@@ -195,8 +195,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others keep all their columns."""
-    graded = toxicity.grade_documents(docs, toxicity_model(spark, sf_dir), docs.columns)
-    return graded.filter(~F.col("toxic")).select(*docs.columns)
+    return toxicity.clean_documents(docs, toxicity_model(spark, sf_dir))
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

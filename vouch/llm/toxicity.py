@@ -186,6 +186,17 @@ def grade_documents(docs: DataFrame, model: OrdinalModel | None, keep: list[str]
     """``keep`` columns with score, severity (expected grade), grade (most
     likely) and toxic (grade 0 is less likely than the others together)."""
     keep = ["doc_id"] if keep is None else keep
+    return _graded(docs, model, keep).toDF(*keep, "score", "severity", "grade", "toxic")
+
+
+def clean_documents(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
+    """The rows of ``docs`` that are not graded toxic, with all their columns."""
+    graded = _graded(docs, model, docs.columns)
+    return graded.filter("NOT _toxic").select(*graded.columns[:len(docs.columns)]).toDF(*docs.columns)
+
+
+def _graded(docs: DataFrame, model: OrdinalModel | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` by number (so no name can clash) and the grading."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -205,4 +216,4 @@ def grade_documents(docs: DataFrame, model: OrdinalModel | None, keep: list[str]
                 [*[b.column(c) for c in ids], pa.array(s), pa.array(above.sum(1)), pa.array(grade.astype(np.int32)), pa.array(above[:, 0] > 0.5)], [*ids, *out])
 
     schema = rows.select(*ids, F.lit(0.0).alias("_score"), F.lit(0.0).alias("_severity"), F.lit(0).alias("_grade"), F.lit(True).alias("_toxic")).schema
-    return rows.mapInArrow(run, schema).toDF(*keep, "score", "severity", "grade", "toxic")
+    return rows.mapInArrow(run, schema)
