@@ -9,8 +9,9 @@ permutation depends on the key and the kind alone, so equal values get equal
 pseudonyms in every document and layout, different values get different ones,
 and the holder of the key can turn them back.
 
-What changes: the local part of e-mail addresses, phone numbers, IPv4
-addresses, card numbers (the network digit stays, the check digit is made
+What changes: the local part of e-mail addresses, phone numbers (three, three
+and four digits with any area code, and numbers of any country after a ``+``,
+whose country code stays), IPv4 addresses, card numbers (the network digit stays, the check digit is made
 anew), social security numbers, IBANs (country stays, check digits are made
 anew), calendar dates, and hexadecimal secrets after ``password=``,
 ``token = "`` and the like.  Numbers that break the rules of their kind stay.
@@ -38,11 +39,16 @@ _DAYS = dt.date(2100, 1, 1).toordinal() - _FIRST_DAY
 # Lengths of IBANs by country.
 _IBAN = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IT": 27, "NL": 18, "PL": 28, "PT": 25, "SE": 24}
 
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 "
+                  "90 91 92 93 94 95 98".split())
+
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<secret>(?i:password|passwd|pwd|secret|token|api_?key|access_?key)\s?[=:]\s?\"?(?P<hex>[0-9a-f]{8,128})(?![\w]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<phone>(?<![\w.])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w))"
+    r"|(?P<phone>(?<![\w.])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
+    r"|(?<![\w.+])\+[1-9](?:[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{2,5}\)|\d)){3,14}(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
     r"|(?P<iso>(?<![\w-])(?:19|20)\d\d-\d\d-\d\d(?![\w-]))"
     r"|(?P<dmy>(?<![\w.])\d\d?\.\d\d?\.(?:19|20)\d\d(?!\w|\.\d))"
@@ -125,13 +131,26 @@ def _ip(s: str, p: Permuter, back: bool) -> str | None:
 
 
 def _phone(s: str, p: Permuter, back: bool) -> str | None:
-    d = re.sub(r"\D", "", s)
-    lead, d = d[:-10], d[-10:]
-    x = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:])
-    x = p.number(x, 800 * 800 * 10_000, "phone", back)
-    area, rest = divmod(x, 800 * 10_000)
-    exchange, line = divmod(rest, 10_000)
-    return _written_into(s, f"{lead}{area + 200}{exchange + 200}{line:04d}")
+    d = re.sub(r"\D", "", s.replace("(0)", "()"))
+    if s[0] != "+":
+        code = len(d) - 10
+    elif not 7 <= len(d) <= 15:
+        return None
+    else:
+        code = 1 if d[0] in "17" else 2 if d[:2] in _TWO_DIGITS else 3
+    n = len(d) - code
+    # One kind for all layouts of the numbers of +1.
+    kind = "phone" if n == 10 and d[:code] in ("", "1") else f"phone+{d[:code]}-{n}"
+    new = d[:code] + str(p.number(int(d[code:]), 10 ** n, kind, back)).zfill(n)
+    return "(0)".join(_layouts(s.split("(0)"), new))
+
+
+def _layouts(parts: list[str], digits: str):
+    """Each of ``parts`` with the next digits in the places of its own."""
+    for part in parts:
+        n = sum(c.isdigit() for c in part)
+        yield _written_into(part, digits[:n])
+        digits = digits[n:]
 
 
 def _ssn(s: str, p: Permuter, back: bool) -> str | None:
