@@ -48,3 +48,35 @@ def test_layouts_of_a_foreign_phone_link():
 @pytest.mark.parametrize("text", ["2 +3 4", "a+123456789", "+12 34", "+1234567890123456", "+0123456789"])
 def test_other_numbers_after_a_plus_stay(text):
     assert P.pseudonymise(text, PERMUTER) == (text, [])
+
+
+@pytest.mark.parametrize("before, after", [("Card ", " 12/25"), ("Card ", " 12"), ("Pay 7 ", " now"), ("No 12 ", " 99 x"), ("", " 123")])
+def test_cards_beside_other_digits_change_and_turn_back(before, after):
+    rng = random.Random(4)
+    for _ in range(200):
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        d += P.luhn_digit(d)
+        card = " ".join(d[i:i + 4] for i in range(0, 16, 4))
+        text = before + card + after
+        new, spans = P.pseudonymise(text, PERMUTER)
+        assert [k for k, *_ in spans] == ["card"] and card not in new
+        assert P.pseudonymise(new, PERMUTER, back=True)[0] == text
+
+
+def test_the_reviewed_card_and_ibans_change():
+    new = one("4111 1111 1111 1111", "card", "Card ", " 12/25")
+    assert P.luhn_digit(new.replace(" ", "")[:-1]) == new[-1] and one("4111111111111111", "card") == new.replace(" ", "")
+    for value, after in [("AT61 1904 3002 3457 3201", " IBAN"), ("BE71 0961 2345 6769", " A"), ("BE71 0961 2345 6769", " A 4111 b")]:
+        assert one(value, "iban", "To ", after) == one(value, "iban")
+
+
+@pytest.mark.parametrize("value", ["NO9386011117947", "DK50 0040 0440 1162 43", "FI21 1234 5600 0007 85", "MT84MALT011000012345MTLCAST001S",
+                                   "SA03 8000 0000 6080 1016 7519", "LU28 0019 4006 4475 0000"])
+def test_ibans_of_other_countries_change(value):
+    new = one(value, "iban", "To ", ".").replace(" ", "")
+    assert new[:2] == value[:2] and P._iban_check(new[:2], new[4:]) == new[2:4]
+
+
+def test_a_value_inside_a_refused_match_changes():
+    new, spans = P.pseudonymise("Codes AA11 4111 1111 1111 1111 and 1 4111 1111 1111 1111.", PERMUTER)
+    assert [k for k, *_ in spans] == ["card", "card"] and "4111 1111" not in new

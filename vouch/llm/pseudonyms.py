@@ -7,7 +7,9 @@ format, the number is permuted by a keyed Feistel network (walking on until it
 is valid again), and the new value is written in the old layout.  The
 permutation depends on the key and the kind alone, so equal values get equal
 pseudonyms in every document and layout, different values get different ones,
-and the holder of the key can turn them back.
+and the holder of the key can turn them back.  Only where digits that touch a
+value would form a valid one together with its pseudonym is it permuted once
+more, so that it can still be turned back.
 
 What changes: the local part of e-mail addresses, phone numbers (three, three
 and four digits with any area code, and numbers of any country after a ``+``,
@@ -37,7 +39,11 @@ _ROUNDS = 8
 _FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 _DAYS = dt.date(2100, 1, 1).toordinal() - _FIRST_DAY
 # Lengths of IBANs by country.
-_IBAN = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "ES": 24, "FR": 27, "GB": 22, "IT": 27, "NL": 18, "PL": 28, "PT": 25, "SE": 24}
+_IBAN = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 "
+    "GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 "
+    "MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 "
+    "UA29 VA22 VG24 XK20 YE30").split()}
 
 #: Country codes of two digits; 1 and 7 have one, all others three.
 _TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 "
@@ -242,20 +248,62 @@ def pseudonymise(text: str | None, p: Permuter, back: bool = False) -> tuple[str
     if not text or not _ANY.search(text):
         return text, []
     out, spans, at, size = [], [], 0, 0
-    for m in _PATTERN.finditer(text):
+    refused: list[tuple[str, int, int]] = []
+    m = _PATTERN.search(text)
+    while m:
         kind = "hex" if m.lastgroup in ("secret", "hex") else m.lastgroup
         start, end = m.span("hex") if kind == "hex" else m.span()
-        new = replace_value(kind, text[start:end], p, back)
+        new = None
+        for stop in _ends(kind, text, start, end):
+            new = _replaced(kind, text, start, stop, refused, p, back)
+            if new is not None:
+                break
+            refused.append((kind, start, stop))
         if new is None:
+            m = _PATTERN.search(text, m.start() + 1)
             continue
+        refused = []
         out += [text[at:start], new]
         size += start - at
         spans.append((kind, size, len(new)))
         size += len(new)
-        at = end
+        at = stop
+        m = _PATTERN.search(text, at)
     return "".join([*out, text[at:]]), spans
 
 
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a value of the match may end, the longest first: an IBAN at the
+    length of its country, a card number also after fewer groups of digits if
+    all but the last have four at least."""
+    if kind == "iban":
+        places = [i for i in range(start, end) if text[i] != " "]
+        n = _IBAN.get(text[start:start + 2], 0)
+        return [places[n - 1] + 1] if 0 < n <= len(places) and not text[places[n - 1] + 1:][:1].isalnum() else []
+    if kind != "card":
+        return [end]
+    ends, digits = [], 0
+    for group in re.finditer(r"\d+", text[start:end]):
+        digits += len(group[0])
+        if digits >= 13 and start + group.end() < end:
+            ends.append(start + group.end())
+        if len(group[0]) < 4:
+            break
+    return [end, *reversed(ends)]
+
+
+def _replaced(kind: str, text: str, start: int, end: int, refused: list, p: Permuter, back: bool) -> str | None:
+    """The pseudonym of text[start:end], permuted on while it makes a value of
+    one of the spans ``refused`` before, so that it is found again."""
+    new = replace_value(kind, text[start:end], p, back)
+    if new is None:
+        return None
+    over = [(k, a, z) for k, a, z in refused if z > start]
+    while any(replace_value(k, text[a:start] + (new + text[end:z] if z >= end else new[:z - start]), p) is not None for k, a, z in over):
+        new = replace_value(kind, new, p, back)
+    return new
+
+
 def pseudonymise_documents(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, n_found and found (kind, start, length)."""
     small_batches(docs.sparkSession)
