@@ -23,7 +23,9 @@ STAGES = [
 ]
 
 #: SQL expresses neither the learned severity nor the latent retrieval; the
-#: tests hold every stage against a brute-force version.
+#: tests hold the rows that toxicity and near duplicates keep against a plain
+#: version, those of decontamination against planted items, and mixing and
+#: sharding against the SQL of their queries.
 ORACLE_SQL = None
 
 
