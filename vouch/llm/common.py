@@ -151,3 +151,23 @@ def sampled(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
     counts = rows.groupBy(group).agg((F.lit(float(per_group)) / F.count(F.lit(1))).alias("_share"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(F.broadcast(counts), group).filter(draw < F.col("_share")).drop("_share")
+
+
+#: A class with more than one row in so many is hot; there are fewer hot classes than this.
+HOT_SHARE = 1000
+
+
+def by_class(rows: DataFrame, classes: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of their class (inner join on ``key``, which is
+    never null; ``classes`` has each key once and is a written table).
+
+    ``count`` is the number of rows of the class.  A class with more than a
+    thousandth of all rows would land in one task; there are fewer than a
+    thousand such classes, so they are broadcast, and the other rows are shuffled.
+    """
+    total = classes.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col(count) * HOT_SHARE > F.lit(total)
+    hot = F.broadcast(classes.filter(is_hot).drop(count))
+    found = rows.join(hot, key)
+    rest = rows.join(F.broadcast(classes.filter(is_hot).select(key)), key, "left_anti")
+    return found.unionByName(rest.join(classes.filter(~is_hot).drop(count), key))

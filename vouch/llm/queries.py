@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm import adapt_join, chat_parts, latent_decontam, line_runs, mixing, ppm_language, pseudonyms, rendezvous, simhash, toxicity
+from vouch.llm import adapt_join, chat_parts, latent_decontam, line_runs, mixing, ppm_language, pseudonyms, rendezvous, simhash, simhash_groups, toxicity
 from vouch.sources.tables import Tables, table_path
 
 QUERIES: dict = {}
@@ -193,6 +193,11 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.identify(docs, trees, ["doc_id", "held_out"])
 
 
+@query("op12_simhash_groups")
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups.simhash_components(Tables(spark, sf_dir).documents, width=4, radius=4)
+
+
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others keep all their columns."""
     return toxicity.clean_documents(docs, toxicity_model(spark, sf_dir))
