@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm import adapt_join, chat_parts, latent_decontam, line_runs, mixing, ppm_language, pseudonyms, rendezvous, simhash, simhash_groups, toxicity
+from vouch.llm import adapt_join, chat_parts, latent_decontam, line_runs, mixing, ppm_language, prefix_trie, pseudonyms, rendezvous, simhash, simhash_groups, toxicity, whitening
 from vouch.sources.tables import Tables, table_path
 
 QUERIES: dict = {}
@@ -193,11 +193,62 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.identify(docs, trees, ["doc_id", "held_out"])
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 of a text that is not empty; needs the CTEs ``crc`` and ``tab``."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda p: ('0x' || substr(hex(encode({text})), 2 * p + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE crc(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, {_CRC_STEP} FROM crc WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, c::VARCHAR AS name FROM own),
+convs AS (SELECT c, c - c % 100 AS base, {_crc_sql('name')} % 6 AS h FROM ids, tab),
+heads AS (SELECT v.c, o.pos AS d, o.role, o.said FROM convs v JOIN own o ON o.c = v.base AND o.pos <= v.h),
+taken AS (SELECT c, count(*) AS n FROM heads GROUP BY c),
+rebuilt AS (
+  SELECT * FROM heads UNION ALL
+  SELECT o.c, o.pos - v.h + coalesce(t.n, 0), o.role, o.said FROM own o JOIN convs v ON v.c = o.c LEFT JOIN taken t ON t.c = o.c WHERE o.pos > v.h),
+keyed AS (
+  SELECT c, d, length(said) AS chars,
+    md5(string_agg(md5(role) || md5(said), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS node,
+    coalesce(md5(string_agg(md5(role) || md5(said), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 'root') AS up
+  FROM rebuilt),
+passed AS (SELECT c, d, chars, node, up FROM keyed UNION ALL SELECT c, 0, 0, 'root', NULL FROM convs),
+nodes AS (SELECT node, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM passed GROUP BY node, d),
+kids AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+counted AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.up = n.node),
+below AS (
+  SELECT a.node, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens
+  FROM counted n JOIN passed a ON a.c = n.conv_id AND a.d <= n.d GROUP BY a.node),
+last AS (SELECT c, arg_max(node, d) AS node FROM passed GROUP BY c),
+ends AS (SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM last GROUP BY node)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM counted n JOIN below b ON b.node = n.node LEFT JOIN nodes p ON p.node = n.up LEFT JOIN ends e ON e.node = n.node"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(Tables(spark, sf_dir).conversations)
+
+
 @query("op12_simhash_groups")
 def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups.simhash_components(Tables(spark, sf_dir).documents, width=4, radius=4)
 
 
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(Tables(spark, sf_dir).embeddings, most=32)
+
+
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others keep all their columns."""
     return toxicity.clean_documents(docs, toxicity_model(spark, sf_dir))
