@@ -111,3 +111,57 @@ def test_long_chain_and_shared_dependency(spark):
     rows = [("S", f"t{i}", i, i != 1, [f"t{i - 1}"] if 1 < i <= 60 else ["t60"] if i > 60 else []) for i in range(1, 400)]
     raw = spark.createDataFrame(rows, "suite string, test_id string, seq int, raw_passed boolean, depends_on array<string>")
     assert skip_by_graph(raw).where("skipped").count() == 398
+
+
+D = Decimal
+
+
+@pytest.mark.parametrize("a,scale,b", [
+    (D(2 ** 53 + 1), 0, float(2 ** 53)), (D(2 ** 53), 0, float(2 ** 53)), (D(2 ** 70), 0, 2.0 ** 70), (D(2 ** 70 - 1), 0, 2.0 ** 70), (D(2 ** 120), 0, 2.0 ** 120),
+    (D("0.1"), 1, 0.1), (D("0.5"), 1, 0.5), (D("-0.75"), 2, -0.75), (D("0.75"), 2, -0.75), (D("1234567.015625"), 6, 1234567.015625), (D("1234567.015626"), 6, 1234567.015625),
+    (D("0"), 2, -0.0), (D("3"), 0, 3.5), (D("3"), 0, float("inf")), (D("3"), 0, float("nan")), (D(1).scaleb(-38), 38, 1e-38), (D(2) ** -20, 20, 2.0 ** -20),
+    (D(10 ** 37), 0, 1e37), (D(int(1e37)), 0, 1e37), (D("-9007199254740992.5"), 1, -9007199254740992.5),
+])
+def test_decimals_equal_doubles_only_where_python_says_so(spark, a, scale, b):
+    want = a == D(b) if b == b and abs(b) != float("inf") else False
+    kind = T.DecimalType(38, scale)
+    assert equal(spark, a, kind, b, T.DoubleType()) is want
+    assert equal(spark, b, T.DoubleType(), a, kind) is want
+
+
+def frames(spark, left, right):
+    return spark.sql(f"SELECT 1 AS id, {left} AS v"), spark.sql(f"SELECT 1 AS id, {right} AS v")
+
+
+@pytest.mark.parametrize("left,right,want", [
+    ("array(1, 2)", "array('1', '2')", False), ("named_struct('k', 1)", "named_struct('k', '1')", False),
+    ("array(9007199254740993L)", "array(9007199254740992D)", False), ("map('a', 1)", "map('a', '1')", False),
+    ("map('a', array(1))", "map('a', array('1'))", False), ("array(map(1, 'x'))", "array(map('1', 'x'))", False),
+    ("array(1, 2)", "array(1L, 2L)", True), ("map('a', 1, 'b', 2)", "map('b', 2, 'a', 1)", True),
+    ("array(map('a', 1, 'b', null))", "array(map('b', null, 'a', 1))", True), ("array(null, 1)", "array(1, null)", False),
+    ("named_struct('a', null, 'b', 1)", "named_struct('a', 1, 'b', null)", False), ("array(cast('nan' as double), -0.0D)", "array(cast('nan' as double), 0.0D)", True),
+    ("named_struct('k', named_struct('m', map(1, 2)))", "named_struct('k', named_struct('m', map(1, 3)))", False),
+])
+def test_nested_values_compare_by_kind_and_part(spark, left, right, want):
+    a, b = frames(spark, left, right)
+    for diff in (CMP.bag_difference(a, b), CMP.ordered_difference(a, b, ["id"]), CMP.keyed_difference(a, b, ["id"])):
+        assert (set(sides(diff).values()) == {0}) is want
+
+
+@pytest.mark.parametrize("left,right,want", [
+    ("named_struct('k', 1, 'm', 2.5D)", "named_struct('k', 1D, 'm', 2.5BD)", True), ("named_struct('k', 1)", "named_struct('k', '1')", False),
+    ("map('a', 1, 'b', 2)", "map('b', 2D, 'a', 1D)", True), ("map('a', 1)", "map('a', 1.5D)", False), ("map(1, 2)", "map('1', 2)", False),
+    ("array(named_struct('k', 9007199254740993L))", "array(named_struct('k', 9007199254740992D))", False),
+    ("map('a', null)", "map('a', null)", True), ("array(1, null)", "array(1D, null)", True), ("array(map('a', 1))", "array(map('a', 1L))", True),
+])
+def test_single_nested_values(spark, left, right, want):
+    df = spark.sql(f"SELECT {left} AS a, {right} AS b")
+    e = V.py_equal(F.col("a"), df.schema["a"].dataType, F.col("b"), df.schema["b"].dataType)
+    assert df.select(e.alias("e")).first().e is want
+
+
+def test_hashes_tell_null_places_apart(spark):
+    from vouch.functions.canonical import row_hashes
+
+    df = spark.sql("SELECT * FROM VALUES (1, null, array(null, 1)), (null, 1, array(null, 1)), (1, null, array(1, null)) AS t(a, b, c)")
+    assert df.select(*[h.alias(f"h{i}") for i, h in enumerate(row_hashes(df, df.columns))]).distinct().count() == 3

@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vouch.functions.canonical import canonical, is_nested
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 _STRINGY = (T.StringType, T.VarcharType, T.CharType)
@@ -62,6 +64,7 @@ def py_equal(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> Co
     - NULL == NULL is true, NULL == x is false.
     - Numbers (booleans count as 0/1) compare by value; NaN equals nothing.
     - Strings compare with strings only: ``'1' == 1`` is false.
+    - Arrays, structs and maps compare part by part by these rules.
     - Other values compare when both sides have the same Spark type.
     """
     both_null = a.isNull() & b.isNull()
@@ -71,20 +74,33 @@ def py_equal(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> Co
         return both_null | F.coalesce(_same_number(a, a_type, b, b_type), F.lit(False))
     if is_string(a_type) and is_string(b_type):
         return a.eqNullSafe(b)
+    if kind_of(a_type) == kind_of(b_type):
+        if is_nested(a_type):  # maps do not compare, so entries in one order
+            return canonical(a, a_type).eqNullSafe(canonical(b, b_type))
+        return a.eqNullSafe(b)
+    # Nested values whose kinds differ somewhere inside are equal only where every part is.
     if isinstance(a_type, T.ArrayType) and isinstance(b_type, T.ArrayType):
         x, y = a_type.elementType, b_type.elementType
-        if isinstance(x, T.NullType) or isinstance(y, T.NullType) or kind_of(x) == kind_of(y):
-            return a.eqNullSafe(b)
-        # Elements of different kinds: equal only where every pair is.
         pairs = F.forall(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: py_equal(p["x"], x, p["y"], y))
         return both_null | F.coalesce((F.size(a) == F.size(b)) & pairs, F.lit(False))
-    if kind_of(a_type) == kind_of(b_type):
-        return a.eqNullSafe(b)
+    if isinstance(a_type, T.StructType) and isinstance(b_type, T.StructType) and a_type.names == b_type.names:
+        same = F.lit(True)
+        for f, g in zip(a_type.fields, b_type.fields, strict=True):
+            same = same & py_equal(a.getField(f.name), f.dataType, b.getField(g.name), g.dataType)
+        return both_null | F.coalesce(a.isNotNull() & b.isNotNull() & same, F.lit(False))
+    if isinstance(a_type, T.MapType) and isinstance(b_type, T.MapType) and kind_of(a_type.keyType) == kind_of(b_type.keyType):
+        entry = [T.StructType([T.StructField("key", m.keyType), T.StructField("value", m.valueType)]) for m in (a_type, b_type)]
+        return py_equal(_entries(a), T.ArrayType(entry[0]), _entries(b), T.ArrayType(entry[1]))
     return both_null
 
 
+def _entries(m: Column) -> Column:
+    return F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(k.alias("key"), F.element_at(m, k).alias("value")))
+
+
 def kind_of(dt: T.DataType) -> str:
-    """Values of different kinds are never equal."""
+    """Values of different kinds are never equal; the kind of a nested type
+    names the kinds of all its parts."""
     if isinstance(dt, T.BooleanType):
         return "boolean"
     if isinstance(dt, _INTEGRAL):
@@ -95,6 +111,12 @@ def kind_of(dt: T.DataType) -> str:
         return "string"
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
         return "timestamp"
+    if isinstance(dt, T.ArrayType):
+        return f"array<{kind_of(dt.elementType)}>"
+    if isinstance(dt, T.MapType):
+        return f"map<{kind_of(dt.keyType)},{kind_of(dt.valueType)}>"
+    if isinstance(dt, T.StructType):
+        return "struct<" + ",".join(f"{f.name!r}:{kind_of(f.dataType)}" for f in dt.fields) + ">"
     return type(dt).__name__
 
 
@@ -113,14 +135,45 @@ def _same_number(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -
             return (d == F.floor(d)) & (d >= F.lit(-(2.0 ** 63))) & (d < F.lit(2.0 ** 63)) & (b.try_cast("long") == a.cast("long"))
         if ka == "floating":
             return (a.cast("double") == d) & ~F.isnan(d)
-        return (a.cast("double") == d) & ~F.isnan(d)
+        return _decimal_is_double(a, a_type, d)
     if ka == "floating":
-        return (a.cast("double") == b.cast("double")) & ~F.isnan(a.cast("double"))
+        return _decimal_is_double(b, b_type, a.cast("double"))
     if ka in whole:
         return (b == F.floor(b)) & (b.cast("decimal(38,0)") == a.cast("long").cast("decimal(38,0)"))
     return a == b
 
 
+def _decimal_is_double(d: Column, d_type: T.DecimalType, x: Column) -> Column:
+    """A decimal equals a double only where the double is exactly that number.
+
+    The whole parts are compared as decimals, the double's made of pieces of
+    32 bits.  A fraction k / 10^s equals the double's only if that has at most
+    s binary places: j / 2^s, and then k = j 5^s.
+    """
+    whole_type, scale = "decimal(38,0)", d_type.scale
+    size = F.abs(x)
+    # Parts beyond 2^32 are read by powers of two, which doubles divide and multiply exactly.
+    top = F.floor(size / F.lit(2.0 ** 96)) if d_type.precision - scale > 28 else F.lit(0).cast("long")
+    pieces, rest = [top], size - top.cast("double") * F.lit(2.0 ** 96)
+    for power in (64, 32, 0):
+        piece = F.floor(rest / F.lit(2.0 ** power))
+        pieces.append(piece)
+        rest = rest - piece.cast("double") * F.lit(2.0 ** power)
+    number = pieces[0].cast(whole_type)
+    for piece in pieces[1:]:
+        number = F.try_add(F.try_multiply(number, F.lit(decimal.Decimal(2 ** 32)).cast("decimal(10,0)")).cast(whole_type), piece.cast(whole_type)).cast(whole_type)
+    text = F.split(F.regexp_replace(d.cast("string"), "^-", ""), r"\.")
+    same = text.getItem(0).cast(whole_type) == number
+    if scale:
+        steps = rest * F.lit(2.0 ** scale)
+        k = F.try_multiply(F.floor(steps).cast("decimal(12,0)"), F.lit(decimal.Decimal(5 ** scale))).cast(whole_type)
+        same = same & (steps == F.floor(steps)) & (text.getItem(1).cast(whole_type) == k)
+    else:
+        same = same & (rest == 0)
+    near = F.coalesce((d.cast("double") == x) & ~F.isnan(x) & (size < F.lit(1e38)), F.lit(False))
+    return F.when(near, same).otherwise(F.lit(False))
+
+
 def floats_close(a: Column, b: Column, tolerance: float = 0.01) -> Column:
     """Both NULL pass; one NULL, unparsable text, NaN or inf-inf fail."""
     da, db = a.try_cast("double"), b.try_cast("double")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vouch.functions.canonical import canonical_columns
 from vouch.functions.values import kind_of
 from vouch.session import ensure_checkpoint_dir
 
@@ -23,14 +24,8 @@ _POS_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 3
 
 
 def _groupable(df: DataFrame) -> DataFrame:
-    """Maps cannot be grouped or compared; use their sorted entries instead."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.MapType):
-            cols.append(F.array_sort(F.map_entries(F.col(f"`{f.name}`"))).alias(f.name))
-        else:
-            cols.append(F.col(f"`{f.name}`"))
-    return df.select(*cols)
+    """Nested columns in the one form that groups and compares, also maps inside them."""
+    return df.select(*canonical_columns(df, df.columns))
 
 
 def _check_names(df: DataFrame, label: str) -> list[str]:
@@ -41,8 +36,9 @@ def _check_names(df: DataFrame, label: str) -> list[str]:
 
 
 def _same_kinds(a: DataFrame, b: DataFrame, names: list[str]) -> bool:
-    """Types come first: columns of one name whose kinds differ never compare
-    equal (1 is not '1', and a whole number is not a floating one)."""
+    """Types come first: columns of one name whose kinds differ, also inside
+    nested types, never compare equal (1 is not '1', and a whole number is not
+    a floating one)."""
     return all(kind_of(a.schema[n].dataType) == kind_of(b.schema[n].dataType) for n in names)
 
 
