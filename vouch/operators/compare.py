@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vouch.functions.canonical import canonical_columns
+from vouch.functions.canonical import canonical_columns, digest_sums, row_hashes, same_digest
 from vouch.functions.values import kind_of
 from vouch.session import ensure_checkpoint_dir
 
 ACTUAL_ONLY, EXPECTED_ONLY, CHANGED = "actual_only", "expected_only", "changed"
+_BLOCK_BITS = 12  # positions in a block: 4096
 _POS_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 33
 
 
@@ -130,9 +131,38 @@ def with_positions(df: DataFrame, order_by: list[str], partitions: int | None =
     )
 
 
+def _hashed_positions(a: DataFrame, b: DataFrame, order_by: list[str]) -> DataFrame:
+    """(_pos, _side, _h1, _h2): the position of each row of two tables and 128
+    bits that stand for it.
+
+    Both tables are ranged and sorted as one, the side first, so there is one
+    sort in all; only the light columns are kept (checkpointed), and numbered
+    from the rows of the partitions before, a table of one row per partition.
+    """
+    ensure_checkpoint_dir(a.sparkSession)
+    names = order_by + [n for n in sorted(a.columns) if n not in order_by]
+    both = a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1)))
+    h1, h2 = row_hashes(both, sorted(a.columns))
+    # The salt splits copies of one row, which are interchangeable.
+    both = both.withColumn("_salt", F.monotonically_increasing_id())
+    keys = [F.col("_side"), *[F.col(f"`{n}`") for n in names], F.col("_salt")]
+    ranged = both.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_side", h1.alias("_h1"), h2.alias("_h2"), F.monotonically_increasing_id().alias("_mid"))
+    rows = ranged.select("_side", "_h1", "_h2", F.shiftright("_mid", _POS_BITS).alias("_pid"), F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("_local")).checkpoint()
+    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_side") == 0).alias("_n0"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n0").over(Window.partitionBy()).alias("_first"))
+    pos = F.col("_off") + F.col("_local") - F.when(F.col("_side") == 1, F.col("_first")).otherwise(F.lit(0))
+    return rows.join(F.broadcast(offsets), "_pid").select(pos.alias("_pos"), "_side", "_h1", "_h2")
+
+
 def ordered_difference(actual: DataFrame, expected: DataFrame, order_by: list[str]) -> DataFrame:
-    """Position-by-position comparison in an explicit total order.  An order
-    column that one side lacks is an error."""
+    """Position-by-position comparison in an explicit total order (the remaining
+    columns break ties).  An order column that one side lacks is an error.
+
+    Rows are compared by 128-bit hashes, first as digests of blocks of
+    positions, which partial aggregation reduces inside each sorted partition;
+    only the rows of blocks that differ are brought together by position.
+    """
     a_names = _check_names(actual, "actual")
     b_names = _check_names(expected, "expected")
     for c in order_by:
@@ -140,9 +170,19 @@ def ordered_difference(actual: DataFrame, expected: DataFrame, order_by: list[st
             raise ValueError(f"unknown order column: {c}")
     if a_names != b_names or not _same_kinds(actual, expected, a_names):
         return bag_difference(actual, expected)
-    a = with_positions(_groupable(actual), order_by)
-    b = with_positions(_groupable(expected), order_by)
-    return _joined_difference(a.alias("l"), b.alias("r"), ["_pos"], a_names, b_names)
+    rows = _hashed_positions(_groupable(actual), _groupable(expected), order_by)
+    block = F.shiftright("_pos", _BLOCK_BITS).alias("_block")
+    # A row's place counts: the digest of a block is one of (position, row) pairs.
+    digests = rows.groupBy(block, "_side").agg(F.count(F.lit(1)).alias("n"), *digest_sums(F.xxhash64("_pos", "_h1"), F.xxhash64("_h2", "_pos")))
+    left, right = digests.where("_side = 0").alias("l"), digests.where("_side = 1").alias("r")
+    differing = left.join(right, F.col("l._block") == F.col("r._block"), "full_outer").where(~same_digest("l", "r"))
+    differing = differing.select(F.coalesce("l._block", "r._block").alias("_block"))
+    pairs = rows.withColumn("_block", block).join(differing, "_block", "left_semi").groupBy("_pos").agg(
+        *[F.max(F.when(F.col("_side") == s, F.col(h))).alias(f"{h}{s}") for s in (0, 1) for h in ("_h1", "_h2")])
+    in_a, in_b = F.col("_h10").isNotNull(), F.col("_h11").isNotNull()
+    differ = (F.col("_h10") != F.col("_h11")) | (F.col("_h20") != F.col("_h21"))
+    agg = pairs.agg(F.count_if(in_a & ~in_b).alias("a"), F.count_if(in_b & ~in_a).alias("b"), F.count_if(in_a & in_b & differ).alias("c"))
+    return _sides(agg, [(ACTUAL_ONLY, F.col("a")), (EXPECTED_ONLY, F.col("b")), (CHANGED, F.col("c"))])
 
 
 def keyed_difference(actual: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:
