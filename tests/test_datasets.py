@@ -110,3 +110,106 @@ def test_tree_listing_includes_hidden(spark):
     roots = spark.createDataFrame([(f"{root}/ds",), (f"{root}/missing",)], "root string")
     got = {(r.path, r.is_dir, r.length) for r in list_tree(roots).collect()}
     assert got == {("a.parquet", False, 2), ("_delta_log/", True, None), ("_delta_log/0.json", False, 2), (".crc", False, 2)}
+
+
+def copy_of(spark, n=20_000):
+    from vouch.session import work_path
+
+    rows = spark.range(n).select("id", (F.col("id") % 7).alias("g"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("t"), F.col("id"))).alias("s"))
+    rows = rows.unionByName(rows.where("id = 3").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(n // 2)))).drop("x"))  # one row is a third of all
+    source = work_path(spark, "t-copy-src")
+    rows.write.parquet(source)
+    rows = spark.read.parquet(source)
+    copy = D.TableCopy(spark, work_path(spark, "t-copy"))
+    copy.install(rows, 100)
+    return rows, copy
+
+
+def equal(spark, a, b):
+    from vouch.operators.compare import bag_difference
+
+    return {r.rows_differing for r in bag_difference(a, b).collect()} == {0}
+
+
+def names_of(copy):
+    return {f for names in copy.log.latest()[1]["files"].values() for f, _n in names}
+
+
+def test_repair_writes_only_damaged_buckets(spark):
+    rows, copy = copy_of(spark)
+    before, path = names_of(copy), copy.path.replace("file:", "")
+    assert equal(spark, rows, copy.read()) and copy.damaged(rows) == []
+    entry = copy.log.latest()[1]
+    (lost, _n), (altered, _m), (cut, _k) = (entry["files"][str(b)][0] for b in (10, 20, 30))
+    os.remove(f"{path}/{lost}")
+    other = spark.read.parquet(f"{path}/{altered}").withColumn("g", F.col("g") + 1).coalesce(1)
+    scratch = tempfile.mkdtemp(prefix="vouch-alter-")
+    other.write.mode("overwrite").parquet(scratch)
+    part = [f for f in os.listdir(scratch) if f.endswith(".parquet")][0]
+    with open(f"{scratch}/{part}", "rb") as f, open(f"{path}/{altered}", "wb") as g:
+        g.write(f.read())
+    with open(f"{path}/{cut}", "r+b") as f:
+        f.truncate(50)
+    for name in (lost, altered, cut):  # checksum files of the local file system
+        crc = os.path.join(path, os.path.dirname(name), f".{os.path.basename(name)}.crc")
+        if os.path.exists(crc):
+            os.remove(crc)
+    assert copy.damaged(rows) == [10, 20, 30]
+    report = copy.repair(rows)
+    after = names_of(copy)
+    assert equal(spark, rows, copy.read())
+    assert report["buckets_written"] == 3 and report["buckets_kept"] == 97
+    assert len(before - after) <= 6 and len(before & after) >= 97  # untouched files keep their names
+    assert report["rows_kept"] + report["rows_added"] == rows.count() and report["rows_added"] > 0 and report["rows_dropped"] > 0
+    assert copy.repair(rows)["buckets_written"] == 0 and names_of(copy) == after
+    assert copy.vacuum() == 0  # the first data folder still holds 97 buckets
+
+
+def test_a_lost_writer_and_a_second_writer(spark):
+    import pytest
+
+    from vouch.sources.versions import ConcurrentChange
+
+    rows, copy = copy_of(spark, 300)
+    number, entry = copy.log.latest()
+    copy._write(rows, {0: 1}, 100)  # data of a writer that was lost before its commit
+    assert copy.log.latest() == (number, entry) and equal(spark, rows, copy.read())
+    assert copy.log.commit(number, entry) == number + 1
+    with pytest.raises(ConcurrentChange):
+        copy.log.commit(number, entry)
+    assert copy.vacuum(keep=1) == 1 and copy.log.numbers() == [number + 1] and equal(spark, rows, copy.read())
+
+
+def test_repair_of_rows_in_the_wrong_bucket_and_of_an_empty_source(spark):
+    rows, copy = copy_of(spark, 200)
+    number, entry = copy.log.latest()
+    moved = dict(entry["files"])
+    a, b = [k for k in moved][:2]
+    copy.log.commit(number, entry | {"files": {k: v for k, v in moved.items() if k not in (a, b)}})  # a version that lost two buckets
+    assert copy.damaged(rows) == sorted((int(a), int(b)))
+    copy.repair(rows)
+    assert equal(spark, rows, copy.read())
+    none = rows.limit(0)
+    report = copy.repair(none)
+    assert report["rows_dropped"] == rows.count() and copy.read().count() == 0
+    copy.repair(rows)
+    assert equal(spark, rows, copy.read())
+
+
+def test_repair_table_takes_good_buckets_from_the_copy(spark):
+    from vouch.session import work_path
+
+    src = spark.range(3000).selectExpr("id AS k", "id % 10 AS v")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    read = src.mapInArrow(count, src.schema)  # counts the rows of the source that are read
+    damaged = src.withColumn("v", F.when(F.col("k") == 5, F.lit(-1).cast("long")).otherwise(F.col("v")))
+    out = D.repair_table(read, damaged, ["k"], work_path(spark, "t-good"), buckets=64)
+    assert equal(spark, src, out)
+    changes = D.row_changes(src, damaged)
+    assert changes == {"rows_kept": 2999, "rows_added": 1, "rows_dropped": 1}

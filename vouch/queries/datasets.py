@@ -91,6 +91,31 @@ def repair_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.repair_table(lineitem, damaged, ["l_orderkey", "l_linenumber"], work_path(spark, "repaired", "lineitem"))
 
 
+@query("repair_changes", """
+WITH damaged AS (
+  SELECT * EXCLUDE (l_linestatus), CASE WHEN l_linenumber = 1 AND l_orderkey % 1000 = 7 THEN 'X' ELSE l_linestatus END AS l_linestatus
+  FROM lineitem WHERE l_orderkey % 500 <> 3
+  UNION ALL SELECT * EXCLUDE (l_linestatus), l_linestatus FROM lineitem WHERE l_orderkey % 900 = 5),
+sides AS (SELECT *, 1 AS w, 0 AS f FROM lineitem UNION ALL BY NAME SELECT *, 0 AS w, 1 AS f FROM damaged),
+rows AS (SELECT sum(w) AS w, sum(f) AS f FROM sides
+  GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)
+SELECT sum(least(w, f))::BIGINT AS rows_kept, sum(w - least(w, f))::BIGINT AS rows_added, sum(f - least(w, f))::BIGINT AS rows_dropped,
+       0::BIGINT AS rows_wrong FROM rows
+""")
+def repair_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A versioned copy that lost, changed and repeated a few lines, repaired by
+    bucket: rows kept, added and dropped, and rows in which it differs then."""
+    lineitem = Tables(spark, sf_dir).lineitem
+    changed = lineitem.where("l_orderkey % 500 <> 3").withColumn(
+        "l_linestatus", F.when(F.expr("l_linenumber = 1 AND l_orderkey % 1000 = 7"), F.lit("X")).otherwise(F.col("l_linestatus")))
+    copy = D.TableCopy(spark, work_path(spark, "datasets", "changes"))
+    copy.install(changed.unionByName(lineitem.where("l_orderkey % 900 = 5")), buckets=128)
+    report = copy.repair(lineitem)
+    wrong = sum(D.row_changes(lineitem, copy.read())[c] for c in ("rows_added", "rows_dropped"))
+    return spark.createDataFrame([(report["rows_kept"], report["rows_added"], report["rows_dropped"], wrong)],
+                                 "rows_kept bigint, rows_added bigint, rows_dropped bigint, rows_wrong bigint")
+
+
 @query("prefer_staged", "SELECT * FROM orders")
 def prefer_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An empty staged copy (written from an empty filter) loses to the source."""

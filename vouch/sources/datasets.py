@@ -1,8 +1,8 @@
 """Dataset readiness: manifest diff, verdict, install, repair, staged source.
 
 The manifest diff is one grouped union (both directions in one shuffle), a
-verdict is an aggregate of the diff, a repair copies only the rows the
-source has and the copy lacks.
+verdict is an aggregate of the diff.  Copies are compared with their source by
+digests of hash buckets; a repair writes only the buckets that differ.
 Writes go to fresh folders through Spark's commit protocol, so a lost
 executor only re-runs its tasks.
 """
@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vouch.functions.canonical import digest_sums, row_hashes, same_digest
 from vouch.functions.text import line_count, path_kind
-from vouch.operators.compare import bag_difference
 from vouch.session import path_exists, work_path
 from vouch.sources.files import norm_root, norm_uri
+from vouch.sources.tables import path_bytes
+from vouch.sources.versions import VersionLog, delete, list_lengths, list_names
 
 EXTRA, MISSING, CHANGED = "extra", "missing", "changed"
 
@@ -64,58 +67,239 @@ def validate(local: DataFrame, remote: DataFrame, compare_length: bool = False)
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a write of this folder was committed (a half-written one was not)."""
-    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS") or bool(VersionLog(spark, path).numbers())
+
+
+# ----------------------------------------------------------------------
+# copies that are verified and repaired by bucket
+# ----------------------------------------------------------------------
+#: Name of the partition folders of a copy, bytes of source for one bucket, and
+#: the least and greatest number of buckets.
+BUCKET, _BUCKET_BYTES, _LEAST, _MOST = "vouch_bucket", 128 << 20, 16, 1 << 16
+#: A bucket with so many times the mean number of rows is written by several tasks.
+_HOT = 4
+
+
+def bucket_digests(rows: DataFrame, buckets: int, by: Column | None = None) -> DataFrame:
+    """(bucket, n, d0..d3): row count and order-free digest of each bucket, a
+    partial aggregate that shuffles at most a row a bucket and task.  A bucket
+    is taken from the row's hash, or from ``by``."""
+    h1, h2 = row_hashes(rows, rows.columns)
+    bucket = _bucket_of(h1, buckets) if by is None else by
+    hashed = rows.select(bucket.alias("bucket"), h1.alias("_h1"), h2.alias("_h2"))
+    return hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *digest_sums(F.col("_h1"), F.col("_h2")))
+
+
+def _bucket_of(h1: Column, buckets: int) -> Column:
+    return F.pmod(h1, F.lit(buckets)).cast("int")
+
+
+def differing_buckets(left: DataFrame, right: DataFrame) -> list[int]:
+    """The buckets whose digests differ, at most as many as there are buckets."""
+    joined = left.alias("l").join(right.alias("r"), F.col("l.bucket") == F.col("r.bucket"), "full_outer")
+    found = joined.where(~same_digest("l", "r")).select(F.coalesce("l.bucket", "r.bucket").alias("bucket"))
+    return sorted(r["bucket"] for r in found.collect())
+
+
+class TableCopy:
+    """A copy of a table in buckets by row hash, as a versioned folder.
+
+    A version names the files of every bucket with their lengths.  A repair
+    compares digests of both sides bucket by bucket (no row is shuffled),
+    writes the buckets that differ anew and commits a version that names the
+    new files beside the untouched ones.  Files that are lost, cut short or
+    unreadable make their bucket differ; files that no version names are never
+    read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.log = VersionLog(spark, path)
+
+    def files(self, entry: dict, buckets: list[int] | None = None) -> list[str]:
+        chosen = entry["files"] if buckets is None else {str(b): entry["files"].get(str(b), []) for b in buckets}
+        return [f"{self.path}/{name}" for names in chosen.values() for name, _length in names]
+
+    def read(self) -> DataFrame:
+        number, entry = self.log.latest()
+        if not number:
+            raise ValueError(f"{self.path} holds no committed copy")
+        return self._read(entry, self.files(entry))
+
+    def _read(self, entry: dict, files: list[str], lenient: bool = False) -> DataFrame:
+        schema = T.StructType.fromJson(entry["schema"])
+        if lenient:  # lost files are left out
+            there = list_lengths(self.spark, f"{self.path}/data")
+            files = [f for f in files if f[len(f"{self.path}/data/"):] in there]
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        flag = str(lenient).lower()
+        return self.spark.read.schema(schema).option("ignoreCorruptFiles", flag).option("ignoreMissingFiles", flag).parquet(*files)
+
+    def _write(self, rows: DataFrame, counts: dict[int, int], buckets: int) -> dict[str, list]:
+        """The files by bucket of ``rows``, which are dealt by bucket; a bucket
+        that holds many copies of a row is dealt over several tasks."""
+        folder = self.log.fresh_data()
+        h1, _h2 = row_hashes(rows, rows.columns)
+        mean = max(1, sum(counts.values()) // max(1, len(counts)))
+        hot = [F.struct(F.lit(b).alias("bucket"), F.lit(-(-n // mean)).alias("parts")) for b, n in counts.items() if n > _HOT * mean]  # at most a quarter of all
+        parts = F.lit(1)
+        if hot:
+            sizes = F.map_from_entries(F.array(*hot))
+            parts = F.coalesce(F.try_element_at(sizes, F.col(BUCKET)), F.lit(1))
+        dealt = rows.withColumn(BUCKET, _bucket_of(h1, buckets)).withColumn("_deal", F.pmod(F.monotonically_increasing_id(), parts))
+        tasks = min(len(counts) + len(hot), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt.repartition(max(1, tasks), BUCKET, "_deal").drop("_deal").write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        out: dict[str, list] = {}
+        for name, length in sorted(list_lengths(self.spark, f"{self.path}/{folder}").items()):
+            if name.startswith(f"{BUCKET}=") and name.endswith(".parquet"):
+                out.setdefault(name.split("/")[0].split("=")[1], []).append([f"{folder}/{name}", length])
+        return out
+
+    def install(self, source: DataFrame, buckets: int) -> None:
+        """Write a whole new version and verify it."""
+        number, _entry = self.log.latest()
+        wanted = _stored_digests(source, buckets)
+        counts = {r["bucket"]: r["n"] for r in wanted.collect()}  # one row a bucket
+        files = self._write(source, counts, buckets) if counts else {}
+        entry = {"schema": source.schema.jsonValue(), "buckets": buckets, "files": files}
+        self._verify(entry, wanted, sorted(counts))
+        self.log.commit(number, entry)
+
+    def _digests(self, entry: dict, buckets: list[int] | None, lenient: bool) -> DataFrame:
+        """Digests of the copy, a row in the bucket whose folder it was found in."""
+        rows = self._read(entry, self.files(entry, buckets), lenient)
+        place = F.regexp_extract(F.col("_metadata.file_path"), f"{BUCKET}=([0-9]+)/", 1).cast("int")
+        if not self.files(entry, buckets):
+            place = F.lit(0)
+        return bucket_digests(rows, entry["buckets"], place)
+
+    def _verify(self, entry: dict, wanted: DataFrame, buckets: list[int]) -> None:
+        if differing_buckets(wanted.where(F.col("bucket").isin(buckets)), self._digests(entry, buckets, lenient=False)):
+            raise RuntimeError(f"{self.path}: what was written differs from its source")
+
+    def damaged(self, source: DataFrame) -> list[int]:
+        """The buckets of the newest version that differ from the source."""
+        return self._damage(source)[2]
+
+    def _damage(self, source: DataFrame) -> tuple[int, dict, list[int], DataFrame]:
+        number, entry = self.log.latest()
+        wanted = _stored_digests(source, entry["buckets"])
+        sizes = list_lengths(self.spark, f"{self.path}/data")
+        cut = {int(b) for b, names in entry["files"].items() if any(sizes.get(n[len("data/"):]) != length for n, length in names)}
+        whole = [int(b) for b in entry["files"] if int(b) not in cut]  # files of the wrong length are not even read
+        bad = differing_buckets(wanted, self._digests(entry, whole, lenient=True))
+        return number, entry, sorted(cut.union(bad)), wanted
+
+    def repair(self, source: DataFrame) -> dict[str, int]:
+        """Rewrite the buckets that differ from the source; returns the rows
+        kept, added and dropped (as multisets) and the buckets kept and written."""
+        number, entry = self.log.latest()
+        if not number or T.StructType.fromJson(entry["schema"]) != source.schema:
+            raise ValueError(f"{self.path} holds no copy of these columns")
+        number, entry, bad, wanted = self._damage(source)
+        counts = {r["bucket"]: r["n"] for r in wanted.collect()}  # one row a bucket
+        report = {"rows_kept": sum(n for b, n in counts.items() if b not in bad), "rows_added": 0, "rows_dropped": 0,
+                  "buckets_kept": len(set(counts) - set(bad)), "buckets_written": len(set(bad) & set(counts))}
+        if not bad:
+            return report
+        lost = self._read(entry, self.files(entry, bad), lenient=True)
+        fresh = _in_buckets(source, entry["buckets"], bad)
+        report = {n: v + report[n] if n == "rows_kept" else v for n, v in row_changes(fresh, lost).items()} | {n: report[n] for n in report if n.startswith("buckets")}
+        files = self._write(fresh, {b: counts[b] for b in bad if b in counts}, entry["buckets"]) if set(bad) & set(counts) else {}
+        kept = {b: names for b, names in entry["files"].items() if int(b) not in bad}
+        after = entry | {"files": kept | files}
+        self._verify(after, wanted, bad)
+        self.log.commit(number, after)
+        return report
+
+    def vacuum(self, keep: int = 1) -> int:
+        return self.log.vacuum(keep, lambda e: sorted({"/".join(n.split("/")[:2]) for names in e["files"].values() for n, _length in names}))
+
+
+def _stored_digests(rows: DataFrame, buckets: int) -> DataFrame:
+    """Digests kept as a table of one row a bucket, so the source is read once."""
+    path = work_path(rows.sparkSession, "digests")
+    digests = bucket_digests(rows, buckets)
+    digests.write.parquet(path)
+    return rows.sparkSession.read.schema(digests.schema).parquet(path)
+
+
+def _in_buckets(rows: DataFrame, buckets: int, chosen: list[int]) -> DataFrame:
+    """The rows of the chosen buckets (a list bounded by the number of buckets)."""
+    h1, _h2 = row_hashes(rows, rows.columns)
+    ids = F.broadcast(rows.sparkSession.createDataFrame([(b,) for b in chosen], f"{BUCKET} int"))
+    return rows.withColumn(BUCKET, _bucket_of(h1, buckets)).join(ids, BUCKET, "left_semi").drop(BUCKET)
+
+
+def row_changes(wanted: DataFrame, found: DataFrame) -> dict[str, int]:
+    """Rows kept, added and dropped from ``found`` to ``wanted``, as multisets;
+    rows are told apart by 128-bit hashes, combined before the shuffle."""
+    sides = []
+    for rows, w in ((wanted, 1), (found, 0)):
+        h1, h2 = row_hashes(rows, rows.columns)
+        sides.append(rows.select(h1.alias("_h1"), h2.alias("_h2"), F.lit(w).alias("_w")))
+    each = sides[0].unionByName(sides[1]).groupBy("_h1", "_h2").agg(F.sum("_w").alias("w"), F.sum(1 - F.col("_w")).alias("f"))
+    r = each.agg(F.sum(F.least("w", "f")).alias("kept"), F.sum("w").alias("w"), F.sum("f").alias("f")).first()  # one row
+    kept, w, f = (r[c] or 0 for c in ("kept", "w", "f"))
+    return {"rows_kept": kept, "rows_added": w - kept, "rows_dropped": f - kept}
+
+
+def _bucket_count(spark: SparkSession, path: str) -> int:
+    n = -(-path_bytes(spark, path) // _BUCKET_BYTES)
+    return max(_LEAST, min(_MOST, 1 << max(0, n - 1).bit_length()))
 
 
 def install_table(spark: SparkSession, source: str, target: str, reinstall: bool = False) -> DataFrame:
     """Copy one parquet dataset, or make an existing copy right.
 
-    A copy that is missing or was never committed is written anew.  An
-    existing one is verified against the source by bag equality (one shuffle,
-    nothing collected); a damaged one is repaired aside, written in its place
-    and verified again.  Raises only if it still differs then.
+    The copy is a versioned folder (``TableCopy``): where one was committed, only
+    the buckets that differ from the source are written.  A plain folder at the
+    target stays as it is if it equals the source; a half-written or different
+    one is replaced by a versioned copy.  Raises if what was written differs.
     """
-    src = spark.read.parquet(source)
-    if reinstall or not is_complete(spark, target):
-        src.write.mode("overwrite").parquet(target)
-    if _differs(src, spark.read.parquet(target)):
-        damaged = spark.read.parquet(target)
-        if damaged.dtypes == src.dtypes:
-            repaired = repair_table(src, damaged, [], work_path(spark, "install"))
-        else:
-            repaired = src
-        repaired.write.mode("overwrite").parquet(target)
-        spark.catalog.refreshByPath(target)
-        if _differs(src, spark.read.parquet(target)):
-            raise RuntimeError(f"installed copy of {source} differs from its source")
-    return spark.read.parquet(target)
-
-
-def _differs(source: DataFrame, copy: DataFrame) -> bool:
-    return not bag_difference(source, copy).where(F.col("rows_differing") > 0).isEmpty()
-
-
-def repair_table(source: DataFrame, target: DataFrame, key: list[str], out_path: str) -> DataFrame:
-    """Repair a damaged copy: keep its rows that the source has, add those it
-    lacks, drop the rest, as multisets, so repeated keys and repeated rows
-    come out as often as the source has them.
-
-    Both sides are counted by whole row (map-side first); a row of the source
-    is written as often as the source has it, so the result does not depend on
-    ``key`` (the columns by which the caller tells rows apart).  It is written
-    to a new folder (never over the folder being read), read back and verified.
+    src, copy = spark.read.parquet(source), TableCopy(spark, target)
+    number, entry = copy.log.latest()
+    managed = number and T.StructType.fromJson(entry["schema"]) == src.schema
+    if managed and not reinstall:
+        copy.repair(src)
+        return copy.read()
+    if not number and not reinstall and is_complete(spark, target):
+        plain = spark.read.parquet(target)
+        if plain.schema == src.schema and not _differs(src, plain, _bucket_count(spark, source)):
+            return plain
+    before = [n for n in list_names(spark, target) if n not in ("_versions", "data")]
+    copy.install(src, _bucket_count(spark, source))
+    for name in before:  # the plain files that the committed copy replaces
+        delete(spark, f"{copy.path}/{name}")
+    return copy.read()
+
+
+def _differs(source: DataFrame, copy: DataFrame, buckets: int = _LEAST) -> bool:
+    return bool(differing_buckets(bucket_digests(source, buckets), bucket_digests(copy, buckets)))
+
+
+def repair_table(source: DataFrame, target: DataFrame, key: list[str], out_path: str, buckets: int = 1024) -> DataFrame:
+    """A damaged copy made right in a new folder: rows of the buckets that equal
+    the source's are taken from the copy, all others from the source, so
+    repeated keys and repeated rows come out as often as the source has them.
+
+    Buckets are compared by digest; no row is shuffled.  ``key`` names the
+    columns by which the caller tells rows apart (they have to be there).
+    The folder is read back and verified.
     """
-    cols = [F.col(f"`{c}`") for c in source.columns]
     for k in key:
         if k not in source.columns:
             raise ValueError(f"unknown key column: {k}")
-    have = target.select(*cols).withColumn("_s", F.lit(0)).withColumn("_t", F.lit(1))
-    want = source.withColumn("_s", F.lit(1)).withColumn("_t", F.lit(0))
-    rows = want.unionByName(have).groupBy(*cols).agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"))
-    kept = rows.where(F.col("_s") > 0).select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_s"))).alias("_copy")).select(*cols)
-    kept.write.mode("overwrite").parquet(out_path)
+    wanted = _stored_digests(source, buckets)
+    target = target.select(*[F.col(f"`{c}`") for c in source.columns])
+    if target.schema != source.schema:
+        target = target.limit(0)  # nothing of it can be kept
+    bad = differing_buckets(wanted, bucket_digests(target, buckets))
+    good = sorted(set(range(buckets)) - set(bad))
+    _in_buckets(target, buckets, good).unionByName(_in_buckets(source, buckets, bad)).write.mode("overwrite").parquet(out_path)
     out = source.sparkSession.read.parquet(out_path)
-    if _differs(source, out):
+    if differing_buckets(wanted, bucket_digests(out, buckets)):
         raise RuntimeError("the repaired copy differs from its source")
     return out
 
