@@ -298,3 +298,61 @@ def test_suites_compiled_together_scan_each_table_once(spark):
     got = {r.test_id: r.status for r in res.collect()}
     assert got == {"a-1": "passed", "a-2": "failed", "a-3": "skipped", "b-1": "passed", "b-2": "passed"}
     assert _final_plan(res).count("FileScan parquet") == 1
+
+
+def test_errors_are_found_by_halves_with_their_message(spark, monkeypatch):
+    df = spark.createDataFrame([("7",), ("x",)], "s string")
+    s = Suite("halves", spark)
+    for i in range(50):
+        what = F.col("s").cast("int") > 0 if i == 33 else F.length("s") > 0
+        s.expect(df, what, f"check {i}", test_id=f"c{i}", depends_on=["-n/a-"] if i != 40 else ["c33"])
+    cls, ran = type(df), []
+    real = cls.collect
+    monkeypatch.setattr(cls, "collect", lambda self: (ran.append(1), real(self))[1])
+    s.materialise()
+    assert len(ran) <= 12  # about 2 log2(50)
+    monkeypatch.undo()
+    got = {r.test_id: r for r in s.results().collect()}
+    assert got["halves-c33"].status == "failed" and got["halves-c40"].status == "skipped"
+    assert got["halves-c33"].message.startswith("[CAST_INVALID_INPUT]") and "'x'" in got["halves-c33"].message
+    assert sum(r.status == "passed" for r in got.values()) == 48
+
+
+def test_a_function_that_raises_fails_its_check(spark):
+    @F.udf("boolean")
+    def strict(v):
+        raise ValueError("no such rule")
+
+    df = spark.range(3)
+    s = Suite("raises", spark)
+    s.expect(df, strict("id"), "raises", test_id="a", depends_on=["-n/a-"])
+    s.expect(df, F.col("id") >= 0, "fine", test_id="b", depends_on=["-n/a-"])
+    s.expect(df, F.raise_error(F.lit("stop here")).isNull(), "raised", test_id="c", depends_on=["-n/a-"])
+    got = {r.test_id: (r.status, r.message) for r in s.materialise().collect()}
+    assert got["raises-b"][0] == "passed"
+    assert got["raises-a"] == ("failed", "ValueError: no such rule") and "stop here" in got["raises-c"][1]
+
+
+def test_lost_and_corrupt_files_raise(spark):
+    import os
+
+    import pytest
+
+    from vouch.session import work_path
+
+    for harm in ("lost", "corrupt"):
+        path = work_path(spark, "t-harm")
+        spark.range(100).repartition(2).write.parquet(path)
+        df = spark.read.parquet(path)
+        local = path.replace("file:", "")
+        name = [n for n in os.listdir(local) if n.endswith(".parquet")][0]
+        for n in (f"{local}/{name}", f"{local}/.{name}.crc"):
+            if os.path.exists(n):
+                os.remove(n)
+        if harm == "corrupt":
+            with open(f"{local}/{name}", "wb") as f:
+                f.write(b"PAR1 no table at all PAR1")
+        s = Suite("harm", spark)
+        s.expect(df, F.col("id") >= 0, "ids", test_id="a")
+        with pytest.raises(Exception):
+            s.materialise()

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from typing import Any, Iterable
 
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -421,9 +422,7 @@ class Suite:
         meta = self._meta_frame()
         if not parts:
             return meta.join(self._spark_of().createDataFrame([], OUTCOME_SCHEMA), "idx").drop("idx")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = _united(parts)
         # the metadata relation is bounded by the number of declared checks
         return out.join(F.broadcast(meta), "idx").drop("idx")
 
@@ -445,39 +444,102 @@ class Suite:
         """Compute the results once and keep them (reliable checkpoint), so
         score, percentage and report never re-run the checks.
 
-        An error while the data is read (a cast, a division by zero) fails the
-        one check that raises it: if the fused run fails, every check is run
-        on its own and an error becomes a failed result with its message."""
+        An error in the data (a cast, a division by zero, a function of the
+        caller that raises) fails the one check that raises it, with its
+        message: if the fused run fails, halves of the checks are run until
+        each such check is alone.  Any other error (a file that is lost or
+        unreadable, an executor) is raised: it says nothing about the data."""
         from vouch.session import ensure_checkpoint_dir
 
         ensure_checkpoint_dir(self._spark_of())
         try:
             self._results = self.results().checkpoint()
-        except Exception:  # noqa: BLE001 - find the checks that raise
+        except Exception as e:  # noqa: BLE001 - find the checks that raise
+            if data_error(e) is None:
+                raise
             self._results = with_skips(self._isolated()).checkpoint()
         return self._results
 
     def _isolated(self) -> DataFrame:
-        """Raw results of checks run one by one (as many jobs as checks)."""
+        """Raw results, with one row of error for each check that raises."""
         spark = self._spark_of()
         self._ancestors()
         for i, c in enumerate(self.checks):
             c.idx = i
-        parts, fixed = [], []
-        for c in self.checks:
-            single = Suite(self.name, spark)
-            single.checks = [c]
-            kept, c.ancestors = c.ancestors, []  # alone, it is skipped for nothing
-            try:
-                parts += [p.checkpoint() for p in single._raw_parts()]
-            except Exception as e:  # noqa: BLE001
-                fixed.append(_failed(c.idx, e))
-            finally:
-                c.ancestors = kept
-        out = spark.createDataFrame(fixed, OUTCOME_SCHEMA)
-        for p in parts:
-            out = out.unionByName(p)
-        return out.join(F.broadcast(self._meta_frame()), "idx").drop("idx")
+        done: list[tuple] = []
+        bad: set[str] = set()
+        middle = len(self.checks) // 2  # all together have just failed
+        self._run_halves(self.checks[:middle], done, bad)
+        self._run_halves(self.checks[middle:], done, bad)
+        return spark.createDataFrame(done, OUTCOME_SCHEMA).join(F.broadcast(self._meta_frame()), "idx").drop("idx")
+
+    def _run_halves(self, checks: list[C.Check], done: list[tuple], bad: set[str]) -> None:
+        """Run checks in one job; on an error in the data run its halves, the
+        earlier one first.  ``bad`` names the checks known not to pass; what
+        depends on one of these is skipped, so it is not run."""
+        skipped = [c for c in checks if bad.intersection(c.ancestors)]
+        done += [(c.idx, False, None, None, "", None) for c in skipped]
+        checks = [c for c in checks if not bad.intersection(c.ancestors)]
+        if not checks:
+            return
+        part = Suite(self.name, self._spark_of())
+        part.checks = checks
+        try:
+            rows = _united(part._raw_parts()).collect()  # one row for each declared check
+        except Exception as e:  # noqa: BLE001
+            text = data_error(e)
+            if text is None:
+                raise
+            if len(checks) == 1:
+                done.append((checks[0].idx, False, 1, None, text, None))
+                bad.add(checks[0].full_id)
+                return
+            middle = len(checks) // 2
+            self._run_halves(checks[:middle], done, bad)
+            self._run_halves(checks[middle:], done, bad)
+            return
+        done += [tuple(r[f] for f in OUTCOME_SCHEMA.names) for r in rows]
+        failed = {r["idx"] for r in rows if not r["raw_passed"]}
+        bad.update(c.full_id for c in checks if c.idx in failed)
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def data_error(error: BaseException) -> str | None:
+    """The message of an error that the data of a check caused, else None.
+
+    Spark names the class of an error by an SQL state: 22... are errors of
+    data, P0001 is raised by an expression.  A function of the caller that
+    raises in a Python worker counts as well.  An unreadable file never does,
+    whatever lies below it.
+    """
+    if isinstance(error, PythonException):
+        lines = [x for x in str(error).strip().splitlines() if x.strip()]
+        return lines[-1].strip() if lines else type(error).__name__
+    state = getattr(error, "getSqlState", lambda: None)()
+    if state is not None:
+        return _first_line(error) if _of_data(state) else None
+    thrown, found = getattr(error, "java_exception", None), None
+    while thrown is not None:
+        try:
+            state = thrown.getSqlState()
+        except Exception:  # noqa: BLE001 - a throwable without a state
+            state = None
+        if state is not None and not _of_data(state) and not state.startswith("XX"):
+            return None
+        if state is not None and _of_data(state) and found is None:
+            found = str(thrown.getMessage()).strip().splitlines()[0]
+        thrown = thrown.getCause()
+    return found
+
+
+def _of_data(state: str) -> bool:
+    return state.startswith("22") or state == "P0001"
 
 
 META_SCHEMA = T.StructType(
