@@ -17,7 +17,7 @@ def documents(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     for name in ("_row", "_text", "_t1", "size", "hub", "sig", "toxic", "_copies", "_r_doc_id", "_taken", "position"):
         df = df.withColumn(name, F.lit(name))
-    return df
+    return df.select("*", F.lit("dotted").alias("a.b"), F.create_map(F.lit("k"), F.lit(1)).alias("tags"), F.lit("parts").alias("parts"))
 
 
 def empty(spark):

@@ -43,3 +43,9 @@ def test_parts_column(spark):
     turns = C.format_turns(df).orderBy("turn").collect()
     assert turns[0]["attachments"][0]["uri"] == "a.png" and turns[0]["attachments"][0]["tokens"] == 1
     assert C.read_back(C.format_turns(df)).first()["attachment_tokens"] == 1
+
+
+def test_a_parts_column_of_another_type_is_not_read(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "hello", "text of my own")], "conv_id bigint, turn bigint, role string, text string, parts string")
+    plain = C.format_turns(rows.drop("parts")).collect()
+    assert C.format_turns(rows).collect() == plain and "hello" in plain[0]["segment"]

@@ -60,3 +60,49 @@ def test_edge_rows_and_empty_tables(spark):
     assert P.pseudonymise_documents(edge.empty(spark), b"key").count() == 0
     long = spark.createDataFrame([(1, "word " * 300_000 + "42.144.35.254")], "doc_id bigint, text string")
     assert P.pseudonymise_documents(long, b"key").first()["n_found"] == 1
+
+
+def test_time_grows_with_the_length_alone():
+    import time
+
+    p = P.Permuter(b"key")
+    for unit in ("%20b", "%a@b.c-", "1@1.", "a.", "AB12 ", "password= ", "+49 (0) ", "(123) "):
+        start = time.perf_counter()
+        P.pseudonymise(unit * ((1 << 20) // len(unit)), p)
+        assert time.perf_counter() - start < 8, unit  # quadratic search took a quarter of an hour
+    start = time.perf_counter()
+    text = "%20b" * (1 << 18) + " mail bob@example.com"
+    out, found = P.pseudonymise(text, p)
+    assert time.perf_counter() - start < 4 and [k for k, *_ in found] == ["email"] and out != text
+    assert P.pseudonymise("a" * 70 + "@example.com", p)[1] == []  # longer than an address can be
+
+
+def test_pseudonyms_equal_a_plain_feistel_network():
+    from hashlib import blake2b
+
+    secret = blake2b(b"key", digest_size=32).digest()
+
+    def plain(x, size, kind):
+        """Eight rounds on halves of the bits, walked until inside, from the description alone."""
+        bits = max(2, len(bin(size - 1)) - 2)
+        half = (bits + bits % 2) // 2
+        while True:
+            left, right = divmod(x, 1 << half)
+            for turn in range(8):
+                size_of = (half + 7) // 8
+                h = blake2b(f"{kind}|{turn}|{right:x}|0".encode(), key=secret, digest_size=size_of).digest()
+                left, right = right, left ^ (int.from_bytes(h, "big") % (1 << half))
+            x = left * (1 << half) + right
+            if x < size:
+                return x
+
+    p = P.Permuter(b"key")
+    for value in ("10.1.2.3", "192.168.0.255"):
+        a, b, c, d = map(int, value.split("."))
+        x = plain(((a - 1) * 256 + b) * 65536 + c * 256 + d, 223 * 2 ** 24, "ip")
+        want = f"{x // 2 ** 24 + 1}.{x // 65536 % 256}.{x // 256 % 256}.{x % 256}"
+        assert P.pseudonymise(f"at {value} now", p)[0] == f"at {want} now"
+    body = "4" + str(plain(11111111111111, 10 ** 14, "card164")).zfill(14)
+    assert P.pseudonymise("4111111111111111", p)[0] == body + P.luhn_digit(body)
+    day = plain((__import__("datetime").date(2020, 1, 2) - __import__("datetime").date(1900, 1, 1)).days, 73049, "date")
+    assert P.pseudonymise("2020-01-02", p)[0] == str(__import__("datetime").date(1900, 1, 1) + __import__("datetime").timedelta(day))

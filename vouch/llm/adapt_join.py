@@ -28,7 +28,7 @@ between components is lost.
 
 Results: a text without words has an empty set and links with nothing; fewer
 words than a shingle make one shingle of all of them; a null text is empty;
-repeated rows are one class; a null doc_id names a component only where every
+repeated rows are one class; ids are cast to bigint; a null doc_id names a component only where every
 row of it has none; no documents give no rows.
 """
 
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
+from vouch.functions.canonical import row_hashes
 from vouch.llm.common import connected_components, join_on, small_batches, written
 from vouch.llm.shingles import shingle_set
 
@@ -388,9 +389,9 @@ def one_per_component(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     named = classes_of(docs, width, percent).filter("sig IS NOT NULL")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_b")
     kept = named.groupBy("component").agg(best).select("_b.doc_id", "_b.text_hash")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("_row"), row_hashes(docs, docs.columns)[0].alias("_hash"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wordless = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    rows = rows.select("_row", "doc_id", F.xxhash64("text").alias("text_hash"), wordless.alias("_wordless"))
+    rows = rows.select("_row", "_hash", "doc_id", F.xxhash64("text").alias("text_hash"), wordless.alias("_wordless"))
     chosen = join_on(rows.filter("NOT _wordless"), kept, ["doc_id", "text_hash"], "left_semi")
-    chosen = chosen.groupBy("doc_id", "text_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    chosen = chosen.groupBy("doc_id", "text_hash").agg(F.min_by("_row", "_hash").alias("_row"))
     return chosen.select("_row.*").union(rows.filter("_wordless").select("_row.*"))

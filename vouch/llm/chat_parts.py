@@ -32,6 +32,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vouch.llm.common import small_batches
 
@@ -143,11 +144,12 @@ def format_turns(messages: DataFrame, expansion: Expansion | None = None) -> Dat
 
     ``messages`` has conv_id, turn, role and either ``parts`` (structs of kind,
     text, uri, width, height, seconds, pages; any of them may be missing) or
-    ``text``.  ``loss`` and ``attachments`` count characters from the start of
+    ``text``; a column ``parts`` of another type is none.  ``loss`` and ``attachments`` count characters from the start of
     the segment.
     """
     small_batches(messages.sparkSession)
-    source = F.col("parts") if "parts" in messages.columns else F.array(F.struct(F.lit("text").alias("kind"), F.col("text").cast("string").alias("text")))
+    typed = "parts" in messages.columns and isinstance(messages.schema["parts"].dataType, T.ArrayType) and isinstance(messages.schema["parts"].dataType.elementType, T.StructType)
+    source = F.col("parts") if typed else F.array(F.struct(F.lit("text").alias("kind"), F.col("text").cast("string").alias("text")))
     rows = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                            F.col("role").cast("string").alias("role"), source.alias("parts"))
 

@@ -11,6 +11,10 @@ and the holder of the key can turn them back.  Only where digits that touch a
 value would form a valid one together with its pseudonym is it permuted once
 more, so that it can still be turned back.
 
+Every form is of bounded length, so a text is searched in time that grows with
+its length alone (the local part of an address has at most 64 characters, and a
+longer one is no address).
+
 What changes: the local part of e-mail addresses, phone numbers (three, three
 and four digits with any area code, and numbers of any country after a ``+``,
 whose country code stays), IPv4 addresses, card numbers (the network digit stays, the check digit is made
@@ -50,7 +54,7 @@ _TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 5
                   "90 91 92 93 94 95 98".split())
 
 _PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,127}[A-Za-z]{2,63})"
     r"|(?P<secret>(?i:password|passwd|pwd|secret|token|api_?key|access_?key)\s?[=:]\s?\"?(?P<hex>[0-9a-f]{8,128})(?![\w]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<phone>(?<![\w.])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"

@@ -13,8 +13,9 @@ clean texts gather no score from ordinary words.
 
 Results: a null text or one without words has score 0; without labels, or with
 one grade only, nothing is learned and every severity is 0; a document with
-several labels has the highest; repeated rows are scored alike; no documents
-give no rows.
+several labels has the highest, one with several texts is learned by the least
+of them; labels are matched by ids that cast to bigint; repeated rows are scored
+alike; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -144,10 +145,11 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, per_grade: int = 2000,
     """
     small_batches(docs.sparkSession)
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(grade).isNotNull())
-    marks = marks.groupBy("doc_id").agg(F.max(F.col(grade).cast("int")).alias("grade"))
+    marks = marks.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col(grade).cast("int")).alias("grade"))
     # At most about per_grade rows for every grade, so the join may broadcast them.
     chosen = F.broadcast(sampled(marks, "grade", "doc_id", per_grade))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    texts = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # of several texts of an id always the same one
     feats = _sample_features(texts).persist()
     try:
         sizes = {r["grade"]: r["n"] for r in feats.groupBy("grade").agg(F.countDistinct("doc").alias("n")).collect()}
@@ -200,7 +202,7 @@ def _graded(docs: DataFrame, model: OrdinalModel | None, keep: list[str]) -> Dat
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("_text"))
     ids = [f"_{i}" for i in range(len(keep))]
     out = ["_score", "_severity", "_grade", "_toxic"]
 
