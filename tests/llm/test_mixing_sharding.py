@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter
@@ -56,6 +57,29 @@ def test_slots_follow_the_weights_at_every_point(spark):
         assert abs(seen["a"] - i / 2) <= 5 and abs(seen["b"] - i / 6) <= 5
 
 
+def test_discrepancy_of_every_prefix_is_logarithmic(spark):
+    words = {"a": 300_000, "b": 100_000, "c": 37_000, "d": 163_000, "e": 1_000}
+    plan = spark.createDataFrame([(s, 2 * n, float(n)) for s, n in words.items()], "source string, source_size bigint, target double")
+    slots = M.schedule(plan, 10).orderBy("position").collect()
+    total, seen = sum(words.values()) // 10, Counter()
+    assert len(slots) == total and all(Counter(s["source"] for s in slots)[n] == w // 10 for n, w in words.items())
+    drawn = [s for s in slots if s["position"] < total]
+    assert len(slots) - len(drawn) <= 20  # those that close the mix
+    for i, s in enumerate(drawn, 1):
+        seen[s["source"]] += 1
+        assert all(abs(seen[n] - i * w / 10 / total) <= 3 + 3 * math.log2(i + 1) for n, w in words.items()), (i, seen)
+
+
+def test_points_are_exact_at_any_position(spark):
+    ks = [0, 1, 2, 10**6, 10**10, 2**44 + 12345, 2**45 - 1]
+    got = spark.createDataFrame([(k,) for k in ks], "k bigint").select("k", M.golden_point(F.col("k")).alias("x")).collect()
+    root = math.isqrt(5 << 200)
+    for r in got:
+        exact = ((2 * r["k"] + 1) * (root - (1 << 100)) // 4) % (1 << 100)  # 100 bits of frac((k + 1/2) phi)
+        gap = abs(r["x"] - exact / 2.0 ** 100)
+        assert min(gap, 1 - gap) < 1e-15 + r["k"] * 2.0 ** -53, r
+
+
 def test_mixing_edge_rows(spark):
     docs = edge.documents(spark)
     out = M.mix_documents(docs)

@@ -132,19 +132,37 @@ levels AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5
     - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 plan AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM levels),
-placed AS (SELECT d.*, p.source_size, p.target, floor(p.target)::BIGINT AS t,
+placed AS (SELECT d.*, p.source_size, p.target,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
-  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, source,
-       CASE WHEN size = 0 THEN 0 ELSE (t // source_size) * size
-            + greatest(0, least(a + size, t % source_size) - a) END::BIGINT AS taken
-FROM placed"""
+  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+cut AS (SELECT *, floor(target)::BIGINT // source_size AS f, floor(target)::BIGINT % source_size AS r, (source_size + 1023) // 1024 AS blocks
+  FROM plan WHERE source_size > 0),
+quotas AS (SELECT *, f * blocks + (r + 1023) // 1024 AS quota FROM cut),
+stretches AS (SELECT *, coalesce(sum(quota) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo,
+  (sum(quota) OVER ())::BIGINT AS n FROM quotas),
+points AS (SELECT k, ((k::HUGEINT * {mixing.GOLDEN} + {mixing.GOLDEN // 2}) % {1 << 53})::DOUBLE / {1 << 53}::DOUBLE AS x
+  FROM range((SELECT coalesce(max(n), 0) FROM stretches)) t(k)),
+drawn AS (SELECT k, s.source, f, r, blocks, quota, row_number() OVER (PARTITION BY s.source ORDER BY k) - 1 AS turn
+  FROM points JOIN stretches s ON x >= lo::DOUBLE / n::DOUBLE AND x < (lo + quota)::DOUBLE / n::DOUBLE),
+had AS (SELECT source, count(*) AS got FROM drawn GROUP BY source),
+late AS (SELECT s.n, s.source, f, r, blocks, unnest(range(coalesce(got, 0), quota)) AS turn
+  FROM stretches s LEFT JOIN had h ON s.source IS NOT DISTINCT FROM h.source),
+turns AS (SELECT k, source, f, r, blocks, turn FROM drawn WHERE turn < quota UNION ALL SELECT n + turn, source, f, r, blocks, turn FROM late),
+slots AS (SELECT k, source, turn % blocks AS block, CASE WHEN turn // blocks < f THEN 1024 ELSE least(1024, r - turn % blocks * 1024) END AS most FROM turns),
+pieces AS (SELECT *, unnest(range(a // 1024, (a + size - 1) // 1024 + 1)) AS block FROM placed WHERE size > 0),
+parts AS (SELECT p.doc_id, p.source, p.size, p.a, s.k,
+    greatest(0, least(least(p.a + p.size - p.block * 1024, 1024), coalesce(s.most, 0)) - greatest(p.a - p.block * 1024, 0)) AS words
+  FROM pieces p LEFT JOIN slots s ON s.source IS NOT DISTINCT FROM p.source AND s.block = p.block),
+takes AS (SELECT doc_id, source, size, a, sum(words)::BIGINT AS taken, count(*) FILTER (words > 0) AS n_slots, min(k) FILTER (words > 0) AS first_position
+  FROM parts GROUP BY doc_id, source, size, a)
+SELECT p.doc_id, p.size, p.source_size, p.target, p.source, coalesce(t.taken, 0)::BIGINT AS taken, coalesce(t.n_slots, 0) AS n_slots, t.first_position
+FROM placed p LEFT JOIN takes t ON t.doc_id IS NOT DISTINCT FROM p.doc_id AND t.source IS NOT DISTINCT FROM p.source AND t.a = p.a AND p.size > 0 AND t.size = p.size"""
 
 
 @query("op8_mix", OP8_SQL)
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_documents(Tables(spark, sf_dir).documents)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "n_slots", "first_position")
 
 
 #: Eight equal shards.
