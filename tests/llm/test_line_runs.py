@@ -44,10 +44,45 @@ def test_levels_hold_fewer_runs_than_the_fan_in(spark):
     for i in range(6):
         runs.add(spark.createDataFrame([(i, f"shared\nown {i}")], "doc_id bigint, text string"))
     assert [len(level) for level in runs.levels] == [0, 1, 1]
-    assert runs.common().count() == 1
+    assert runs.common().distinct().count() == 1
+    assert runs.known().distinct().count() == 1  # counted no more since a run has shown it
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs._name)]
 
 
 def test_edge_rows_and_empty_tables(spark):
     docs = edge.documents(spark)
     assert digest(L.drop_common_lines([docs], docs, min_docs=3)) == brute([(r[0], r[1]) for r in edge.ROWS], 3)
     assert L.drop_common_lines([], edge.empty(spark)).count() == 0
+
+
+def exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hash")
+
+
+def test_runs_merge_and_meet_batches_without_an_exchange(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('line ', id % 150, '\nshared ', id % 3) AS text")
+    runs = L.LineRuns(spark, 10, fan_in=8, buckets=8)
+    for i in range(3):
+        runs.add(docs.filter(f"doc_id % 3 = {i}"))
+    assert len(runs.runs()) == 3
+    assert exchanges(runs._sums(runs.runs())) == 0  # buckets are summed where they lie
+    counts = L.batch_counts(docs, 1)
+    met = counts.join(spark.table(runs.runs()[0]).hint("merge"), ["h1", "h2"], "left_anti")
+    assert exchanges(met) == 1  # that of the batch's own count
+    runs.close()
+
+
+def test_tables_of_one_file_and_of_many_make_batches(spark):
+    from vouch.session import work_path
+
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('a\nb ', id) AS text")
+    for files in (1, 20):
+        path = work_path(spark, "t-batches")
+        docs.repartition(files).write.parquet(path)
+        batches = L.file_batches(spark, path)
+        assert len(batches) == 8
+        ids = [r["doc_id"] for b in batches for r in b.select("doc_id").collect()]
+        assert sorted(ids) == list(range(300)) and all(b.count() for b in batches)
+    assert len(L.file_batches(spark, path, batch_bytes=max(1, L.path_bytes(spark, path) // 15))) in (15, 16)

@@ -54,8 +54,8 @@ FROM marked GROUP BY doc_id"""
 
 @query("op2_line_runs", OP2_SQL)
 def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines found in at least 10 documents go; the files arrive as at most 4 batches."""
-    batches = line_runs.file_batches(spark, table_path(sf_dir, "documents"), 4)
+    """Lines found in at least 10 documents go; the files arrive in batches."""
+    batches = line_runs.file_batches(spark, table_path(sf_dir, "documents"))
     out = line_runs.drop_common_lines(batches, Tables(spark, sf_dir).documents, min_docs=10, min_chars=1, fan_in=2)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
