@@ -127,3 +127,52 @@ def test_a_failed_stream_raises(spark):
                             transform=lambda d: d.select(F.col("s").cast("int").alias("n")))
     with pytest.raises(Exception):
         P.wait_until_ended(q)
+
+
+def test_null_users_are_created_replaced_and_dropped(spark):
+    t = FO.UserTable(spark, work_path(spark, "t-null-users"), "u", buckets=4)
+    rows = spark.createDataFrame([(None, 1), (1, 2)], "u bigint, i int")
+    t.create(rows, drop_existing=False)
+    again = {r.u: r.action for r in t.create(rows.withColumn("i", F.col("i") + 10), drop_existing=True).collect()}
+    assert again == {None: "replaced", 1: "replaced"}
+    assert sorted((r.u, r.i) for r in t.read().collect() if r.u) == [(1, 12)] and t.read().where("u IS NULL").first().i == 11
+    skip = {r.u: r.action for r in t.create(rows, drop_existing=False).collect()}
+    assert skip == {None: "skipped", 1: "skipped"} and t.read().count() == 2
+    assert [r.i for r in t.read_user(None).collect()] == [11] and [r.i for r in t.read_user(1).collect()] == [12]
+    gone = {r.u: r.action for r in t.drop(spark.createDataFrame([(None,), (5,)], "u bigint")).collect()}
+    assert gone == {None: "dropped", 5: "skipped"} and [r.u for r in t.read().collect()] == [1]
+    t.create(spark.createDataFrame([(None, 7)], "u bigint, i int"), drop_existing=False)  # after a drop it is new
+    assert sorted((r.u is None, r.i) for r in t.read().collect()) == [(False, 12), (True, 7)]
+
+
+def test_a_drop_writes_tombstones_only_and_a_change_is_seen_whole(spark, monkeypatch):
+    from vouch.sources.versions import ConcurrentChange, VersionLog, list_lengths
+
+    t = FO.UserTable(spark, work_path(spark, "t-users-log"), "u", buckets=8)
+    rows = spark.range(20_000).selectExpr("IF(id % 3 = 0, 0, id % 500) AS u", "id", "concat('payload ', id) AS p")  # user 0 has a third
+    t.create(rows, drop_existing=False)
+    before = list_lengths(spark, t.path)
+    t.drop(spark.createDataFrame([(u,) for u in (0, 1, 2)], "u bigint"))
+    after = list_lengths(spark, t.path)
+    assert before.items() <= after.items()  # no file was changed
+    assert sum(v for k, v in after.items() if k not in before and k.endswith(".parquet")) < 20_000
+    want = {r.u: r.n for r in rows.where("u > 2").groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts(t) == want
+    # A writer that is lost after its data, before its commit, changes nothing.
+    monkeypatch.setattr(VersionLog, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    for change in (lambda: t.create(rows.where("u < 9"), drop_existing=True), lambda: t.drop(rows.select("u"))):
+        try:
+            change()
+        except RuntimeError as e:
+            assert str(e) == "lost"
+        assert counts(t) == want
+    monkeypatch.undo()
+    # Two writers from one version: the second is refused.
+    number, entry = t.log.latest()
+    t.log.commit(number, entry)
+    import pytest
+
+    with pytest.raises(ConcurrentChange):
+        t.log.commit(number, entry)
+    t.compact()
+    assert t.vacuum() > 0 and counts(t) == want and not t.log.latest()[1]["drops"]

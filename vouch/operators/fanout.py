@@ -6,28 +6,30 @@ before the shuffle.  ``apply_per_user`` is the pandas path for logic the
 built-in aggregates cannot express; it hands each user's rows to one task,
 so it is meant for groups of bounded size.
 
-``UserTable`` keeps one "database" per user as rows of a parquet table
-partitioned by a hash bucket of the user (a bounded number of folders even
-with millions of users).  Create/replace/drop rewrite only the buckets the
-request touches, with dynamic partition overwrite from a checkpointed
-frame (never reading and overwriting the same files in one job).
+``UserTable`` keeps one "database" per user as rows of one versioned folder:
+files of each change lie beside each other, and a commit log names them.  A
+change writes its own rows once, and the users it replaces or drops once as
+tombstones; nothing that is there is read or rewritten, and a change is seen
+whole or not at all.  Readers leave out rows whose user has a later tombstone;
+``compact`` rewrites the table without them.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vouch.session import ensure_checkpoint_dir, path_exists
+from vouch.session import path_exists, work_path
+from vouch.sources.versions import VersionLog
 
 CREATED, SKIPPED, REPLACED, DROPPED, KEPT = "created", "skipped", "replaced", "dropped", "kept"
-BUCKET = "_user_bucket"
+BUCKET, _VERSION = "vouch_user_bucket", "vouch_version"
+#: Slices that the rows of a user are dealt over when they meet tombstones.
+_SLICES = 16
 
 
 def for_each_user(df: DataFrame, user: str, aggs: list[Column]) -> DataFrame:
@@ -75,137 +77,151 @@ def user_bucket(user: Column, buckets: int) -> Column:
 
 
 class UserTable:
+    """Rows of many users, created, replaced and dropped user by user.
+
+    A NULL user is a user.  Rows are written in ``buckets`` folders by a hash
+    of the user, so a reader of one user (``read_user``) opens one of each
+    change; a hot user's bucket is written by several tasks.
+    """
+
     def __init__(self, spark: SparkSession, path: str, user: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.user, self.buckets = spark, path, user, buckets
+        self.spark, self.path, self.user, self.buckets = spark, path.rstrip("/"), user, buckets
+        self.log = VersionLog(spark, path)
         self._user_type = "bigint"
 
     def exists(self) -> bool:
-        return path_exists(self.spark, self.path)
-
-    def _schema_file(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/_schema.json")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _save_schema(self, rows: DataFrame) -> None:
-        """Keep the schema next to the data (``_`` files are ignored by
-        readers) so a table whose users were all dropped still reads."""
-        p, fs = self._schema_file()
-        if fs.exists(p):
-            return
-        out = fs.create(p, True)
-        out.write(bytearray(self._tag(rows).schema.json().encode("utf-8")))
-        out.close()
+        return bool(self.log.numbers())
 
     def schema(self) -> T.StructType:
-        p, fs = self._schema_file()
-        stream = fs.open(p)
-        reader = self.spark.sparkContext._jvm.java.io.BufferedReader(
-            self.spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        text = reader.readLine()
-        reader.close()
-        return T.StructType.fromJson(json.loads(text))
+        return T.StructType.fromJson(self.log.latest()[1]["schema"])
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema()).parquet(self.path)
+        _number, entry = self.log.latest()
+        if not entry:
+            raise ValueError(f"{self.path} has no table")
+        return self._visible(entry, self._rows(entry, T.StructType.fromJson(entry["schema"])))
+
+    def read_user(self, value) -> DataFrame:
+        """The rows of one user, from that user's bucket of each change."""
+        _number, entry = self.log.latest()
+        schema = T.StructType.fromJson(entry["schema"])
+        one = self.spark.createDataFrame([(value,)], T.StructType([schema[self.user]]))
+        bucket = one.select(user_bucket(F.col(f"`{self.user}`"), self.buckets)).first()[0]
+        rows = self._rows(entry, schema, bucket)
+        return self._visible(entry, rows.where(F.col(f"`{self.user}`").eqNullSafe(F.lit(value).cast(schema[self.user].dataType))))
+
+    def _rows(self, entry: dict, schema: T.StructType, bucket: int | None = None) -> DataFrame:
+        """All stored rows with the version that wrote them."""
+        stored = schema.add(_VERSION, T.LongType())
+        folders = [f"{self.path}/{f}" for f in entry["adds"]]
+        if bucket is not None:
+            folders = [p for p in (f"{f}/{BUCKET}={bucket}" for f in folders) if path_exists(self.spark, p)]
+        if not folders:
+            return self.spark.createDataFrame([], stored)
+        return self.spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(*folders)
+
+    def _visible(self, entry: dict, rows: DataFrame) -> DataFrame:
+        """Rows without those whose user was dropped or replaced later.  A user's
+        rows are dealt over slices, and its tombstone copied to each, so a hot
+        user is no hot key."""
+        names = [F.col(f"`{c}`") for c in rows.columns if c != _VERSION]
+        if entry["drops"]:
+            gone = self._tombstones(entry, rows.schema[self.user]).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))))
+            here = F.col(f"`{self.user}`").eqNullSafe(F.col("_gone")) & (F.col("_slice") == F.pmod(F.col("_deal"), F.lit(_SLICES)))
+            rows = rows.withColumn("_deal", F.monotonically_increasing_id())
+            rows = rows.join(gone, here & (F.col(_VERSION) < F.col("_until")), "left_anti")
+        return rows.select(*names)
+
+    def _tombstones(self, entry: dict, field: T.StructField) -> DataFrame:
+        """(_gone, _until): the last version that dropped or replaced a user."""
+        stored = T.StructType([T.StructField("_gone", field.dataType), T.StructField("_until", T.LongType())])
+        rows = self.spark.read.schema(stored).parquet(*[f"{self.path}/{f}" for f in entry["drops"]])
+        return rows.groupBy("_gone").agg(F.max("_until").alias("_until"))
 
     def users(self) -> DataFrame:
         """Existing users (reads only the user column)."""
         if not self.exists():
-            return self.spark.createDataFrame([], self._user_schema())
-        return self.read().select(self.user).distinct()
+            return self.spark.createDataFrame([], f"`{self.user}` {self._user_type}")
+        return self.read().select(F.col(f"`{self.user}`")).distinct()
 
-    def _user_schema(self) -> str:
-        return f"{self.user} {self._user_type}"
-
-    def _accept(self, rows: DataFrame, whole: bool) -> None:
+    def _accept(self, rows: DataFrame, entry: dict, whole: bool) -> None:
         """Take the user's type from a request; rows to be stored must have
         the columns and types of the table, so that none is lost on reading."""
         self._user_type = rows.schema[self.user].dataType.simpleString()
-        if not self.exists():
+        if not entry:
             return
-        stored = {f.name: f.dataType for f in self.schema().fields if f.name != BUCKET}
+        stored = {f.name: f.dataType for f in T.StructType.fromJson(entry["schema"]).fields}
         given = {f.name: f.dataType for f in rows.schema.fields}
         if (whole and stored != given) or stored[self.user] != given[self.user]:
             raise ValueError(f"the table has columns {sorted(stored)}, the request {sorted(given)}, or their types differ")
 
-    def _tag(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn(BUCKET, user_bucket(F.col(self.user), self.buckets))
-
-    def _spread(self, tagged: DataFrame) -> DataFrame:
-        """Shuffle rows so each bucket is written by a few tasks (about
-        ``shuffle.partitions`` files in all, not tasks x buckets); a row hash
-        salt splits every bucket - and so any hot user - over
-        ``partitions / buckets`` tasks, 8 at least."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        salts = max(8, n // self.buckets)
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in tagged.columns]), F.lit(salts))
-        return tagged.repartition(n, F.col(BUCKET), salt)
-
-    def _append(self, rows: DataFrame) -> None:
-        self._save_schema(rows)
-        self._spread(self._tag(rows)).write.mode("append").partitionBy(BUCKET).parquet(self.path)
-
-    def _rewrite_buckets(self, content: DataFrame, touched: DataFrame) -> None:
-        """Replace the touched buckets with ``content`` (already tagged).
-
-        The new content is checkpointed first (it is computed from the files
-        being replaced); buckets left without rows are removed explicitly,
-        since a dynamic overwrite only replaces buckets it writes.
-        """
-        ensure_checkpoint_dir(self.spark)
-        content = content.checkpoint()
-        # bucket ids only: at most `buckets` values each
-        written = {r[0] for r in content.select(BUCKET).distinct().collect()}
-        emptied = {r[0] for r in touched.collect()} - written
-        self._spread(content).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy(BUCKET).parquet(self.path)
-        if emptied:
-            jvm = self.spark.sparkContext._jvm
-            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-            for b in emptied:
-                p = jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/{BUCKET}={b}")
-                p.getFileSystem(conf).delete(p, True)
+    def _report(self, requested: DataFrame, found: str, other: str) -> DataFrame:
+        """(user, action) of each requested user, kept so that it tells of the
+        state the request met."""
+        user = F.col(f"`{self.user}`")
+        hit = self.users().select(user.alias("_known"), F.lit(True).alias("_hit"))
+        action = F.when(F.col("_hit"), F.lit(found)).otherwise(F.lit(other)).alias("action")
+        report = requested.join(hit, user.eqNullSafe(F.col("_known")), "left").select(user, action)
+        path = work_path(self.spark, "user-report")
+        report.write.parquet(path)
+        return self.spark.read.schema(report.schema).parquet(path)
+
+    def _write_rows(self, rows: DataFrame, version: int) -> str:
+        """One copy of the rows, in a folder no version names yet.  The rows are
+        dealt by bucket and position, so a hot user is written by several tasks."""
+        folder, n = self.log.fresh_data(), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(8, n // self.buckets)
+        tagged = rows.withColumn(_VERSION, F.lit(version).cast("bigint")).withColumn(BUCKET, user_bucket(F.col(f"`{self.user}`"), self.buckets))
+        dealt = tagged.withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.lit(parts))).repartition(n, BUCKET, "_deal")
+        dealt.drop("_deal").write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _write_drops(self, users: DataFrame, version: int) -> str:
+        folder = self.log.fresh_data()
+        users.select(F.col(f"`{self.user}`").alias("_gone"), F.lit(version).cast("bigint").alias("_until")).write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _commit(self, number: int, entry: dict, schema: T.StructType, adds: list[str], drops: list[str]) -> None:
+        self.log.commit(number, {"schema": schema.jsonValue(), "adds": entry.get("adds", []) + adds, "drops": entry.get("drops", []) + drops})
 
     def create(self, rows: DataFrame, drop_existing: bool, post_create: Callable[[DataFrame], None] | None = None) -> DataFrame:
         """Materialise each user's rows.  Existing users are skipped, or with
         ``drop_existing`` replaced.  Returns (user, action), fixed before any
-        write (checkpointed) so it describes the state the request met."""
-        ensure_checkpoint_dir(self.spark)
-        self._accept(rows, whole=True)
-        requested = rows.select(self.user).distinct()
-        if not self.exists():
-            report = requested.select(self.user, F.lit(CREATED).alias("action")).checkpoint()
-            self._append(rows)
-        else:
-            hit = self.users().withColumn("_hit", F.lit(True))
-            again = F.lit(REPLACED if drop_existing else SKIPPED)
-            report = requested.join(hit, self.user, "left").select(
-                self.user, F.when(F.col("_hit"), again).otherwise(F.lit(CREATED)).alias("action")).checkpoint()
-            if not drop_existing:
-                self._append(rows.join(report.where(F.col("action") == CREATED), self.user, "left_semi"))
-            else:
-                touched = self._tag(requested).select(BUCKET).distinct()
-                old = self.read().join(touched, BUCKET, "left_semi").join(requested, self.user, "left_anti")
-                new = self._tag(rows)
-                self._rewrite_buckets(old.unionByName(new.select(*old.columns)), touched)
+        write so it describes the state the request met."""
+        number, entry = self.log.latest()
+        self._accept(rows, entry, whole=True)
+        user = F.col(f"`{self.user}`")
+        report = self._report(rows.select(user).distinct(), REPLACED if drop_existing else SKIPPED, CREATED)
+        new, drops = rows, []
+        if entry and not drop_existing:
+            fresh = report.where(F.col("action") == CREATED).select(user.alias("_fresh"))
+            new = rows.join(fresh, user.eqNullSafe(F.col("_fresh")), "left_semi")
+        elif entry:
+            drops = [self._write_drops(report.where(F.col("action") == REPLACED), number + 1)]
+        # A tombstone of this version does not hide the rows of this version.
+        self._commit(number, entry, rows.schema, [self._write_rows(new, number + 1)], drops)
         if post_create is not None:
             post_create(report.where(F.col("action") != SKIPPED))
         return report
 
     def drop(self, users: DataFrame) -> DataFrame:
-        """Drop the listed users that exist; the rest are reported skipped."""
-        self._accept(users, whole=False)
-        requested = users.select(self.user).distinct()
-        existing = self.users()
-        hit = requested.join(existing, self.user, "left_semi")
-        report = hit.select(self.user, F.lit(DROPPED).alias("action")).unionByName(
-            requested.join(existing, self.user, "left_anti").select(self.user, F.lit(SKIPPED).alias("action")))
-        ensure_checkpoint_dir(self.spark)
-        report = report.checkpoint()
-        hit = report.where(F.col("action") == DROPPED).select(self.user)
-        if self.exists():
-            touched = self._tag(hit).select(BUCKET).distinct()
-            keep = self.read().join(touched, BUCKET, "left_semi").join(hit, self.user, "left_anti")
-            self._rewrite_buckets(keep, touched)
+        """Drop the listed users that exist (tombstones only); the rest are
+        reported skipped."""
+        number, entry = self.log.latest()
+        self._accept(users, entry, whole=False)
+        report = self._report(users.select(F.col(f"`{self.user}`")).distinct(), DROPPED, SKIPPED)
+        if entry:
+            gone = self._write_drops(report.where(F.col("action") == DROPPED), number + 1)
+            self._commit(number, entry, T.StructType.fromJson(entry["schema"]), [], [gone])
         return report
+
+    def compact(self) -> None:
+        """Rewrite the visible rows as one change, without tombstones."""
+        number, entry = self.log.latest()
+        if entry:
+            folder = self._write_rows(self.read(), number + 1)
+            self._commit(number, {}, T.StructType.fromJson(entry["schema"]), [folder], [])
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete the data of all but the last ``keep`` versions, and of lost writers."""
+        return self.log.vacuum(keep, lambda e: e["adds"] + e["drops"])
