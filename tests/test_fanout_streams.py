@@ -176,3 +176,30 @@ def test_a_drop_writes_tombstones_only_and_a_change_is_seen_whole(spark, monkeyp
         t.log.commit(number, entry)
     t.compact()
     assert t.vacuum() > 0 and counts(t) == want and not t.log.latest()[1]["drops"]
+
+
+def test_a_lost_stream_gives_each_row_once(spark):
+    import pytest
+
+    from vouch.streaming.sink import CommittedSink, start_committed_stream
+
+    base = work_path(spark, "t-recover")
+    rows = spark.range(400).selectExpr("id", "id % 7 AS v")
+    src = P.stage_files(rows, f"{base}/landing", 4, "id")
+    sink = CommittedSink(spark, f"{base}/sink", spark.read.parquet(src).schema)
+    losses = [("written", 0), ("written", 2), ("committed", 2), ("committed", 3)]
+
+    def watch(step, batch):
+        if losses and losses[0] == (step, batch):
+            losses.pop(0)
+            raise RuntimeError("lost")
+
+    for _ in range(4):
+        q = start_committed_stream(spark, src, sink.schema, sink, f"{base}/ckpt", watch=watch)
+        with pytest.raises(Exception):
+            P.wait_until_ended(q)
+        got = [r.id for r in sink.read().collect()]
+        assert len(got) == len(set(got)) == (sink.commits().agg(F.sum("rows").alias("n")).first().n or 0)  # rows and progress agree at any time
+    P.wait_until_ended(start_committed_stream(spark, src, sink.schema, sink, f"{base}/ckpt", watch=watch))
+    assert sorted(r.id for r in sink.read().collect()) == list(range(400))
+    assert {r.batch_id: r.attempts for r in sink.attempts().collect()} == {0: 2, 1: 1, 2: 2, 3: 1}

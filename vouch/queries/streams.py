@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vouch.session import work_path
 from vouch.sources.tables import Tables, path_bytes, table_path
 from vouch.streaming import progress as P
+from vouch.streaming.sink import CommittedSink, start_committed_stream
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +92,41 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         P.stop_queries([q])
     return _totals(spark, base, ready)
+
+
+class Lost(RuntimeError):
+    """The driver is lost at a step of a batch (for the recovery query)."""
+
+
+@query("stream_recovery", f"{_TOTALS}, 2::BIGINT AS replayed_batches, true AS all_recorded FROM events")
+def stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream is lost twice: in its second batch between the rows and their
+    commit, and in the third after the commit, before the stream knows of it.
+    Each time it restarts from its checkpoint and replays the batch: the rows of
+    the first are written again, those of the second are not."""
+    base = work_path(spark, "stream_recovery")
+    events = Tables(spark, sf_dir).events
+    src = P.stage_files(events, f"{base}/landing", landing_files(path_bytes(spark, table_path(sf_dir, "events"))), "ts")
+    schema = spark.read.parquet(src).schema
+    sink = CommittedSink(spark, f"{base}/sink", schema)
+    losses, passed = [("written", 1), ("committed", 2)], []
+
+    def watch(step: str, batch_id: int) -> None:
+        if losses and (step, batch_id) == losses[0]:
+            passed.append(losses.pop(0))
+            raise Lost(f"lost in batch {batch_id} when it was {step}")
+
+    while True:
+        left = len(losses)
+        q = start_committed_stream(spark, src, schema, sink, f"{base}/checkpoint", max_files_per_trigger=FILES_PER_TRIGGER, watch=watch)
+        try:
+            P.wait_until_ended(q)
+            break
+        except Exception:
+            if len(losses) == left:  # not a loss of ours
+                raise
+        finally:
+            P.stop_queries([] if q.exception() is not None else [q])
+    totals = sink.read().agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct("event_id").alias("distinct_keys"))
+    recorded = sink.commits().agg(F.sum("rows").alias("_rows")).first()["_rows"]
+    return totals.select("total_rows", "distinct_keys", F.lit(len(passed)).cast("bigint").alias("replayed_batches"), (F.col("total_rows") == F.lit(recorded)).alias("all_recorded"))
