@@ -76,3 +76,23 @@ def test_catalog_inventory_marks_temporary_views(spark):
     assert ("vouch_tmp_view", True) in rows
     perm = NS.table_inventory(inv.select("schema_name").distinct(), inv)
     assert "vouch_tmp_view" not in {r.table_name for r in perm.collect()}
+
+
+def test_prefixes_equal_a_plain_scan_of_every_end(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from vouch.functions.naming import NamingConfig, clean_text, schema_prefixes_of
+
+    rng = random.Random(3)
+    for cfg in (NamingConfig(), NamingConfig(course_code="two-words", schema_tag="w_s", hash_length=3)):
+        tag, course = clean_text(cfg.schema_tag).lower(), clean_text(cfg.course_code).lower()
+        bits = [tag, course, *course.split("_"), "ab12", "0f3", "abc", "x", "", "bob", "lesson"]
+        names = ["_".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(400)] + [f"{tag}__abcd_{course}", f"{tag}_bob_ab12_{course}_ab12_{course}"]
+        names += [f"{tag}_{n}" for n in names]
+        got = {r.s: r.f for r in spark.createDataFrame([(n,) for n in set(names)], "s string").select("s", schema_prefixes_of(F.col("s"), cfg).alias("f")).collect()}
+        for n in set(names):
+            want = [n[:i] for i in range(1, len(n) + 1) if (i == len(n) or n[i] == "_") and re.search(f"^{tag}_.+_[0-9a-f]{{{cfg.hash_length}}}_{course}$", n[:i])]
+            assert got[n] == want, n

@@ -109,19 +109,35 @@ def schema_prefixes_of(schema: Column | str, cfg: NamingConfig) -> Column:
     array when it is none).
 
     A prefix ends with the hash and the course code, followed by ``_`` or the
-    end.  A lesson name may hold the same form again, so every such end counts
-    (at most one for each character of the name); the stale-namespace test is
-    an equi-join on them.
+    end.  A lesson name may hold the same form again, so every such end counts;
+    the stale-namespace test is an equi-join on them.  The name is split once
+    into its words (between ``_``); a place counts when the words there are the
+    course's and the one before is a hash, and only such heads are put together.
     """
-    tag = clean_text(cfg.schema_tag).lower()
-    course = clean_text(cfg.course_code).lower()
+    tag, course = clean_text(cfg.schema_tag).lower(), clean_text(cfg.course_code).lower()
+    own, after = tag.split("_"), course.split("_")
     name = _c(schema)
-    end = f"_[0-9a-f]{{{cfg.hash_length}}}_{course}$"
-    cuts = F.sequence(F.lit(1), F.greatest(F.char_length(name), F.lit(1)))
-    heads = F.transform(cuts, lambda n: F.when((n == F.char_length(name)) | (F.substring(name, n + 1, F.lit(1)) == "_"), F.substring(name, F.lit(1), n)))
-    starts = name.startswith(f"{tag}_")
-    found = F.filter(heads, lambda h: h.isNotNull() & h.rlike(f"^{tag}_.+{end}"))
-    return F.when(starts, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    def heads(words: Column) -> Column:
+        # Place i (from 1) is the last word of a prefix: the tag, some text, the hash, the course.
+        places = F.sequence(F.lit(len(own) + len(after) + 2), F.size(words))
+        found = F.filter(places, lambda i: _all([F.get(words, i - len(after) + k) == w for k, w in enumerate(after)])
+                         & F.get(words, i - len(after) - 1).rlike(f"^[0-9a-f]{{{cfg.hash_length}}}$"))
+        ends = F.transform(found, lambda i: F.array_join(F.slice(words, F.lit(1), i), "_"))
+        return F.filter(ends, lambda h: F.char_length(h) > len(tag) + cfg.hash_length + len(course) + 3)  # some text is there
+
+    words = F.split(name, "_")
+    enough = name.startswith(f"{tag}_") & (F.size(words) >= len(own) + len(after) + 2)
+    none = F.array().cast("array<string>")
+    # A lambda variable is bound to the words, so they are split once.
+    return F.when(enough, F.transform(F.array(words), lambda w: F.array_distinct(heads(w)))[0]).otherwise(none)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def lesson_bucket(path: Column | str, buckets: int = 10000) -> Column:

@@ -168,9 +168,10 @@ class UserTable:
 
     def _write_rows(self, rows: DataFrame, version: int) -> str:
         """One copy of the rows, in a folder no version names yet.  The rows are
-        dealt by bucket and position, so a hot user is written by several tasks."""
+        dealt by bucket and position: a hot user is written by as many tasks as
+        there are shuffle partitions for each bucket."""
         folder, n = self.log.fresh_data(), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(8, n // self.buckets)
+        parts = max(1, n // self.buckets)
         tagged = rows.withColumn(_VERSION, F.lit(version).cast("bigint")).withColumn(BUCKET, user_bucket(F.col(f"`{self.user}`"), self.buckets))
         dealt = tagged.withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.lit(parts))).repartition(n, BUCKET, "_deal")
         dealt.drop("_deal").write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
