@@ -213,3 +213,36 @@ def test_repair_table_takes_good_buckets_from_the_copy(spark):
     assert equal(spark, src, out)
     changes = D.row_changes(src, damaged)
     assert changes == {"rows_kept": 2999, "rows_added": 1, "rows_dropped": 1}
+
+
+def test_contents_are_compared_by_bytes_and_repaired(spark):
+    import pytest
+
+    from vouch.sources import content as C
+
+    source, copy = tempfile.mkdtemp(prefix="vouch-c-src-"), tempfile.mkdtemp(prefix="vouch-c-dst-")
+    for rel, size in [("a/x.bin", 3000), ("a/y.bin", 10), ("b/c/z.bin", 0), ("top.bin", 1025), ("b/same.bin", 2048)]:
+        for root in (source, copy):
+            os.makedirs(os.path.dirname(f"{root}/{rel}"), exist_ok=True)
+            with open(f"{root}/{rel}", "wb") as f:
+                f.write(bytes(i * 7 % 251 for i in range(size)))
+    both = [C.file_digests(spark, root, chunk=512) for root in (source, copy)]
+    assert C.content_differences(*both).count() == 0
+    assert C.differing_folders(*[C.digest_tree(x) for x in both]).count() == 0
+    with open(f"{copy}/a/x.bin", "r+b") as f:  # one byte, the length stays
+        f.seek(1700)
+        f.write(b"\xff")
+    os.remove(f"{copy}/b/c/z.bin")
+    with open(f"{copy}/b/more.bin", "wb") as f:
+        f.write(b"more")
+    both = [C.file_digests(spark, root, chunk=512) for root in (source, copy)]
+    got = {(r.path, r.diff) for r in C.content_differences(*both).collect()}
+    assert got == {("a/x.bin", "changed"), ("b/c/z.bin", "missing"), ("b/more.bin", "extra")}
+    assert {r.folder for r in C.differing_folders(*[C.digest_tree(x) for x in both]).collect()} == {"", "a/", "b/", "b/c/"}
+    with pytest.raises(C.InvalidDataset, match="a/x.bin"):
+        C.validate_folders(spark, {"d": (source, copy)}, fail_fast=True)
+    only = C.validate_folders(spark, {"d": (source, copy)}, repair=False)
+    assert {(r.path, r.repaired) for r in only.collect()} == {("a/x.bin", False), ("b/c/z.bin", False), ("b/more.bin", False)}
+    done = C.validate_folders(spark, {"d": (source, copy), "gone": (source, copy + "-new")})
+    assert done.where("dataset = 'd' AND repaired").count() == 3 and done.where("dataset = 'gone' AND diff = 'missing'").count() == 5
+    assert C.validate_folders(spark, {"d": (source, copy), "gone": (source, copy + "-new")}, fail_fast=True).count() == 0

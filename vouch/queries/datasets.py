@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouch.session import work_path
+from vouch.sources import content as C
 from vouch.sources import datasets as D
 from vouch.sources.tables import Tables, table_path
 
@@ -116,6 +117,45 @@ def repair_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "rows_kept bigint, rows_added bigint, rows_dropped bigint, rows_wrong bigint")
 
 
+_STATUS_FILES = "SELECT DISTINCT 'o_orderstatus=' || o_orderstatus || '/' AS folder, o_orderstatus FROM orders"
+
+
+@query("validate_contents", f"""
+WITH folders AS ({_STATUS_FILES})
+SELECT 'orders' AS dataset, folder, CASE o_orderstatus WHEN 'F' THEN 'changed' WHEN 'P' THEN 'missing' END AS diff, true AS repaired, 0::BIGINT AS left_over
+FROM folders WHERE o_orderstatus IN ('F', 'P') AND EXISTS (SELECT 1 FROM orders)
+UNION ALL SELECT 'orders', 'extra/', 'extra', true, 0
+""")
+def validate_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a folder for each status, and a copy of its files of which one has
+    a changed byte, one is lost and one is too many: found by content, repaired."""
+    from pyarrow import fs as pafs
+
+    base = work_path(spark, "contents")
+    source, copy = f"{base}/source", f"{base}/copy"
+    Tables(spark, sf_dir).orders.repartition(1).write.partitionBy("o_orderstatus").parquet(source)
+    whole = C.file_digests(spark, source)
+    C.repair_folder(spark, source, copy, whole.select("path", F.lit(C.MISSING).alias("diff")))
+    # The damage goes by the same way as a repair does, from a folder of damaged files.
+    damaged = f"{base}/damaged"
+    paths = {r["path"].split("/")[0][-1]: r["path"] for r in whole.collect()}  # one file for each status
+    files, root = pafs.FileSystem.from_uri(damaged) if ":" in damaged else (pafs.LocalFileSystem(), damaged)
+    origin = pafs.FileSystem.from_uri(source) if ":" in source else (pafs.LocalFileSystem(), source)
+    with origin[0].open_input_stream(f"{origin[1]}/{paths['F']}") as f:
+        raw = bytearray(f.read())
+    raw[len(raw) // 2] ^= 1
+    for path in (paths["F"], "extra/more.parquet"):
+        files.create_dir(f"{root}/{path.rpartition('/')[0]}", recursive=True)
+        with files.open_output_stream(f"{root}/{path}") as f:
+            f.write(bytes(raw))
+    harm = spark.createDataFrame([(paths["F"], C.CHANGED), ("extra/more.parquet", C.MISSING), (paths["P"], C.EXTRA)], "path string, diff string")
+    C.repair_folder(spark, damaged, copy, harm)
+    found = C.validate_folders(spark, {"orders": (source, copy)})
+    left = C.content_differences(whole, C.file_digests(spark, copy)).count()
+    folder = F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"))
+    return found.select("dataset", folder.alias("folder"), "diff", "repaired", F.lit(left).cast("bigint").alias("left_over"))
+
+
 @query("prefer_staged", "SELECT * FROM orders")
 def prefer_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An empty staged copy (written from an empty filter) loses to the source."""
