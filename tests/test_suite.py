@@ -356,3 +356,14 @@ def test_lost_and_corrupt_files_raise(spark):
         s.expect(df, F.col("id") >= 0, "ids", test_id="a")
         with pytest.raises(Exception):
             s.materialise()
+
+
+def test_latest_results_are_merged_run_by_run(spark):
+    from vouch.session import work_path
+
+    table = scoring.LatestTable(spark, work_path(spark, "t-latest"), ["run"])
+    schema = "test_id string, run int, status string"
+    table.merge(spark.createDataFrame([("a", 5, "passed"), ("b", 5, "failed"), (None, 1, "x")], schema))
+    table.merge(spark.createDataFrame([("a", 4, "failed"), ("b", 6, "passed"), ("c", 1, "failed"), ("a", 5, "failed")], schema))
+    assert set(map(tuple, table.read().collect())) == {(None, 1, "x"), ("a", 5, "passed"), ("b", 6, "passed"), ("c", 1, "failed")}
+    assert len(table.read().inputFiles()) and table.vacuum() == 1 and table.read().count() == 4

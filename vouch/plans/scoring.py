@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vouch.functions.text import html_escape
-
 from vouch.operators.graph import FAILED
+from vouch.sources.versions import VersionLog
 
 
 def _pct(score: Column, max_score: Column) -> Column:
@@ -29,7 +30,8 @@ def suite_score(results: DataFrame, by: str = "suite") -> DataFrame:
 def latest_results(results: DataFrame, order_by: list[str], key: str = "test_id") -> DataFrame:
     """Last result per check id wins.
 
-    ``max_by`` over a struct of the ordering columns is a partial aggregate,
+    ``max_by`` over a struct of the ordering columns is a partial aggregate: each
+    task sorts the rows it has read by check id and passes one row of each on,
     so a check id with a huge history is combined map-side instead of being
     sorted in one task (as a ``row_number`` window would be).
     """
@@ -40,6 +42,43 @@ def latest_results(results: DataFrame, order_by: list[str], key: str = "test_id"
     )
 
 
+class LatestTable:
+    """The latest result of every check, kept as a table and merged run by run.
+
+    ``merge`` reads the table and the new run, never the history; the new table
+    is a new version of a versioned folder, so readers see one or the other.
+    Of results with equal order columns the one already there stays.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, order_by: list[str], key: str = "test_id") -> None:
+        self.spark, self.path, self.order_by, self.key = spark, path.rstrip("/"), order_by, key
+        self.log = VersionLog(spark, path)
+
+    def read(self) -> DataFrame:
+        number, entry = self.log.latest()
+        if not number:
+            raise ValueError(f"{self.path} holds no results")
+        return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(f"{self.path}/{entry['folder']}")
+
+    def merge(self, run: DataFrame) -> DataFrame:
+        """Take over what is newer in ``run``; returns the table as it is then."""
+        number, _entry = self.log.latest()
+        rows = run.withColumn(_THERE, F.lit(0))
+        if number:
+            rows = self.read().withColumn(_THERE, F.lit(1)).unionByName(rows)
+        latest = latest_results(rows, [*self.order_by, _THERE], self.key).select(*[F.col(f"`{c}`") for c in run.columns])
+        folder = self.log.fresh_data()
+        latest.write.parquet(f"{self.path}/{folder}")
+        self.log.commit(number, {"schema": latest.schema.jsonValue(), "folder": folder})
+        return self.read()
+
+    def vacuum(self, keep: int = 1) -> int:
+        return self.log.vacuum(keep, lambda e: [e["folder"]])
+
+
+_THERE = "_already_there"
+
+
 def rollup(results: DataFrame) -> DataFrame:
     """(score, max_score, percentage, passed) over every result row."""
     agg = results.agg(

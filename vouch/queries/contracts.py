@@ -718,6 +718,19 @@ def results_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_event_results(spark, sf_dir)
 
 
+@query("results_latest_merged", f"WITH {_EVENT_RESULTS_SQL}\nSELECT * FROM latest")
+def results_latest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from three runs, which arrive out of order and are merged one by one."""
+    from vouch.plans.scoring import LatestTable
+    from vouch.session import work_path
+
+    history = event_results(spark, sf_dir)
+    table = LatestTable(spark, work_path(spark, "latest"), ["run_ts", "event_id"])
+    for part in (1, 0, 2):
+        table.merge(history.where(F.pmod(F.col("event_id"), F.lit(3)) == part))
+    return table.read().select("test_id", "event_id", "status", "points", "max_points")
+
+
 @query("results_rollup", f"""
 WITH {_EVENT_RESULTS_SQL},
 agg AS (SELECT coalesce(sum(points), 0)::BIGINT AS score, coalesce(sum(max_points), 0)::BIGINT AS max_score FROM latest)
@@ -831,7 +844,8 @@ def expect_custom_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH n AS (SELECT count(*) > 0 AS filled FROM lineitem)
 SELECT 'exact' AS suite, 'exact-' || id AS test_id, seq, CASE WHEN ok AND filled THEN 'passed' ELSE 'failed' END AS status,
        CASE WHEN ok AND filled THEN 1 ELSE 0 END AS points
-FROM (VALUES ('cent', 1, false), ('same', 2, true), ('long_double', 3, false), ('decimal_long', 4, true), ('text', 5, false)) AS v(id, seq, ok), n
+FROM (VALUES ('cent', 1, false), ('same', 2, true), ('long_double', 3, false), ('decimal_long', 4, true), ('text', 5, false),
+             ('decimal_double', 6, false), ('decimal_double_same', 7, true), ('tenth', 8, false), ('array_kind', 9, false)) AS v(id, seq, ok), n
 """)
 def expect_equals_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums that differ by a cent, 2^53 + 1 against 2^53 as a double, a decimal
@@ -844,6 +858,11 @@ def expect_equals_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.expect_equals(li, F.max(F.lit(2 ** 53 + 1)), F.max(F.lit(float(2 ** 53))), "long and double", test_id="long_double", depends_on=none)
     s.expect_equals(li, F.count(F.lit(1)), F.sum(F.lit(Decimal("1.00"))), "count as decimal", test_id="decimal_long", depends_on=none)
     s.expect_equals(li, F.count(F.lit(1)), F.count(F.lit(1)).cast("string"), "count as text", test_id="text", depends_on=none)
+    big = F.max(F.lit(Decimal(2 ** 53 + 1)))
+    s.expect_equals(li, big, F.max(F.lit(float(2 ** 53))), "decimal and double", test_id="decimal_double", depends_on=none)
+    s.expect_equals(li, big - F.lit(Decimal(1)), F.max(F.lit(float(2 ** 53))), "the same number", test_id="decimal_double_same", depends_on=none)
+    s.expect_equals(li, F.max(F.lit(Decimal("0.1"))), F.max(F.lit(0.1)), "a tenth is no double", test_id="tenth", depends_on=none)
+    s.expect_equals(li, F.array(F.max("l_linenumber")), F.array(F.max("l_linenumber").cast("string")), "numbers and texts", test_id="array_kind", depends_on=none)
     return s.results().select(*SUITE_COLUMNS)
 
 
@@ -867,3 +886,30 @@ def expect_rows_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = Tables(spark, sf_dir).lineitem.select(key, F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"))
     b = a.where((F.col("s") != "F") | (F.col("f") != "N")).withColumn("f", F.when(F.col("f") == "R", F.lit("A")).otherwise(F.col("f")))
     return keyed_difference(a, b, ["k"])
+
+
+_NESTED = {  # case: the column as it is, the other column, whether rows differ by it
+    "array_of_text": ("array(l_linenumber)", "array(cast(l_linenumber as string))", "true"),
+    "struct_of_text": ("named_struct('k', l_linenumber)", "named_struct('k', cast(l_linenumber as string))", "true"),
+    "map_of_text": ("map('k', array(l_linenumber))", "map('k', array(cast(l_linenumber as string)))", "true"),
+    "array_of_double": ("array(l_orderkey + 9007199254740993L)", "array(cast(l_orderkey + 9007199254740993L as double))", "true"),
+    "wider": ("array(l_linenumber)", "array(cast(l_linenumber as bigint))", "false"),
+    "map_order": ("map('a', l_linenumber, 'b', 0)", "map('b', 0, 'a', l_linenumber)", "false"),
+    "one_changed": ("map('k', named_struct('n', l_linenumber))", "map('k', named_struct('n', if(l_linenumber = 3, -3, l_linenumber)))", "l_linenumber = 3"),
+}
+
+
+@query("expect_nested_exact", "\nUNION ALL\n".join(
+    f"SELECT '{case}' AS \"case\", count(*) FILTER ({differs}) AS actual_only, count(*) FILTER ({differs}) AS expected_only FROM lineitem"
+    for case, (_a, _b, differs) in _NESTED.items()))
+def expect_nested_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose nested column differs in kind or in value somewhere inside."""
+    from vouch.operators.compare import bag_difference
+
+    li = Tables(spark, sf_dir).lineitem
+    out = None
+    for case, (left, right, _differs) in _NESTED.items():
+        sides = bag_difference(*[li.select("*", F.expr(v).alias("nested")) for v in (left, right)])
+        row = sides.groupBy().pivot("side", ["actual_only", "expected_only"]).agg(F.first("rows_differing")).select(F.lit(case).alias("case"), "actual_only", "expected_only")
+        out = row if out is None else out.unionByName(row)
+    return out
