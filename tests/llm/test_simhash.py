@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -28,7 +29,7 @@ def brute(text, width=3):
 def test_fingerprints_and_edited_texts_equal_brute_force(spark):
     rng = random.Random(1)
     rows = [(i * 3, " ".join(rng.choice("alpha Beta gamma delta epsilon".split()) for _ in range(rng.randint(0, 40)))) for i in range(60)]
-    rows += [(None, "a null id comes first"), (500, None), (501, "")]
+    rows += [(None, "a null id comes first"), (500, None), (501, ""), (700, rows[5][1]), (800, rows[5][1]), (900, "")]
     got = {r["doc_id"]: r for r in S.edited_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     for (i, text), (j, following) in zip(order, order[1:] + order[:1]):
@@ -41,6 +42,9 @@ def test_fingerprints_and_edited_texts_equal_brute_force(spark):
         assert (r["fingerprint"], r["edited_fingerprint"]) == (f"{a:016x}", f"{b:016x}")
         assert r["near_edited"] == 1 - (a ^ b).bit_count() / 64
         assert r["near_next"] == 1 - (a ^ c).bit_count() / 64
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        near = sum((a ^ brute(other)).bit_count() <= 3 for _id, other in rows) - 1
+        assert r["n_near"] == (near if i is not None and i % 100 == 0 else None)
 
 
 def test_block_tables_find_every_pair_within_the_radius(spark):
