@@ -49,3 +49,13 @@ def test_a_parts_column_of_another_type_is_not_read(spark):
     rows = spark.createDataFrame([(1, 0, "user", "hello", "text of my own")], "conv_id bigint, turn bigint, role string, text string, parts string")
     plain = C.format_turns(rows.drop("parts")).collect()
     assert C.format_turns(rows).collect() == plain and "hello" in plain[0]["segment"]
+
+
+def test_a_conversation_over_many_partitions_is_read_in_order(spark, monkeypatch):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"turn {t} é") for t in range(3000)] + [(2, 0, "user", "x")] * 500
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)
+    out = {r["conv_id"]: r for r in C.read_back(C.format_turns(df)).collect()}
+    said = "".join(f"{r}\n{x}\n" for c, _t, r, x in rows if c == 1)
+    assert out[1]["n_turns"] == 3000 and out[1]["turns_sha256"] == sha256(said.encode()).hexdigest()
+    assert out[1]["loss_sha256"] == sha256("".join(x for c, _t, r, x in rows if c == 1 and r == "assistant").encode()).hexdigest()
+    assert out[2]["n_turns"] == 500 and out[2]["loss_chars"] == 0

@@ -12,9 +12,10 @@ control string of the template can only come from the template, and taking the
 backslashes away gives the text back.  The loss mask covers the content of
 assistant turns.
 
-Every turn is formatted on its own; a conversation is its turns in order.  It
-is read back as a stream of sorted turns, so however long a conversation is, a
-task holds one turn.
+Every turn is formatted on its own; a conversation is its turns in order.  To
+read it back its turns are sorted by range, so a long conversation is spread over
+tasks, which parse their turns and pass pieces of ready text and counts on; only
+these run through the conversation's digests, in order and piece by piece.
 
 Results: a null text is empty, a null role is the empty role; a null conv_id
 is a conversation of its own; turns sort by number (null first), equal numbers
@@ -30,6 +31,7 @@ from dataclasses import dataclass, field
 from hashlib import sha256
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,39 +167,68 @@ def format_turns(messages: DataFrame, expansion: Expansion | None = None) -> Dat
     return rows.mapInArrow(run, f"conv_id bigint, turn bigint, {_TURN_SCHEMA}")
 
 
-def _digest(batches):
-    """One row per conversation of a partition sorted by (conv_id, turn)."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "attachment_tokens"]
-    at, state = None, None
+#: Bytes of ready text that are passed on as one row.
+_PIECE = 1 << 20
+_PIECES = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("no", pa.int64()), ("n", pa.int64()), ("loss_n", pa.int64()), ("chars", pa.int64()),
+                     ("tokens", pa.int64()), ("turns", pa.binary()), ("loss", pa.binary())])
+_DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+                      ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("attachment_tokens", pa.int64())])
 
-    def row():
-        return (at[0], state["n"], state["turns"].hexdigest(), state["loss_n"], state["loss"].hexdigest(), state["chars"], state["tokens"])
 
-    def batch(rows):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _pieces(batches):
+    """Parsed turns of a partition sorted by (conv_id, turn), joined to pieces."""
+    part, no, at, held = TaskContext.get().partitionId(), 0, None, None
+
+    def row():
+        return {"conv_id": at[0], "part": part, "no": no, **{k: b"".join(v) if isinstance(v, list) else v for k, v in held.items()}}
 
     for b in batches:
-        rows = []
+        done = []
         for conv, segment, loss, refs in zip(*[b.column(c) for c in ("conv_id", "segment", "loss", "attachments")], strict=True):
             conv, segment = (conv.as_py(),), segment.as_py()
-            if conv != at:
+            if conv != at or sum(map(len, held["turns"])) > _PIECE:
                 if at is not None:
-                    rows.append(row())
-                at, state = conv, {"n": 0, "chars": 0, "loss_n": 0, "tokens": 0, "turns": sha256(), "loss": sha256()}
+                    done.append(row())
+                    no += 1
+                at, held = conv, {"n": 0, "loss_n": 0, "chars": 0, "tokens": 0, "turns": [], "loss": []}
             for role, text, _ in read_turns(segment):
-                state["n"] += 1
-                state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                held["n"] += 1
+                held["turns"].append(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             for span in loss.as_py():
                 text = _PLACE.sub(lambda p: p.group(1) or "", segment[span["start"]:span["end"]])
-                state["loss_n"] += len(text)
-                state["loss"].update(text.encode("utf-8", "surrogatepass"))
-            state["chars"] += len(segment)
-            state["tokens"] += sum(r["tokens"] for r in refs.as_py())
-        if rows:
-            yield batch(rows)
+                held["loss_n"] += len(text)
+                held["loss"].append(text.encode("utf-8", "surrogatepass"))
+            held["chars"] += len(segment)
+            held["tokens"] += sum(r["tokens"] for r in refs.as_py())
+        if done:
+            yield pa.RecordBatch.from_pylist(done, _PIECES)
+    if at is not None:
+        yield pa.RecordBatch.from_pylist([row()], _PIECES)
+
+
+def _digest(batches):
+    """One row per conversation of a partition sorted by (conv_id, part, no)."""
+    at, state = None, None
+
+    def row():
+        return {"conv_id": at[0], "n_turns": state["n"], "turns_sha256": state["turns"].hexdigest(), "loss_chars": state["loss_n"],
+                "loss_sha256": state["loss"].hexdigest(), "formatted_chars": state["chars"], "attachment_tokens": state["tokens"]}
+
+    for b in batches:
+        done = []
+        for piece in b.to_pylist():
+            if (piece["conv_id"],) != at:
+                if at is not None:
+                    done.append(row())
+                at, state = (piece["conv_id"],), {"n": 0, "chars": 0, "loss_n": 0, "tokens": 0, "turns": sha256(), "loss": sha256()}
+            for k in ("n", "chars", "loss_n", "tokens"):
+                state[k] += piece[k]
+            for k in ("turns", "loss"):
+                state[k].update(piece[k])
+        if done:
+            yield pa.RecordBatch.from_pylist(done, _DIGESTS)
     if at is not None:
-        yield batch([row()])
+        yield pa.RecordBatch.from_pylist([row()], _DIGESTS)
 
 
 def read_back(turns: DataFrame) -> DataFrame:
@@ -205,6 +236,10 @@ def read_back(turns: DataFrame) -> DataFrame:
     n_turns, turns_sha256 (role, newline, text, newline of each turn),
     loss_chars and loss_sha256 (all text under the loss mask), formatted_chars,
     attachment_tokens."""
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
+    rows = turns.select("conv_id", "turn", "segment", "loss", "attachments").withColumn("_salt", F.monotonically_increasing_id())  # equal turns are split too
+    order = ["conv_id", "turn", "segment", "_salt"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    pieces = ranged.mapInArrow(_pieces, "conv_id bigint, part int, no bigint, n bigint, loss_n bigint, chars bigint, tokens bigint, turns binary, loss binary")
+    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part", "no")
     return ordered.mapInArrow(_digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
                                        "formatted_chars bigint, attachment_tokens bigint")
