@@ -96,3 +96,12 @@ def test_prefixes_equal_a_plain_scan_of_every_end(spark):
         for n in set(names):
             want = [n[:i] for i in range(1, len(n) + 1) if (i == len(n) or n[i] == "_") and re.search(f"^{tag}_.+_[0-9a-f]{{{cfg.hash_length}}}_{course}$", n[:i])]
             assert got[n] == want, n
+
+
+def test_inventory_from_the_catalogs_own_table(spark):
+    from vouch.operators import namespaces as NS
+
+    info = spark.createDataFrame([("main", "s", "t", "MANAGED"), ("main", "s", "v", "LOCAL TEMPORARY"), ("main", "s", "n", None)],
+                                 "table_catalog string, table_schema string, table_name string, table_type string")
+    got = {(r.catalog, r.schema_name, r.table_name, r.is_temporary) for r in NS.catalog_inventory(spark, info).collect()}
+    assert got == {("main", "s", "t", False), ("main", "s", "v", True), ("main", "s", "n", False)}

@@ -73,16 +73,30 @@ def stale_namespaces(users: DataFrame, inventory: DataFrame, cfg: N.NamingConfig
     return prefixes.join(inv, "_prefix").select("username", "catalog", "schema_name").distinct()
 
 
-def catalog_inventory(spark: SparkSession) -> DataFrame:
+#: Schemas that the session catalog is asked for one by one.
+MOST_SCHEMAS = 1000
+
+
+def catalog_inventory(spark: SparkSession, information: DataFrame | None = None) -> DataFrame:
     """The session catalog as an inventory: (catalog, schema_name, table_name,
-    is_temporary).  Metadata only; one SHOW TABLES per schema."""
+    is_temporary).
+
+    ``information`` is the catalog's own table of tables (table_catalog,
+    table_schema, table_name, table_type; ``information_schema.tables`` or an
+    export of it), which is read as any table.  Without one each schema of the
+    session's catalog is asked for its tables, on the driver: metadata only, and
+    for ``MOST_SCHEMAS`` schemas at most (it raises beyond).
+    """
+    if information is not None:
+        kind = F.upper(F.coalesce(F.col("table_type"), F.lit("")))
+        return information.select(F.col("table_catalog").alias("catalog"), F.col("table_schema").alias("schema_name"), "table_name",
+                                  kind.contains("TEMPORARY").alias("is_temporary"))
+    databases = spark.catalog.listDatabases()
+    if len(databases) > MOST_SCHEMAS:
+        raise ValueError(f"{len(databases)} schemas: pass the catalog's table of tables")
     catalog = spark.catalog.currentCatalog()
-    rows = []
-    for db in spark.catalog.listDatabases():
-        for t in spark.catalog.listTables(db.name):
-            rows.append((catalog, db.name, t.name, bool(t.isTemporary)))
-    schema = "catalog string, schema_name string, table_name string, is_temporary boolean"
-    return spark.createDataFrame(rows, schema)
+    rows = [(catalog, db.name, t.name, bool(t.isTemporary)) for db in databases for t in spark.catalog.listTables(db.name)]
+    return spark.createDataFrame(rows, "catalog string, schema_name string, table_name string, is_temporary boolean")
 
 
 def publish_settings(spark: SparkSession, prefix: str, values: dict[str, str | None]) -> dict[str, str]:
