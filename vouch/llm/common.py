@@ -139,18 +139,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: A table of classes with at most so many rows may be broadcast.
+FEW_CLASSES = 1 << 16
+
+
 def sampled(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
     """About ``per_group`` rows (all, where fewer) of each value of ``group``.
 
     A row is taken when the hash of its key falls below per_group / rows of
     the group; counts are the only thing gathered, so no group is sorted, and
-    the sample of a table is always the same.  The counts (one row for each
-    class of the model that is fitted, which holds them all) are broadcast, so
-    texts are not shuffled by their class.
+    the sample of a table is always the same.  The counts are broadcast where
+    they are few (counted first), so texts are not shuffled by their class; a
+    column of very many values is joined plainly.
     """
-    counts = rows.groupBy(group).agg((F.lit(float(per_group)) / F.count(F.lit(1))).alias("_share"))
+    counts = written(rows.groupBy(group).agg((F.lit(float(per_group)) / F.count(F.lit(1))).alias("_share")), "sample-counts")
+    if counts.count() <= FEW_CLASSES:
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(F.broadcast(counts), group).filter(draw < F.col("_share")).drop("_share")
+    return rows.join(counts, group).filter(draw < F.col("_share")).drop("_share")
 
 
 #: A class with more than one row in so many is hot; there are fewer hot classes than this.
