@@ -112,3 +112,44 @@ def test_edge_rows_and_empty_tables(spark, planted):
     assert L.find_contamination(edge.empty(spark), bench).count() == 0
     blank = spark.createDataFrame([(1, None), (2, ""), (3, "...")], "item_id bigint, text string")
     assert L.find_contamination(docs, blank).count() == 0
+
+
+def test_the_space_is_fitted_on_every_passage(spark, planted):
+    """Of more documents than their weight every passage counts, not a drawn part."""
+    docs, bench, _, _ = planted
+    s = L.Settings(corpus_weight=50.0)
+    corpus = L.read_corpus(docs, s)
+    assert sorted(len(r["words"]) // 4 for r in corpus.rows.collect()) == sorted(len(L.word_ids(r["text"])) for r in docs.collect())
+    assert corpus.weight ** 2 == pytest.approx(50 / 400)
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    used = np.unique(np.concatenate([L.word_ids(t) & 0xFFFF for _, t in items]))
+    slots = np.zeros(1 << 16, np.int32)
+    slots[used] = np.arange(1, len(used) + 1)
+    texts = [(t, 1.0 / 8) for t in (r["text"] for r in docs.collect())] + [(t, 900.0) for _, t in items]
+    gram = np.zeros((len(used) + 1,) * 2)
+    for text, weight in texts:
+        ids = L.word_ids(text) & 0xFFFF
+        for i in range(0, len(ids), 64):
+            row, w = np.zeros(len(gram)), corpus.idf[ids[i:i + 64]]
+            np.add.at(row, slots[ids[i:i + 64]], w)
+            row[0] = 0.0
+            row /= max(float(w @ w), 1e-12) ** 0.5
+            gram += weight * np.outer(row, row)
+    basis = L.make_judge(corpus, items, s).embed / np.append(0.0, corpus.idf[used])[:, None].clip(1e-9)
+    held = np.trace(basis.T @ gram @ basis) / np.linalg.eigvalsh(gram)[::-1][:s.rank].sum()
+    assert held > 0.99
+
+
+def test_recall_where_documents_are_more_than_their_weight(spark, planted):
+    docs, bench, copies, reworded = planted
+    found = {(r["doc_id"], r["item_id"]) for r in L.find_contamination(docs, bench, L.Settings(corpus_weight=20.0)).collect()}
+    assert copies <= found <= copies | reworded
+    assert len(reworded & found) >= 0.9 * len(reworded)
+
+
+def test_clean_documents_agree_where_documents_are_more_than_their_weight(spark, planted):
+    docs, bench, _, _ = planted
+    s = L.Settings(corpus_weight=20.0)
+    found = {r["doc_id"] for r in L.find_contamination(docs, bench, s).collect()}
+    assert {r["doc_id"] for r in L.clean_documents(docs, bench, s).collect()} == set(range(400)) - found
+    assert not hasattr(L, "drawn_documents")

@@ -4,11 +4,13 @@
    of all documents (counters of fixed size, summed over tasks).  Words in more
    than ``common`` of the passages are no content words.
 2. Latent space: a randomised SVD of the TF-IDF matrix of passages, over the
-   terms that the items have (other words count in the norms).  A random
-   test matrix W is multiplied by A'A twice; every product is a Spark job whose
-   tasks emit their share of the (terms x rank) result in pieces, which are
-   summed by piece.  The passages are the benchmark items, which weigh
-   ``item_weight`` times as much, and a bounded, hash-drawn sample of documents.
+   terms that the items have (other words count in the norms).  The passages
+   are those of the benchmark items, which weigh ``item_weight`` times as much,
+   and of all documents, which weigh together as ``corpus_weight`` of them.  A
+   random test matrix is multiplied by A'A twice over the items, which gives the
+   subspace that A'A of all passages is then applied to; every product is a Spark
+   job whose tasks emit their share of the (terms x rank) result in pieces, which
+   are summed by piece.
 3. Candidates: every whole document is cut in windows of 32 words (step 16)
    and 64 words (step 32), and items in units of at most 64 words (step 16).  A
    window is a candidate for an item when the cosine of its TF-IDF vector with
@@ -75,7 +77,7 @@ def word_ids(text: str | None) -> np.ndarray:
 class Settings:
     rank: int = 128
     term_bits: int = 16
-    sample_docs: int = 500
+    corpus_weight: float = 500.0
     item_weight: float = 30.0
     common: float = 0.1
     items_per_block: int = 4096
@@ -134,14 +136,36 @@ _PARTS = "piece int, part int, data binary"
 _PASSAGE = 4 * _BLOCK
 
 
+def _hash_words(keep: list[str]):
+    """The rows with the hashes of their text's words in place of the text."""
+
+    def run(batches):
+        for b in batches:
+            words = [word_ids(text.as_py()).astype("<i4").tobytes() for text in b.column("_text")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(words, pa.binary())], [*keep, "words"])
+
+    return run
+
+
+def hashed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, words) of each row, ``words`` being 32-bit numbers."""
+    small_batches(docs.sparkSession)
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(_hash_words(keep), ", ".join([*kinds, "words binary"]))
+
+
+def _unpacked(batch) -> list[np.ndarray]:
+    return [np.frombuffer(raw, "<i4") for raw in batch.column("words").to_pylist()]
+
+
 def _count_terms(bits: int):
     """The task's occurrences of each term; the first counter behind the terms
     counts the passages."""
 
     def run(batches):
-        counts, none = np.zeros((1 << bits) + _PIECE), np.zeros(0, np.int64)
+        counts, none = np.zeros((1 << bits) + _PIECE), np.zeros(0, np.int32)
         for b in batches:
-            ids = [word_ids(text.as_py()) for text in b.column("text")]
+            ids = _unpacked(b)
             counts[:1 << bits] += np.bincount(np.concatenate([none, *ids]) & ((1 << bits) - 1), minlength=1 << bits)
             counts[1 << bits] += sum(-(-len(i) // _PASSAGE) for i in ids)
         yield from _pieces_of(counts, TaskContext.get().partitionId())
@@ -149,66 +173,79 @@ def _count_terms(bits: int):
     return run
 
 
-def inverse_frequencies(docs: DataFrame, bits: int) -> np.ndarray:
+def inverse_frequencies(rows: DataFrame, bits: int) -> np.ndarray:
     """ln((passages + 1) / (occurrences + 1)) per hashed term, 0 at least: for
     all but common words, a passage has one occurrence."""
-    counts = _summed(docs.select("text").mapInArrow(_count_terms(bits), _PARTS), (1 << bits) + _PIECE, 1)[:, 0]
+    counts = _summed(rows.select("words").mapInArrow(_count_terms(bits), _PARTS), (1 << bits) + _PIECE, 1)[:, 0]
     return np.maximum(np.log((counts[1 << bits] + 1.0) / (counts[:1 << bits] + 1.0)), 0.0)
 
 
-def _cut_passages(batches):
-    for b in batches:
-        out, weights = [], []
-        for text, weight in zip(b.column("text"), b.column("weight").to_pylist(), strict=True):
-            ids = word_ids(text.as_py())
-            cut = [ids[i:i + _PASSAGE].tolist() for i in range(0, len(ids), _PASSAGE)]
-            out += cut
-            weights += [weight] * len(cut)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64())), pa.array(weights, pa.float64())], ["ids", "weight"])
+#: Passages that are multiplied together.
+_CHUNK = 1 << 6
 
 
 def _gram_product(shared, idf, slots):
-    """The task's share of A'A X, A being the L2-normed TF-IDF rows of its
-    passages; ``slots`` numbers the terms kept (0: not kept)."""
+    """The task's share of A'A X, A being the weighted and L2-normed TF-IDF rows
+    of its passages; ``slots`` numbers the terms kept (0: not kept).  A few
+    passages at a time are a dense matrix over the terms they have."""
 
     def run(batches):
-        x, weight, slot = shared.value, idf.value, slots.value
-        out = np.zeros(x.shape)
+        x, weight, slot = shared.value.astype(np.float32), idf.value, slots.value
+        out, place = np.zeros(x.shape), np.zeros(len(x), np.int64)
         for b in batches:
-            col = b.column("ids")
-            lens = np.diff(col.offsets.to_numpy())
-            terms = col.flatten().to_numpy() & (len(weight) - 1)
-            if not len(terms):
-                continue
-            rows = np.repeat(np.arange(len(lens)), lens)
-            w = weight[terms]
-            norm = np.sqrt(np.maximum(np.bincount(rows, weights=w * w, minlength=len(lens)), 1e-12))
-            w = w * (b.column("weight").to_numpy() / norm)[rows]
-            some = slot[terms] > 0
-            rows, cols, w = rows[some], slot[terms[some]], w[some]
-            if not len(cols):
+            share, ends, texts, given = np.zeros(x.shape, np.float32), [0], _unpacked(b), []
+            for ids, w in zip(texts, b.column("weight").to_pylist(), strict=True):
+                at, n = ends[-1], len(ids)
+                ends += [*range(at + _PASSAGE, at + n, _PASSAGE), at + n] if n else []
+                given += [w] * (len(ends) - 1 - len(given))
+            if not given:
                 continue
-            held, starts = np.unique(rows, return_index=True)
-            y = np.zeros((len(lens), x.shape[1]))
-            y[held] = np.add.reduceat(w[:, None] * x[cols], starts, axis=0)
-            order = np.argsort(cols, kind="stable")
-            found, first = np.unique(cols[order], return_index=True)
-            out[found] += np.add.reduceat((w[:, None] * y[rows])[order], first, axis=0)
+            every, ends, given = np.concatenate(texts), np.array(ends), np.array(given)
+            for i in range(0, len(given), _CHUNK):
+                part = ends[i:i + _CHUNK + 1]
+                terms, lens = every[part[0]:part[-1]] & (len(weight) - 1), np.diff(part)
+                rows, w = np.repeat(np.arange(len(lens)), lens), weight[terms]
+                norm = np.sqrt(np.maximum(np.bincount(rows, weights=w * w, minlength=len(lens)), 1e-12))
+                some = np.flatnonzero(slot[terms])
+                rows, cols = rows[some], slot[terms[some]]
+                held = np.zeros(len(x), bool)
+                held[cols] = True
+                found = np.flatnonzero(held)
+                place[found] = np.arange(len(found))
+                tfidf = np.bincount(rows * len(found) + place[cols], weights=w[some] * (given[i:i + _CHUNK] / norm)[rows], minlength=len(lens) * len(found))
+                tfidf = tfidf.astype(np.float32).reshape(len(lens), -1)
+                share[found] += tfidf.T @ (tfidf @ x[found])
+            out += share
         yield from _pieces_of(out, TaskContext.get().partitionId())
 
     return run
 
 
-def latent_basis(passages: DataFrame, idf: np.ndarray, slots: np.ndarray, rank: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Orthonormal right singular vectors (slots x rank; row 0 is 0) and singular values."""
-    sc = passages.sparkSession.sparkContext
+def latent_basis(rows: DataFrame, own: DataFrame, idf: np.ndarray, slots: np.ndarray, rank: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Orthonormal right singular vectors (slots x rank; row 0 is 0) and singular
+    values of the passages of ``rows`` and of the items' ``own`` (words, weight).
+
+    The items weigh most, so two products over their few passages find the
+    subspace; the last product, over all passages, turns it to the whole."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
     n = int(slots.max()) + 1
-    x = np.random.default_rng(seed).standard_normal((n, min(rank + 8, n)))
+    start = np.random.default_rng(seed).standard_normal((n, min(rank + 8, n)))
     weights, places = sc.broadcast(idf), sc.broadcast(slots)
-    for _ in range(2):
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def product(part: DataFrame, x: np.ndarray) -> np.ndarray:
         shared = sc.broadcast(np.linalg.qr(x)[0])
-        x = _summed(passages.mapInArrow(_gram_product(shared, weights, places), _PARTS), *x.shape)
+        out = _summed(part.mapInArrow(_gram_product(shared, weights, places), _PARTS), *x.shape)
         shared.destroy()
+        return out
+
+    x = start
+    for _ in range(2):
+        x = product(own, x)
+        # A little of every direction, as the items may have fewer than the rank.
+        x += 1e-3 * max(float(np.abs(x).max()), 1e-12) / len(x) ** 0.5 * start
+    x = product(rows.union(own).coalesce(tasks), x)
     weights.destroy()
     places.destroy()
     q, r = np.linalg.qr(x)
@@ -218,13 +255,6 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, slots: np.ndarray, rank:
     return basis, np.sqrt(s[:rank])
 
 
-def drawn_documents(docs: DataFrame, n: int) -> DataFrame:
-    """About ``n`` texts, drawn by a hash of the text (so copies go together)."""
-    total = max(docs.count(), 1)
-    draw = F.pmod(F.xxhash64(F.lit("passages"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return docs.filter(F.col("text").isNotNull() & (draw < n / total)).select("text")
-
-
 # -- items and scoring -------------------------------------------------------
 
 
@@ -458,18 +488,17 @@ class Judge:
 
 @dataclass
 class Corpus:
-    """Term weights over all documents, and the sample of their passages."""
+    """Term weights over all documents, all of them as hashed words, and the
+    weight of each in the latent space."""
 
     idf: np.ndarray
-    passages: DataFrame
+    rows: DataFrame
+    weight: float
 
 
-def read_corpus(docs: DataFrame, s: Settings) -> Corpus:
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    idf = inverse_frequencies(texts, s.term_bits)
-    sample = drawn_documents(texts, s.sample_docs).withColumn("weight", F.lit(1.0))
-    return Corpus(idf, written(sample.mapInArrow(_cut_passages, "ids array<bigint>, weight double"), "passages"))
+def read_corpus(docs: DataFrame, s: Settings, keep: list[str] | None = None) -> Corpus:
+    rows = written(hashed(docs, keep or []), "words")
+    return Corpus(inverse_frequencies(rows, s.term_bits), rows, min(1.0, s.corpus_weight / max(rows.count(), 1)) ** 0.5)
 
 
 def make_judge(corpus: Corpus, block: list, s: Settings) -> Judge:
@@ -478,9 +507,9 @@ def make_judge(corpus: Corpus, block: list, s: Settings) -> Judge:
     used = np.unique(np.concatenate([np.zeros(0, np.int64), *[i.words & ((1 << s.term_bits) - 1) for i in items]]))
     slots = np.zeros(1 << s.term_bits, np.int32)
     slots[used] = np.arange(1, len(used) + 1)
-    spark = corpus.passages.sparkSession
-    own = spark.createDataFrame([(t, s.item_weight) for _, t in block], "text string, weight double").mapInArrow(_cut_passages, "ids array<bigint>, weight double")
-    basis, _ = latent_basis(corpus.passages.union(own).coalesce(8), corpus.idf, slots, s.rank)
+    texts = corpus.rows.sparkSession.createDataFrame([(t,) for _, t in block], "text string").coalesce(1)
+    own, rows = (r.select("words", F.lit(w).alias("weight")) for r, w in ((hashed(texts, []), s.item_weight), (corpus.rows, corpus.weight)))
+    basis, _ = latent_basis(rows, own, corpus.idf, slots, s.rank)
     return Judge(items, corpus.idf, basis, slots, s)
 
 
@@ -497,18 +526,20 @@ def item_blocks(benchmark: DataFrame, s: Settings):
 
 
 def _judged(docs: DataFrame, keep: list[str], judge: Judge, whole_rows: bool) -> DataFrame:
-    """Matches of a block of items (keep, item_id, cosine, coverage, answer_found,
-    first_word), or with ``whole_rows`` the rows of ``docs`` without a match."""
+    """Matches of a block of items in hashed documents (keep, item_id, cosine,
+    coverage, answer_found, first_word), or with ``whole_rows`` the rows of
+    ``docs``, which have their text, without a match."""
     spark = docs.sparkSession
     small_batches(spark)
     judge = spark.sparkContext.broadcast(judge)
     ids = [f"_{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, ids, strict=True)], F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keep, ids, strict=True)],
+                       F.col("text").cast("string").alias("_text") if whole_rows else F.col("words"))
 
     def run(batches):
         j = judge.value
         for b in batches:
-            found = j.find([word_ids(t.as_py()) for t in b.column("_text")])
+            found = j.find([word_ids(t.as_py()) for t in b.column("_text")] if whole_rows else [w.astype(np.int64) for w in _unpacked(b)])
             if whole_rows:
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in ids], ids).filter(pa.array([not f for f in found], pa.bool_()))
                 continue
@@ -531,11 +562,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, s: Settings | None
     """doc_id, item_id, cosine, coverage, answer_found, first_word: the best
     window of every document and benchmark item that match."""
     s = s or Settings()
-    corpus = read_corpus(docs, s)
+    corpus = read_corpus(docs, s, ["doc_id"])
     out = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id bigint, cosine double, "
                                             "coverage double, answer_found boolean, first_word bigint")
     for block in item_blocks(benchmark, s):
-        out = out.union(_judged(docs, ["doc_id"], make_judge(corpus, block, s), whole_rows=False))
+        out = out.union(_judged(corpus.rows, ["doc_id"], make_judge(corpus, block, s), whole_rows=False))
     return out
 
 
