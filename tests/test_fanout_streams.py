@@ -203,3 +203,33 @@ def test_a_lost_stream_gives_each_row_once(spark):
     P.wait_until_ended(start_committed_stream(spark, src, sink.schema, sink, f"{base}/ckpt", watch=watch))
     assert sorted(r.id for r in sink.read().collect()) == list(range(400))
     assert {r.batch_id: r.attempts for r in sink.attempts().collect()} == {0: 2, 1: 1, 2: 2, 3: 1}
+
+
+def test_many_users_are_few_calls(spark):
+    """Frames of many users go to one call (before: a call for each user and slice)."""
+    calls = spark.sparkContext.accumulator(0)
+    rows = [(2 ** 53 + i % 400 if i % 7 else None, "ab"[i % 2], float(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows + [(5, None, None)] * 3 + [(9, "c", None)] * 20_000, "u long, k string, v double").repartition(4)
+
+    def partial(pdf):
+        calls.add(1)
+        return pdf.groupby(["u", "k"], as_index=False, dropna=False).agg(n=("v", "size"), hi=("v", "max"))
+
+    def merge(pdf):
+        calls.add(1)
+        return pdf.groupby("u", as_index=False, dropna=False).agg(n=("n", "sum"), hi=("hi", "max"), k=("k", "nunique"))
+
+    out = FO.combine_users(df, "u", partial, "u long, k string, n long, hi double", merge, "u long, n long, hi double, k long")
+    got = {r.u: (r.n, r.hi, r.k) for r in out.collect()}
+    want = {r.u: (r.n, r.hi, r.k) for r in df.groupBy("u").agg(
+        F.count(F.lit(1)).alias("n"), F.max("v").alias("hi"), F.count_distinct("k").alias("k")).collect()}
+    assert got == want
+    assert calls.value < 60
+
+
+def test_per_user_pandas_calls_no_function_for_each_user(spark):
+    from conftest import SMALL_SF
+    from vouch.queries import all_queries
+
+    plan = all_queries()["per_user_pandas"](spark, SMALL_SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan

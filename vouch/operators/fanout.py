@@ -4,7 +4,8 @@
 partial on the map side, so a user with a third of all rows is combined
 before the shuffle.  ``apply_per_user`` is the pandas path for logic the
 built-in aggregates cannot express; it hands each user's rows to one task,
-so it is meant for groups of bounded size.
+so it is meant for groups of bounded size.  ``combine_users`` is the pandas path
+for many users: its functions take frames of many users at once.
 
 ``UserTable`` keeps one "database" per user as rows of one versioned folder:
 files of each change lie beside each other, and a commit log names them.  A
@@ -72,6 +73,49 @@ def combine_per_user(
     return parts.groupBy(user).applyInPandas(merge, schema=schema)
 
 
+def combine_users(
+    df: DataFrame,
+    user: str,
+    partial: Callable[[pd.DataFrame], pd.DataFrame],
+    partial_schema: str,
+    merge: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+) -> DataFrame:
+    """Pandas logic over frames of many users, for any number of users and rows.
+
+    ``partial`` reduces each Arrow batch as it is read, whosever its rows are,
+    and ``merge`` gets frames that hold all partial rows of their users.  So
+    there is one call a batch, not one a user; a user with a third of all rows is
+    reduced by every task, and only partial rows are shuffled.  Both keep the
+    user column; a NULL user is a user.
+    """
+
+    def run_partial(frames):
+        for frame in frames:
+            if len(frame):
+                yield partial(frame)
+
+    def run_merge(frames):
+        held = None  # the rows of the last user seen, of whom the next frame may have more
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = held[user].iloc[-1] if len(held) else None
+            open_rows = held[user].isna() if pd.isna(last) else held[user] == last
+            if not open_rows.all():
+                yield merge(held[~open_rows])
+                held = held[open_rows]
+        if held is not None and len(held):
+            yield merge(held)
+
+    def combined(rows: DataFrame) -> DataFrame:
+        parts = rows.mapInPandas(run_partial, schema=partial_schema)
+        return parts.repartition(user).sortWithinPartitions(user).mapInPandas(run_merge, schema=schema)
+
+    # A frame with a NULL user would turn the numbers of the others into doubles.
+    known = F.col(f"`{user}`").isNotNull()
+    return combined(df.where(known)).unionByName(combined(df.where(~known)))
+
+
 def user_bucket(user: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
 

@@ -93,18 +93,18 @@ def per_user_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, count(*) AS n_events, min(value) AS lowest, max(value) AS highest, count(DISTINCT event_type) AS n_types FROM events GROUP BY user_id
 """)
 def per_user_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function of pandas frames for every user, in slices that are then merged,
-    so a user with a third of all events is never one task's work."""
+    """Functions of pandas frames for the users in them: a row for each user and
+    event type of a batch, which are then merged, so a user with a third of all
+    events is never one task's work."""
     ev = Tables(spark, sf_dir).events.select("user_id", "event_type", "value")
 
     def partial(pdf):
-        g = pdf.groupby("user_id", as_index=False, dropna=False)
-        return g.agg(n_events=("value", "size"), lowest=("value", "min"), highest=("value", "max"), types=("event_type", lambda t: sorted(set(t.dropna()))))
+        g = pdf.groupby(["user_id", "event_type"], as_index=False, dropna=False, sort=False)
+        return g.agg(n_events=("value", "size"), lowest=("value", "min"), highest=("value", "max"))
 
     def merge(pdf):
-        g = pdf.groupby("user_id", as_index=False, dropna=False)
-        out = g.agg(n_events=("n_events", "sum"), lowest=("lowest", "min"), highest=("highest", "max"), types=("types", lambda t: len({x for part in t for x in part})))
-        return out.rename(columns={"types": "n_types"})
+        g = pdf.groupby("user_id", as_index=False, dropna=False, sort=False)
+        return g.agg(n_events=("n_events", "sum"), lowest=("lowest", "min"), highest=("highest", "max"), n_types=("event_type", "nunique"))
 
-    return FO.combine_per_user(ev, "user_id", partial, "user_id bigint, n_events bigint, lowest double, highest double, types array<string>",
-                               merge, "user_id bigint, n_events bigint, lowest double, highest double, n_types bigint", salts=8)
+    return FO.combine_users(ev, "user_id", partial, "user_id bigint, event_type string, n_events bigint, lowest double, highest double",
+                            merge, "user_id bigint, n_events bigint, lowest double, highest double, n_types bigint")
