@@ -24,23 +24,32 @@ def is_nested(dt: T.DataType) -> bool:
     return isinstance(dt, (T.ArrayType, T.MapType, T.StructType))
 
 
-def canonical(value: Column, dt: T.DataType) -> Column:
+def canonical(value: Column, dt: T.DataType, sized: bool = False) -> Column:
+    """``sized`` puts the number of entries before those of an array or a map:
+    Spark's hashes pass from one array to the next without a mark, so [1], [2]
+    and [1, 2], [] would hash alike."""
+    if sized and isinstance(dt, (T.ArrayType, T.MapType)):
+        return F.struct(F.size(value).alias("n"), _entries(value, dt, True).alias("e"))
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         name = dt.simpleString()
         return F.when(F.isnan(value), F.lit(float("nan")).cast(name)).when(value == 0, F.lit(0.0).cast(name)).otherwise(value)
-    if isinstance(dt, T.ArrayType):
-        return F.transform(value, lambda x: _flagged(x, dt.elementType))
-    if isinstance(dt, T.MapType):
-        return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(
-            canonical(e["key"], dt.keyType).alias("k"), _flagged(e["value"], dt.valueType).alias("v"))))
+    if isinstance(dt, (T.ArrayType, T.MapType)):
+        return _entries(value, dt, sized)
     if isinstance(dt, T.StructType) and dt.fields:
-        fields = [_flagged(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(dt.fields)]
+        fields = [_flagged(value.getField(f.name), f.dataType, sized).alias(f"f{i}") for i, f in enumerate(dt.fields)]
         return F.when(value.isNotNull(), F.struct(*fields))
     return value
 
 
-def _flagged(value: Column, dt: T.DataType) -> Column:
-    return F.struct(value.isNull().alias("none"), canonical(value, dt).alias("v"))
+def _entries(value: Column, dt: T.DataType, sized: bool) -> Column:
+    if isinstance(dt, T.ArrayType):
+        return F.transform(value, lambda x: _flagged(x, dt.elementType, sized))
+    return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(
+        canonical(e["key"], dt.keyType, sized).alias("k"), _flagged(e["value"], dt.valueType, sized).alias("v"))))
+
+
+def _flagged(value: Column, dt: T.DataType, sized: bool = False) -> Column:
+    return F.struct(value.isNull().alias("none"), canonical(value, dt, sized).alias("v"))
 
 
 def canonical_columns(df: DataFrame, names: list[str]) -> list[Column]:
@@ -55,13 +64,15 @@ def canonical_columns(df: DataFrame, names: list[str]) -> list[Column]:
 def row_hashes(df: DataFrame, names: list[str]) -> tuple[Column, Column]:
     """128 bits that stand for a row's values of ``names``, NULLs included."""
     flags = [F.isnull(F.col(f"`{n}`")) for n in names]
-    values = [canonical(F.col(f"`{n}`"), df.schema[n].dataType) for n in names]
+    values = [canonical(F.col(f"`{n}`"), df.schema[n].dataType, sized=True) for n in names]
     return F.xxhash64(F.lit(1), *flags, *values), F.xxhash64(F.lit(2), *values, *flags)
 
 
-def digest_sums(h1: Column, h2: Column) -> list[Column]:
-    """Aggregates d0..d3: equal for equal bags of hashes, whatever their order."""
+def digest_sums(h1: Column, h2: Column, sign: Column | None = None) -> list[Column]:
+    """Aggregates d0..d3: equal for equal bags of hashes, whatever their order.
+    With a ``sign`` (1 or -1) of each row they are 0 where both bags are equal."""
     parts = [h.bitwiseAND(F.lit(_LANE)) if low else F.shiftrightunsigned(h, 33) for h in (h1, h2) for low in (True, False)]
+    parts = parts if sign is None else [p * sign for p in parts]
     return [F.coalesce(F.sum(p), F.lit(0).cast("bigint")).alias(n) for p, n in zip(parts, LANES, strict=True)]
 
 

@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vouch.functions.canonical import canonical_columns, digest_sums, row_hashes, same_digest
+from vouch.functions.canonical import LANES, canonical_columns, digest_sums, is_nested, row_hashes, same_digest
 from vouch.functions.values import kind_of
 from vouch.session import ensure_checkpoint_dir
 
 ACTUAL_ONLY, EXPECTED_ONLY, CHANGED = "actual_only", "expected_only", "changed"
 _BLOCK_BITS = 12  # positions in a block: 4096
+_BUCKET_BITS = 12  # buckets of hashes
 _POS_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 33
 
 
@@ -55,7 +56,8 @@ def bag_difference(actual: DataFrame, expected: DataFrame) -> DataFrame:
     Both sides are tagged and unioned, then grouped by the whole row; the
     partial (map-side) aggregate collapses repeated rows before the shuffle,
     so a row repeated a billion times costs one record per map task.  The
-    result equals ``exceptAll`` both ways without computing either.
+    result equals ``exceptAll`` both ways without computing either.  Rows with
+    nested columns, which are wide in the form that groups, are grouped by hashes.
     """
     a_names = _check_names(actual, "actual")
     b_names = _check_names(expected, "expected")
@@ -64,8 +66,11 @@ def bag_difference(actual: DataFrame, expected: DataFrame) -> DataFrame:
         totals = counts.unionByName(expected.agg(F.count(F.lit(1)).alias("m")).select(F.lit(0).alias("n"), "m"))
         agg = totals.agg(F.sum("n").alias("a"), F.sum("m").alias("b"))
         return _sides(agg, [(ACTUAL_ONLY, F.col("a")), (EXPECTED_ONLY, F.col("b"))])
-    a = _groupable(actual.select(*[F.col(f"`{n}`") for n in a_names]))
-    b = _groupable(expected.select(*[F.col(f"`{n}`") for n in a_names]))
+    a = actual.select(*[F.col(f"`{n}`") for n in a_names])
+    b = expected.select(*[F.col(f"`{n}`") for n in a_names])
+    if any(is_nested(f.dataType) for f in a.schema.fields):
+        return _hashed_bag_difference(a, b)
+    a, b = _groupable(a), _groupable(b)
     tagged = a.withColumn("_na", F.lit(1)).withColumn("_nb", F.lit(0)).unionByName(
         b.withColumn("_na", F.lit(0)).withColumn("_nb", F.lit(1))
     )
@@ -77,6 +82,31 @@ def bag_difference(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return _sides(agg, [(ACTUAL_ONLY, F.col("a")), (EXPECTED_ONLY, F.col("b"))])
 
 
+def _hashed_bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The multiset difference of rows by 128-bit hashes: first digests of buckets
+    of hashes, which partial aggregation reduces in each task; then only the
+    hashes of buckets that differ are shuffled, whatever the width of a row."""
+    sides = []
+    for rows, sign in ((a, 1), (b, -1)):
+        # Wider numbers of one kind are equal, and made so before they are hashed.
+        rows = rows.select(*[F.col(f"`{n}`").cast(t).alias(n) for n, t in _common_types(a, b).items()])
+        h1, h2 = row_hashes(rows, rows.columns)
+        sides.append(rows.select(h1.alias("_h1"), h2.alias("_h2"), F.lit(sign).cast("bigint").alias("_s")))
+    both = sides[0].unionByName(sides[1]).withColumn("_bucket", F.pmod("_h1", F.lit(1 << _BUCKET_BITS)).cast("int"))
+    sums = digest_sums(F.col("_h1"), F.col("_h2"), F.col("_s"))
+    digests = both.groupBy("_bucket").agg(F.sum("_s").alias("n"), *sums)
+    differing = digests.where(" OR ".join(f"{c} <> 0" for c in ("n", *LANES))).select("_bucket")  # a row a bucket at most
+    rows = both.join(F.broadcast(differing), "_bucket", "left_semi")
+    agg = rows.groupBy("_h1", "_h2").agg(F.sum("_s").alias("d")).agg(
+        *[F.coalesce(F.sum(F.greatest(d, F.lit(0))), F.lit(0)).alias(n) for n, d in (("a", F.col("d")), ("b", -F.col("d")))])
+    return _sides(agg, [(ACTUAL_ONLY, F.col("a")), (EXPECTED_ONLY, F.col("b"))])
+
+
+def _common_types(a: DataFrame, b: DataFrame) -> dict[str, T.DataType]:
+    """The type that a union gives each column."""
+    return {f.name: f.dataType for f in a.limit(0).unionByName(b.limit(0)).schema.fields}
+
+
 def _rows_differ(names_a: list[str], names_b: list[str], left: str, right: str) -> Column:
     if names_a != names_b:
         return F.lit(True)
