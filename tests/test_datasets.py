@@ -246,3 +246,24 @@ def test_contents_are_compared_by_bytes_and_repaired(spark):
     done = C.validate_folders(spark, {"d": (source, copy), "gone": (source, copy + "-new")})
     assert done.where("dataset = 'd' AND repaired").count() == 3 and done.where("dataset = 'gone' AND diff = 'missing'").count() == 5
     assert C.validate_folders(spark, {"d": (source, copy), "gone": (source, copy + "-new")}, fail_fast=True).count() == 0
+
+
+def test_a_bucket_of_many_rows_is_written_by_several_tasks(spark, monkeypatch):
+    """With more rows a copy is written by more tasks, none of which gets a whole large bucket."""
+    from vouch.session import work_path
+
+    monkeypatch.setattr(D, "_TASK_ROWS", 1000)
+    rows = spark.range(40_000).selectExpr("id", "id % 7 AS k")
+    copy = D.TableCopy(spark, work_path(spark, "t-large"))
+    copy.install(rows, buckets=4)
+    _number, entry = copy.log.latest()
+    sizes = [spark.read.parquet(f"{copy.path}/{n}").count() for names in entry["files"].values() for n, _length in names]
+    assert sum(sizes) == 40_000 and max(sizes) <= 5000, sizes  # pieces can meet in a task; before: 4 files of 10,000 rows
+    assert sorted(r.id for r in copy.read().select("id").collect()) == list(range(40_000))
+
+
+def test_changes_of_mostly_equal_tables(spark):
+    a = spark.range(5000).selectExpr("id % 1200 AS k", "id % 3 AS v")
+    b = a.where("k <> 5").unionByName(a.where("k = 9"))
+    assert D.row_changes(a, b, mostly_equal=True) == D.row_changes(a, b)
+    assert D.row_changes(a, a, mostly_equal=True) == {"rows_kept": 5000, "rows_added": 0, "rows_dropped": 0}
