@@ -267,3 +267,55 @@ def test_changes_of_mostly_equal_tables(spark):
     b = a.where("k <> 5").unionByName(a.where("k = 9"))
     assert D.row_changes(a, b, mostly_equal=True) == D.row_changes(a, b)
     assert D.row_changes(a, a, mostly_equal=True) == {"rows_kept": 5000, "rows_added": 0, "rows_dropped": 0}
+
+
+def test_files_are_hashed_by_chunks_and_never_held_whole(spark, tmp_path):
+    import hashlib
+
+    from vouch.sources import content as C
+
+    raw = bytes(i * 7 % 251 for i in range(10_000))
+    os.makedirs(tmp_path / "k=a b%")
+    for rel in ("top.bin", "k=a b%/x.bin", "_hidden.bin"):
+        (tmp_path / rel).write_bytes(raw)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # a file that is loaded whole raises
+    try:
+        got = {(r.path, r.length, r.digest) for r in C.file_digests(spark, str(tmp_path), chunk=512).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    hashes = [hashlib.sha256(raw[i:i + 512]).hexdigest() for i in range(0, len(raw), 512)]
+    digest = hashlib.sha256("".join(hashes).encode()).hexdigest()
+    assert got == {(rel, 10_000, digest) for rel in ("top.bin", "k=a b%/x.bin")}
+
+
+def test_contents_of_more_orders_are_more_files_and_not_larger_ones(spark, monkeypatch):
+    """Every file of the damaged statuses is found and repaired, however many there are."""
+    from conftest import SMALL_SF
+    from vouch.queries import datasets as Q
+    from vouch.session import work_path
+
+    base, seen = work_path(spark, "t-contents"), []
+    validate = Q.C.validate_folders
+    monkeypatch.setattr(Q, "FILE_ROWS", 200, raising=False)
+    monkeypatch.setattr(Q, "work_path", lambda *_: base)
+    monkeypatch.setattr(Q.C, "validate_folders", lambda *a, **k: seen.append(validate(*a, **k)) or seen[0])
+    rows = {tuple(r) for r in Q.validate_contents(spark, SMALL_SF).collect()}
+    assert rows == {("orders", "o_orderstatus=F/", "changed", True, 0), ("orders", "o_orderstatus=P/", "missing", True, 0),
+                    ("orders", "extra/", "extra", True, 0)}
+    source = spark.read.parquet(f"{base}/source")
+    sizes = {tuple(r)[:2]: r["count"] for r in source.groupBy("o_orderstatus", F.input_file_name()).count().collect()}
+    assert sum(sizes.values()) == spark.read.parquet(f"{SMALL_SF}/orders.parquet").count() and max(sizes.values()) < 200
+    by_status = {s: sum(x == s for x, _ in sizes) for s in "FP"}
+    assert min(by_status.values()) > 1
+    assert {r["diff"]: r["count"] for r in seen[0].groupBy("diff").count().collect()} == {"changed": by_status["F"], "missing": by_status["P"], "extra": 1}
+
+
+def test_contents_of_orders_without_the_damaged_statuses(spark, tmp_path):
+    from conftest import SMALL_SF
+    from vouch.queries import datasets as Q
+
+    orders = spark.read.parquet(f"{SMALL_SF}/orders.parquet")
+    kept = {"none": orders.where("false"), "open": orders.where("o_orderstatus = 'O'").unionByName(orders.limit(3).withColumn("o_orderstatus", F.lit(None).cast("string")))}
+    for name, rows in kept.items():
+        rows.write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        assert [tuple(r) for r in Q.validate_contents(spark, f"{tmp_path}/{name}").collect()] == [("orders", "extra/", "extra", True, 0)], name

@@ -12,6 +12,8 @@ from vouch.sources.tables import Tables, table_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+#: Orders that one task sorts and writes, about.
+FILE_ROWS = 1 << 19
 
 
 def query(name: str, sql: str | None = None):
@@ -128,33 +130,63 @@ FROM folders WHERE o_orderstatus IN ('F', 'P') AND EXISTS (SELECT 1 FROM orders)
 UNION ALL SELECT 'orders', 'extra/', 'extra', true, 0
 """)
 def validate_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders in a folder for each status, and a copy of its files of which one has
-    a changed byte, one is lost and one is too many: found by content, repaired."""
-    from pyarrow import fs as pafs
-
+    """Orders in a folder for each status, and a copy of its files of which those
+    of one status have a changed byte, those of another are lost and one is too
+    many: found by content, repaired.  A row for each folder that differed; left
+    over are the files that differ after the repair or whose damage was not found."""
     base = work_path(spark, "contents")
-    source, copy = f"{base}/source", f"{base}/copy"
-    Tables(spark, sf_dir).orders.repartition(1).write.partitionBy("o_orderstatus").parquet(source)
-    whole = C.file_digests(spark, source)
+    source, copy, damaged = f"{base}/source", f"{base}/copy", f"{base}/damaged"
+    write_by_status(Tables(spark, sf_dir).orders, source)
+    whole = C.stored(C.file_digests(spark, source), "whole")
     C.repair_folder(spark, source, copy, whole.select("path", F.lit(C.MISSING).alias("diff")))
     # The damage goes by the same way as a repair does, from a folder of damaged files.
-    damaged = f"{base}/damaged"
-    paths = {r["path"].split("/")[0][-1]: r["path"] for r in whole.collect()}  # one file for each status
-    files, root = pafs.FileSystem.from_uri(damaged) if ":" in damaged else (pafs.LocalFileSystem(), damaged)
-    origin = pafs.FileSystem.from_uri(source) if ":" in source else (pafs.LocalFileSystem(), source)
-    with origin[0].open_input_stream(f"{origin[1]}/{paths['F']}") as f:
-        raw = bytearray(f.read())
-    raw[len(raw) // 2] ^= 1
-    for path in (paths["F"], "extra/more.parquet"):
-        files.create_dir(f"{root}/{path.rpartition('/')[0]}", recursive=True)
-        with files.open_output_stream(f"{root}/{path}") as f:
-            f.write(bytes(raw))
-    harm = spark.createDataFrame([(paths["F"], C.CHANGED), ("extra/more.parquet", C.MISSING), (paths["P"], C.EXTRA)], "path string, diff string")
+    changed = whole.where(F.col("path").startswith("o_orderstatus=F/")).select("path", F.lit(C.CHANGED).alias("diff"))
+    more = whole.agg(F.lit("extra/more.parquet").alias("path"), F.min("path").alias("origin"))
+    lost = whole.where(F.col("path").startswith("o_orderstatus=P/")).select("path", F.lit(C.EXTRA).alias("diff"))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spoilt = changed.select("path", F.col("path").alias("origin")).unionByName(more)
+    spoilt.repartition(n, "path").mapInPandas(_spoil(source, damaged), "path string").count()
+    harm = changed.unionByName(more.select("path", F.lit(C.MISSING).alias("diff"))).unionByName(lost)
     C.repair_folder(spark, damaged, copy, harm)
     found = C.validate_folders(spark, {"orders": (source, copy)})
-    left = C.content_differences(whole, C.file_digests(spark, copy)).count()
+    left = C.content_differences(whole, C.stored(C.file_digests(spark, copy), "after")).count()
+    left += harm.join(found, "path", "left_anti").count()
     folder = F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"))
-    return found.select("dataset", folder.alias("folder"), "diff", "repaired", F.lit(left).cast("bigint").alias("left_over"))
+    return found.select("dataset", folder.alias("folder"), "diff", "repaired", F.lit(left).cast("bigint").alias("left_over")).distinct()
+
+
+def write_by_status(orders: DataFrame, target: str) -> None:
+    """Orders in a folder for each status; a task sorts and writes about
+    ``FILE_ROWS`` rows, so more rows make more files and not larger ones."""
+    tasks = max(1, -(-orders.count() // FILE_ROWS))
+    dealt = orders.withColumn("_deal", F.monotonically_increasing_id()).repartition(tasks, "_deal").drop("_deal")
+    dealt.write.partitionBy("o_orderstatus").parquet(target)
+
+
+def _spoil(source: str, target: str):
+    """mapInPandas body: write the files of ``origin`` as ``path``, each with its
+    middle byte changed, block by block (without an origin: an empty file)."""
+    import pandas as pd
+
+    def run(frames):
+        from_fs, from_root = C.located(source)
+        to_fs, to_root = C.located(target)
+        for frame in frames:
+            for path, origin in zip(frame["path"], frame["origin"], strict=True):
+                to_fs.create_dir(f"{to_root}/{path.rpartition('/')[0]}", recursive=True)
+                with to_fs.open_output_stream(f"{to_root}/{path}") as out:
+                    if pd.isna(origin):
+                        continue
+                    with from_fs.open_input_file(f"{from_root}/{origin}") as f:
+                        middle = f.size() // 2
+                        while block := bytearray(f.read(C.CHUNK)):
+                            if 0 <= middle < len(block):
+                                block[middle] ^= 1
+                            middle -= len(block)
+                            out.write(bytes(block))
+            yield pd.DataFrame({"path": frame["path"]})
+
+    return run
 
 
 @query("prefer_staged", "SELECT * FROM orders")

@@ -1,18 +1,18 @@
 """Dataset folders compared by what their files hold.
 
-Every file is read by Spark's ``binaryFile`` source and hashed in chunks; the
-chunk hashes are folded into one digest a file, and the files' digests into one
-for every folder above them (order-free sums, so a folder of any number of
-files is a partial aggregate).  Two folders are equal when their root digests
+Spark lists the files and deals their chunks over tasks, which read and hash
+one chunk at a time; the chunk hashes (64 bytes each) are folded into one digest
+a file, and the files' digests into one for every folder above them (order-free
+sums, so a folder of any number of files is a partial aggregate).  Two folders are equal when their root digests
 are, one row each; only below folders that differ are files compared by path.
 
 ``validate_folders`` is the whole flow for declared datasets: compare, then
 raise (``fail_fast``) or copy what is missing or changed, delete what is extra,
 and compare again.  Copies run on the executors.
 
-A file is held in memory while it is hashed, so files have to be below 2 GB
-(the limit of ``binaryFile``, which raises beyond it).  Names that start with
-``_`` or ``.`` are not looked at, as by every file source of Spark.
+No task holds a file, whose length is therefore free, and the chunks of one
+file are hashed by many tasks.  Names that start with ``_`` or ``.`` are not
+looked at, as by every file source of Spark.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vouch.functions.canonical import LANES, digest_sums, same_digest
 from vouch.session import path_exists, work_path
-from vouch.sources.files import list_tree, norm_root, norm_uri
+from vouch.sources.files import list_files, list_tree
 
 MISSING, EXTRA, CHANGED = "missing", "extra", "changed"
 #: Bytes hashed at a time.
@@ -34,15 +34,46 @@ class InvalidDataset(RuntimeError):
     """A dataset differs from its source; the message names the first paths."""
 
 
+def located(root: str):
+    """(file system of pyarrow, folder in it) of a path or URI."""
+    from pyarrow import fs as pafs
+
+    if "://" in root or root.startswith("file:"):
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), root
+
+
+def _hash_chunks(root: str, chunk: int):
+    """mapInPandas body: (path, length, offset, hash) of the named chunks, one in
+    memory at a time.  A file whose length is no longer the listed one raises."""
+    import hashlib
+
+    def run(frames):
+        files, base = located(root)
+        for frame in frames:
+            hashes = {}
+            for path, part in frame.groupby("path", sort=False):
+                with files.open_input_file(f"{base}/{path}") as f:
+                    for i, length, offset in zip(part.index, part["length"], part["offset"], strict=True):
+                        if f.size() != length:
+                            raise OSError(f"{path} was listed with {length} bytes and has {f.size()}")
+                        hashes[i] = hashlib.sha256(f.read_at(min(chunk, length - offset), offset)).hexdigest()
+            yield frame.assign(hash=[hashes[i] for i in frame.index])
+
+    return run
+
+
 def file_digests(spark: SparkSession, root: str, chunk: int = CHUNK) -> DataFrame:
     """(path relative to root, length, digest) of every file below a folder."""
     if not path_exists(spark, root):
         return spark.createDataFrame([], FILE_SCHEMA)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    offsets = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(chunk).cast("bigint"))
-    hashes = F.transform(offsets, lambda o: F.sha2(F.substring(F.col("content"), (o + 1).cast("int"), F.lit(chunk)), 256))
-    path = F.substring(norm_uri(F.col("path")), len(norm_root(spark, root)) + 1, 1 << 30)
-    files = files.select(path.alias("path"), F.col("length").cast("bigint").alias("length"), F.sha2(F.array_join(hashes, ""), 256).alias("digest"))
+    listed = list_files(spark, root, include_dirs=False).where("length > 0")
+    offsets = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(chunk).cast("bigint"))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks = listed.select("path", "length", F.explode(offsets).alias("offset")).repartition(n, "path", "offset")
+    hashed = chunks.mapInPandas(_hash_chunks(root.rstrip("/"), chunk), "path string, length bigint, offset bigint, hash string")
+    files = hashed.groupBy("path", "length").agg(F.sort_array(F.collect_list(F.struct("offset", "hash"))).alias("chunks"))
+    files = files.select("path", "length", F.sha2(F.array_join("chunks.hash", ""), 256).alias("digest"))
     # Spark's file sources pass over empty files, so these come from a walk.
     walked = list_tree(spark.createDataFrame([(root.rstrip("/"),)], "root string"))
     empty = walked.where("NOT is_dir AND length = 0").where(~F.col("path").rlike(r"(^|/)[._]"))
@@ -83,7 +114,8 @@ def content_differences(source: DataFrame, copy: DataFrame) -> DataFrame:
     return both.select(F.coalesce("l.path", "r.path").alias("path"), diff.alias("diff")).where("diff IS NOT NULL")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of this run, so that files are hashed once."""
     path = work_path(df.sparkSession, "content", name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -95,11 +127,6 @@ def _apply(source: str, target: str):
     import pandas as pd
     from pyarrow import fs as pafs
 
-    def located(root: str):
-        if "://" in root or root.startswith("file:"):
-            return pafs.FileSystem.from_uri(root)
-        return pafs.LocalFileSystem(), root
-
     def run(frames):
         from_fs, from_root = located(source)
         to_fs, to_root = located(target)
@@ -134,14 +161,14 @@ def validate_folders(spark: SparkSession, datasets: dict[str, tuple[str, str]],
     """
     out = spark.createDataFrame([], "dataset string, path string, diff string, repaired boolean")
     for name, (source, target) in datasets.items():
-        wanted = _stored(file_digests(spark, source, chunk), "source")
-        found = _stored(content_differences(wanted, _stored(file_digests(spark, target, chunk), "copy")), "differences")
+        wanted = stored(file_digests(spark, source, chunk), "source")
+        found = stored(content_differences(wanted, stored(file_digests(spark, target, chunk), "copy")), "differences")
         first = [r["path"] for r in found.orderBy("path").limit(5).collect()]
         if first and fail_fast:
             raise InvalidDataset(f"{name}: {', '.join(first)} differ from {source}")
         if first and repair:
             repair_folder(spark, source, target, found)
-            left = content_differences(wanted, file_digests(spark, target, chunk))
+            left = content_differences(wanted, stored(file_digests(spark, target, chunk), "repaired"))
             if not left.isEmpty():
                 raise InvalidDataset(f"{name} differs from {source} after its repair")
         out = out.unionByName(found.select(F.lit(name).alias("dataset"), "path", "diff", F.lit(bool(first and repair)).alias("repaired")))
